@@ -195,7 +195,12 @@ def _fold(decays: dict[str, float], index: str, start: bool):
     return apply
 
 
-def recurrences(df: DataFrame, specs: Mapping[str, tuple[Column, float]], keys: Sequence[str] = KEYS) -> DataFrame:
+def recurrences(
+    df: DataFrame,
+    specs: Mapping[str, tuple[Column, float]],
+    keys: Sequence[str] = KEYS,
+    block_rows: int | None = None,
+) -> DataFrame:
     """First-order recurrences ``y = a * y_prev + b`` with constant ``a`` in [0, 1).
 
     ``specs`` maps a name to ``(b, a)``. Inside a run of ``SUB_ROWS`` rows the
@@ -205,42 +210,50 @@ def recurrences(df: DataFrame, specs: Mapping[str, tuple[Column, float]], keys:
     """
     keys = list(keys)
     decays = {name: a for name, (_, a) in specs.items()}
-    smallest = min((a for a in decays.values() if a > 0), default=0.5)
+    live = {n: a for n, a in decays.items() if a > 0}
     length = SUB_ROWS
-    while length > 1 and -math.log10(smallest) * length > 250:
+    while length > 1 and (
+        (block_rows or BLOCK_ROWS) % length or any(-math.log10(a) * length > 250 for a in live.values())
+    ):
         length //= 2
     power = lambda a, e: F.pow(F.lit(a), e)
-    frame = df.select("*", *[b.cast("double").alias(f"_b_{n}") for n, (b, _) in specs.items()])
-    frame = frame.withColumn("_pos", (F.col("_rn") - 1) % length)
-    frame = frame.withColumn("_sub", F.floor((F.col("_rn") - 1) / length))
-    live = {n: a for n, a in decays.items() if a > 0}
+    frame = df.select(
+        "*",
+        *[b.cast("double").alias(f"_b_{n}") for n, (b, _) in specs.items()],
+        ((F.col("_rn") - 1) % length).alias("_pos"),
+        F.floor((F.col("_rn") - 1) / length).alias("_sub"),
+    )
+    so_far = Window.partitionBy(*keys, "_blk", "_sub").orderBy("_rn").rowsBetween(Window.unboundedPreceding, 0)
+    local = frame.select(
+        "*",
+        *[F.sum(F.col(f"_b_{n}") * power(a, -F.col("_pos"))).over(so_far).alias(f"_l_{n}") for n, a in live.items()],
+    )
     if live:
         runs = frame.groupBy(*keys, "_blk", "_sub").agg(
             *[F.sum(F.col(f"_b_{n}") * power(a, length - 1 - F.col("_pos"))).alias(n) for n, a in live.items()]
         )
-        carry = _carry(runs.drop("_blk"), keys, {n: a**length for n, a in live.items()})
-        carry = carry.select(*keys, "_sub", *[F.col(n).alias(f"_c_{n}") for n in live])
-    so_far = Window.partitionBy(*keys, "_blk", "_sub").orderBy("_rn").rowsBetween(Window.unboundedPreceding, 0)
-    frame = frame.select(
-        "*", *[F.sum(F.col(f"_b_{n}") * power(a, -F.col("_pos"))).over(so_far).alias(f"_l_{n}") for n, a in live.items()]
-    )
-    if live:
-        frame = frame.join(carry, [*keys, "_sub"])
+        carry = _carry(runs, keys, {n: a**length for n, a in live.items()})
+        # One row per block, so the join keeps the partitioning of the blocks.
+        carry = carry.groupBy(*keys, "_blk").agg(
+            F.map_from_entries(F.collect_list(F.struct("_sub", F.struct(*live)))).alias("_carry")
+        )
+        local = local.join(carry, [*keys, "_blk"])
 
     def solved(name: str) -> Column:
         if name not in live:
             return F.col(f"_b_{name}")
         a = live[name]
-        return power(a, F.col("_pos")) * F.col(f"_l_{name}") + power(a, F.col("_pos") + 1) * F.col(f"_c_{name}")
+        start = F.col("_carry")[F.col("_sub")][name]
+        return power(a, F.col("_pos")) * F.col(f"_l_{name}") + power(a, F.col("_pos") + 1) * start
 
-    return frame.select(*[F.col(c) for c in df.columns], *[solved(n).alias(n) for n in decays])
+    return local.select(*[F.col(c) for c in df.columns], *[solved(n).alias(n) for n in decays])
 
 
 def _carry(runs: DataFrame, keys: list[str], decays: dict[str, float]) -> DataFrame:
     """Value of each recurrence just before every run, in two levels."""
     names = list(decays)
-    schema = lambda index: ", ".join(
-        [f"{k} string" for k in keys] + [f"{index} long"] + [f"{n} double" for n in names]
+    schema = lambda *index: ", ".join(
+        [f"{k} string" for k in keys] + [f"{i} long" for i in index] + [f"{n} double" for n in names]
     )
     up = runs.withColumn("_sup", F.floor(F.col("_sub") / FAN_OUT))
     tops = up.groupBy(*keys, "_sup").agg(
@@ -253,10 +266,7 @@ def _carry(runs: DataFrame, keys: list[str], decays: dict[str, float]) -> DataFr
         _fold({n: d**FAN_OUT for n, d in decays.items()}, "_sup", False), schema("_sup")
     )
     tops = tops.select(*keys, "_sup", *[F.col(n).alias(f"_s_{n}") for n in names])
-    joined = up.join(tops, [*keys, "_sup"]).select(
-        *keys, "_sup", "_sub", *names, *[f"_s_{n}" for n in names]
-    )
-    low = joined.groupBy(*keys, "_sup").applyInArrow(
-        _fold(decays, "_sub", True), schema("_sup").replace("_sup long", "_sup long, _sub long")
+    low = up.join(tops, [*keys, "_sup"]).select(
+        *keys, "_sup", "_blk", "_sub", *names, *[f"_s_{n}" for n in names]
     )
-    return low.drop("_sup")
+    return low.groupBy(*keys, "_sup").applyInArrow(_fold(decays, "_sub", True), schema("_sup", "_blk", "_sub"))
