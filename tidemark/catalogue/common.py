@@ -65,7 +65,7 @@ def ema_sql(x: str, n: int) -> str:
 
 def rounded(columns: Sequence[str], digits: int = 6) -> list[Column]:
     """Rounded columns; the small shift keeps exact halves on one side."""
-    return [F.round(F.col(c) + 10.0 ** -(digits + 3), digits).alias(c) for c in columns]
+    return [F.expr(f"round(`{c}` + 1e-{digits + 3}D, {digits}) AS `{c}`") for c in columns]
 
 
 def result(df: DataFrame, columns: Sequence[str], digits: int = 6, keys: Sequence[str] = ("symbol", "interval", "timestamp")) -> DataFrame:

@@ -27,7 +27,7 @@ def query(sql: str | None = None):
 
 
 def r6(*columns):
-    return [F.round(F.col(c) + 1e-9, 6).alias(c) for c in columns]
+    return [F.expr(f"round({c} + 1e-9D, 6) AS {c}") for c in columns]
 
 
 def union(columns, line):
@@ -323,8 +323,8 @@ def performance_drift(spark, d):
     return _performance(spark, d).select("metric", *r6("baseline_value", "current_value", "relative_change"), "drift_detected")
 
 
-@query(f"""WITH {PERF}, {CHI.replace(" AND event_type <> 'view'", "")} SELECT (SELECT exp(-st / 2) * (1 + st / 2) < 0.05 FROM x) AS statistical_drift, bool_or(abs(ch) > 0.05) AS performance_drift,
-  CASE WHEN statistical_drift AND bool_or(abs(ch) > 0.05) THEN 'critical' WHEN statistical_drift OR bool_or(abs(ch) > 0.05) THEN 'warning' ELSE 'healthy' END AS status FROM c""")
+@query(f"""WITH {PERF}, {CHI.replace(" AND event_type <> 'view'", "")}, z AS (SELECT (SELECT exp(-st / 2) * (1 + st / 2) < 0.05 FROM x) AS s, (SELECT bool_or(abs(ch) > 0.05) FROM c) AS p)
+  SELECT s AS statistical_drift, p AS performance_drift, CASE WHEN s AND p THEN 'critical' WHEN s OR p THEN 'warning' ELSE 'healthy' END AS status FROM z""")
 def monitoring_status(spark, d):
     return D.overall_status(D.categorical_drift(*halves(spark, d), ["event_type"]), _performance(spark, d))
 

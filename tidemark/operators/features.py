@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType
 
 from tidemark.operators import indicators as I
-from tidemark.plans.blocks import number_rows, plain, rows, running, with_rows
+from tidemark.plans.blocks import number_rows, over, plain, rows, running, with_rows
 from tidemark.plans.quantiles import exact_percentiles, percentile_columns
 from tidemark.schemas import BAR_VALUES, KEYS
 
@@ -45,19 +45,19 @@ def rolling_columns(
 ) -> dict[str, Column]:
     """Rolling statistics; skew and kurtosis are corrected for bias."""
 
+    plain_aggregates = {"mean": "avg", "std": "stddev_samp", "min": "min", "max": "max"}
+
     def one(c: str, n: int, stat: str) -> Column:
-        w = rows(n - 1)
-        flat = F.min(c).over(w) == F.max(c).over(w)
+        w = over(n - 1)
+        flat = f"min({c}) {w} = max({c}) {w}"
         if stat == "skew":
-            g = F.skewness(c).over(w) * (math.sqrt(n * (n - 1)) / (n - 2))
-            value = F.when(flat, 0.0).otherwise(g)
+            value = f"CASE WHEN {flat} THEN 0D ELSE skewness({c}) {w} * {math.sqrt(n * (n - 1)) / (n - 2)!r}D END"
         elif stat == "kurt":
-            g = ((n + 1) * F.kurtosis(c).over(w) + 6) * ((n - 1) / ((n - 2) * (n - 3)))
-            value = F.when(flat, -3.0).otherwise(g)
+            factor = (n - 1) / ((n - 2) * (n - 3))
+            value = f"CASE WHEN {flat} THEN -3D ELSE ({n + 1} * kurtosis({c}) {w} + 6) * {factor!r}D END"
         else:
-            agg = {"mean": F.avg, "std": F.stddev_samp, "min": F.min, "max": F.max}[stat]
-            value = agg(c).over(w)
-        return F.when(F.count(c).over(w) == n, value)
+            value = f"{plain_aggregates[stat]}({c}) {w}"
+        return F.expr(f"CASE WHEN count({c}) {w} = {n} THEN {value} END")
 
     return {f"{c}_rolling_{n}_{s}": one(c, n, s) for c in columns for n in windows for s in stats}
 
@@ -122,7 +122,7 @@ def volatility_stages(c: str = "close", n: int = 20, limit: str = "_vol_limit")
     rank = (less + (equal + 1) / 2) / (2 * n)
     return [
         {"_ret": simple_return(c)},
-        {"_vol": I.full(F.stddev_samp, "_ret", n)},
+        {"_vol": I.full("stddev_samp", "_ret", n)},
         {
             "volatility_regime": F.coalesce(F.col("_vol") > F.col(limit), F.lit(False)).cast("int"),
             "volatility_percentile": F.when(F.count("_vol").over(w) == 2 * n, rank),
@@ -333,12 +333,11 @@ def engineer_features(
     regimes, calendar and targets. All window columns share one exchange and one sort.
     """
     inputs = list(bars.columns)
-    numbered = I.sar_on_blocks(bars, block_rows=block_rows).drop("_blk")
+    narrow = I.state_columns(bars, block_rows)
     if threshold == "series":
-        limits = volatility_limit(numbered, block_rows=block_rows)
-        numbered = numbered.join(limits, KEYS, "left")
+        narrow = narrow.join(volatility_limit(number_rows(bars), block_rows=block_rows), KEYS, "left")
     else:
-        numbered = numbered.withColumn("_vol_limit", F.lit(None).cast("double"))
+        narrow = narrow.withColumn("_vol_limit", F.lit(None).cast("double"))
     averages = [f"SMA_{n}" for n in I.SMA_PERIODS[:10]]
     window_stages, back = I.window_indicators()
     stages = I.merge_stages(
@@ -346,11 +345,10 @@ def engineer_features(
         [lag_columns(BAR_VALUES) | rolling_columns(BAR_VALUES), lag_columns(averages)],
         volatility_stages(), trend_stages(), target_stages(),
     )
-    base = with_rows(numbered, stages, back=back, ahead=max(HORIZONS), block_rows=block_rows)
+    out = with_rows(narrow, stages, back=back, ahead=max(HORIZONS), block_rows=block_rows)
     if threshold != "series":
         late = F.coalesce(F.col("volatility_percentile") > 0.7, F.lit(False)).cast("int")
-        base = base.withColumn("volatility_regime", late)
-    out = I.add_state_columns(base, block_rows)
+        out = out.withColumn("volatility_regime", late)
     extra = {
         **ratio_columns(["high", "close"], ["low", "open"]),
         **product_columns([("volume", "close"), ("volume", "high"), ("volume", "low")]),
@@ -358,11 +356,12 @@ def engineer_features(
         **calendar_columns(),
     }
     indicators = I.SINGLE_OUTPUT if reference_columns else [*I.SINGLE_OUTPUT, "Momentum_10", *I.MULTI_OUTPUT]
-    built = [*lag_columns(BAR_VALUES + averages), *rolling_columns(BAR_VALUES)]
+    built = [f"{c}_lag_{k}" for c in BAR_VALUES + averages for k in LAGS] + [
+        f"{c}_rolling_{n}_{s}" for c in BAR_VALUES for n in WINDOWS for s in ROLLING_STATS
+    ]
     regimes = ["volatility_regime", "volatility_percentile", "trend_regime", "trend_strength"]
-    table = out.select(
-        *inputs, *indicators, *built, *[e.alias(n) for n, e in extra.items()], *regimes, *target_stages()[1]
-    )
+    aims = [f"target_{kind}_{h}" for h in HORIZONS for kind in ("return", "direction", "volatility")]
+    table = out.select(*inputs, *indicators, *built, *[e.alias(n) for n, e in extra.items()], *regimes, *aims)
     if scaling:
         columns = scalable(table)
         table = apply_scaling(table, columns, fit_scaling(table, columns, scaling))

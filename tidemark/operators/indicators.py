@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.plans.blocks import plain, recurrences, rows, running, with_rows
+from tidemark.plans.blocks import over, plain, recurrences, running, with_rows
 from tidemark.plans.settle import settle
 
 # Default periods.
@@ -27,37 +27,37 @@ def _positive(*windows: int) -> None:
         raise ValueError("window must be positive")
 
 
-def _col(c: Column | str) -> Column:
-    return F.col(c) if isinstance(c, str) else c
+def full_text(agg: str, c: str, n: int) -> str:
+    w = over(n - 1)
+    return f"CASE WHEN count({c}) {w} = {n} THEN {agg}({c}) {w} END"
 
 
-def full(agg, c: Column | str, n: int) -> Column:
+def full(agg: str, c: str, n: int) -> Column:
     """``agg`` over the last n rows, NULL unless all n values are present."""
-    c, w = _col(c), rows(n - 1)
-    return F.when(F.count(c).over(w) == n, agg(c).over(w))
+    return F.expr(full_text(agg, c, n))
 
 
-def previous(c: Column | str, n: int = 1) -> Column:
-    return F.lag(_col(c), n).over(rows())
+def previous(c: str, n: int = 1) -> Column:
+    return F.expr(f"lag({c}, {n}) {over()}")
 
 
-def following(c: Column | str, n: int = 1) -> Column:
-    return F.lead(_col(c), n).over(rows())
+def following(c: str, n: int = 1) -> Column:
+    return F.expr(f"lead({c}, {n}) {over()}")
 
 
 # --- trend -----------------------------------------------------------------
 
 
-def sma(c: Column | str, n: int) -> Column:
+def sma(c: str, n: int) -> Column:
     _positive(n)
-    return full(F.avg, c, n)
+    return full("avg", c, n)
 
 
-def ema_spec(c: Column | str, n: int) -> tuple[Column, float]:
+def ema_spec(c: str, n: int) -> tuple[Column, float]:
     """Recurrence of the exponential average, seeded with the first value."""
     _positive(n)
     alpha = 2.0 / (n + 1)
-    return F.when(F.col("_rn") == 1, _col(c)).otherwise(_col(c) * alpha), 1.0 - alpha
+    return F.expr(f"CASE WHEN _rn = 1 THEN {c} ELSE {c} * {alpha!r}D END"), 1.0 - alpha
 
 
 def ema(bars: DataFrame, c: str = "close", periods: Sequence[int] = EMA_PERIODS, block_rows: int | None = None) -> DataFrame:
@@ -102,8 +102,8 @@ def macd_columns(fast: int, slow: int, signal: int) -> list[Column]:
 
 
 def true_range(high="high", low="low", close="close") -> Column:
-    h, lo, pc = _col(high), _col(low), previous(close)
-    return F.greatest(h - lo, F.abs(h - pc), F.abs(lo - pc))
+    pc = f"lag({close}) {over()}"
+    return F.expr(f"greatest({high} - {low}, abs({high} - {pc}), abs({low} - {pc}))")
 
 
 def adx_stages(n: int = 14) -> list[dict[str, Column]]:
@@ -166,7 +166,7 @@ def rsi_stages(c: str = "close", n: int = 14) -> list[dict[str, Column]]:
     _positive(n)
     change = F.col(c) - previous(c)
     first = {"_gain": F.greatest(change, F.lit(0.0)), "_loss": F.greatest(-change, F.lit(0.0))}
-    seeds = {"_gain_seed": full(F.avg, "_gain", n), "_loss_seed": full(F.avg, "_loss", n)}
+    seeds = {"_gain_seed": full("avg", "_gain", n), "_loss_seed": full("avg", "_loss", n)}
     return [first, seeds]
 
 
@@ -197,24 +197,24 @@ def rsi(bars: DataFrame, c: str = "close", n: int = 14, block_rows: int | None =
 
 def stochastic_stages(k: int = 14, d: int = 3) -> list[dict[str, Column]]:
     _positive(k, d)
-    low, high = full(F.min, "low", k), full(F.max, "high", k)
+    low, high = full("min", "low", k), full("max", "high", k)
     return [{"Stoch_K": F.try_divide(100 * (F.col("close") - low), high - low)}, {"Stoch_D": sma("Stoch_K", d)}]
 
 
 def williams_r(n: int = 14) -> Column:
     _positive(n)
-    low, high = full(F.min, "low", n), full(F.max, "high", n)
+    low, high = full("min", "low", n), full("max", "high", n)
     return F.try_divide(-100 * (high - F.col("close")), high - low)
 
 
-def roc(c: Column | str = "close", n: int = 10) -> Column:
+def roc(c: str = "close", n: int = 10) -> Column:
     _positive(n)
-    return F.try_divide(_col(c) - previous(c, n), previous(c, n)) * 100
+    return F.try_divide(F.col(c) - previous(c, n), previous(c, n)) * 100
 
 
-def momentum(c: Column | str = "close", n: int = 10) -> Column:
+def momentum(c: str = "close", n: int = 10) -> Column:
     _positive(n)
-    return _col(c) - previous(c, n)
+    return F.col(c) - previous(c, n)
 
 
 # --- volatility ------------------------------------------------------------
@@ -222,7 +222,7 @@ def momentum(c: Column | str = "close", n: int = 10) -> Column:
 
 def bollinger_stages(c: str = "close", n: int = 20, width: float = 2) -> list[dict[str, Column]]:
     _positive(n)
-    deviation = full(F.stddev_samp, c, n) * width
+    deviation = full("stddev_samp", c, n) * width
     bands = {"BB_Upper": sma(c, n) + deviation, "BB_Middle": sma(c, n), "BB_Lower": sma(c, n) - deviation}
     gap = F.col("BB_Upper") - F.col("BB_Lower")
     return [bands, {"BB_Width": gap, "BB_Position": F.try_divide(F.col(c) - F.col("BB_Lower"), gap)}]
@@ -271,7 +271,7 @@ def mfi_stages(n: int = 14) -> list[dict[str, Column]]:
     return [
         {"_tp": typical_price()},
         {"_up": up, "_down": down},
-        {"_pos_sum": full(F.sum, "_up", n), "_neg_sum": full(F.sum, "_down", n)},
+        {"_pos_sum": full("sum", "_up", n), "_neg_sum": full("sum", "_down", n)},
         {f"MFI_{n}": value},
     ]
 
@@ -285,7 +285,142 @@ def cmf_stages(n: int = 20) -> list[dict[str, Column]]:
     weight = F.try_divide((F.col("close") - F.col("low")) - (F.col("high") - F.col("close")), spread)
     return [
         {"_mfv": weight * F.col("volume")},
-        {f"CMF_{n}": F.try_divide(full(F.sum, "_mfv", n), full(F.sum, "volume", n))},
+        {f"CMF_{n}": F.try_divide(full("sum", "_mfv", n), full("sum", "volume", n))},
+    ]
+
+
+def vwap(bars: DataFrame, block_rows: int | None = None) -> DataFrame:
+    """Volume-weighted price from the start of the series."""
+    base = with_rows(bars, [], block_rows=block_rows)
+    totals = {"_pv": ("sum", typical_price() * F.col("volume")), "_v": ("sum", F.col("volume"))}
+    return plain(running(base, totals).withColumn("VWAP", F.try_divide("_pv", "_v"))).drop("_pv", "_v")
+
+
+# --- everything ------------------------------------------------------------
+
+
+def merge_stages(*chains: Sequence[dict[str, Column]]) -> list[dict[str, Column]]:
+    """Run several chains side by side: stage i of the result is stage i of all."""
+    depth = max(len(c) for c in chains)
+    return [{k: v for c in chains if i < len(c) for k, v in c[i].items()} for i in range(depth)]
+
+
+def window_indicators() -> tuple[list[dict[str, Column]], int]:
+    """Stages of every indicator that needs no running state, and their context.
+
+    The Keltner lines read ``EMA_20``, which :func:`state_columns` provides.
+    """
+    chains = [
+        [{f"SMA_{n}": sma("close", n) for n in SMA_PERIODS}],
+        [{"Williams_R_14": williams_r(14), "ROC_10": roc("close", 10), "Momentum_10": momentum("close", 10)}],
+        adx_stages(14), stochastic_stages(14, 3), bollinger_stages("close", 20, 2), atr_stages(14),
+        [{}, {"_atr20": sma("_tr", 20)},
+         {"KC_Upper": F.expr("EMA_20 + 2 * _atr20"), "KC_Lower": F.expr("EMA_20 - 2 * _atr20"), "KC_Middle": F.expr("EMA_20")}],
+        mfi_stages(14), cmf_stages(20),
+    ]
+    return merge_stages(*chains), max(SMA_PERIODS)
+
+
+SCRATCH = ["_gain", "_loss", "_gain_seed", "_loss_seed", "_avg_gain", "_avg_loss"]
+
+
+def rsi(bars: DataFrame, c: str = "close", n: int = 14, block_rows: int | None = None) -> DataFrame:
+    base = with_rows(bars, rsi_stages(c, n), back=n, block_rows=block_rows)
+    out = recurrences(base, rsi_specs(n), block_rows=block_rows).withColumn(f"RSI_{n}", rsi_value(n))
+    return plain(out).drop(*RSI_SCRATCH)
+
+
+def stochastic_stages(k: int = 14, d: int = 3) -> list[dict[str, Column]]:
+    _positive(k, d)
+    low, high = full("min", "low", k), full("max", "high", k)
+    return [{"Stoch_K": F.try_divide(100 * (F.col("close") - low), high - low)}, {"Stoch_D": sma("Stoch_K", d)}]
+
+
+def williams_r(n: int = 14) -> Column:
+    _positive(n)
+    low, high = full("min", "low", n), full("max", "high", n)
+    return F.try_divide(-100 * (high - F.col("close")), high - low)
+
+
+def roc(c: str = "close", n: int = 10) -> Column:
+    _positive(n)
+    return F.try_divide(F.col(c) - previous(c, n), previous(c, n)) * 100
+
+
+def momentum(c: str = "close", n: int = 10) -> Column:
+    _positive(n)
+    return F.col(c) - previous(c, n)
+
+
+# --- volatility ------------------------------------------------------------
+
+
+def bollinger_stages(c: str = "close", n: int = 20, width: float = 2) -> list[dict[str, Column]]:
+    _positive(n)
+    deviation = full("stddev_samp", c, n) * width
+    bands = {"BB_Upper": sma(c, n) + deviation, "BB_Middle": sma(c, n), "BB_Lower": sma(c, n) - deviation}
+    gap = F.col("BB_Upper") - F.col("BB_Lower")
+    return [bands, {"BB_Width": gap, "BB_Position": F.try_divide(F.col(c) - F.col("BB_Lower"), gap)}]
+
+
+def atr_stages(n: int = 14) -> list[dict[str, Column]]:
+    _positive(n)
+    return [{"_tr": true_range()}, {f"ATR_{n}": sma("_tr", n)}]
+
+
+def keltner(bars: DataFrame, n: int = 20, multiplier: float = 2, block_rows: int | None = None) -> DataFrame:
+    base = with_rows(bars, [{"_tr": true_range()}, {"_atr": sma("_tr", n)}], back=n, block_rows=block_rows)
+    out = recurrences(base, {"KC_Middle": ema_spec("close", n)}, block_rows=block_rows)
+    return plain(out.select("*", *keltner_columns(F.col("KC_Middle"), F.col("_atr"), multiplier))).drop("_tr", "_atr")
+
+
+def keltner_columns(middle: Column, spread: Column, multiplier: float) -> list[Column]:
+    return [(middle + multiplier * spread).alias("KC_Upper"), (middle - multiplier * spread).alias("KC_Lower")]
+
+
+# --- volume ----------------------------------------------------------------
+
+
+def typical_price() -> Column:
+    return (F.col("high") + F.col("low") + F.col("close")) / 3
+
+
+def signed_volume() -> Column:
+    """Volume with the sign of the price change; zero on the first row."""
+    change = F.col("close") - previous("close")
+    return F.when(change > 0, F.col("volume")).when(change < 0, -F.col("volume")).otherwise(0.0)
+
+
+def obv(bars: DataFrame, block_rows: int | None = None) -> DataFrame:
+    base = with_rows(bars, [{"_signed": signed_volume()}], back=1, block_rows=block_rows)
+    return plain(running(base, {"OBV": ("sum", F.col("_signed"))})).drop("_signed")
+
+
+def mfi_stages(n: int = 14) -> list[dict[str, Column]]:
+    _positive(n)
+    flow = F.col("_tp") * F.col("volume")
+    up = F.when(F.col("_tp") > previous("_tp"), flow).otherwise(0.0)
+    down = F.when(F.col("_tp") < previous("_tp"), flow).otherwise(0.0)
+    pos, neg = F.col("_pos_sum"), F.col("_neg_sum")
+    value = F.when(neg != 0, 100 - 100 / (1 + F.try_divide(pos, neg))).when(pos > 0, 100.0)
+    return [
+        {"_tp": typical_price()},
+        {"_up": up, "_down": down},
+        {"_pos_sum": full("sum", "_up", n), "_neg_sum": full("sum", "_down", n)},
+        {f"MFI_{n}": value},
+    ]
+
+
+MFI_SCRATCH = ["_tp", "_up", "_down", "_pos_sum", "_neg_sum"]
+
+
+def cmf_stages(n: int = 20) -> list[dict[str, Column]]:
+    _positive(n)
+    spread = F.col("high") - F.col("low")
+    weight = F.try_divide((F.col("close") - F.col("low")) - (F.col("high") - F.col("close")), spread)
+    return [
+        {"_mfv": weight * F.col("volume")},
+        {f"CMF_{n}": F.try_divide(full("sum", "_mfv", n), full("sum", "volume", n))},
     ]
 
 
@@ -317,11 +452,6 @@ def window_indicators() -> tuple[list[dict[str, Column]], int]:
     return merge_stages(*chains), max(SMA_PERIODS)
 
 
-SCRATCH = [
-    "_tr", "_dmp", "_dmm", "_dx", "_atr20", *MFI_SCRATCH, "_mfv", *RSI_SCRATCH, "_signed",
-    "_ema_fast", "_ema_slow", "_ema_signal", "_pv", "_v",
-]
-
 # Columns beyond the 34 that a table with ``reference_columns`` has.
 MULTI_OUTPUT = [
     "MACD", "MACD_Signal", "MACD_Histogram", "ADX", "DI_Plus", "DI_Minus", "Stoch_K", "Stoch_D",
@@ -333,22 +463,20 @@ SINGLE_OUTPUT = [
 ]
 
 
-def add_state_columns(base: DataFrame, block_rows: int | None = None) -> DataFrame:
-    """Second half of :func:`all_indicators`: recurrences and running totals."""
+def state_columns(bars: DataFrame, block_rows: int | None = None) -> DataFrame:
+    """Indicators that carry a state from row to row, on a narrow frame that keeps ``_rn``."""
+    numbered = sar_on_blocks(bars, block_rows=block_rows).drop("_blk")
+    stages = merge_stages(rsi_stages("close", 14), [{"_signed": signed_volume(), "_flow": typical_price() * F.col("volume")}])
+    base = with_rows(numbered, stages, back=15, block_rows=block_rows)
     specs = {f"EMA_{n}": ema_spec("close", n) for n in EMA_PERIODS}
     specs |= {"_ema_slow": ema_spec("close", 26), "_ema_signal": ema_spec("close", 9), **rsi_specs(14)}
     out = recurrences(base, specs, block_rows=block_rows)
-    out = running(out, {
-        "OBV": ("sum", F.col("_signed")),
-        "_pv": ("sum", typical_price() * F.col("volume")),
-        "_v": ("sum", F.col("volume")),
-    })
+    out = running(out, {"OBV": ("sum", F.col("_signed")), "_pv": ("sum", F.col("_flow")), "_v": ("sum", F.col("volume"))})
     out = out.withColumn("_ema_fast", F.col("EMA_12"))
-    out = out.select(
-        "*", *macd_columns(12, 26, 9), rsi_value(14).alias("RSI_14"), F.try_divide("_pv", "_v").alias("VWAP"),
-        F.col("EMA_20").alias("KC_Middle"), *keltner_columns(F.col("EMA_20"), F.col("_atr20"), 2),
-    )
-    return out.withColumn("MACD_Histogram", F.col("MACD") - F.col("MACD_Signal"))
+    return out.select(
+        *numbered.columns, *[f"EMA_{n}" for n in EMA_PERIODS], "OBV", F.try_divide("_pv", "_v").alias("VWAP"),
+        rsi_value(14).alias("RSI_14"), *macd_columns(12, 26, 9),
+    ).withColumn("MACD_Histogram", F.col("MACD") - F.col("MACD_Signal"))
 
 
 def all_indicators(bars: DataFrame, reference_columns: bool = False, block_rows: int | None = None) -> DataFrame:
@@ -357,11 +485,7 @@ def all_indicators(bars: DataFrame, reference_columns: bool = False, block_rows:
     ``reference_columns`` leaves out the 16 columns of the multi-output
     indicators, which gives the narrower customary layout.
     """
-    inputs = list(bars.columns)
     stages, back = window_indicators()
-    numbered = sar_on_blocks(bars, block_rows=block_rows).drop("_blk")
-    base = with_rows(numbered, stages, back=back, block_rows=block_rows)
-    out = add_state_columns(base, block_rows)
+    out = with_rows(state_columns(bars, block_rows), stages, back=back, block_rows=block_rows)
     names = SINGLE_OUTPUT if reference_columns else [*SINGLE_OUTPUT, "Momentum_10", *MULTI_OUTPUT]
-    return out.select(*inputs, *names)
-
+    return out.select(*bars.columns, *names)

@@ -109,6 +109,17 @@ def number_rows(
     )
 
 
+def over(before: int | None = None, after: int = 0, keys: Sequence[str] = KEYS) -> str:
+    """SQL text of the shared window. Text builds wide tables faster than column objects,
+    each of which costs several calls into the JVM."""
+    frame = "" if before is None else f" ROWS BETWEEN {_bound(-before)} AND {_bound(after)}"
+    return f"OVER (PARTITION BY {', '.join(f'`{k}`' for k in keys)}, _blk ORDER BY _rn{frame})"
+
+
+def _bound(offset: int) -> str:
+    return f"{abs(offset)} {'PRECEDING' if offset <= 0 else 'FOLLOWING'}"
+
+
 def rows(before: int | None = None, after: int = 0, keys: Sequence[str] = KEYS) -> WindowSpec:
     """The shared window of a block; ``before`` rows back to ``after`` rows ahead."""
     spec = Window.partitionBy(*keys, "_blk").orderBy("_rn")
@@ -216,37 +227,31 @@ def recurrences(
         (block_rows or BLOCK_ROWS) % length or any(-math.log10(a) * length > 250 for a in live.values())
     ):
         length //= 2
-    power = lambda a, e: F.pow(F.lit(a), e)
     frame = df.select(
         "*",
         *[b.cast("double").alias(f"_b_{n}") for n, (b, _) in specs.items()],
         ((F.col("_rn") - 1) % length).alias("_pos"),
         F.floor((F.col("_rn") - 1) / length).alias("_sub"),
     )
-    so_far = Window.partitionBy(*keys, "_blk", "_sub").orderBy("_rn").rowsBetween(Window.unboundedPreceding, 0)
+    part = ", ".join(f"`{k}`" for k in [*keys, "_blk", "_sub"])
+    past = f"OVER (PARTITION BY {part} ORDER BY _rn ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
     local = frame.select(
-        "*",
-        *[F.sum(F.col(f"_b_{n}") * power(a, -F.col("_pos"))).over(so_far).alias(f"_l_{n}") for n, a in live.items()],
+        "*", *[F.expr(f"sum(_b_{n} * pow({a!r}D, -_pos)) {past} AS _l_{n}") for n, a in live.items()]
     )
     if live:
         runs = frame.groupBy(*keys, "_blk", "_sub").agg(
-            *[F.sum(F.col(f"_b_{n}") * power(a, length - 1 - F.col("_pos"))).alias(n) for n, a in live.items()]
+            *[F.expr(f"sum(_b_{n} * pow({a!r}D, {length - 1} - _pos)) AS {n}") for n, a in live.items()]
         )
         carry = _carry(runs, keys, {n: a**length for n, a in live.items()})
         # One row per block, so the join keeps the partitioning of the blocks.
         carry = carry.groupBy(*keys, "_blk").agg(
             F.map_from_entries(F.collect_list(F.struct("_sub", F.struct(*live)))).alias("_carry")
         )
-        local = local.join(carry, [*keys, "_blk"])
-
-    def solved(name: str) -> Column:
-        if name not in live:
-            return F.col(f"_b_{name}")
-        a = live[name]
-        start = F.col("_carry")[F.col("_sub")][name]
-        return power(a, F.col("_pos")) * F.col(f"_l_{name}") + power(a, F.col("_pos") + 1) * start
-
-    return local.select(*[F.col(c) for c in df.columns], *[solved(n).alias(n) for n in decays])
+        local = local.join(carry, [*keys, "_blk"]).withColumn("_start", F.col("_carry")[F.col("_sub")])
+    solved = {n: f"_b_{n}" for n in decays} | {
+        n: f"pow({a!r}D, _pos) * _l_{n} + pow({a!r}D, _pos + 1) * _start.{n}" for n, a in live.items()
+    }
+    return local.select(*df.columns, *[F.expr(f"{e} AS {n}") for n, e in solved.items()])
 
 
 def _carry(runs: DataFrame, keys: list[str], decays: dict[str, float]) -> DataFrame:

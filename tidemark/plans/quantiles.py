@@ -29,53 +29,39 @@ def exact_percentiles(
     tags = [(c, j, p) for c in columns for j, p in enumerate(probs)]
 
     edges = [e for p in probs for e in (max(0.0, p - eps), min(1.0, p + eps))]
+    each = lambda text: [F.expr(text.format(c=c, j=j, p=p, lo=2 * j, hi=2 * j + 1)) for c, j, p in tags]
     sketch = frame.groupBy(*keys).agg(
-        *[F.percentile_approx(c, edges, ACCURACY).alias(f"e_{c}") for c in columns],
-        *[F.min(c).alias(f"min_{c}") for c in columns],
-        *[F.max(c).alias(f"max_{c}") for c in columns],
-        *[F.count(c).alias(f"n_{c}") for c in columns],
+        *[
+            F.expr(x)
+            for c in columns
+            for x in (
+                f"percentile_approx(`{c}`, array({', '.join(f'{e!r}D' for e in edges)}), {ACCURACY}) AS `e_{c}`",
+                f"min(`{c}`) AS `min_{c}`", f"max(`{c}`) AS `max_{c}`", f"count(`{c}`) AS `n_{c}`",
+            )
+        ]
     )
     cells = _attach(frame, sketch, keys)
-    bracket = lambda c, j, side: F.col("_s")[f"e_{c}"][2 * j + side]
     below = cells.groupBy(*keys).agg(
-        *[F.count_if(F.col(c) < bracket(c, j, 0)).alias(f"lt_{c}_{j}") for c, j, _ in tags],
-        *[F.count_if(F.col(c) <= bracket(c, j, 1)).alias(f"le_{c}_{j}") for c, j, _ in tags],
+        *each("count_if(`{c}` < _s.`e_{c}`[{lo}]) AS `lt_{c}_{j}`"),
+        *each("count_if(`{c}` <= _s.`e_{c}`[{hi}]) AS `le_{c}_{j}`"),
     )
     joined = _attach(sketch, below, keys, "_b")
-
-    def plan(c: str, j: int, p: float):
-        n = F.col(f"n_{c}")
-        rank = (n - 1) * F.lit(p)
-        low, high = F.floor(rank), F.ceil(rank)
-        lt, le = F.col("_b")[f"lt_{c}_{j}"], F.col("_b")[f"le_{c}_{j}"]
-        sure = (lt <= low) & (high < le)
-        return F.struct(
-            F.lit(c).alias("name"),
-            F.lit(p).alias("p"),
-            n.alias("n"),
-            rank.alias("rank"),
-            F.when(sure, F.col(f"e_{c}")[2 * j]).otherwise(F.col(f"min_{c}")).alias("lo"),
-            F.when(sure, F.col(f"e_{c}")[2 * j + 1]).otherwise(F.col(f"max_{c}")).alias("hi"),
-            F.when(sure, lt).otherwise(F.lit(0).cast("long")).alias("below"),
-        ).alias(f"t_{c}_{j}")
-
-    plans = joined.select(*keys, *[plan(*tag) for tag in tags])
-    inside = _attach(frame, plans, keys).select(
+    # A bracket is sure if it holds the ranks on both sides of the percentile.
+    rank = "(`n_{c}` - 1) * {p!r}D"
+    sure = "(_b.`lt_{c}_{j}` <= floor(" + rank + ") AND ceil(" + rank + ") < _b.`le_{c}_{j}`)"
+    plans = joined.select(
         *keys,
-        F.explode(
-            F.array_compact(
-                F.array(
-                    *[
-                        F.when(
-                            F.col(c).between(F.col("_s")[f"t_{c}_{j}"]["lo"], F.col("_s")[f"t_{c}_{j}"]["hi"]),
-                            F.struct(F.col("_s")[f"t_{c}_{j}"].alias("t"), F.col(c).alias("v")),
-                        )
-                        for c, j, _ in tags
-                    ]
-                )
-            )
-        ).alias("x"),
+        *each(
+            "struct('{c}' AS name, {p!r}D AS p, `n_{c}` AS n, " + rank + " AS rank, "
+            "if(" + sure + ", `e_{c}`[{lo}], `min_{c}`) AS lo, if(" + sure + ", `e_{c}`[{hi}], `max_{c}`) AS hi, "
+            "if(" + sure + ", _b.`lt_{c}_{j}`, 0L) AS below) AS `t_{c}_{j}`"
+        ),
+    )
+    hit = ", ".join(
+        f"if(`{c}` BETWEEN _s.`t_{c}_{j}`.lo AND _s.`t_{c}_{j}`.hi, struct(_s.`t_{c}_{j}` AS t, `{c}` AS v), NULL)"
+        for c, j, _ in tags
     )
+    inside = _attach(frame, plans, keys).select(*keys, F.expr(f"explode(array_compact(array({hit}))) AS x"))
     counted = inside.groupBy(*keys, "x.t.name", "x.t.p", "x.t.n", "x.t.rank", "x.t.below", "x.v").agg(
         F.count("*").alias("k")
     )
