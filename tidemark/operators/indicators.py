@@ -321,137 +321,6 @@ def window_indicators() -> tuple[list[dict[str, Column]], int]:
     return merge_stages(*chains), max(SMA_PERIODS)
 
 
-SCRATCH = ["_gain", "_loss", "_gain_seed", "_loss_seed", "_avg_gain", "_avg_loss"]
-
-
-def rsi(bars: DataFrame, c: str = "close", n: int = 14, block_rows: int | None = None) -> DataFrame:
-    base = with_rows(bars, rsi_stages(c, n), back=n, block_rows=block_rows)
-    out = recurrences(base, rsi_specs(n), block_rows=block_rows).withColumn(f"RSI_{n}", rsi_value(n))
-    return plain(out).drop(*RSI_SCRATCH)
-
-
-def stochastic_stages(k: int = 14, d: int = 3) -> list[dict[str, Column]]:
-    _positive(k, d)
-    low, high = full("min", "low", k), full("max", "high", k)
-    return [{"Stoch_K": F.try_divide(100 * (F.col("close") - low), high - low)}, {"Stoch_D": sma("Stoch_K", d)}]
-
-
-def williams_r(n: int = 14) -> Column:
-    _positive(n)
-    low, high = full("min", "low", n), full("max", "high", n)
-    return F.try_divide(-100 * (high - F.col("close")), high - low)
-
-
-def roc(c: str = "close", n: int = 10) -> Column:
-    _positive(n)
-    return F.try_divide(F.col(c) - previous(c, n), previous(c, n)) * 100
-
-
-def momentum(c: str = "close", n: int = 10) -> Column:
-    _positive(n)
-    return F.col(c) - previous(c, n)
-
-
-# --- volatility ------------------------------------------------------------
-
-
-def bollinger_stages(c: str = "close", n: int = 20, width: float = 2) -> list[dict[str, Column]]:
-    _positive(n)
-    deviation = full("stddev_samp", c, n) * width
-    bands = {"BB_Upper": sma(c, n) + deviation, "BB_Middle": sma(c, n), "BB_Lower": sma(c, n) - deviation}
-    gap = F.col("BB_Upper") - F.col("BB_Lower")
-    return [bands, {"BB_Width": gap, "BB_Position": F.try_divide(F.col(c) - F.col("BB_Lower"), gap)}]
-
-
-def atr_stages(n: int = 14) -> list[dict[str, Column]]:
-    _positive(n)
-    return [{"_tr": true_range()}, {f"ATR_{n}": sma("_tr", n)}]
-
-
-def keltner(bars: DataFrame, n: int = 20, multiplier: float = 2, block_rows: int | None = None) -> DataFrame:
-    base = with_rows(bars, [{"_tr": true_range()}, {"_atr": sma("_tr", n)}], back=n, block_rows=block_rows)
-    out = recurrences(base, {"KC_Middle": ema_spec("close", n)}, block_rows=block_rows)
-    return plain(out.select("*", *keltner_columns(F.col("KC_Middle"), F.col("_atr"), multiplier))).drop("_tr", "_atr")
-
-
-def keltner_columns(middle: Column, spread: Column, multiplier: float) -> list[Column]:
-    return [(middle + multiplier * spread).alias("KC_Upper"), (middle - multiplier * spread).alias("KC_Lower")]
-
-
-# --- volume ----------------------------------------------------------------
-
-
-def typical_price() -> Column:
-    return (F.col("high") + F.col("low") + F.col("close")) / 3
-
-
-def signed_volume() -> Column:
-    """Volume with the sign of the price change; zero on the first row."""
-    change = F.col("close") - previous("close")
-    return F.when(change > 0, F.col("volume")).when(change < 0, -F.col("volume")).otherwise(0.0)
-
-
-def obv(bars: DataFrame, block_rows: int | None = None) -> DataFrame:
-    base = with_rows(bars, [{"_signed": signed_volume()}], back=1, block_rows=block_rows)
-    return plain(running(base, {"OBV": ("sum", F.col("_signed"))})).drop("_signed")
-
-
-def mfi_stages(n: int = 14) -> list[dict[str, Column]]:
-    _positive(n)
-    flow = F.col("_tp") * F.col("volume")
-    up = F.when(F.col("_tp") > previous("_tp"), flow).otherwise(0.0)
-    down = F.when(F.col("_tp") < previous("_tp"), flow).otherwise(0.0)
-    pos, neg = F.col("_pos_sum"), F.col("_neg_sum")
-    value = F.when(neg != 0, 100 - 100 / (1 + F.try_divide(pos, neg))).when(pos > 0, 100.0)
-    return [
-        {"_tp": typical_price()},
-        {"_up": up, "_down": down},
-        {"_pos_sum": full("sum", "_up", n), "_neg_sum": full("sum", "_down", n)},
-        {f"MFI_{n}": value},
-    ]
-
-
-MFI_SCRATCH = ["_tp", "_up", "_down", "_pos_sum", "_neg_sum"]
-
-
-def cmf_stages(n: int = 20) -> list[dict[str, Column]]:
-    _positive(n)
-    spread = F.col("high") - F.col("low")
-    weight = F.try_divide((F.col("close") - F.col("low")) - (F.col("high") - F.col("close")), spread)
-    return [
-        {"_mfv": weight * F.col("volume")},
-        {f"CMF_{n}": F.try_divide(full("sum", "_mfv", n), full("sum", "volume", n))},
-    ]
-
-
-def vwap(bars: DataFrame, block_rows: int | None = None) -> DataFrame:
-    """Volume-weighted price from the start of the series."""
-    base = with_rows(bars, [], block_rows=block_rows)
-    totals = {"_pv": ("sum", typical_price() * F.col("volume")), "_v": ("sum", F.col("volume"))}
-    return plain(running(base, totals).withColumn("VWAP", F.try_divide("_pv", "_v"))).drop("_pv", "_v")
-
-
-# --- everything ------------------------------------------------------------
-
-
-def merge_stages(*chains: Sequence[dict[str, Column]]) -> list[dict[str, Column]]:
-    """Run several chains side by side: stage i of the result is stage i of all."""
-    depth = max(len(c) for c in chains)
-    return [{k: v for c in chains if i < len(c) for k, v in c[i].items()} for i in range(depth)]
-
-
-def window_indicators() -> tuple[list[dict[str, Column]], int]:
-    """Stages of every indicator that needs no running state, and their context."""
-    chains = [
-        [{f"SMA_{n}": sma("close", n) for n in SMA_PERIODS}],
-        [{"Williams_R_14": williams_r(14), "ROC_10": roc("close", 10), "Momentum_10": momentum("close", 10)}],
-        adx_stages(14), stochastic_stages(14, 3), bollinger_stages("close", 20, 2), atr_stages(14),
-        [{}, {"_atr20": sma("_tr", 20)}], mfi_stages(14), cmf_stages(20), rsi_stages("close", 14),
-        [{"_signed": signed_volume()}],
-    ]
-    return merge_stages(*chains), max(SMA_PERIODS)
-
-
 # Columns beyond the 34 that a table with ``reference_columns`` has.
 MULTI_OUTPUT = [
     "MACD", "MACD_Signal", "MACD_Histogram", "ADX", "DI_Plus", "DI_Minus", "Stoch_K", "Stoch_D",
