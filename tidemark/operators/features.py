@@ -13,6 +13,7 @@ from tidemark.operators import indicators as I
 from tidemark.plans.blocks import number_rows, over, plain, rows, running, with_rows
 from tidemark.plans.quantiles import exact_percentiles, percentile_columns
 from tidemark.schemas import BAR_VALUES, KEYS
+from tidemark.session import cut_lineage
 
 # Default settings of the feature table.
 LAGS = [1, 2, 3, 5, 10]
@@ -333,9 +334,10 @@ def engineer_features(
     regimes, calendar and targets. All window columns share one exchange and one sort.
     """
     inputs = list(bars.columns)
+    bars = bars if "_rn" in inputs else cut_lineage(number_rows(bars))
     narrow = I.state_columns(bars, block_rows)
     if threshold == "series":
-        narrow = narrow.join(volatility_limit(number_rows(bars), block_rows=block_rows), KEYS, "left")
+        narrow = narrow.join(volatility_limit(bars, block_rows=block_rows), KEYS, "left")
     else:
         narrow = narrow.withColumn("_vol_limit", F.lit(None).cast("double"))
     averages = [f"SMA_{n}" for n in I.SMA_PERIODS[:10]]

@@ -14,8 +14,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.plans.blocks import over, plain, recurrences, running, with_rows
+from tidemark.plans.blocks import number_rows, over, plain, recurrences, running, with_rows
 from tidemark.plans.settle import settle
+from tidemark.session import cut_lineage
 
 # Default periods.
 SMA_PERIODS = [2, 3, 5, 8, 10, 13, 15, 20, 30, 50, 100, 200]
@@ -333,7 +334,12 @@ SINGLE_OUTPUT = [
 
 
 def state_columns(bars: DataFrame, block_rows: int | None = None) -> DataFrame:
-    """Indicators that carry a state from row to row, on a narrow frame that keeps ``_rn``."""
+    """Indicators that carry a state from row to row, on a narrow frame that keeps ``_rn``.
+
+    Several branches read the numbered bars, so bars that are not numbered yet
+    are numbered once and written to the shared checkpoint folder.
+    """
+    bars = bars if "_rn" in bars.columns else cut_lineage(number_rows(bars))
     numbered = sar_on_blocks(bars, block_rows=block_rows).drop("_blk")
     stages = merge_stages(rsi_stages("close", 14), [{"_signed": signed_volume(), "_flow": typical_price() * F.col("volume")}])
     base = with_rows(numbered, stages, back=15, block_rows=block_rows)

@@ -1,4 +1,9 @@
-"""Evaluation of trading signals as set operations, with fixed capital."""
+"""Evaluation of trading signals as set operations, with fixed capital.
+
+Frames keep ``_rn``, the position of a row in its series, so that no step has
+to number rows again. Signals feed several branches of the ledger and the
+equity curve and are therefore written once to the shared checkpoint folder.
+"""
 
 from __future__ import annotations
 
@@ -8,8 +13,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.operators import indicators as I
-from tidemark.plans.blocks import plain, running, with_rows
+from tidemark.plans.blocks import number_rows, running, with_rows
 from tidemark.schemas import KEYS
+from tidemark.session import cut_lineage
 
 # Costs in basis points, share of capital per trade, days per year.
 SPREAD_BPS = 5.0
@@ -30,15 +36,27 @@ def crossover(bars: DataFrame, short: int = 50, long: int = 200, **kw) -> DataFr
         {"sma_short": I.sma("close", short), "sma_long": I.sma("close", long)},
         {"signal": F.expr("CASE WHEN sma_short > sma_long THEN 1 WHEN sma_short < sma_long THEN -1 ELSE 0 END")},
     ]
-    return plain(with_rows(bars, stages, back=long, **kw))
+    return with_rows(bars, stages, back=long, **kw).drop("_blk")
+
+
+def stored(signals: DataFrame) -> DataFrame:
+    """The columns the evaluation reads, numbered and cut from their lineage."""
+    return cut_lineage(number_rows(signals).select(*KEYS, "timestamp", "close", "signal", "_rn"))
 
 
 def run_starts(signals: DataFrame, capital: float, **kw) -> DataFrame:
-    """First row of every run of equal signals, with the units it would trade."""
+    """First row of every run of equal signals, with the units it would trade.
+
+    ``_rn`` of the result is the number of the run in its series.
+    """
     base = with_rows(signals, [{"_before": I.previous("signal")}], back=1, **kw)
-    starts = base.where(F.col("_before").isNull() | (F.col("_before") != F.col("signal")))
+    first = F.col("_before").isNull() | (F.col("_before") != F.col("signal"))
+    base = base.withColumn("_first", first.cast("long"))
+    starts = running(base, {"_run": ("sum", F.col("_first"))}).where("_first = 1")
     units = F.when(F.col("signal") != 0, F.floor(F.try_divide(F.lit(capital * CAPITAL_SHARE), F.col("close")))).otherwise(0)
-    return starts.select(*KEYS, "timestamp", "close", "signal", F.coalesce(units, F.lit(0)).cast("long").alias("units"))
+    return starts.select(
+        *KEYS, "timestamp", "close", "signal", F.coalesce(units, F.lit(0)).cast("long").alias("units"), F.col("_run").alias("_rn")
+    )
 
 
 def ledger(signals: DataFrame, capital: float = 100_000.0, **kw) -> DataFrame:
@@ -47,6 +65,7 @@ def ledger(signals: DataFrame, capital: float = 100_000.0, **kw) -> DataFrame:
     Entry is the first close of the run, exit the first close of the next run,
     or the last close of the series.
     """
+    signals = stored(signals)
     starts = run_starts(signals, capital, **kw)
     nexts = with_rows(starts, [{"_exit_time": I.following("timestamp"), "_exit_price": I.following("close")}], ahead=1, **kw)
     last = signals.groupBy(*KEYS).agg(F.max("timestamp").alias("_last_time"), F.max_by("close", "timestamp").alias("_last_price"))
@@ -68,6 +87,7 @@ def equity_curve(signals: DataFrame, capital: float = 100_000.0, **kw) -> DataFr
 
     Position and cash change only where a run starts, so both are running sums.
     """
+    signals = stored(signals)
     starts = run_starts(signals, capital, **kw)
     held = F.col("signal") * F.col("units")
     changes = with_rows(starts.withColumn("_held", held), [{"_prev": I.previous("_held")}], back=1, **kw)
@@ -77,12 +97,12 @@ def equity_curve(signals: DataFrame, capital: float = 100_000.0, **kw) -> DataFr
         *KEYS, "timestamp", (F.col("_held") - before).alias("_dp"), (-(F.col("_held") - before) * F.col("close") - traded).alias("_dc")
     )
     rows = signals.join(changes, [*KEYS, "timestamp"], "left")
-    base = with_rows(rows, [], **kw)
+    base = with_rows(cut_lineage(rows), [], **kw)
     out = running(base, {
         "position": ("sum", F.coalesce("_dp", F.lit(0))), "cash": ("sum", F.coalesce("_dc", F.lit(0.0))),
     })
     equity = F.lit(capital) + F.col("cash") + F.col("position") * F.col("close")
-    return out.select(*KEYS, "timestamp", "close", "signal", "position", equity.alias("equity"))
+    return out.select(*KEYS, "timestamp", "close", "signal", "position", equity.alias("equity"), "_rn")
 
 
 def sharpe(curve: DataFrame, risk_free: float = 0.0, **kw) -> DataFrame:
