@@ -9,7 +9,7 @@ from tidemark.operators import drift as D
 from tidemark.operators import indicators as I
 from tidemark.operators import leakage as L
 from tidemark.operators import selection as S
-from tidemark.plans.blocks import plain, with_rows
+from tidemark.plans.blocks import plain, rows, with_rows
 from tidemark.schemas import KEYS
 
 QUERIES = {}
@@ -43,7 +43,7 @@ def suspect(spark, d):
     """Bars with clean and leaking columns."""
     stage = {
         "SMA_5": I.sma("close", 5), "close_lag_2": I.previous("close", 2), "row_index": F.col("_rn").cast("double") * 2,
-        "rolling_mean_3": F.avg("close").over(I.rows(2)), "future_close": I.following("close", 1),
+        "rolling_mean_3": F.avg("close").over(rows(2)), "future_close": I.following("close", 1),
         "target_return_1": F.try_divide(I.following("close", 2), I.following("close", 1)) - 1,
     }
     return plain(with_rows(hourly_bars(spark, d), [stage], back=5, ahead=2))

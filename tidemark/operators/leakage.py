@@ -11,8 +11,9 @@ from pyspark.sql.types import NumericType
 
 from tidemark.operators import indicators as I
 from tidemark.operators.quality import long_form
-from tidemark.plans.blocks import plain, running, with_rows
+from tidemark.plans.blocks import number_rows, plain, running, with_rows
 from tidemark.schemas import KEYS
+from tidemark.session import cut_lineage
 
 # Name rules and limits.
 ROLLING_WORDS = ["rolling", "ma", "sma", "ema", "mean", "std", "min", "max"]
@@ -128,8 +129,9 @@ def naming(spark: SparkSession, columns: Sequence[str]) -> DataFrame:
 
 
 def scan(df: DataFrame, target: str | None = None, columns: Sequence[str] | None = None, **kw) -> DataFrame:
-    """All findings of all checks."""
+    """All findings of all checks. Each check reads the table, so it is numbered and written once."""
     columns = list(columns or numeric_columns(df))
+    df = cut_lineage(number_rows(df))
     checks = [
         (forward_looking(df, columns, **kw), "forward_looking_pattern", "warning"),
         (unrealistic(df, columns, **kw), "unrealistic_predictive_power", "warning"),

@@ -31,7 +31,8 @@ def value_ranges(df: DataFrame, keys: Sequence[str], value: str, ranges: int = R
         F.lit(0),
         lambda p, s: F.when(F.coalesce(F.get(F.col("_cuts"), p + s - 1) < F.col(value), F.lit(False)), p + s).otherwise(p),
     )
-    return df.join(cuts, list(keys)).withColumn("_blk", place.cast("long")).drop("_cuts")
+    cut = df.join(cuts, list(keys)) if keys else df.withColumn("_cuts", cuts.scalar())
+    return cut.withColumn("_blk", place.cast("long")).drop("_cuts")
 
 
 def cumulative(
@@ -39,7 +40,7 @@ def cumulative(
 ) -> DataFrame:
     """Add running sums over all rows with a value up to this row's.
 
-    ``df`` has one row per (keys, value).
+    ``df`` has one row per (keys, value). Without ``keys`` it is one group.
     """
     keys = list(keys)
     placed = value_ranges(df, keys, value, ranges)
