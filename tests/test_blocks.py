@@ -145,7 +145,7 @@ def test_rolling_moments_match_pandas(bars, frame):
 
 
 def test_constant_window_moments(spark):
-    rows = [("A", "1h", pd.Timestamp("2024-01-01") + pd.Timedelta(hours=i), 5.0) for i in range(8)]
+    rows = [("A", "1h", (pd.Timestamp("2024-01-01") + pd.Timedelta(hours=i)).to_pydatetime(), 5.0) for i in range(8)]
     df = spark.createDataFrame(rows, "symbol string, interval string, timestamp timestamp, close double")
     got = collected(X.rolling_features(df, ["close"], [5]), "close_rolling_5_skew", "close_rolling_5_kurt").dropna()
     assert set(got["close_rolling_5_skew"]) == {0.0} and set(got["close_rolling_5_kurt"]) == {-3.0}

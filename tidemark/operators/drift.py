@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType, StringType
 
 from tidemark.functions.pvalues import chi2_p, ks_p
+from tidemark.functions.stats import correlation
 from tidemark.operators.quality import long_form
 from tidemark.plans.quantiles import exact_percentiles
 from tidemark.plans.ranks import cumulative
@@ -65,7 +66,7 @@ def reference_profile(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     wide = df.agg(*[f(F.col(c).cast("double")).alias(f"{s}__{c}") for c in columns for s, f in stats.items()])
     long = long_form(wide, [], [{"feature": F.lit(c), **{s: F.col(f"{s}__{c}") for s in stats}} for c in columns])
     quartiles = exact_percentiles(df, columns, [0.25, 0.5, 0.75])
-    wide_q = quartiles.groupBy(F.col("name").alias("feature")).agg(*[
+    wide_q = quartiles.groupBy(F.col("column_name").alias("feature")).agg(*[
         F.max(F.when(F.col("p") == p, F.col("value"))).alias(label)
         for p, label in [(0.25, "q25"), (0.5, "q50"), (0.75, "q75")]
     ])
@@ -264,7 +265,7 @@ def compare_importance(importance: DataFrame, models: Sequence[str]) -> DataFram
 def importance_correlation(importance: DataFrame, models: Sequence[str]) -> DataFrame:
     wide = compare_importance(importance, models)
     pairs = [(a, b) for i, a in enumerate(models) for b in models[i + 1:]]
-    agg = wide.agg(*[F.corr(a, b).alias(f"{a}__{b}") for a, b in pairs])
+    agg = wide.agg(*[correlation(a, b).alias(f"{a}__{b}") for a, b in pairs])
     return long_form(agg, [], [
         {"model_a": F.lit(a), "model_b": F.lit(b), "correlation": F.col(f"{a}__{b}")} for a, b in pairs
     ])

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType
 
+from tidemark.functions.stats import correlation
 from tidemark.operators import indicators as I
 from tidemark.operators.quality import long_form
 from tidemark.plans.blocks import number_rows, plain, running, with_rows
@@ -40,10 +41,6 @@ def lag_named(columns: Sequence[str]) -> dict[str, int]:
     return {c: int(m.group(1)) for c, m in found.items() if m and int(m.group(1)) > 0}
 
 
-def finite(c: Column) -> Column:
-    return F.when(~F.isnan(c), c)
-
-
 def _per_feature(df: DataFrame, columns: Sequence[str], stats: dict[str, callable]) -> DataFrame:
     """One aggregate per series over all columns, then one row per feature."""
     wide = df.groupBy(*KEYS).agg(
@@ -58,9 +55,9 @@ def forward_looking(df: DataFrame, columns: Sequence[str] | None = None, **kw) -
     columns = columns or numeric_columns(df)
     base = with_rows(df, [{f"_p_{c}": I.previous(c) for c in columns}], back=1, **kw)
     stats = {
-        "step_std": lambda c: finite(F.stddev_samp(F.col(c) - F.col(f"_p_{c}"))),
+        "step_std": lambda c: F.stddev_samp(F.col(c) - F.col(f"_p_{c}")),
         "step_mean": lambda c: F.avg(F.col(c) - F.col(f"_p_{c}")),
-        "autocorrelation": lambda c: finite(F.corr(F.when(F.col(f"_p_{c}").isNotNull(), F.col(c)), f"_p_{c}")),
+        "autocorrelation": lambda c: correlation(c, f"_p_{c}"),
     }
     out = _per_feature(base, columns, stats)
     steady = (F.col("step_std") == 0) & (F.col("step_mean") != 0)
@@ -97,7 +94,7 @@ def target_correlation(df: DataFrame, target: str, columns: Sequence[str] | None
     """Correlation of every feature with the next target value."""
     columns = [c for c in (columns or numeric_columns(df)) if c != target]
     base = with_rows(df, [{"_next": I.following(target)}], ahead=1, **kw)
-    out = _per_feature(base, columns, {"correlation": lambda c: finite(F.corr(c, "_next"))})
+    out = _per_feature(base, columns, {"correlation": lambda c: correlation(c, "_next")})
     return out.withColumn("flagged", F.coalesce(F.abs("correlation") > TARGET_CORRELATION_LIMIT, F.lit(False)))
 
 
@@ -109,7 +106,7 @@ def unrealistic(df: DataFrame, columns: Sequence[str] | None = None, **kw) -> Da
     stats = {
         "n_filled": lambda c: F.count(c),
         "constant": lambda c: F.coalesce(F.min(c) == F.max(c), F.lit(False)),
-        "trend": lambda c: finite(F.corr(F.when(F.col(c).isNotNull(), F.col(f"_pos_{c}")), c)),
+        "trend": lambda c: correlation(f"_pos_{c}", c),
     }
     out = _per_feature(base, columns, stats)
     straight = (F.col("n_filled") > 2) & (F.abs("trend") > TREND_CORRELATION_LIMIT)

@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.pvalues import chi2_p, f_p
+from tidemark.functions.stats import correlation
 from tidemark.operators.quality import long_form
 from tidemark.plans.quantiles import exact_percentiles
 
@@ -114,7 +115,7 @@ def f_scores(df: DataFrame, columns: Sequence[str], label: str) -> DataFrame:
 
 def f_scores_regression(df: DataFrame, columns: Sequence[str], target: str) -> DataFrame:
     data = df.select(F.col(target).cast("double").alias("_y"), *_filled(columns))
-    wide = data.agg(F.count("*").alias("_n"), *[F.corr(c, "_y").alias(c) for c in columns])
+    wide = data.agg(F.count("*").alias("_n"), *[correlation(c, "_y").alias(c) for c in columns])
     long = long_form(wide, ["_n"], [{"feature": F.lit(c), "r": F.col(c)} for c in columns])
     r2, d2 = F.col("r") * F.col("r"), F.col("_n") - 2
     scored = long.select("feature", F.try_divide(r2, 1 - r2).alias("q"), d2.cast("double").alias("d2"))
@@ -143,8 +144,8 @@ def mutual_information(df: DataFrame, columns: Sequence[str], label: str, bins:
     """
     data = df.select(F.col(label).alias("_y"), *_filled(columns))
     cuts = exact_percentiles(data, columns, [i / bins for i in range(1, bins)])
-    cut_map = cuts.groupBy("name").agg(F.sort_array(F.collect_list("value")).alias("c"))
-    table = cut_map.agg(F.map_from_entries(F.collect_list(F.struct("name", "c")))).scalar()
+    cut_map = cuts.groupBy("column_name").agg(F.sort_array(F.collect_list("value")).alias("c"))
+    table = cut_map.agg(F.map_from_entries(F.collect_list(F.struct("column_name", "c")))).scalar()
     framed = data.withColumn("_cuts", table)
     cells = framed.select("_y", F.explode(F.array(*[
         F.struct(F.lit(c).alias("feature"), F.size(F.filter(F.col("_cuts")[c], lambda e: e < F.col(c))).alias("bin"))

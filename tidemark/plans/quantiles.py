@@ -19,7 +19,7 @@ ACCURACY = 100_000
 def exact_percentiles(
     df: DataFrame, columns: Sequence[str], probs: Sequence[float], keys: Sequence[str] = ()
 ) -> DataFrame:
-    """Long table (keys, name, p, value, n) of linearly interpolated percentiles.
+    """Long table (keys, column_name, p, value, n) of linearly interpolated percentiles.
 
     Missing values are ignored. Without ``keys`` the whole frame is one group.
     """
@@ -52,7 +52,7 @@ def exact_percentiles(
     plans = joined.select(
         *keys,
         *each(
-            "struct('{c}' AS name, {p!r}D AS p, `n_{c}` AS n, " + rank + " AS rank, "
+            "struct('{c}' AS column_name, {p!r}D AS p, `n_{c}` AS n, " + rank + " AS rank, "
             "if(" + sure + ", `e_{c}`[{lo}], `min_{c}`) AS lo, if(" + sure + ", `e_{c}`[{hi}], `max_{c}`) AS hi, "
             "if(" + sure + ", _b.`lt_{c}_{j}`, 0L) AS below) AS `t_{c}_{j}`"
         ),
@@ -62,19 +62,19 @@ def exact_percentiles(
         for c, j, _ in tags
     )
     inside = _attach(frame, plans, keys).select(*keys, F.expr(f"explode(array_compact(array({hit}))) AS x"))
-    counted = inside.groupBy(*keys, "x.t.name", "x.t.p", "x.t.n", "x.t.rank", "x.t.below", "x.v").agg(
-        F.count("*").alias("k")
+    counted = inside.groupBy(*keys, "x.t.column_name", "x.t.p", "x.t.n", "x.t.rank", "x.t.below", F.col("x.v").alias("_v")).agg(
+        F.count("*").alias("_cnt")
     )
-    group = [*keys, "name", "p"]
-    ordered = Window.partitionBy(*group).orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
-    ranked = counted.withColumn("upto", F.col("below") + F.sum("k").over(ordered))
-    before = F.col("upto") - F.col("k")
-    at = lambda r: F.max(F.when((before <= r) & (r < F.col("upto")), F.col("v")))
+    group = [*keys, "column_name", "p"]
+    ordered = Window.partitionBy(*group).orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
+    ranked = counted.withColumn("_upto", F.col("below") + F.sum("_cnt").over(ordered))
+    before = F.col("_upto") - F.col("_cnt")
+    at = lambda r: F.max(F.when((before <= r) & (r < F.col("_upto")), F.col("_v")))
     low, high = F.floor("rank"), F.ceil("rank")
     return (
         ranked.groupBy(*group, "n", "rank")
-        .agg(at(low).alias("v0"), at(high).alias("v1"))
-        .select(*group, (F.col("v0") + (F.col("v1") - F.col("v0")) * (F.col("rank") - low)).alias("value"), "n")
+        .agg(at(low).alias("_v0"), at(high).alias("_v1"))
+        .select(*group, (F.col("_v0") + (F.col("_v1") - F.col("_v0")) * (F.col("rank") - low)).alias("value"), "n")
     )
 
 
@@ -88,10 +88,10 @@ def _attach(df: DataFrame, small: DataFrame, keys: list[str], name: str = "_s")
 
 
 def percentile_columns(long: DataFrame, keys: Sequence[str], labels: dict[tuple[str, float], str]) -> DataFrame:
-    """Wide form: one column per (name, p) of ``labels``."""
+    """Wide form: one column per (column_name, p) of ``labels``."""
     return long.groupBy(*keys).agg(
         *[
-            F.max(F.when((F.col("name") == name) & (F.col("p") == float(p)), F.col("value"))).alias(label)
+            F.max(F.when((F.col("column_name") == name) & (F.col("p") == float(p)), F.col("value"))).alias(label)
             for (name, p), label in labels.items()
         ]
     )
