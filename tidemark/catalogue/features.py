@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidemark.catalogue.common import (
-    BARS, KEY_SQL, NUMBERED, full_sql, hourly_bars, over, result, result_sql,
+    BARS, KEY_SQL, NUMBERED, full_sql, hourly_bars, over, result, result_sql, rounded,
 )
+from tidemark.catalogue.indicators import RSI_SQL, SQL as INDICATOR_SQL, joined_sql
 from tidemark.operators import features as X
 from tidemark.operators import indicators as I
-from tidemark.plans.blocks import time_bucket
-from tidemark.schemas import BAR_VALUES, KEYS
+from tidemark.schemas import BAR_VALUES
 
 QUERIES = {}
 SQL = {}
@@ -201,6 +201,25 @@ def timestamps_out_of_order(spark, d):
     return X.out_of_order(e, "ingest", F.floor(F.col("ingest") / 10000000))
 
 
-@query()
+AVERAGES = [f"SMA_{n}" for n in I.SMA_PERIODS[:10]]
+ROLLING_ALL = {f"{c}_rolling_{n}_{s}": rolling_sql(c, n, s) for c in BAR_VALUES for n in X.WINDOWS for s in X.ROLLING_STATS}
+INTERACTIONS = {
+    **{f"{a}_div_{b}": f'"{a}" / nullif("{b}", 0)' for a in ["high", "close"] for b in ["low", "open"]},
+    **{f"volume_mult_{b}": f'volume * "{b}"' for b in ["close", "high", "low"]},
+}
+TABLE_SQL = joined_sql([
+    f"WITH {BARS} SELECT * FROM bars", INDICATOR_SQL["all_indicators"], SQL["lag_features"],
+    f"SELECT {KEY_SQL}, " + ", ".join(f'lag("{c}", {k}) {S} AS "{c}_lag_{k}"' for c in AVERAGES for k in X.LAGS) + f" FROM ({INDICATOR_SQL['sma']})",
+    result_sql(NUMBERED, ROLLING_ALL, 5), result_sql(NUMBERED, INTERACTIONS),
+    result_sql(NUMBERED, {"close_pow_2": 'pow("close", 2)'}, 4),
+    f"SELECT {KEY_SQL}, round(pow(v, 2) + 1e-5, 2) AS \"RSI_14_pow_2\" FROM ({RSI_SQL})",
+    SQL["volatility_regime"], SQL["trend_regime"], SQL["calendar_features"], SQL["targets"],
+])
+
+
+@query(TABLE_SQL)
 def feature_table(spark, d):
-    return X.engineer_features(hourly_bars(spark, d))
+    out = X.engineer_features(hourly_bars(spark, d))
+    digits = {"OBV": 4, "VWAP": 4, "close_pow_2": 4, "RSI_14_pow_2": 2, **dict.fromkeys(ROLLING_ALL, 5)}
+    whole = {"symbol", "interval", "timestamp", *BAR_VALUES, *CAL, "volatility_regime", "trend_regime", *[f"target_direction_{h}" for h in X.HORIZONS]}
+    return out.select(*[F.col(c) if c in whole else rounded([c], digits.get(c, 6))[0] for c in out.columns])

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from tidemark.catalogue.common import (
-    BARS, KEY_SQL, NUMBERED, ema_sql, full_sql, hourly_bars, over, result, result_sql,
+    KEY_SQL, NUMBERED, ema_sql, full_sql, hourly_bars, over, result, result_sql, rounded,
 )
 from tidemark.operators import indicators as I
 from tidemark.plans.blocks import with_rows
@@ -22,10 +22,6 @@ def query(sql: str | None = None):
     return register
 
 
-def q(*parts: str) -> str:
-    return ", ".join(parts)
-
-
 # --- SQL pieces --------------------------------------------------------------
 
 TR = "greatest(high - low, abs(high - pc), abs(low - pc))"
@@ -93,6 +89,9 @@ def parabolic_sar(spark, d):
     return result(I.parabolic_sar(hourly_bars(spark, d)), ["Parabolic_SAR"])
 
 
+RSI_SQL = f"""WITH {RSI} SELECT {KEY_SQL}, CASE WHEN rn <= 14 THEN NULL WHEN al = 0 THEN 100 ELSE 100 - 100 / (1 + ag / al) END AS v FROM sm"""
+
+
 @query(f"""WITH {RSI} SELECT {KEY_SQL}, round(CASE WHEN rn <= 14 THEN NULL WHEN al = 0 THEN 100
   ELSE 100 - 100 / (1 + ag / al) END + 1e-9, 6) AS "RSI_14" FROM sm""")
 def rsi(spark, d):
@@ -160,3 +159,27 @@ def chaikin_money_flow(spark, d):
 @query(result_sql(NUMBERED, {"VWAP": f"sum(tp * volume) {over()} / nullif(sum(volume) {over()}, 0)"}, 4))
 def volume_weighted_price(spark, d):
     return result(I.vwap(hourly_bars(spark, d)), ["VWAP"], 4)
+
+
+PIECES = {
+    "sma": 6, "ema": 6, "macd": 6, "adx": 6, "parabolic_sar": 6, "rsi": 6, "stochastic": 6, "williams_r": 6, "rate_of_change": 6,
+    "momentum": 6, "bollinger_bands": 6, "average_true_range": 6, "keltner_channels": 6, "on_balance_volume": 4, "money_flow_index": 6,
+    "chaikin_money_flow": 6, "volume_weighted_price": 4,
+}
+
+
+def joined_sql(pieces) -> str:
+    """One wide query from the queries of single operators, joined on the bar keys."""
+    first, *rest = pieces
+    joins = " ".join(f'JOIN ({sql}) q{i} USING ({KEY_SQL})' for i, sql in enumerate(rest))
+    return f"SELECT * FROM ({first}) p {joins}"
+
+
+FOUR_DIGITS = ["OBV", "VWAP"]
+
+
+@query(joined_sql([SQL[name] for name in PIECES]))
+def all_indicators(spark, d):
+    out = I.all_indicators(hourly_bars(spark, d))
+    names = [*I.SINGLE_OUTPUT, "Momentum_10", *I.MULTI_OUTPUT]
+    return out.select("symbol", "interval", "timestamp", *rounded([n for n in names if n not in FOUR_DIGITS]), *rounded(FOUR_DIGITS, 4))

@@ -18,8 +18,8 @@ RANGES = 4096
 
 def value_ranges(df: DataFrame, keys: Sequence[str], value: str, ranges: int = RANGES) -> DataFrame:
     """Add ``_blk``, the number of sketch cut points below ``value`` in its group."""
-    probs = [i / ranges for i in range(1, ranges)]
-    cuts = df.groupBy(*keys).agg(F.percentile_approx(value, probs, 10 * ranges).alias("_cuts"))
+    probs = ", ".join(f"{i / ranges!r}D" for i in range(1, ranges))
+    cuts = df.groupBy(*keys).agg(F.expr(f"percentile_approx({value}, array({probs}), {10 * ranges}) AS _cuts"))
     steps = []
     step = 1
     while step < ranges:

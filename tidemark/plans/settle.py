@@ -72,6 +72,7 @@ def _settled_states(
     blocks = [*keys, "_blk"]
     if slim.where("_blk > 0").isEmpty():
         return None
+    slim = cut_lineage(slim)
     end_schema = f"{key_schema}, _end struct<{_struct(state_schema)}>"
     end_type = to_arrow_schema(slim.select(*blocks).schema.add("_end", DataType.fromDDL(end_schema)["_end"].dataType))
 
