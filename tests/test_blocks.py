@@ -168,3 +168,11 @@ def test_cumulative_over_value_ranges(spark):
     pdf["n"] = 1
     got = cumulative(spark.createDataFrame(pdf).repartition(3), ["k"], "v", {"c": F.col("n")}, ranges=16).toPandas()
     assert (got["c"] == got["v"] + 1).all() and len(got) == 305
+
+
+def test_other_spelling_of_the_time_zone(spark, bars, frame):
+    spark.conf.set("spark.sql.session.timeZone", "Etc/UTC")
+    try:
+        assert I.parabolic_sar(bars).count() == len(frame)
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")

@@ -44,14 +44,15 @@ def settle(
     states = _settled_states(slim, walk, state_schema, key_schema, keys)
 
     out_schema = StructType([*df.schema.fields, StructField(name, DataType.fromDDL(value_type))])
-    arrow_schema = to_arrow_schema(out_schema)
+    arrow_schema = _nullable(to_arrow_schema(out_schema))
 
     def emit(table: pa.Table) -> pa.Table:
         table = table.sort_by("_rn")
         state = table["_state"][0].as_py()
         values, _ = walk(table, state)
-        table = table.drop_columns(["_state"])
-        return table.append_column(arrow_schema.field(name), pa.array(values, arrow_schema.field(name).type))
+        table = table.append_column(arrow_schema.field(name), pa.array(values, arrow_schema.field(name).type))
+        # The cast settles time zone labels, which follow the session's spelling of UTC.
+        return table.select(arrow_schema.names).cast(arrow_schema)
 
     if states is None:
         carried = df.withColumn("_state", F.lit(None).cast(f"struct<{_struct(state_schema)}>"))
@@ -61,6 +62,10 @@ def settle(
     return carried.groupBy(*keys, "_blk").applyInArrow(emit, out_schema)
 
 
+def _nullable(schema: pa.Schema) -> pa.Schema:
+    return pa.schema([field.with_nullable(True) for field in schema])
+
+
 def _struct(ddl: str) -> str:
     return ", ".join(f"{n}: {t}" for n, t in (part.split() for part in ddl.split(", ")))
 
