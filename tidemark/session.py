@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession
 
 # Time stamps are UTC everywhere; AQE re-plans joins from measured sizes.
@@ -35,17 +33,11 @@ def local_session(cpus: str = "*", partitions: int = 8, memory: str = "8g") -> S
 def checkpoint_root(spark: SparkSession) -> str:
     """The shared folder for written intermediate results.
 
-    A cluster names it in ``spark.checkpoint.dir``. Only a local master may fall
-    back to a temporary folder, because no other machine has to read it.
+    A cluster names it in ``spark.checkpoint.dir``. Where that is unset, a folder
+    inside the warehouse serves, which all executors reach as well.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
-    if root:
-        return root
-    if not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder all executors can reach")
-    root = tempfile.mkdtemp(prefix="tidemark-")
-    spark.conf.set("spark.checkpoint.dir", root)
-    return root
+    return root or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_checkpoints"
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
