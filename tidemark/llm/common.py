@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import os
+import sys
+import types
 import uuid
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -12,9 +14,6 @@ from pyspark.sql import functions as F
 
 from tidemark.session import checkpoint_root
 
-WHITE = r"[\x20\x09-\x0D]"
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -45,25 +44,21 @@ def scratch_root() -> str | None:
     return os.environ.get("SPARK_LOCAL_DIRS", "").split(",")[0] or None
 
 
-Batches = Iterator[pa.RecordBatch]
+def kept_by_worker(name: str, make: Callable[[], object]):
+    """A value that a Python worker builds once and keeps between tasks.
+
+    Functions of this library travel to the workers with each task, module variables too, so
+    what is to outlive a task hangs on a module of its own.
+    """
+    store = sys.modules.setdefault("_tidemark_worker", types.ModuleType("_tidemark_worker")).__dict__
+    if name not in store:
+        store[name] = make()
+    return store[name]
 
 
-def arrow_map(df: DataFrame, fn: Callable[[Batches], Batches], schema: str) -> DataFrame:
-    return df.mapInArrow(fn, schema)
+Batches = Iterator[pa.RecordBatch]
 
 
 def pick(df: DataFrame, *names: str) -> DataFrame:
     """Only the named columns, so that extra columns of any name cannot clash."""
     return df.select(*[F.col(f"`{n}`") for n in names])
-
-
-def sorted_groups(batches: Batches, keys: Sequence[str], limit: int = 1 << 62) -> Iterator[tuple[tuple, pa.RecordBatch]]:
-    """Slices of consecutive rows with equal keys; a group may come in several slices."""
-    for batch in batches:
-        columns = [batch.column(k).to_pylist() for k in keys]
-        rows = list(zip(*columns, strict=True))
-        start = 0
-        for i in range(1, len(rows) + 1):
-            if i == len(rows) or rows[i] != rows[start]:
-                yield rows[start], batch.slice(start, i - start)
-                start = i
