@@ -26,7 +26,7 @@ from tidemark.llm.common import Batches, kept_by_worker, pick, texts
 SPACE = "▁"  # stands for a blank inside pieces
 LONG = 256  # characters of a segment from which a heap is used
 TOGETHER = 8192  # segments whose agendas advance together
-CACHED = 500_000  # segments a worker remembers
+CACHED = 400_000  # segments a worker remembers, and as many old ones
 BLOCK_CHARS = 2 << 20  # characters that are cut into segments at once
 BARRIER = "\ue000"  # a character no vocabulary joins with others; fences a segment for the check
 NONE = np.iinfo(np.int64).max
@@ -51,6 +51,19 @@ def _families(pieces: Iterable[str]) -> list[list[str]]:
     return sorted(families.values(), key=len, reverse=True)
 
 
+class Remembered(dict):
+    """Ids by text. Beyond ``CACHED`` entries all become old; old ones are dropped when not used again."""
+
+    def __init__(self) -> None:
+        super().__init__()
+        self.old: dict[str, bytes] = {}
+
+    def age(self) -> None:
+        if len(self) > CACHED:
+            self.old = dict(self)
+            self.clear()
+
+
 class Vocabulary:
     """Pieces of a model file, the pairs that may merge, and the segments encoded so far."""
 
@@ -95,7 +108,7 @@ class Vocabulary:
         inner = any(SPACE in p.lstrip(SPACE) for p in pieces)
         some = "|".join(f"[{''.join(map(re.escape, f))}]+" for f in _families(pieces))
         self.cut = None if inner else re.compile(f"{SPACE}*(?:{some}|[^{SPACE}])|{SPACE}+", re.DOTALL)
-        self.known: dict[str, bytes] = {}
+        self.known = Remembered()
         self.pairs: dict[int, int] | None = None
 
     @staticmethod
@@ -234,23 +247,32 @@ class Vocabulary:
                 ]:
                     raise ValueError(f"segments are encoded in another way than by the library: {part[:3]} ...")
 
+    def _learn_new(self, segments: set[str], check: bool) -> None:
+        known, new = self.known, []
+        for s in segments:
+            if s not in known:
+                found = known.old.get(s)
+                if found is None:
+                    new.append(s)
+                else:
+                    known[s] = found
+        if new:
+            self.learn(sorted(new), check)
+
     def encode(self, items: list[str], check: bool = True) -> list[np.ndarray]:
         """Ids of every text, end id included."""
         end = np.array([self.end], dtype="<i4").tobytes()
-        out, block, size = [], [], 0
+        out, start, size = [], 0, 0
         for k, text in enumerate(items):
-            block.append(self.segments(text))
             size += len(text)
-            if size > BLOCK_CHARS or k == len(items) - 1:
-                known = self.known
-                new = {s for parts in block for s in parts if s not in known}
-                if len(known) + len(new) > CACHED:
-                    known.clear()
-                    new = {s for parts in block for s in parts}
-                if new:
-                    self.learn(sorted(new), check)
-                out += [np.frombuffer(b"".join([known[s] for s in parts]) + end, dtype="<i4") for parts in block]
-                block, size = [], 0
+            if size <= BLOCK_CHARS and k < len(items) - 1:
+                continue
+            rows = [self.segments(t) for t in items[start : k + 1]]
+            self._learn_new({s for r in rows for s in r}, check)
+            known = self.known
+            out += [np.frombuffer(b"".join([known[s] for s in r]) + end, dtype="<i4") for r in rows]
+            known.age()
+            start, size = k + 1, 0
         return out
 
 
@@ -288,8 +310,10 @@ def _ranges(sizes: list[int], limit: int):
 def _decode(batches: Batches, path: str | None) -> Batches:
     library = vocabulary(path).library
     for batch in batches:
-        rows = batch.column("ids").to_pylist()
-        decoded = pa.array(library.decode([r or [] for r in rows], num_threads=1) if rows else [], pa.string())
+        lists = batch.column("ids")
+        values, ends = lists.values.to_numpy().tolist(), lists.offsets.to_numpy().tolist()
+        rows = [values[a:b] for a, b in zip(ends, ends[1:], strict=False)]
+        decoded = pa.array(library.decode(rows, num_threads=1) if rows else [], pa.string())
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("ids"), decoded], names=["doc_id", "ids", "text"])
 
 
@@ -297,12 +321,14 @@ def _digest(batches: Batches) -> Batches:
     digits = None
     for batch in batches:
         counts, ids_sha, text_sha = [], [], []
-        for ids, text in zip(batch.column("ids"), batch.column("text").to_pylist(), strict=True):
-            values = ids.values.to_numpy()
-            if digits is None or values.max(initial=0) >= len(digits):
-                digits = [str(i).encode() for i in range(int(values.max(initial=0)) + 32768)]
-            counts.append(len(values))
-            ids_sha.append(hashlib.sha256(b" ".join([digits[i] for i in values.tolist()])).hexdigest())
+        lists = batch.column("ids")
+        values, ends = lists.values.to_numpy(), lists.offsets.to_numpy().tolist()
+        if digits is None or values.max(initial=0) >= len(digits):
+            digits = [str(i).encode() for i in range(int(values.max(initial=0)) + 32768)]
+        written = [digits[i] for i in values.tolist()]
+        for a, b, text in zip(ends, ends[1:], batch.column("text").to_pylist(), strict=False):
+            counts.append(b - a)
+            ids_sha.append(hashlib.sha256(b" ".join(written[a:b])).hexdigest())
             text_sha.append(hashlib.sha256(text.encode()).hexdigest())
         yield pa.RecordBatch.from_arrays(
             [batch.column("doc_id"), pa.array(counts, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string())],
