@@ -56,6 +56,32 @@ def kept_by_worker(name: str, make: Callable[[], object]):
     return store[name]
 
 
+class Remembered(dict):
+    """Values by text. Beyond ``most`` entries all become old; old ones are dropped when not used again."""
+
+    def __init__(self, most: int) -> None:
+        super().__init__()
+        self.most = most
+        self.old: dict = {}
+
+    def missing(self, keys) -> list:
+        """Those keys that have no value; old values become new again."""
+        new = []
+        for k in keys:
+            if k not in self:
+                found = self.old.get(k)
+                if found is None:
+                    new.append(k)
+                else:
+                    self[k] = found
+        return new
+
+    def age(self) -> None:
+        if len(self) > self.most:
+            self.old = dict(self)
+            self.clear()
+
+
 Batches = Iterator[pa.RecordBatch]
 
 

@@ -21,7 +21,7 @@ import pyarrow as pa
 
 from pyspark.sql import DataFrame
 
-from tidemark.llm.common import Batches, kept_by_worker, pick, texts
+from tidemark.llm.common import Batches, Remembered, kept_by_worker, pick, texts
 
 SPACE = "▁"  # stands for a blank inside pieces
 LONG = 256  # characters of a segment from which a heap is used
@@ -51,19 +51,6 @@ def _families(pieces: Iterable[str]) -> list[list[str]]:
     return sorted(families.values(), key=len, reverse=True)
 
 
-class Remembered(dict):
-    """Ids by text. Beyond ``CACHED`` entries all become old; old ones are dropped when not used again."""
-
-    def __init__(self) -> None:
-        super().__init__()
-        self.old: dict[str, bytes] = {}
-
-    def age(self) -> None:
-        if len(self) > CACHED:
-            self.old = dict(self)
-            self.clear()
-
-
 class Vocabulary:
     """Pieces of a model file, the pairs that may merge, and the segments encoded so far."""
 
@@ -108,7 +95,7 @@ class Vocabulary:
         inner = any(SPACE in p.lstrip(SPACE) for p in pieces)
         some = "|".join(f"[{''.join(map(re.escape, f))}]+" for f in _families(pieces))
         self.cut = None if inner else re.compile(f"{SPACE}*(?:{some}|[^{SPACE}])|{SPACE}+", re.DOTALL)
-        self.known = Remembered()
+        self.known = Remembered(CACHED)
         self.pairs: dict[int, int] | None = None
 
     @staticmethod
@@ -247,18 +234,6 @@ class Vocabulary:
                 ]:
                     raise ValueError(f"segments are encoded in another way than by the library: {part[:3]} ...")
 
-    def _learn_new(self, segments: set[str], check: bool) -> None:
-        known, new = self.known, []
-        for s in segments:
-            if s not in known:
-                found = known.old.get(s)
-                if found is None:
-                    new.append(s)
-                else:
-                    known[s] = found
-        if new:
-            self.learn(sorted(new), check)
-
     def encode(self, items: list[str], check: bool = True) -> list[np.ndarray]:
         """Ids of every text, end id included."""
         end = np.array([self.end], dtype="<i4").tobytes()
@@ -268,8 +243,10 @@ class Vocabulary:
             if size <= BLOCK_CHARS and k < len(items) - 1:
                 continue
             rows = [self.segments(t) for t in items[start : k + 1]]
-            self._learn_new({s for r in rows for s in r}, check)
             known = self.known
+            new = known.missing({s for r in rows for s in r})
+            if new:
+                self.learn(sorted(new), check)
             out += [np.frombuffer(b"".join([known[s] for s in r]) + end, dtype="<i4") for r in rows]
             known.age()
             start, size = k + 1, 0
