@@ -64,16 +64,15 @@ class Remembered(dict):
         self.most = most
         self.old: dict = {}
 
-    def missing(self, keys) -> list:
-        """Those keys that have no value; old values become new again."""
-        new = []
-        for k in keys:
-            if k not in self:
-                found = self.old.get(k)
-                if found is None:
-                    new.append(k)
-                else:
-                    self[k] = found
+    def missing(self, rows: list[list]) -> list:
+        """Those entries of the rows that have no value; old values become new again."""
+        new, old = [], self.old
+        for k in set().union(*rows).difference(self):
+            found = old.get(k)
+            if found is None:
+                new.append(k)
+            else:
+                self[k] = found
         return new
 
     def age(self) -> None:

@@ -194,17 +194,17 @@ class Shard:
 
 # -- tokens --------------------------------------------------------------------
 
-# Words of these characters are split as the public tokenizer splits them; others go to it whole.
-_PARTS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:\W|_)+")
-_PLAIN = re.compile(r"[A-Za-zÀ-ÖØ-öø-įĲ-ɏ0-9!-/:-@\[-`{-~]+")
+# Text of these characters and ASCII white space is cut as the library cuts it; all else goes to it word by word.
+_ODD = re.compile(r"[^A-Za-zÀ-ÖØ-öø-įĲ-ž\x20-~\x09-\x0D]")
+_PARTS = re.compile(r"[a-zß-öø-įĲ-ž]+|'(?:s|t|re|ve|m|ll|d)|[0-9]|[!-/:-@\[-`{-~]+")
 
 
 class Tokens:
-    """The tokenizers library with a memory of words, which its white space rule separates.
+    """The tokenizers library with a memory of the parts between which it never merges.
 
-    A new word of common characters is cut where the library cuts it, and its parts go to the library
-    together with other new parts; each part ends with a token of its own kind. All other
-    words go to the library one by one.
+    A part of common characters goes to the library together with other new parts, blanks
+    between them; each part ends with a token of its own kind, which tells them apart again. A word
+    with other characters, or with a special token's text, goes to the library by itself.
     """
 
     def __init__(self, path: str) -> None:
@@ -213,59 +213,49 @@ class Tokens:
 
         self.library = Tokenizer.from_file(path)
         vocabulary = self.library.get_vocab()
-        special = {t.content for t in self.library.get_added_tokens_decoder().values()}
-        self.special = sorted(special)
+        special = sorted(t.content for t in self.library.get_added_tokens_decoder().values())
+        self.special = re.compile("|".join(map(re.escape, special)) or "(?!)")
         self.last = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
         for token, i in vocabulary.items():
             self.last[i] = token.endswith("</w>")
-        self.words, self.parts = Remembered(CACHED), Remembered(CACHED)
-
-    def _whole(self, words: list[str]) -> list[bytes]:
-        found = self.library.encode_batch_fast(words, add_special_tokens=False)
-        return [np.array(e.ids, dtype="<u4").tobytes() for e in found]
+        self.known = Remembered(CACHED)
+
+    def _odd(self, text: str) -> bool:
+        return bool(_ODD.search(text) or self.special.search(text))
+
+    def parts(self, text: str) -> list[str]:
+        if not self._odd(text):
+            return _PARTS.findall(text.lower())
+        out: list[str] = []
+        for word in text.encode().split():
+            w = word.decode()
+            out += [w] if self._odd(w) else _PARTS.findall(w.lower())
+        return out
 
-    def _learn_parts(self, parts: list[str]) -> None:
-        for start in range(0, len(parts), 512):
-            group = parts[start : start + 512]
+    def _learn(self, parts: list[str]) -> None:
+        odd = [p for p in parts if self._odd(p)]
+        plain = [p for p in parts if not self._odd(p)] if odd else parts
+        for start in range(0, len(plain), 512):
+            group = plain[start : start + 512]
             ids = np.array(self.library.encode_batch_fast([" ".join(group)], add_special_tokens=False)[0].ids, dtype="<u4")
-            ends = np.flatnonzero(self.last[ids]) + 1
+            ends = (np.flatnonzero(self.last[ids]) + 1).tolist()
             if len(ends) == len(group):
                 raw = ids.tobytes()
-                for p, a, b in zip(group, [0, *ends.tolist()], ends.tolist(), strict=False):
-                    self.parts[p] = raw[4 * a : 4 * b]
+                self.known.update((p, raw[4 * a : 4 * b]) for p, a, b in zip(group, [0, *ends], ends, strict=False))
             else:
-                for p, raw in zip(group, self._whole(group), strict=True):
-                    self.parts[p] = raw
-
-    def _learn(self, words: list[bytes]) -> None:
-        cut: dict[bytes, list[str]] = {}
-        odd: list[bytes] = []
-        for w in words:
-            text = w.decode()
-            if not _PLAIN.fullmatch(text) or any(s in text for s in self.special):
-                odd.append(w)
-            else:
-                text = text.lower()
-                cut[w] = [text] if text.isalpha() else _PARTS.findall(text)
-        new = self.parts.missing({p for parts in cut.values() for p in parts})
-        if new:
-            self._learn_parts(sorted(new))
-        parts = self.parts
-        for w, found in cut.items():
-            self.words[w] = b"".join([parts[p] for p in found])
-        if odd:
-            self.words.update(zip(odd, self._whole([w.decode() for w in odd]), strict=True))
-        parts.age()
+                odd += group
+        found = self.library.encode_batch_fast(odd, add_special_tokens=False) if odd else []
+        self.known.update((p, np.array(e.ids, dtype="<u4").tobytes()) for p, e in zip(odd, found, strict=True))
 
     def encode_all(self, items: list[str]) -> list[bytes]:
-        """Ids of texts; their new words are looked up together."""
-        rows = [t.encode().split() for t in items]
-        new = self.words.missing({w for row in rows for w in row})
+        """Ids of whole texts as little-endian unsigned 32-bit integers."""
+        rows = [self.parts(t) for t in items]
+        known = self.known
+        new = known.missing(rows)
         if new:
-            self._learn(new)
-        words = self.words
-        out = [b"".join([words[w] for w in row]) for row in rows]
-        words.age()
+            self._learn(sorted(new))
+        out = [b"".join([known[p] for p in row]) for row in rows]
+        known.age()
         return out
 
 

@@ -244,7 +244,7 @@ class Vocabulary:
                 continue
             rows = [self.segments(t) for t in items[start : k + 1]]
             known = self.known
-            new = known.missing({s for r in rows for s in r})
+            new = known.missing(rows)
             if new:
                 self.learn(sorted(new), check)
             out += [np.frombuffer(b"".join([known[s] for s in r]) + end, dtype="<i4") for r in rows]
