@@ -34,8 +34,8 @@ LEAST_GAIN = 0.03  # a round that shortens a block by less is the last
 CACHED = 400_000
 
 MAGIC = b"TIDEIDS1"
-_SHARD = struct.Struct("<8sIIQ")  # magic, documents, blocks, ids
-_BLOCK = struct.Struct("<IIIIII")  # ids, first nonterminal, rules, symbols, bytes per symbol, bytes in total
+_SHARD = "<8sIIQ"  # magic, documents, blocks, ids
+_BLOCK = "<IIIIII"  # ids, first nonterminal, rules, symbols, bytes per symbol, bytes in total
 _SLOTS = 1 << 18
 
 
@@ -104,15 +104,15 @@ def compress(ids: np.ndarray) -> bytes:
         struct.pack("<I", len(rounds)), rounds.tobytes(), a.astype(symbol).tobytes(), b.astype(symbol).tobytes(),
         spans[first:].astype("<u4").tobytes(), seq.astype(symbol).tobytes(),
     ])
-    return _BLOCK.pack(len(ids), first, len(a), len(seq), symbol.itemsize, len(body)) + body
+    return struct.pack(_BLOCK, len(ids), first, len(a), len(seq), symbol.itemsize, len(body)) + body
 
 
 class Block:
     """A stored block: its rules and symbols as arrays over the file's bytes."""
 
     def __init__(self, raw: bytes, at: int) -> None:
-        self.n_ids, self.first, rules, symbols, width, size = _BLOCK.unpack_from(raw, at)
-        at += _BLOCK.size
+        self.n_ids, self.first, rules, symbols, width, size = struct.unpack_from(_BLOCK, raw, at)
+        at += struct.calcsize(_BLOCK)
         self.end = at + size
         kind = np.dtype(f"<u{width}")
         (n,) = struct.unpack_from("<I", raw, at)
@@ -159,7 +159,7 @@ def pack(doc_ids: list, lengths: list[int], ids: np.ndarray) -> bytes:
     known = np.array([d is not None for d in doc_ids], dtype=np.uint8)
     names = np.array([d or 0 for d in doc_ids], dtype="<i8")
     return b"".join([
-        _SHARD.pack(MAGIC, len(doc_ids), len(blocks), len(ids)), known.tobytes(), names.tobytes(), np.array(lengths, dtype="<u4").tobytes(), *blocks,
+        struct.pack(_SHARD, MAGIC, len(doc_ids), len(blocks), len(ids)), known.tobytes(), names.tobytes(), np.array(lengths, dtype="<u4").tobytes(), *blocks,
     ])
 
 
@@ -167,10 +167,10 @@ class Shard:
     """A shard file to read."""
 
     def __init__(self, raw: bytes) -> None:
-        magic, docs, blocks, self.n_ids = _SHARD.unpack_from(raw)
+        magic, docs, blocks, self.n_ids = struct.unpack_from(_SHARD, raw)
         if magic != MAGIC:
             raise ValueError("not a file of token ids")
-        at = _SHARD.size
+        at = struct.calcsize(_SHARD)
         known = np.frombuffer(raw, np.uint8, docs, at)
         names = np.frombuffer(raw, "<i8", docs, at + docs)
         self.doc_ids = [int(n) if k else None for n, k in zip(names, known, strict=True)]

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import chat, contamination, exact, grammar, language, pieces, sharding, simhash, urls
+from tidemark.llm import chat, contamination, exact, grammar, language, pieces, secret_scan, sharding, simhash, urls
 from tidemark.llm.common import table
 
 WHITE = r"[\x20\x09-\x0D]"
@@ -62,6 +62,10 @@ def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(table(spark, sf_dir, "documents"))
 
 
+def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.digests(secret_scan.scan(table(spark, sf_dir, "documents")))
+
+
 def op7_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grammar.read_ids(grammar.write_ids(table(spark, sf_dir, "documents")))
 
@@ -109,10 +113,15 @@ QUERIES = {
     "op3_sharding": op3_sharding,
     "op4_exact_dedup": op4_exact_dedup,
     "op5_language": op5_language,
+    "op6_secret_scan": op6_secret_scan,
     "op7_token_ids": op7_token_ids,
     "op8_url_filter": op8_url_filter,
     "op9_benchmark_contamination": op9_benchmark_contamination,
     "op10_simhash_near_dedup": op10_simhash_near_dedup,
     "pipeline": pipeline,
 }
-SQL = {"op1_chat_format": OP1_SQL, "op4_exact_dedup": OP4_SQL, "op9_benchmark_contamination": OP9_SQL}
+SQL = {
+    "op1_chat_format": OP1_SQL,
+    "op4_exact_dedup": OP4_SQL,
+    "op9_benchmark_contamination": OP9_SQL,
+}
