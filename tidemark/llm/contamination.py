@@ -129,7 +129,17 @@ def _blocks(items: DataFrame, block_chars: int):
         yield block
 
 
-def decontaminate(docs: DataFrame, items: DataFrame, words: int = 5, containment: float = 0.8) -> DataFrame:
-    """``docs`` without those that contain an item; all columns and clean documents stay."""
-    hit = contained_items(docs, items, words, containment).select(F.col("doc_id").alias("_hit")).distinct()
-    return docs.join(hit, F.col("doc_id").eqNullSafe(F.col("_hit")), "left_anti")
+def _clean(batches: Batches, rows: list[tuple[int, str]], words: int, containment: float) -> Batches:
+    items = Items(rows, words, containment)
+    for batch in batches:
+        yield batch.filter(pa.array([not items.search(t) for t in texts(batch.column("text"))], pa.bool_()))
+
+
+def decontaminate(docs: DataFrame, items: DataFrame, words: int = 5, containment: float = 0.8, block_chars: int = BLOCK_CHARS) -> DataFrame:
+    """``docs`` without those that contain an item; all columns, clean documents and repeated rows stay.
+
+    Each block of items filters what the blocks before left, so no document is shuffled.
+    """
+    for block in _blocks(pick(items, "item_id", "text").where("text IS NOT NULL"), block_chars):
+        docs = docs.mapInArrow(partial(_clean, rows=block, words=words, containment=containment), docs.schema)
+    return docs

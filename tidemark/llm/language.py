@@ -250,24 +250,25 @@ def _blocks(items: list[str], limit: int = 4 << 20) -> Iterator[tuple[int, int]]
         yield start, len(items)
 
 
+def _verdicts(net: Network | None, items: list[str]) -> Iterator[tuple[str, float]]:
+    """Language and score of every text."""
+    for a, b in _blocks(items):
+        found = probabilities(net, items[a:b]) if net else None
+        for i, text in enumerate(items[a:b]):
+            if found is None or not _LETTER.search(text):
+                yield UNDETERMINED, 0.0
+            else:
+                best = int(found[i].argmax())
+                yield net.languages[best], min(1.0, float(found[i, best]))
+
+
 def _predict(batches: Batches, net: Network | None) -> Batches:
     for batch in batches:
-        items = texts(batch.column("text"))
-        names, scores = [], []
-        for a, b in _blocks(items):
-            found = probabilities(net, items[a:b]) if net else None
-            for i, text in enumerate(items[a:b]):
-                if found is None or not _LETTER.search(text):
-                    names.append(UNDETERMINED)
-                    scores.append(0.0)
-                else:
-                    best = int(found[i].argmax())
-                    names.append(net.languages[best])
-                    scores.append(min(1.0, float(found[i, best])))
+        found = list(_verdicts(net, texts(batch.column("text"))))
         yield pa.RecordBatch.from_arrays(
-            [batch.column("doc_id"), batch.column("held_out"), pa.array(names, pa.string()), pa.array(scores, pa.float64())],
+            [batch.column("doc_id"), batch.column("held_out"), pa.array([n for n, _ in found], pa.string()), pa.array([s for _, s in found], pa.float64())],
             names=["doc_id", "held_out", "lang_pred", "score"],
-        )
+        )
 
 
 def identify(docs: DataFrame, docs_per_language: int = DOCS_PER_LANGUAGE) -> DataFrame:
@@ -286,13 +287,18 @@ def identify(docs: DataFrame, docs_per_language: int = DOCS_PER_LANGUAGE) -> Dat
     return rows.mapInArrow(partial(_predict, net=net), "doc_id long, held_out boolean, lang_pred string, score double")
 
 
+def _known(batches: Batches, net: Network | None, least_score: float) -> Batches:
+    for batch in batches:
+        items = texts(batch.column("text"))
+        keep = [name != UNDETERMINED and score >= least_score for name, score in _verdicts(net, items)]
+        yield batch.filter(pa.array(keep, pa.bool_()))
+
+
 def keep_known(docs: DataFrame, least_score: float = 0.3, docs_per_language: int = DOCS_PER_LANGUAGE) -> DataFrame:
-    """``docs`` without those whose language cannot be told; all columns stay.
+    """``docs`` without those whose language cannot be told; all columns and repeated rows stay.
 
     Texts without letters go, and texts whose best language has a mean probability under
-    ``least_score``. Rows are told apart by ``doc_id``; rows with a null id stay if their text has a letter.
+    ``least_score``. Nothing is kept when no language could be learned.
     """
-    found = identify(docs, docs_per_language)
-    gone = found.where((F.col("lang_pred") == UNDETERMINED) | (F.col("score") < least_score)).where("doc_id IS NOT NULL")
-    left = docs.join(gone.select(F.col("doc_id").alias("_gone")).distinct(), F.col("doc_id") == F.col("_gone"), "left_anti")
-    return left.where(F.col("doc_id").isNotNull() | F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)))
+    net = _learned(docs, docs_per_language)
+    return docs.mapInArrow(partial(_known, net=net, least_score=least_score), docs.schema)

@@ -9,7 +9,6 @@ radius shares a bucket of some of the ``2 ** (radius + 1) - 1`` tables, and no p
 from __future__ import annotations
 
 import random
-from collections import defaultdict
 from functools import partial
 
 import numpy as np
@@ -25,7 +24,7 @@ from tidemark.session import cut_lineage
 BITS = 64
 SEED = 42  # of XXH64 and of the masks
 SMALL_BUCKET = 64  # distinct fingerprints compared pair by pair; larger buckets take another exact way
-SHARD_ROWS = 4096  # rows of a family that one task compares with its leaders
+SHARD_CHARS = 8 << 20  # characters of a family that one task compares with its leaders
 
 
 def covering_masks(radius: int, seed: int = SEED) -> list[int]:
@@ -55,88 +54,102 @@ def shingles(words: list[bytes], n: int) -> list[bytes]:
     return [line[a:b] for a, b in zip(starts[: len(words) - n + 1].tolist(), ends[n - 1 :].tolist(), strict=True)]
 
 
-def majority(features: list[bytes]) -> int:
+def _bits(hashes: np.ndarray) -> int:
     """Fingerprint as a signed long: a bit is set where over half of the hashes have it."""
-    if not features:
-        return 0
-    digest = xxhash.xxh64_intdigest
-    hashes = np.array([digest(f, SEED) for f in features], dtype="<u8")
     ones = np.zeros(BITS, dtype=np.int64)
     for start in range(0, len(hashes), 1 << 16):
-        bits = np.unpackbits(hashes[start : start + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-        ones += bits.sum(axis=0, dtype=np.uint32)
+        part = hashes[start : start + (1 << 16)]
+        ones += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.uint32)
     return int(np.packbits(2 * ones > len(hashes), bitorder="little").view("<i8")[0])
 
 
-def _features(text: str, words: int) -> list[bytes]:
-    found = word_list(text)
-    return shingles(found, words) if words else list(dict.fromkeys(found))
+def _hashes(features: list[bytes]) -> np.ndarray:
+    digest = xxhash.xxh64_intdigest
+    return np.array([digest(f, SEED) for f in features], dtype="<u8")
+
+
+def majority(features: list[bytes]) -> int:
+    return _bits(_hashes(features)) if features else 0
+
+
+def _several(hashes: np.ndarray, n: int) -> list[int]:
+    """``n`` fingerprints of independent bits, by mixing the hashes anew."""
+    out = []
+    for k in range(n):
+        x = hashes + np.uint64((k * 0x9E3779B97F4A7C15) % (1 << 64))
+        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        out.append(_bits(x ^ (x >> np.uint64(31))))
+    return out
 
 
 def _fingerprint(batches: Batches, words: int) -> Batches:
     for batch in batches:
-        values = [majority(_features(t, words)) for t in texts(batch.column("text"))]
+        values = [majority(shingles(word_list(t), words)) for t in texts(batch.column("text"))]
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(values, pa.int64())], names=["doc_id", "fp"])
 
 
 def fingerprints(docs: DataFrame, words: int = 3) -> DataFrame:
-    """``doc_id, fp``: SimHash over all runs of ``words`` words, or over the set of words if 0."""
+    """``doc_id, fp``: SimHash over all runs of ``words`` words."""
     return pick(docs, "doc_id", "text").mapInArrow(partial(_fingerprint, words=words), "doc_id long, fp long")
 
 
-def links(fps: DataFrame, radius: int, exact: bool = True) -> DataFrame:
-    """``a, b``: links that connect all distinct fingerprints ``fp`` within ``radius`` bits.
-
-    Buckets of up to ``SMALL_BUCKET`` fingerprints give their pairs within the radius. Larger ones
-    emit no pairs. With ``exact`` (radius 1 or 2) their members are laid out by every value that
-    differs in one bit at most: those that meet are at most 2 bits apart, two that are at most 2
-    apart do meet, and no such group has more than 65 members, so a star per group gives the same
-    components (for radius 1, values that differ in no bit or in one of them are compared in pairs).
-    Without ``exact`` the members of a large bucket are all linked to its smallest one: a superset,
-    for callers that verify texts themselves.
+def _word_sets(batches: Batches, n: int) -> Batches:
+    for batch in batches:
+        ids, prints = [], []
+        for doc_id, text in zip(batch.column("doc_id").to_pylist(), texts(batch.column("text")), strict=True):
+            found = set(word_list(text))
+            if found and doc_id is not None:
+                ids.append(doc_id)
+                prints.append(_several(_hashes(sorted(found)), n))
+        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(prints, pa.list_(pa.int64()))], names=["doc_id", "fps"])
+
+
+def links(fps: DataFrame, radius: int, near: int | None = None, stars: bool = False) -> DataFrame:
+    """``a, b``: links between ``node`` values that connect all fingerprints ``fp`` of one series ``s``
+    within ``radius`` bits. A node has one fingerprint in a series, and a fingerprint one node.
+
+    Buckets of up to ``SMALL_BUCKET`` fingerprints give their pairs within ``near`` bits (``radius`` by
+    default). Larger ones emit no pairs. For a radius of 1 or 2 their members are laid out by every
+    value that differs in one bit at most: those that meet are at most 2 bits apart, two that are at
+    most 2 apart do meet, and no such group has more than 65 members, so a star per group gives the
+    same components (for radius 1 members of a group are compared in pairs). With ``stars`` the members
+    of a large bucket are all linked to its smallest one: a superset, for callers that verify texts.
     """
-    if exact and radius > 2:
+    if not stars and radius > 2:
         raise ValueError("the exact way for large buckets covers a radius of at most 2")
-    keys = F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(m)) for m in covering_masks(radius)]))
-    laid = fps.select("fp", keys.alias("t", "key"))
-    sizes = laid.groupBy("t", "key").agg(F.count("*").alias("n"), F.min("fp").alias("low")).where("n > 1")
-    shared = laid.join(sizes, ["t", "key"])
-    pairs = (
-        "filter(flatten(transform(m, (x, i) -> transform(slice(m, i + 2, size(m)), y -> struct(x AS a, y AS b)))),"
-        f" p -> bit_count(p.a ^ p.b) <= {radius})"
-    )
-    small = (
-        shared.where(F.col("n") <= SMALL_BUCKET)
-        .groupBy("t", "key")
-        .agg(F.collect_list("fp").alias("m"))
-        .select(F.explode(F.expr(pairs)).alias("p"))
-        .select("p.a", "p.b")
-    )
+    masks = F.array(*[F.col("fp").bitwiseAND(F.lit(m)) for m in covering_masks(radius)])
+    # Few bytes become many rows: spread them before, as adaptive execution would join the parts.
+    spread = fps.select("s", "fp", "node").repartition(partitions(fps))
+    laid = spread.select("s", "fp", "node", F.posexplode(masks).alias("t", "key"))
+    table = ["s", "t", "key"]
+    sizes = laid.groupBy(*table).agg(F.count("*").alias("n"), F.min("node").alias("low")).where("n > 1")
+    shared = laid.join(sizes, table)
+
+    def pairs(limit: int) -> str:
+        both = "flatten(transform(m, (x, i) -> transform(slice(m, i + 2, size(m)), y -> struct(x AS a, y AS b))))"
+        return f"filter({both}, p -> bit_count(p.a.fp ^ p.b.fp) <= {limit})"
+
+    def compared(groups: DataFrame, limit: int) -> DataFrame:
+        return groups.select(F.explode(F.expr(pairs(limit))).alias("p")).select(F.col("p.a.node").alias("a"), F.col("p.b.node").alias("b"))
+
+    members = F.collect_list(F.struct("fp", "node")).alias("m")
+    small = compared(shared.where(F.col("n") <= SMALL_BUCKET).groupBy(*table).agg(members), radius if near is None else near)
     large = shared.where(F.col("n") > SMALL_BUCKET)
-    if not exact:
-        return small.unionAll(large.select(F.col("fp").alias("a"), F.col("low").alias("b"))).distinct()
-    near = [F.col("fp"), *[F.col("fp").bitwiseXOR(F.lit(m)) for m in (*[1 << i for i in range(BITS - 1)], -(1 << 63))]]
+    if stars:
+        return small.unionAll(large.select(F.col("node").alias("a"), F.col("low").alias("b"))).distinct()
+    around = [F.col("fp"), *[F.col("fp").bitwiseXOR(F.lit(m)) for m in (*[1 << i for i in range(BITS - 1)], -(1 << 63))]]
     met = (
-        large.select("fp").distinct().select("fp", F.explode(F.array(*near)).alias("z"))
-        .groupBy("z").agg(F.collect_list("fp").alias("m")).where("size(m) > 1")
+        large.select("s", "fp", "node").distinct().select("s", "fp", "node", F.explode(F.array(*around)).alias("z"))
+        .groupBy("s", "z").agg(members).where("size(m) > 1")
     )
     if radius == 2:
-        star = met.select(F.explode("m").alias("a"), F.array_min("m").alias("b")).where("a <> b")
+        star = met.select(F.explode("m.node").alias("a"), F.array_min("m.node").alias("b")).where("a <> b")
     else:
-        star = met.select(F.explode(F.expr(pairs)).alias("p")).select("p.a", "p.b")
+        star = compared(met, radius)
     return small.unionAll(star).distinct()
 
 
-def _grouped(docs: DataFrame, words: int, radius: int, exact: bool) -> DataFrame:
-    """``doc_id, fp, component_id``."""
-    marked = cut_lineage(fingerprints(docs, words))
-    classes = marked.groupBy("fp").agg(F.min("doc_id").alias("first"))
-    labels = components(links(classes.select("fp"), radius, exact)).withColumnRenamed("node", "fp")
-    rooted = classes.join(labels, "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
-    smallest = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    return marked.join(rooted.join(smallest, "root").select("fp", "component_id"), "fp")
-
-
 def near_duplicates(docs: DataFrame, words: int = 3, radius: int = 2) -> DataFrame:
     """Group of every document: ``doc_id, fingerprint, component_id``.
 
@@ -147,34 +160,74 @@ def near_duplicates(docs: DataFrame, words: int = 3, radius: int = 2) -> DataFra
     reachable over links, the document's own included. Null ids take part but never name a
     component unless all its ids are null. Repeated rows come back repeated; an empty table gives none.
     """
-    found = _grouped(docs, words, radius, exact=True)
+    marked = cut_lineage(fingerprints(docs, words))
+    classes = marked.groupBy("fp").agg(F.min("doc_id").alias("first"))
+    nodes = classes.select(F.lit(0).alias("s"), "fp", F.col("fp").alias("node"))
+    labels = components(links(nodes, radius)).withColumnRenamed("node", "fp")
+    rooted = classes.join(labels, "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
+    smallest = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
+    found = marked.join(rooted.join(smallest, "root").select("fp", "component_id"), "fp")
     hexed = F.lower(F.lpad(F.hex("fp"), 16, "0"))
     return found.select("doc_id", hexed.alias("fingerprint"), "component_id")
 
 
-def _leaders(batches: Batches, words: int, similarity: float) -> Batches:
-    """Of each group of sorted rows, those similar to no earlier row that stays.
+def _families(docs: DataFrame, radius: int, series: int, near: int) -> DataFrame:
+    """``doc_id, family`` of the documents that share a bucket with another one in some series."""
+    marked = cut_lineage(pick(docs, "doc_id", "text").mapInArrow(partial(_word_sets, n=series), "doc_id long, fps array<long>"))
+    nodes = marked.select("doc_id", F.posexplode("fps").alias("s", "fp"))
+    classes = cut_lineage(nodes.groupBy("s", "fp").agg(F.min("doc_id").alias("node"), F.count("*").alias("n")))
+    same = nodes.join(classes.where("n > 1"), ["s", "fp"]).select(F.col("doc_id").alias("a"), F.col("node").alias("b"))
+    found = components(same.unionAll(links(classes, radius, near, stars=True)))
+    return found.select(F.col("node").alias("doc_id"), F.col("root").alias("family"))
+
 
-    Keeps the shingle hashes of the leaders of the current group only.
+class _Leaders:
+    """Shingle sets of the leaders of one group, found by their smallest hashes.
+
+    Sets with a Jaccard similarity of ``similarity`` share one of the ``n - ceil(similarity * n) + 1``
+    smallest hashes of either, so only these are indexed; whole sets decide.
     """
-    current, index, sizes = None, {}, []
+
+    def __init__(self, similarity: float) -> None:
+        self.similarity = similarity
+        self.sets: list[np.ndarray] = []
+        self.index: dict[int, int | list[int]] = {}
+
+    def joins(self, own: np.ndarray) -> bool:
+        """Whether a sorted set of hashes is like a leader; if not, it becomes one."""
+        prefix = own[: len(own) - int(np.ceil(self.similarity * len(own) - 1e-9)) + 1].tolist()
+        seen: set[int] = set()
+        for h in prefix:
+            at = self.index.get(h)
+            for leader in () if at is None else (at,) if isinstance(at, int) else at:
+                if leader not in seen:
+                    seen.add(leader)
+                    shared = len(np.intersect1d(own, self.sets[leader], assume_unique=True))
+                    if shared >= self.similarity * (len(own) + len(self.sets[leader]) - shared) - 1e-9:
+                        return True
+        for h in prefix:
+            at = self.index.get(h)
+            if at is None:
+                self.index[h] = len(self.sets)
+            elif isinstance(at, int):
+                self.index[h] = [at, len(self.sets)]
+            else:
+                at.append(len(self.sets))
+        self.sets.append(own)
+        return False
+
+
+def _leaders(batches: Batches, words: int, similarity: float) -> Batches:
+    """Of each group of sorted rows, those similar to no earlier row that stays."""
+    current, leaders = None, _Leaders(similarity)
     for batch in batches:
         keep = []
         keys = zip(batch.column("family").to_pylist(), batch.column("salt").to_pylist(), strict=True)
         for key, text in zip(keys, texts(batch.column("text")), strict=True):
             if key != current:
-                current, index, sizes = key, defaultdict(list), []
-            own = {xxhash.xxh3_64_intdigest(s) for s in shingles(word_list(text), words)}
-            shared: dict[int, int] = defaultdict(int)
-            for h in own:
-                for leader in index.get(h, ()):
-                    shared[leader] += 1
-            like = any(n >= similarity * (len(own) + sizes[i] - n) for i, n in shared.items())
-            keep.append(not like)
-            if not like:
-                for h in own:
-                    index[h].append(len(sizes))
-                sizes.append(len(own))
+                current, leaders = key, _Leaders(similarity)
+            own = np.array([xxhash.xxh3_64_intdigest(s) for s in shingles(word_list(text), words)], dtype=np.uint64)
+            keep.append(not leaders.joins(np.unique(own)))
         yield batch.filter(pa.array(keep, pa.bool_()))
 
 
@@ -188,26 +241,28 @@ def _pass(rows: DataFrame, words: int, similarity: float, salts) -> DataFrame:
     )
 
 
-def keep_one(docs: DataFrame, words: int = 5, similarity: float = 0.8, radius: int = 5) -> DataFrame:
+def keep_one(
+    docs: DataFrame, words: int = 5, similarity: float = 0.8, radius: int = 2, series: int = 8, near: int = 8
+) -> DataFrame:
     """``docs`` with one document of each group of near copies; all columns stay.
 
-    Candidates are families of documents linked by covering hashing of word-set fingerprints;
-    an edit changes fewer words than shingles, so copies differ in few bits. Within a family the
-    longest document (then the smallest ``doc_id``) leads; a document goes only if its ``words``-word
-    shingles have a Jaccard similarity of ``similarity`` or more with a document that led it. Families
-    of more than ``SHARD_ROWS`` rows are thinned out in salted parts first, each part led by its own
+    Candidates are families of documents linked by covering hashing of word-set fingerprints: an
+    edit changes fewer words than shingles, so copies differ in few bits, and ``series``
+    independent fingerprints leave hardly a pair beyond ``radius`` in all of them. Pairs in a bucket
+    count up to ``near`` bits, which drops chance meetings. Within a family the longest document (then the
+    smallest ``doc_id``) leads; a document goes only if its ``words``-word shingles have a Jaccard
+    similarity of ``similarity`` or more with a document that led it. Families of more than
+    ``SHARD_CHARS`` characters are thinned out in salted parts first, each part led by its own
     leaders, until they fit or stop shrinking. Documents without words stay (they are no copies of
     a text). Rows are told apart by ``doc_id``; rows with a null id always stay.
     """
-    found = _grouped(docs.where("doc_id IS NOT NULL"), 0, radius, exact=False)
-    sizes = found.groupBy("component_id").agg(F.count("*").alias("size")).where("size > 1")
-    families = stored(found.join(sizes, "component_id").select("doc_id", F.col("component_id").alias("family")), "families")
-    ours = pick(docs, "doc_id", "text").where(F.length(F.trim("text")) > 0)
-    members = ours.join(families, "doc_id").select("family", F.length("text").alias("n"), "doc_id", "text")
+    families = stored(_families(docs, radius, series, near), "families")
+    ours = pick(docs, "doc_id", "text").withColumn("n", F.length("text").cast("long"))
+    members = ours.join(families, "doc_id").select("family", "n", "doc_id", "text")
     rows, before = members, None
     while True:
-        counts = rows.groupBy("family").agg(F.ceil(F.count("*") / SHARD_ROWS).alias("parts"))
-        split = counts.where("parts > 1")
+        sizes = rows.select("family", "n").groupBy("family").agg(F.ceil(F.sum("n") / SHARD_CHARS).alias("parts"))
+        split = cut_lineage(sizes.where("parts > 1"))
         left = split.agg(F.sum("parts")).first()[0]
         if not left or (before and left > 0.9 * before):
             break
@@ -215,5 +270,5 @@ def keep_one(docs: DataFrame, words: int = 5, similarity: float = 0.8, radius: i
         rows = stored(_pass(rows.join(split, "family", "left"), words, similarity, salt), "leaders")
         before = left
     leaders = _pass(rows, words, similarity, F.lit(0).cast("long"))
-    gone = members.select("doc_id").join(leaders.select("doc_id"), "doc_id", "left_anti")
+    gone = families.join(leaders.select("doc_id"), "doc_id", "left_anti").select("doc_id")
     return docs.join(gone, "doc_id", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])

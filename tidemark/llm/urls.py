@@ -59,18 +59,17 @@ def path_of(url: Column) -> Column:
     return F.coalesce(F.regexp_extract(url, r"(?s)^.*?://[^/?#]*([^?#]*)", 1), F.lit(""))
 
 
+def _runs(framed: Column, mark: str, n: int) -> Column:
+    """Runs of ``n`` characters with the mark in front; none if the text is shorter."""
+    last = F.length(framed) - (n - 1)
+    found = F.transform(F.sequence(F.lit(1), last), lambda i: F.concat(F.lit(mark), F.substring(framed, i, F.lit(n))))
+    return F.when(last >= 1, found).otherwise(F.array().cast("array<string>"))
+
+
 def _grams(text: Column, mark: str) -> Column:
     """All n-grams of a text between boundary signs, marked with their part of the URL."""
     framed = F.concat(F.lit("^"), text, F.lit("$"))
-    return F.flatten(
-        F.array(*[
-            F.when(
-                F.length(framed) >= n,
-                F.transform(F.sequence(F.lit(1), F.length(framed) - (n - 1)), lambda i, n=n: F.concat(F.lit(mark), F.substring(framed, i, F.lit(n)))),
-            ).otherwise(F.array().cast("array<string>"))
-            for n in GRAMS
-        ])
-    )
+    return F.flatten(F.array(*[_runs(framed, mark, n) for n in GRAMS]))
 
 
 def features(rows: DataFrame, size: int = FEATURES) -> DataFrame:
