@@ -241,10 +241,51 @@ def test_scan_rules(spark):
     ]
 
 
-def test_shuffled_column_is_a_permutation(spark):
+def test_dealt_out_columns_are_permutations(spark):
     df = series(spark, range(50)).select("symbol", "interval", "timestamp", "close", "volume")
-    got = K.shuffled(df, "close").toPandas().sort_values("timestamp")
-    assert sorted(got["close"]) == list(map(float, range(50))) and list(got["close"]) != list(map(float, range(50)))
+    for rows in (7, 65536):
+        got = K.dealt_out(df, ["close", "volume"], rows_per_bucket=rows).orderBy("timestamp").collect()
+        new = [r["_new"]["close"] for r in got]
+        assert sorted(new) == list(map(float, range(50))) and new != [r["close"] for r in got]
+
+
+def test_scoring_loses_no_row(spark):
+    df = series(spark, range(40)).withColumn("x", F.when(F.col("close") >= 5, F.col("close"))).withColumn("y", F.col("close") * 2)
+    model, _ = K.train(df, ["x"], "y", "linear_regression", "regression")
+    got = K.score(model, df).orderBy("timestamp").collect()
+    assert [r["is_fallback"] for r in got] == [True] * 5 + [False] * 35
+    assert all(r["prediction"] == (0 if r["is_fallback"] else pytest.approx(r["y"], abs=0.01)) for r in got)
+
+
+def test_components_lose_no_row(spark):
+    df = spark.createDataFrame([(1.0, 2.0), (None, 4.0), (3.0, None), (4.0, 9.0)], "a double, b double")
+    out, explained = S.reduce_dimensions(df, ["a", "b"], parts=1)
+    assert out.count() == 4 and out.columns == ["a", "b", "components"] and len(explained) == 1
+
+
+def test_short_series_only_train(spark):
+    df = series(spark, range(3)).unionByName(series(spark, range(12)).withColumn("symbol", F.lit("long")))
+    got = K.expanding_folds(df, 5).groupBy("symbol").agg(F.max("fold").alias("m")).collect()
+    assert {r["symbol"]: r["m"] for r in got} == {"long": 5, next(r["symbol"] for r in got if r["symbol"] != "long"): 0}
+
+
+def test_averages_stay_missing_after_a_missing_value(spark):
+    df = series(spark, [10, 10, 20, 10, 10, 10]).withColumn("close", F.when(F.col("close") < 15, F.col("close")))
+    for rows in (None, 2):
+        out = I.ema(df, periods=[3], block_rows=rows).orderBy("timestamp").collect()
+        assert [r["EMA_3"] for r in out] == [10, 10, None, None, None, None]
+    numbered = df.withColumn("symbol", F.lit(7))
+    assert [r["EMA_3"] for r in I.ema(numbered, periods=[3], block_rows=2).orderBy("timestamp").collect()][:2] == [10, 10]
+
+
+def test_request_rates_of_a_window_longer_than_a_bucket(spark):
+    rows = spark.range(60).selectExpr("1 AS user", "timestamp_micros(1700000000000000 + id * 59000000) AS timestamp")
+    assert M.request_rates(rows, 5, seconds=3600, bucket_seconds=600).agg(F.max("n_recent")).first()[0] == 60
+
+
+def test_unknown_interval_labels_raise(spark):
+    with pytest.raises(Exception, match="no interval label"):
+        I.ema(series(spark, range(5)).withColumn("interval", F.lit("tick")), periods=[3]).collect()
 
 
 def test_search_draws_are_seeded():

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from tidemark.catalogue.common import (
     KEY_SQL, NUMBERED, ema_sql, full_sql, hourly_bars, over, result, result_sql, rounded,
 )
 from tidemark.operators import indicators as I
-from tidemark.plans.blocks import with_rows
+from tidemark.plans.blocks import number_rows, with_rows
 
 QUERIES = {}
 SQL = {}
@@ -54,6 +56,18 @@ def sma(spark, d):
     return result(out, [f"SMA_{n}" for n in I.SMA_PERIODS])
 
 
+BROKEN = NUMBERED + """, x AS (SELECT * REPLACE (CASE WHEN hour("timestamp") <> 3 OR rn <= 40 THEN "close" END AS "close") FROM b)"""
+WHOLE = f"CASE WHEN count(*) FILTER (\"close\" IS NULL) {over()} = 0 THEN "
+
+
+@query(result_sql(BROKEN, {f"EMA_{n}": f"{WHOLE}{ema_sql(chr(34) + 'close' + chr(34), n)} END" for n in I.EMA_PERIODS}, source="x"))
+def ema_missing(spark, d):
+    """After the first missing close the average stays missing."""
+    bars = number_rows(hourly_bars(spark, d))
+    bars = bars.withColumn("close", F.when((F.hour("timestamp") != 3) | (F.col("_rn") <= 40), F.col("close")))
+    return result(I.ema(bars), [f"EMA_{n}" for n in I.EMA_PERIODS])
+
+
 @query(result_sql(NUMBERED, {f"EMA_{n}": ema_sql('"close"', n) for n in I.EMA_PERIODS}))
 def ema(spark, d):
     return result(I.ema(hourly_bars(spark, d)), [f"EMA_{n}" for n in I.EMA_PERIODS])

@@ -48,7 +48,7 @@ def chronological_split(spark, d):
 
 
 @query(f"""WITH {NUMBERED}, n AS (SELECT *, count(*) OVER (PARTITION BY symbol) AS n FROM b)
-  SELECT symbol, "interval", "timestamp", greatest(0, 5 - (n - rn) // (n // 6))::INTEGER AS fold FROM n""")
+  SELECT symbol, "interval", "timestamp", CASE WHEN n < 6 THEN 0 ELSE greatest(0, 5 - (n - rn) // (n // 6)) END::INTEGER AS fold FROM n""")
 def expanding_folds(spark, d):
     return K.expanding_folds(hourly_bars(spark, d), 5).select(*KEYS, "timestamp", "fold")
 
@@ -150,26 +150,36 @@ def algorithm_ranking(spark, d):
 
 @query()
 def train_classifier(spark, d):
-    model, scored = K.train(training_rows(spark, d), COLUMNS, "target_direction_1", "random_forest", numTrees=10, maxDepth=4)
-    return K.score(model, scored.drop("features", "_raw", "prediction", "probability", "rawPrediction")).select(*KEYS, "timestamp", "prediction", "confidence")
+    model, scored = K.train(training_rows(spark, d), COLUMNS, "target_direction_1", "random_forest", numTrees=100, maxDepth=5)
+    return K.score(model, scored.select(*KEYS, "timestamp", *COLUMNS)).select(*KEYS, "timestamp", "prediction", "confidence")
+
+
+@query(f"""WITH {NUMBERED}, p AS (SELECT symbol, lag("close", 10) OVER (PARTITION BY symbol ORDER BY "timestamp") AS p10 FROM b)
+  SELECT symbol, count(*) AS n_rows, count(*) FILTER (p10 IS NULL OR p10 = 0) AS n_fallback FROM p GROUP BY symbol""")
+def scored_rows(spark, d):
+    """Scoring gives a row for every bar; those in the warm-up of a feature are flagged."""
+    rows = training_rows(spark, d)
+    model, _ = K.train(rows, COLUMNS[:2], "target_return_1", "linear_regression", "regression")
+    scored = K.score(model, rows.select(*KEYS, "timestamp", *COLUMNS[:2]))
+    return scored.groupBy("symbol").agg(F.count("*").alias("n_rows"), F.count_if("is_fallback").alias("n_fallback"))
 
 
 @query()
 def train_regressor(spark, d):
-    _, scored = K.train(training_rows(spark, d), COLUMNS, "target_return_1", "ridge", "regression")
-    return K.regression_metrics(scored, "target_return_1")
+    _, rmse = K.train_regression(training_rows(spark, d), COLUMNS, "target_return_1", "ridge")
+    return spark.range(1).select(F.lit(rmse).alias("rmse"))
 
 
 @query()
 def cross_validation(spark, d):
-    return K.cross_validate(training_rows(spark, d), COLUMNS, "target_direction_1", "logistic_regression", k=3)
+    return K.cross_validate(training_rows(spark, d), COLUMNS, "target_direction_1", "logistic_regression")
 
 
 @query()
 def permutation_importance(spark, d):
     model, scored = K.train(training_rows(spark, d), COLUMNS, "target_direction_1", "logistic_regression")
     rows = scored.select(*KEYS, "timestamp", *COLUMNS, "target_direction_1")
-    return K.permutation_importance(model, rows, COLUMNS[:2], "target_direction_1")
+    return K.permutation_importance(model, rows, COLUMNS, "target_direction_1")
 
 
 @query()
@@ -180,4 +190,4 @@ def partial_dependence(spark, d):
 
 @query()
 def parameter_search(spark, d):
-    return K.search(training_rows(spark, d), COLUMNS, "target_direction_1", ["logistic_regression"], trials=2, k=2)
+    return K.search(training_rows(spark, d), COLUMNS, "target_direction_1", list(K.SEARCH_SPACES), trials=3)

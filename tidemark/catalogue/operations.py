@@ -249,7 +249,7 @@ def redact_props(spark, d):
   count(*) OVER (PARTITION BY user_id ORDER BY epoch_us(ts) RANGE BETWEEN 3599999999 PRECEDING AND CURRENT ROW) > 2 AS over_limit FROM events""")
 def request_rates(spark, d):
     r = table(spark, d, "events").select("event_id", F.col("user_id").alias("user"), F.col("ts").alias("timestamp"))
-    return M.request_rates(r, 2, seconds=3600, bucket_seconds=86400).drop("timestamp")
+    return M.request_rates(r, 2, seconds=3600, bucket_seconds=600).drop("timestamp")
 
 
 @query()

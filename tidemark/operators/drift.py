@@ -159,7 +159,7 @@ def rollup(results: DataFrame) -> DataFrame:
 
 def history_summary(history: DataFrame, as_of: str, hours: float = 24, top: int = 10) -> DataFrame:
     """Drift rate of each feature in the last hours, the ``top`` most frequent first."""
-    cut = F.lit(as_of).cast("timestamp") - F.make_dt_interval(hours=F.lit(int(hours)))
+    cut = F.lit(as_of).cast("timestamp") - F.make_dt_interval(secs=F.lit(hours * 3600))
     recent = history.where(F.col("timestamp") >= cut)
     rates = recent.groupBy("feature").agg(
         F.count("*").alias("n_tests"), F.count_if("drift_detected").alias("n_drift"),

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Mapping, Sequence
 
 import pyarrow as pa
@@ -254,9 +255,10 @@ def request_rates(requests: DataFrame, limit: int, seconds: int = 60, bucket_sec
     """Requests of the same user in the trailing window, and whether they exceed the limit.
 
     Rows are grouped by user and time bucket; rows near the end of a bucket are
-    copied to the next one, so a busy user spreads over many tasks.
+    copied to the next one, so a busy user spreads over many tasks. A bucket is at
+    least as long as the window, so one copy always suffices.
     """
-    us, span, width = micros("timestamp"), seconds * 1_000_000, bucket_seconds * 1_000_000
+    us, span, width = micros("timestamp"), seconds * 1_000_000, max(bucket_seconds, seconds) * 1_000_000
     home = F.floor(F.col("_us") / width)
     copies = F.array_compact(F.array(home, F.when(F.col("_us") % width > width - span, home + 1)))
     frame = requests.withColumn("_us", us).withColumn("_home", home).withColumn("_bkt", F.explode(copies))
@@ -274,14 +276,15 @@ def request_decisions(requests: DataFrame, limit: int, seconds: int = 60, bucket
     span = seconds * 1_000_000
 
     def walk(table: pa.Table, state: dict | None) -> tuple[list[bool], dict]:
-        recent = list(state["recent"]) if state else []
+        recent = deque(state["recent"] if state else ())
         out = []
         for now in table["_us"].to_pylist():
-            recent = [t for t in recent if t > now - span]
+            while recent and recent[0] <= now - span:
+                recent.popleft()
             out.append(len(recent) < limit)
             if out[-1]:
                 recent.append(now)
-        return out, {"recent": recent}
+        return out, {"recent": list(recent)}
 
     decided = settle(blocks, walk, "recent array<bigint>", "allowed", "boolean", ["_us"], ["user"])
     return plain(decided).drop("_us")

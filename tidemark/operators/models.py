@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import random
 from collections.abc import Mapping, Sequence
+from multiprocessing.pool import ThreadPool
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml import classification as C
 from pyspark.ml import regression as R
 from pyspark.ml.evaluation import RegressionEvaluator
-from pyspark.ml.feature import StandardScaler, VectorAssembler
+from pyspark.ml.feature import SQLTransformer, StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -25,6 +26,9 @@ TRAIN_SHARE = 0.8
 LOWER_IS_BETTER = ["rmse", "mae"]
 GRID_POINTS = 20
 
+AT_ONCE = 4  # trials of a search
+FILLED = "_filled_"  # prefix of feature columns without missing values
+
 CLASSIFIERS = {
     "random_forest": lambda **p: C.RandomForestClassifier(seed=SEED, **p),
     "gradient_boosting": lambda **p: C.GBTClassifier(seed=SEED, **p),
@@ -62,23 +66,23 @@ def _sized(df: DataFrame) -> DataFrame:
 
 
 def pipeline(name: str, columns: Sequence[str], label: str, task: str = "classification", **params) -> Pipeline:
+    """Steps of a model. Missing features count as 0, so no row is lost; see :func:`score` for the flag."""
     kinds = CLASSIFIERS if task == "classification" else REGRESSORS
     if name not in kinds:
         raise ValueError(f"unknown model {name!r}")
     learner = kinds[name](featuresCol="features", labelCol=label, **params)
+    filled = ", ".join(f"coalesce(`{c}`, 0D) AS `{FILLED}{c}`" for c in columns)
     return Pipeline(stages=[
-        VectorAssembler(inputCols=list(columns), outputCol="_raw", handleInvalid="skip"),
+        SQLTransformer(statement=f"SELECT *, {filled} FROM __THIS__"),
+        VectorAssembler(inputCols=[f"{FILLED}{c}" for c in columns], outputCol="_raw"),
         StandardScaler(inputCol="_raw", outputCol="features", withMean=True), learner,
     ])
 
 
 def train(df: DataFrame, columns: Sequence[str], label: str, name: str, task: str = "classification", **params):
     """Fit on the first 80% of each series; returns the model and the scored test rows."""
-    split = chronological_split(df.select(*KEYS, "timestamp", label, *columns).dropna()).persist()
-    try:
-        model = pipeline(name, columns, label, task, **params).fit(split.where("is_train"))
-    finally:
-        split.unpersist()
+    split = cut_lineage(chronological_split(df.select(*KEYS, "timestamp", label, *columns).dropna()))
+    model = pipeline(name, columns, label, task, **params).fit(split.where("is_train"))
     return model, model.transform(split.where("NOT is_train"))
 
 
@@ -138,9 +142,10 @@ def expanding_folds(df: DataFrame, k: int = 5) -> DataFrame:
     """Test fold of every row (1..k), or 0 for the rows only used for training.
 
     The last k blocks of n div (k + 1) rows are the folds; each trains on all earlier rows.
+    A series of k rows or fewer is too short for folds and only trains.
     """
     size = F.floor(F.col("_n") / (k + 1))
-    from_end = F.floor((F.col("_n") - F.col("_rn")) / size)
+    from_end = F.coalesce(F.floor(F.try_divide(F.col("_n") - F.col("_rn"), size)), F.lit(k))
     return _sized(df).withColumn("fold", F.greatest(F.lit(0), k - from_end).cast("int")).drop("_n")
 
 
@@ -199,28 +204,36 @@ def native_importance(model: PipelineModel, columns: Sequence[str]) -> dict[str,
     return {c: float(v / top) for c, v in zip(columns, values)}
 
 
-def shuffled(df: DataFrame, column: str, seed: int = SEED, buckets: int = 4096) -> DataFrame:
-    """``df`` with the values of one column dealt out anew, by joining two hash orders."""
+def dealt_out(df: DataFrame, columns: Sequence[str], seed: int = SEED, rows_per_bucket: int = 65536) -> DataFrame:
+    """``df`` with ``_new``, a struct of ``columns`` taken from another row.
+
+    Both sides are numbered once in a hash order and joined once, whatever the number of columns.
+    """
+    buckets = max(1, -(-df.count() // rows_per_bucket))
+
     def ordered(frame: DataFrame, salt: int) -> DataFrame:
         keyed = frame.withColumn("_one", F.lit(0)).withColumn("_h", F.xxhash64(*[F.col(c) for c in KEYS], "timestamp", F.lit(salt)))
-        keyed = keyed.withColumn("_hb", F.pmod("_h", F.lit(buckets)))
+        # Buckets follow the hash, so their order is the order of the hash.
+        share = (F.col("_h").cast("double") + 2.0**63) / 2.0**64
+        keyed = keyed.withColumn("_hb", F.floor(share * buckets))
         return number_rows(keyed, ["_one"], order=["_h"], bucket=F.col("_hb")).drop("_one", "_h", "_hb")
 
     base = ordered(df.drop("_rn"), seed)
-    other = ordered(df.select(*KEYS, "timestamp", column), seed + 1).select("_rn", F.col(column).alias("_new"))
-    return base.join(other, "_rn").drop("_rn", column).withColumnRenamed("_new", column)
+    other = ordered(df.select(*KEYS, "timestamp", *columns), seed + 1).select("_rn", F.struct(*columns).alias("_new"))
+    return base.join(other, "_rn").drop("_rn")
 
 
 def permutation_importance(
     model: PipelineModel, df: DataFrame, columns: Sequence[str], label: str, task: str = "classification", seed: int = SEED
 ) -> DataFrame:
-    """Loss of accuracy (or R squared) when a column is shuffled. The rows are read once per column."""
-    df = cut_lineage(df)
+    """Loss of accuracy (or R squared) when a column takes the values of other rows."""
+    pairs = cut_lineage(dealt_out(cut_lineage(df), columns, seed))
     value, measure = ("accuracy", classification_metrics) if task == "classification" else ("r2", regression_metrics)
-    base = measure(model.transform(df), label).select(F.col(value).alias("base"))
+    base = measure(model.transform(pairs), label).select(F.col(value).alias("base"))
     parts = None
     for c in columns:
-        part = measure(model.transform(shuffled(df, c, seed)), label).select(F.lit(c).alias("feature"), F.col(value).alias("v"))
+        changed = pairs.withColumn(c, F.col("_new")[c])
+        part = measure(model.transform(changed), label).select(F.lit(c).alias("feature"), F.col(value).alias("v"))
         parts = part if parts is None else parts.unionByName(part)
     return parts.withColumn("importance", base.scalar() - F.col("v")).drop("v")
 
@@ -263,14 +276,21 @@ def search(
     df: DataFrame, columns: Sequence[str], label: str, names: Sequence[str], trials: int = 10, k: int = 3,
     metric: str = "accuracy", task: str = "classification", seed: int = SEED, spaces: Mapping = SEARCH_SPACES,
 ) -> DataFrame:
-    """One row per trial: algorithm, parameters and the cross-validated score."""
+    """One row per trial: algorithm, parameters and the cross-validated score.
+
+    Trials are independent Spark jobs, a few of which run at a time.
+    """
     data = cut_lineage(number_rows(df.select(*KEYS, "timestamp", label, *columns).dropna()))
-    history = []
-    for name in names:
-        for i, params in enumerate(draws(spaces[name], trials, seed)):
-            found = cross_validate(data, columns, label, name, task, k, **params)
-            score = found.where(F.col("metric") == metric).first()["mean"]
-            history.append((name, i, {p: str(v) for p, v in params.items()}, float(score)))
+
+    def run(trial: tuple[str, int, dict]) -> tuple:
+        name, i, params = trial
+        found = cross_validate(data, columns, label, name, task, k, **params)
+        score = found.where(F.col("metric") == metric).first()["mean"]
+        return name, i, {p: str(v) for p, v in params.items()}, float(score)
+
+    todo = [(name, i, params) for name in names for i, params in enumerate(draws(spaces[name], trials, seed))]
+    with ThreadPool(AT_ONCE) as pool:
+        history = pool.map(run, todo)
     return df.sparkSession.createDataFrame(history, "model string, trial int, params map<string,string>, score double")
 
 
@@ -284,11 +304,18 @@ def rank_algorithms(trials: DataFrame) -> DataFrame:
 
 
 def score(model: PipelineModel, df: DataFrame) -> DataFrame:
-    """Predictions with the highest class probability as confidence."""
-    out = model.transform(df)
+    """One row per input row: prediction, highest class probability as confidence, and ``is_fallback``.
+
+    Rows with a missing feature get the fallback prediction 0 and no confidence.
+    """
+    columns = [c.removeprefix(FILLED) for c in model.stages[1].getInputCols()]
+    valid = F.lit(True)
+    for c in columns:
+        valid = valid & F.col(f"`{c}`").isNotNull()
+    out = with_fallback(model.transform(df), valid, F.col("prediction"))
     if "probability" in out.columns:
-        out = out.withColumn("confidence", F.array_max(vector_to_array("probability")))
-    return out
+        out = out.withColumn("confidence", F.when(~F.col("is_fallback"), F.array_max(vector_to_array("probability"))))
+    return out.drop(*[f"{FILLED}{c}" for c in columns])
 
 
 def with_fallback(df: DataFrame, valid: Column, prediction: Column) -> DataFrame:

@@ -200,12 +200,15 @@ def eliminate(df: DataFrame, columns: Sequence[str], label: str, keep: int, task
 def reduce_dimensions(df: DataFrame, columns: Sequence[str], parts: int | None = None, share: float = PCA_SHARE):
     """Principal components of centred columns; as many as explain ``share`` unless given.
 
+    Missing values count as 0, so every row gets its components.
     Returns the frame with array column ``components`` and the explained shares.
     The sign of a component is free: the largest loading is made positive.
     """
     k = parts or len(columns)
+    zeros = [F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(f"_zero_{c}") for c in columns]
+    df = df.select("*", *zeros)
     steps = Pipeline(stages=[
-        VectorAssembler(inputCols=list(columns), outputCol="_raw", handleInvalid="skip"),
+        VectorAssembler(inputCols=[f"_zero_{c}" for c in columns], outputCol="_raw"),
         StandardScaler(inputCol="_raw", outputCol="_centred", withMean=True, withStd=False),
         PCA(k=k, inputCol="_centred", outputCol="_pc"),
     ])
@@ -219,7 +222,7 @@ def reduce_dimensions(df: DataFrame, columns: Sequence[str], parts: int | None =
     signs = [float(np.sign(loadings[np.argmax(np.abs(loadings[:, j])), j]) or 1.0) for j in range(k)]
     out = model.transform(df).withColumn("_pc", vector_to_array("_pc"))
     out = out.withColumn("components", F.array(*[F.col("_pc")[j] * signs[j] for j in range(k)]))
-    return out.drop("_raw", "_centred", "_pc"), explained[:k].tolist()
+    return out.drop("_raw", "_centred", "_pc", *[f"_zero_{c}" for c in columns]), explained[:k].tolist()
 
 
 def _names(selected: DataFrame) -> list[str]:

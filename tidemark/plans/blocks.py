@@ -33,11 +33,12 @@ _UNIT_SECONDS = {"s": 1, "m": 60, "h": 3600, "d": 86400, "w": 604800, "M": 25920
 
 
 def interval_seconds(interval: Column) -> Column:
-    """Length of an interval label such as ``15m`` in seconds."""
+    """Length of an interval label such as ``15m`` in seconds; other labels raise."""
     unit = F.regexp_extract(interval, r"([smhdwM])$", 1)
     size = F.regexp_extract(interval, r"^(\d+)", 1).try_cast("long")
     seconds = F.create_map(*[F.lit(x) for pair in _UNIT_SECONDS.items() for x in pair])
-    return F.coalesce(F.try_element_at(seconds, unit) * size, F.lit(3600))
+    unknown = F.raise_error(F.concat(F.lit("no interval label such as 15m: "), F.coalesce(interval, F.lit("NULL")))).cast("long")
+    return F.coalesce(F.try_element_at(seconds, unit) * size, unknown)
 
 
 def bar_bucket(timestamp: str = "timestamp", interval: str = "interval") -> Column:
@@ -214,7 +215,8 @@ def recurrences(
 ) -> DataFrame:
     """First-order recurrences ``y = a * y_prev + b`` with constant ``a`` in [0, 1).
 
-    ``specs`` maps a name to ``(b, a)``. Inside a run of ``SUB_ROWS`` rows the
+    ``specs`` maps a name to ``(b, a)``. From the first missing ``b`` of a series on, ``y`` is missing:
+    it travels as NaN through all sums. Inside a run of ``SUB_ROWS`` rows the
     solution is a scaled running sum, ``a**i * sum(b_j * a**-j)``, evaluated by
     a window; runs are short enough for ``a**-j`` to stay finite. The value at
     the start of each run comes from a table with one row per run.
@@ -229,7 +231,7 @@ def recurrences(
         length //= 2
     frame = df.select(
         "*",
-        *[b.cast("double").alias(f"_b_{n}") for n, (b, _) in specs.items()],
+        *[F.coalesce(b.cast("double"), F.lit(float("nan"))).alias(f"_b_{n}") for n, (b, _) in specs.items()],
         ((F.col("_rn") - 1) % length).alias("_pos"),
         F.floor((F.col("_rn") - 1) / length).alias("_sub"),
     )
@@ -251,14 +253,15 @@ def recurrences(
     solved = {n: f"_b_{n}" for n in decays} | {
         n: f"pow({a!r}D, _pos) * _l_{n} + pow({a!r}D, _pos + 1) * _start.{n}" for n, a in live.items()
     }
-    return local.select(*df.columns, *[F.expr(f"{e} AS {n}") for n, e in solved.items()])
+    return local.select(*df.columns, *[F.expr(f"nullif({e}, double('NaN')) AS {n}") for n, e in solved.items()])
 
 
 def _carry(runs: DataFrame, keys: list[str], decays: dict[str, float]) -> DataFrame:
     """Value of each recurrence just before every run, in two levels."""
     names = list(decays)
+    types = dict(runs.dtypes)
     schema = lambda *index: ", ".join(
-        [f"{k} string" for k in keys] + [f"{i} long" for i in index] + [f"{n} double" for n in names]
+        [f"`{k}` {types[k]}" for k in keys] + [f"{i} long" for i in index] + [f"{n} double" for n in names]
     )
     up = runs.withColumn("_sup", F.floor(F.col("_sub") / FAN_OUT))
     tops = up.groupBy(*keys, "_sup").agg(

@@ -73,7 +73,10 @@ def load_database(
 
 
 def load_many(spark: SparkSession, pattern: str | Sequence[str], fmt: str = "parquet", skip_bad: bool = True) -> DataFrame:
-    """All files of a pattern, columns matched by name, with the file stem as ``source_file``."""
+    """All files of a pattern, columns matched by name, with the file stem as ``source_file``.
+
+    With ``skip_bad`` unreadable files give no rows; :func:`files_without_rows` names them.
+    """
     if fmt not in FORMATS:
         raise ValueError(f"unsupported format {fmt!r}")
     reader = spark.read.format(fmt).option("ignoreCorruptFiles", skip_bad)
@@ -82,6 +85,14 @@ def load_many(spark: SparkSession, pattern: str | Sequence[str], fmt: str = "par
     return reader.load(pattern).select("*", stem.alias("source_file"))
 
 
+def files_without_rows(loaded: DataFrame, pattern: str | Sequence[str]) -> DataFrame:
+    """``source_file`` and ``bytes`` of the files of a pattern that gave :func:`load_many` no rows: unreadable or empty ones."""
+    listed = loaded.sparkSession.read.format("binaryFile").load(pattern)
+    name = F.regexp_replace(F.element_at(F.split("path", "/"), -1), r"\.[^.]*$", "")
+    found = listed.select(F.url_decode(name).alias("source_file"), F.col("length").alias("bytes"))
+    return found.join(loaded.select("source_file").distinct(), "source_file", "left_anti")
+
+
 def load_symbols(bars: DataFrame, symbols: Sequence[str], start: str, end: str) -> DataFrame:
     """Bars of several symbols in a time range; an unknown symbol has no rows."""
     stamp = lambda s: F.lit(s).cast("timestamp")
