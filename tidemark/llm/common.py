@@ -9,6 +9,7 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -38,6 +39,17 @@ def texts(column: pa.ChunkedArray | pa.Array) -> list[str]:
     return [x or "" for x in column.to_pylist()]
 
 
+def blocks(column: pa.Array, limit: int) -> Iterator[tuple[int, int]]:
+    """Ranges of rows of about ``limit`` bytes of text, one row at least, to bound what a task holds."""
+    sizes = pc.fill_null(pc.binary_length(column), 0).to_pylist()
+    start, size = 0, 0
+    for i, n in enumerate(sizes):
+        size += n
+        if size >= limit or i == len(sizes) - 1:
+            yield start, i + 1
+            start, size = i + 1, 0
+
+
 def scratch_root() -> str | None:
     """Where a task may spill: the folders Spark assigns to executors for shuffle and spill
     files. A spill belongs to one task, is deleted with it and is written anew by a retry."""

@@ -24,14 +24,15 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import Batches, Remembered, kept_by_worker, partitions, pick, stored, texts
+from tidemark.llm.common import Batches, Remembered, blocks, kept_by_worker, partitions, pick, stored, texts
 
 END_ID = 1
 BLOCK_IDS = 1 << 17
 SHARD_IDS = 1 << 19
 LEAST_USES = 4  # a rule costs two symbols and a length
 LEAST_GAIN = 0.03  # a round that shortens a block by less is the last
-CACHED = 400_000
+CACHED = 250_000  # parts of text a worker remembers, and as many old ones
+BLOCK_BYTES = 1 << 20  # of text that is encoded at once
 
 MAGIC = b"TIDEIDS1"
 _SHARD = "<8sIIQ"  # magic, documents, blocks, ids
@@ -273,15 +274,6 @@ FILES = "part int, shard int, first long, n_ids long, n_docs long, file binary"
 _FILES = pa.schema([("part", pa.int32()), ("shard", pa.int32()), ("first", pa.int64()), ("n_ids", pa.int64()), ("n_docs", pa.int64()), ("file", pa.binary())])
 
 
-def _groups(items: list[str], limit: int = 1 << 21):
-    start, size = 0, 0
-    for i, t in enumerate(items):
-        size += len(t)
-        if size > limit or i == len(items) - 1:
-            yield start, i + 1
-            start, size = i + 1, 0
-
-
 def _write(batches: Batches, path: str | None) -> Batches:
     part = TaskContext.get().partitionId()
     encoder, end = tokens(path), np.array([END_ID], dtype="<u4").tobytes()
@@ -297,9 +289,10 @@ def _write(batches: Batches, path: str | None) -> Batches:
         )
 
     for batch in batches:
-        doc_ids, items = batch.column("doc_id").to_pylist(), texts(batch.column("text"))
-        for a, b in _groups(items):
-            for doc_id, raw in zip(doc_ids[a:b], encoder.encode_all(items[a:b]), strict=True):
+        doc_ids = batch.column("doc_id").to_pylist()
+        for a, b in blocks(batch.column("text"), BLOCK_BYTES):
+            found = encoder.encode_all(texts(batch.column("text").slice(a, b - a)))
+            for doc_id, raw in zip(doc_ids[a:b], found, strict=True):
                 names.append(doc_id)
                 raws.append(raw + end)
                 size += len(raw) // 4 + 1

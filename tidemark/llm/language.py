@@ -19,11 +19,12 @@ import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import Batches, pick, texts
+from tidemark.llm.common import Batches, blocks, pick, texts
 
 WINDOW = 64  # bytes read together
 HIDDEN = 8  # units per direction
 LANES = 1024  # windows that move together
+BLOCK_BYTES = 2 << 20  # of text that is cut into windows at once
 PAD = 256  # symbol behind the end of a text
 UNDETERMINED = "und"
 
@@ -238,23 +239,12 @@ def position_labels(net: Network, text: str) -> list[tuple[int, int, str]]:
     return [(a, b, net.languages[flat[a]]) for a, b in zip(edges, edges[1:], strict=False)]
 
 
-def _blocks(items: list[str], limit: int = 4 << 20) -> Iterator[tuple[int, int]]:
-    """Ranges of texts of about ``limit`` characters, to bound the memory of a batch."""
-    start, size = 0, 0
-    for i, t in enumerate(items):
-        if size > limit:
-            yield start, i
-            start, size = i, 0
-        size += len(t)
-    if start < len(items):
-        yield start, len(items)
-
-
-def _verdicts(net: Network | None, items: list[str]) -> Iterator[tuple[str, float]]:
-    """Language and score of every text."""
-    for a, b in _blocks(items):
-        found = probabilities(net, items[a:b]) if net else None
-        for i, text in enumerate(items[a:b]):
+def _verdicts(net: Network | None, column: pa.Array) -> Iterator[tuple[str, float]]:
+    """Language and score of every text of a column."""
+    for a, b in blocks(column, BLOCK_BYTES):
+        items = texts(column.slice(a, b - a))
+        found = probabilities(net, items) if net else None
+        for i, text in enumerate(items):
             if found is None or not _LETTER.search(text):
                 yield UNDETERMINED, 0.0
             else:
@@ -264,7 +254,7 @@ def _verdicts(net: Network | None, items: list[str]) -> Iterator[tuple[str, floa
 
 def _predict(batches: Batches, net: Network | None) -> Batches:
     for batch in batches:
-        found = list(_verdicts(net, texts(batch.column("text"))))
+        found = list(_verdicts(net, batch.column("text")))
         yield pa.RecordBatch.from_arrays(
             [batch.column("doc_id"), batch.column("held_out"), pa.array([n for n, _ in found], pa.string()), pa.array([s for _, s in found], pa.float64())],
             names=["doc_id", "held_out", "lang_pred", "score"],
@@ -289,8 +279,7 @@ def identify(docs: DataFrame, docs_per_language: int = DOCS_PER_LANGUAGE) -> Dat
 
 def _known(batches: Batches, net: Network | None, least_score: float) -> Batches:
     for batch in batches:
-        items = texts(batch.column("text"))
-        keep = [name != UNDETERMINED and score >= least_score for name, score in _verdicts(net, items)]
+        keep = [name != UNDETERMINED and score >= least_score for name, score in _verdicts(net, batch.column("text"))]
         yield batch.filter(pa.array(keep, pa.bool_()))
 
 

@@ -21,13 +21,13 @@ import pyarrow as pa
 
 from pyspark.sql import DataFrame
 
-from tidemark.llm.common import Batches, Remembered, kept_by_worker, pick, texts
+from tidemark.llm.common import Batches, Remembered, blocks, kept_by_worker, pick, texts
 
 SPACE = "▁"  # stands for a blank inside pieces
 LONG = 256  # characters of a segment from which a heap is used
 TOGETHER = 8192  # segments whose agendas advance together
-CACHED = 400_000  # segments a worker remembers, and as many old ones
-BLOCK_CHARS = 2 << 20  # characters that are cut into segments at once
+CACHED = 250_000  # segments a worker remembers, and as many old ones
+BLOCK_CHARS = 1 << 20  # bytes of text that are worked on at once
 BARRIER = "\ue000"  # a character no vocabulary joins with others; fences a segment for the check
 NONE = np.iinfo(np.int64).max
 
@@ -237,20 +237,14 @@ class Vocabulary:
     def encode(self, items: list[str], check: bool = True) -> list[np.ndarray]:
         """Ids of every text, end id included."""
         end = np.array([self.end], dtype="<i4").tobytes()
-        out, start, size = [], 0, 0
-        for k, text in enumerate(items):
-            size += len(text)
-            if size <= BLOCK_CHARS and k < len(items) - 1:
-                continue
-            rows = [self.segments(t) for t in items[start : k + 1]]
-            known = self.known
-            new = known.missing(rows)
-            if new:
-                self.learn(sorted(new), check)
-            out += [np.frombuffer(b"".join([known[s] for s in r]) + end, dtype="<i4") for r in rows]
-            known.age()
-            start, size = k + 1, 0
-        return out
+        rows = [self.segments(t) for t in items]
+        known = self.known
+        new = known.missing(rows)
+        if new:
+            self.learn(sorted(new), check)
+        ids = [np.frombuffer(b"".join([known[s] for s in r]) + end, dtype="<i4") for r in rows]
+        known.age()
+        return ids
 
 
 def vocabulary(path: str | None) -> Vocabulary:
@@ -265,25 +259,13 @@ def vocabulary(path: str | None) -> Vocabulary:
 def _encode(batches: Batches, path: str | None, check: bool) -> Batches:
     vocab = vocabulary(path)
     for batch in batches:
-        ids = vocab.encode(texts(batch.column("text")), check)
-        for a, b in _ranges([len(i) for i in ids], 4 << 20):
-            offsets = np.concatenate(([0], np.cumsum([len(i) for i in ids[a:b]]))).astype(np.int32)
-            values = np.concatenate(ids[a:b]) if b > a else np.zeros(0, np.int32)
-            lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(values, pa.int32()))
+        for a, b in blocks(batch.column("text"), BLOCK_CHARS):
+            ids = vocab.encode(texts(batch.column("text").slice(a, b - a)), check)
+            offsets = np.concatenate(([0], np.cumsum([len(i) for i in ids]))).astype(np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate(ids), pa.int32()))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, b - a), lists], names=["doc_id", "ids"])
 
 
-def _ranges(sizes: list[int], limit: int):
-    start, total = 0, 0
-    for i, n in enumerate(sizes):
-        if total + n > limit and i > start:
-            yield start, i
-            start, total = i, 0
-        total += n
-    if start < len(sizes):
-        yield start, len(sizes)
-
-
 def _decode(batches: Batches, path: str | None) -> Batches:
     library = vocabulary(path).library
     for batch in batches:
