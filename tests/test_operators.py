@@ -21,6 +21,7 @@ from tidemark.operators import models as K
 from tidemark.operators import quality as Q
 from tidemark.operators import selection as S
 from tidemark.plans.blocks import plain, with_rows
+from tidemark.session import cut_lineage
 
 START = dt.datetime(2024, 1, 1)
 
@@ -232,6 +233,46 @@ def test_alert_cycle_is_the_same_in_small_blocks(spark, sf_dir):
     assert run(None) == run(8)
 
 
+def alert_states(rows, rest):
+    """Walk over (time, hit) in order."""
+    active, fired, out = False, None, []
+    for now, hit in rows:
+        if fired is not None and now - fired < rest:
+            out.append("cooldown")
+        elif hit:
+            active, fired = True, now
+            out.append("triggered")
+        else:
+            out.append("resolved" if active else "quiet")
+            active = False
+    return out
+
+
+@pytest.mark.parametrize("rest", [0, 3, 50, 100000])
+def test_alert_cycle_against_a_walk(spark, rest):
+    rng = np.random.default_rng(rest)
+    times = np.unique(rng.integers(0, 3000, 500)).tolist()
+    hits = {n: rng.random(len(times)) < share for n, share in (("a", 0.1), ("b", 0.9), ("c", 0.0))}
+    rows = [(n, START + dt.timedelta(seconds=t), float(h)) for n, own in hits.items() for t, h in zip(times, own.tolist())]
+    metrics = spark.createDataFrame(rows, "name string, timestamp timestamp, value double")
+    rules = spark.createDataFrame([(f"r{n}", n, "gt", 0.5, True) for n in hits], "rule string, metric string, condition string, threshold double, enabled boolean")
+    got = M.alert_cycle(metrics, rules, rest, bucket_seconds=400, block_rows=64).orderBy("rule", "timestamp").collect()
+    for n, own in hits.items():
+        assert [r["state"] for r in got if r["rule"] == f"r{n}"] == alert_states(list(zip(times, own.tolist())), rest)
+
+
+def test_alert_passes_grow_with_the_logarithm(spark, monkeypatch):
+    """Steady hits and a cooldown that never lines up with the blocks."""
+    counts = []
+    for n in (64, 256, 1024):
+        calls = []
+        monkeypatch.setattr(M, "cut_lineage", lambda df, calls=calls: calls.append(1) or cut_lineage(df))
+        hits = spark.range(n).selectExpr("'r' AS rule", "id + 1 AS _rn", "id * 7000000 AS _us")
+        assert M.triggers(hits, 30_000_000, 1000).count() == -(-n // 5)
+        counts.append(len(calls))
+    assert counts[2] - counts[1] <= 6 and counts[1] - counts[0] <= 6
+
+
 def test_scan_rules(spark):
     text = "x = eval ( y )\npassword = 'abc'; Password=\"d\"\nplain\nsubprocess.call(cmd, shell = True)"
     got = N.scan_text(spark.createDataFrame([(1, text)], "id int, t string"), "id", "t").collect()

@@ -11,9 +11,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DataType, MapType, StringType, StructType
 
 from tidemark.operators.quality import long_form
-from tidemark.plans.blocks import plain, with_rows
+from tidemark.plans.blocks import number_rows, plain, prefix, running, with_rows
+from tidemark.plans.blocks import rows as rows_window
 from tidemark.plans.quantiles import exact_percentiles, percentile_columns
 from tidemark.plans.settle import settle
+from tidemark.session import cut_lineage
 
 # Names that are redacted, the mark, and limits.
 SENSITIVE_KEYS = [
@@ -134,32 +136,66 @@ def alert_cycle(
     """State of every rule after every value of its metric.
 
     After a trigger the rule rests for the cooldown; then it triggers again,
-    resolves if it was active, or stays quiet.
+    resolves if it was active, or stays quiet. Triggers come from
+    :func:`triggers`; the other states follow from the last trigger and the row before.
     """
     joined = metrics.join(rules.where("enabled"), metrics["name"] == rules["metric"])
     met = condition_met(F.col("condition"), F.col("value"), F.col("threshold"))
-    frame = joined.select("rule", "timestamp", "value", micros("timestamp").alias("_us"), met.alias("_met"))
-    keys = ["rule"]
-    blocks = with_rows(frame, [], keys=keys, block_rows=block_rows,
-                       number={"order": ["timestamp"], "bucket": time_bucket_of("_us", bucket_seconds)})
-    rest = int(cooldown * 1_000_000)
-
-    def walk(table: pa.Table, state: dict | None) -> tuple[list[str], dict]:
-        active, fired = (state["active"], state["fired"]) if state else (False, None)
-        out = []
-        for now, hit in zip(table["_us"].to_pylist(), table["_met"].to_pylist()):
-            if fired is not None and now - fired < rest:
-                out.append("cooldown")
-            elif hit:
-                active, fired = True, now
-                out.append("triggered")
-            else:
-                out.append("resolved" if active else "quiet")
-                active = False
-        return out, {"active": active, "fired": fired}
-
-    states = settle(blocks, walk, "active boolean, fired bigint", "state", "string", ["_us", "_met"], keys)
-    return plain(states).drop("_us", "_met")
+    frame = joined.select("rule", "timestamp", "value", micros("timestamp").alias("_us"), F.coalesce(met, F.lit(False)).alias("_met"))
+    keys, rest = ["rule"], int(cooldown * 1_000_000)
+    bucket = time_bucket_of("_us", bucket_seconds)
+    numbered = cut_lineage(number_rows(frame, keys, order=["_us"], bucket=bucket))
+    fired = triggers(numbered.where("_met").select("rule", "_rn", "_us"), rest, bucket_seconds)
+    marked = numbered.join(fired.withColumn("_fires", F.lit(True)), ["rule", "_rn"], "left")
+    order = rows_window(keys=keys)
+    last = {"_before": F.lag("_us").over(order), "_fired_before": F.lag("_fires").over(order)}
+    blocks = with_rows(marked, [last], back=1, keys=keys, block_rows=block_rows)
+    known = running(blocks, {"_fired": ("max", F.when(F.col("_fires"), F.col("_us")))}, keys)
+    rests = lambda us: F.col(us) - F.col("_fired") < rest
+    state = (
+        F.when(F.col("_fires"), "triggered").when(rests("_us"), "cooldown")
+        .when(rests("_before") | F.col("_fired_before"), "resolved").otherwise("quiet")
+    )
+    return plain(known.withColumn("state", state)).drop("_us", "_met", "_fires", "_fired", *last)
+
+
+def triggers(hits: DataFrame, rest: int, bucket_seconds: float = 86400) -> DataFrame:
+    """``rule, _rn`` of the hits that fire: the first, then always the first one ``rest`` microseconds or more later.
+
+    Every hit points to the hit that would fire after it. Pointers are followed and doubled in turn,
+    so the number of passes grows with the logarithm of the number of triggers.
+    """
+    if rest <= 0:
+        return hits.select("rule", "_rn")
+    keys = ["rule", "_rn"]
+    pointers = cut_lineage(_next_hits(hits, rest, bucket_seconds))
+    found = cut_lineage(hits.groupBy("rule").agg(F.min_by("_rn", F.struct("_us", "_rn")).alias("_rn")))
+    count = found.count()
+    while True:
+        ahead = found.join(pointers, keys).select("rule", F.col("_next").alias("_rn"))
+        found = cut_lineage(found.unionByName(ahead).distinct())
+        if (grown := found.count()) == count:
+            return found
+        count = grown
+        far = pointers.select("rule", F.col("_rn").alias("_next"), F.col("_next").alias("_far"))
+        pointers = cut_lineage(pointers.join(far, ["rule", "_next"]).select("rule", "_rn", F.col("_far").alias("_next")))
+
+
+def _next_hits(hits: DataFrame, rest: int, bucket_seconds: float) -> DataFrame:
+    """``rule, _rn, _next``: the first hit at or after each hit's time plus ``rest``.
+
+    Looked up inside time buckets; where a bucket holds none, the first hit of a later bucket counts.
+    """
+    hit = F.struct("_us", "_rn")
+    events = hits.select("rule", "_us", F.lit(1).alias("_kind"), hit.alias("_hit"), F.lit(None).cast("long").alias("_from"))
+    probes = hits.select("rule", (F.col("_us") + rest).alias("_us"), F.lit(0), F.lit(None).cast(events.schema["_hit"].dataType), "_rn")
+    both = events.union(probes).withColumn("_bkt", time_bucket_of("_us", bucket_seconds))
+    ahead = Window.partitionBy("rule", "_bkt").orderBy("_us", "_kind", "_hit").rowsBetween(0, Window.unboundedFollowing)
+    here = both.withColumn("_near", F.first("_hit", ignorenulls=True).over(ahead))
+    firsts = both.groupBy("rule", (-F.col("_bkt")).alias("_back")).agg(F.min("_hit").alias("_later"))
+    later = prefix(firsts, ["rule"], "_back", {"_later": "min"}).select("rule", (-F.col("_back")).alias("_bkt"), "_later")
+    out = here.where("_kind = 0").join(later, ["rule", "_bkt"], "left")
+    return out.select("rule", F.col("_from").alias("_rn"), F.coalesce("_near", "_later")["_rn"].alias("_next")).where("_next IS NOT NULL")
 
 
 def time_bucket_of(micros_column: str, seconds: float) -> Column:
