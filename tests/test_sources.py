@@ -93,3 +93,14 @@ def test_stream_ingest(spark, tmp_path):
     good = spark.read.parquet(f"{tmp_path}/ok").collect()
     assert [(r["symbol"], r["close"], r["timestamp"]) for r in good] == [("A", 1.7, dt.datetime(2024, 1, 1))]
     assert spark.read.parquet(f"{tmp_path}/bad").first()["broken"] == ["format"]
+
+
+def test_unreadable_files_are_named(spark, tmp_path):
+    spark.range(3).coalesce(1).write.parquet(f"{tmp_path}/a")
+    good = next((tmp_path / "a").glob("*.parquet"))
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "good one.parquet").write_bytes(good.read_bytes())
+    (tmp_path / "in" / "bad.parquet").write_bytes(good.read_bytes()[:100])
+    loaded = files.load_many(spark, f"{tmp_path}/in/*.parquet")
+    assert loaded.count() == 3
+    assert [r["source_file"] for r in files.files_without_rows(loaded, f"{tmp_path}/in/*.parquet").collect()] == ["bad"]

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType
 
 from tidemark.operators import indicators as I
+from tidemark.operators.models import TRAIN_SHARE
 from tidemark.plans.blocks import number_rows, over, plain, rows, running, with_rows
 from tidemark.plans.quantiles import exact_percentiles, percentile_columns
 from tidemark.schemas import BAR_VALUES, KEYS
@@ -364,9 +365,15 @@ def engineer_features(
     ]
     regimes = ["volatility_regime", "volatility_percentile", "trend_regime", "trend_strength"]
     aims = [f"target_{kind}_{h}" for h in HORIZONS for kind in ("return", "direction", "volatility")]
-    table = out.select(*inputs, *indicators, *built, *[e.alias(n) for n, e in extra.items()], *regimes, *aims)
+    names = [*inputs, *indicators, *built, *extra, *regimes, *aims]
+    table = out.withColumns(extra)
     if scaling:
-        columns = scalable(table)
-        table = apply_scaling(table, columns, fit_scaling(table, columns, scaling))
+        # Fitted on the training cut of each series only; the table is computed once.
+        table = cut_lineage(table.select(*dict.fromkeys(["_rn", *names])))
+        sizes = table.groupBy(*KEYS).agg(F.max("_rn").alias("_n"))
+        train = table.join(sizes, KEYS).where(F.col("_rn") <= F.floor(F.col("_n") * TRAIN_SHARE))
+        columns = scalable(table.select(*names))
+        table = apply_scaling(table, columns, fit_scaling(train, columns, scaling))
+    table = table.select(*names)
     check_feature_names(table)
     return table

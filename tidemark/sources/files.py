@@ -81,15 +81,17 @@ def load_many(spark: SparkSession, pattern: str | Sequence[str], fmt: str = "par
         raise ValueError(f"unsupported format {fmt!r}")
     reader = spark.read.format(fmt).option("ignoreCorruptFiles", skip_bad)
     reader = reader.option("mergeSchema", True) if fmt == "parquet" else reader.option("header", True)
-    stem = F.regexp_replace("_metadata.file_name", r"\.[^.]*$", "")
-    return reader.load(pattern).select("*", stem.alias("source_file"))
+    return reader.load(pattern).select("*", _stem().alias("source_file"))
+
+
+def _stem() -> Column:
+    return F.regexp_replace("_metadata.file_name", r"\.[^.]*$", "")
 
 
 def files_without_rows(loaded: DataFrame, pattern: str | Sequence[str]) -> DataFrame:
     """``source_file`` and ``bytes`` of the files of a pattern that gave :func:`load_many` no rows: unreadable or empty ones."""
     listed = loaded.sparkSession.read.format("binaryFile").load(pattern)
-    name = F.regexp_replace(F.element_at(F.split("path", "/"), -1), r"\.[^.]*$", "")
-    found = listed.select(F.url_decode(name).alias("source_file"), F.col("length").alias("bytes"))
+    found = listed.select(_stem().alias("source_file"), F.col("length").alias("bytes"))
     return found.join(loaded.select("source_file").distinct(), "source_file", "left_anti")
 
 

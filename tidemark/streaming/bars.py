@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -26,14 +28,24 @@ def split_valid(landed: DataFrame) -> DataFrame:
     )
 
 
+def once(rows: DataFrame, batch_id: int, path: str, by: Sequence[str] = ()) -> None:
+    """Write the rows of a micro-batch so that a second attempt replaces the first."""
+    rows = rows.withColumn("batch_id", F.lit(batch_id).cast("long"))
+    writer = rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    writer.partitionBy("batch_id", *by).parquet(path)
+
+
 def ingest(landed: DataFrame, valid_path: str, rejected_path: str, checkpoint: str) -> StreamingQuery:
-    """Write valid bars and rejected rows to two Parquet tables, batch by batch."""
+    """Write valid bars and rejected rows to two Parquet tables, batch by batch.
+
+    Each batch has its own ``batch_id`` folders, which a repeated batch overwrites.
+    """
 
-    def write(batch: DataFrame, _: int) -> None:
+    def write(batch: DataFrame, batch_id: int) -> None:
         batch.persist()
         good = F.size("broken") == 0
-        batch.where(good).drop("broken", "value").write.mode("append").partitionBy("symbol", "interval").parquet(valid_path)
-        batch.where(~good).select("symbol", "interval", "value", "broken").write.mode("append").parquet(rejected_path)
+        once(batch.where(good).drop("broken", "value"), batch_id, valid_path, ["symbol", "interval"])
+        once(batch.where(~good).select("symbol", "interval", "value", "broken"), batch_id, rejected_path)
         batch.unpersist()
 
     return split_valid(landed).writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

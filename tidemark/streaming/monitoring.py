@@ -12,6 +12,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tidemark.operators import drift as D
 from tidemark.operators import metrics as M
+from tidemark.streaming.bars import once
 
 
 def windowed_metrics(metrics: DataFrame, minutes: int = M.BUCKET_MINUTES, lateness: str = "10 minutes") -> DataFrame:
@@ -82,7 +83,7 @@ def monitor_batches(
     stream: DataFrame, reference: DataFrame, continuous: Sequence[str], categorical: Sequence[str],
     results_path: str, checkpoint: str, time_column: str = "timestamp",
 ) -> StreamingQuery:
-    """Compare every micro-batch with the reference and append one row per feature."""
+    """Compare every micro-batch with the reference: one row per feature and ``batch_id``, also when a batch is repeated."""
 
     def check(batch: DataFrame, batch_id: int) -> None:
         if batch.isEmpty():
@@ -90,7 +91,7 @@ def monitor_batches(
         batch.persist()
         found = D.drift_results(reference, batch, continuous, categorical)
         newest = batch.agg(F.max(time_column)).scalar()
-        found.withColumn("batch_id", F.lit(batch_id)).withColumn("timestamp", newest).write.mode("append").parquet(results_path)
+        once(found.withColumn("timestamp", newest), batch_id, results_path)
         batch.unpersist()
 
     return stream.writeStream.foreachBatch(check).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
