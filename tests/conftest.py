@@ -11,8 +11,8 @@ SF = "/root/testdata/sf0.001"
 
 
 @pytest.fixture(scope="session")
-def spark():
-    session = local_session("8", partitions=4, memory="6g")
+def spark(tmp_path_factory):
+    session = local_session("8", partitions=4, memory="6g", checkpoint=str(tmp_path_factory.mktemp("checkpoints")))
     yield session
     session.stop()
 

@@ -2,11 +2,14 @@
 
 import re
 
+import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from tidemark.catalogue.common import hourly_bars
 from tidemark.operators import features as X
 from tidemark.operators import indicators as I
+from tidemark.plans import quantiles
 from tidemark.plans.blocks import number_rows, with_rows
 from tidemark.sources.files import load_parquet
 
@@ -43,3 +46,17 @@ def test_no_cartesian_products(spark, sf_dir):
     for name in ["scale_standard", "variance_selection", "chi2_scores", "prediction_latency", "load_summary", "roc_auc", "drift_continuous"]:
         text = plan(queries[name](spark, sf_dir))
         assert "CartesianProduct" not in text and "BroadcastNestedLoopJoin" not in text, name
+
+
+@pytest.mark.parametrize("block", [8, 4096])
+def test_percentiles_of_split_brackets(spark, monkeypatch, block):
+    """Brackets are ranked part by part; ties, missing values and one-valued groups included."""
+    monkeypatch.setattr(quantiles, "BLOCK_VALUES", block)
+    rng = np.random.default_rng(block)
+    values = {"a": rng.standard_normal(500).round(2).tolist(), "b": [1.0] * 40, "c": [3.0]}
+    rows = [(k, v) for k, own in values.items() for v in own] + [("a", None)]
+    df = spark.createDataFrame(rows, "k string, v double")
+    got = quantiles.exact_percentiles(df, ["v"], [0.1, 0.5, 0.99], ["k"]).collect()
+    for r in got:
+        assert r["value"] == pytest.approx(np.percentile(values[r["k"]], 100 * r["p"]), abs=1e-12)
+    assert len(got) == 9

@@ -252,7 +252,12 @@ def request_rates(spark, d):
     return M.request_rates(r, 2, seconds=3600, bucket_seconds=600).drop("timestamp")
 
 
-@query()
+@query("""WITH RECURSIVE e AS (SELECT event_id, user_id AS "user", epoch_us(ts) AS us, row_number() OVER (PARTITION BY user_id ORDER BY ts) AS rn FROM events),
+  w AS (SELECT event_id, "user", us, rn, true AS allowed, us AS newest, -1000000000000000000::BIGINT AS second FROM e WHERE rn = 1
+    UNION ALL SELECT e.event_id, e."user", e.us, e.rn, w.second <= e.us - 3600000000,
+      CASE WHEN w.second <= e.us - 3600000000 THEN e.us ELSE w.newest END, CASE WHEN w.second <= e.us - 3600000000 THEN w.newest ELSE w.second END
+    FROM w JOIN e ON e."user" = w."user" AND e.rn = w.rn + 1)
+  SELECT event_id, "user", allowed FROM w""")
 def request_decisions(spark, d):
     r = table(spark, d, "events").select("event_id", F.col("user_id").alias("user"), F.col("ts").alias("timestamp"))
     return M.request_decisions(r, 2, seconds=3600, bucket_seconds=86400 * 10).select("event_id", "user", "allowed")

@@ -13,7 +13,10 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.plans.blocks import prefix
+
 ACCURACY = 100_000
+BLOCK_VALUES = 4096  # values of a bracket that are ranked together
 
 
 def exact_percentiles(
@@ -54,7 +57,8 @@ def exact_percentiles(
         *each(
             "struct('{c}' AS column_name, {p!r}D AS p, `n_{c}` AS n, " + rank + " AS rank, "
             "if(" + sure + ", `e_{c}`[{lo}], `min_{c}`) AS lo, if(" + sure + ", `e_{c}`[{hi}], `max_{c}`) AS hi, "
-            "if(" + sure + ", _b.`lt_{c}_{j}`, 0L) AS below) AS `t_{c}_{j}`"
+            "if(" + sure + ", _b.`lt_{c}_{j}`, 0L) AS below, "
+            f"1 + if({sure}, _b.`le_{{c}}_{{j}}` - _b.`lt_{{c}}_{{j}}`, `n_{{c}}`) div {BLOCK_VALUES} AS parts) AS `t_{{c}}_{{j}}`"
         ),
     )
     hit = ", ".join(
@@ -62,12 +66,19 @@ def exact_percentiles(
         for c, j, _ in tags
     )
     inside = _attach(frame, plans, keys).select(*keys, F.expr(f"explode(array_compact(array({hit}))) AS x"))
-    counted = inside.groupBy(*keys, "x.t.column_name", "x.t.p", "x.t.n", "x.t.rank", "x.t.below", F.col("x.v").alias("_v")).agg(
+    # The values of a bracket are dealt to equal parts of its width, so no window holds a whole bracket.
+    width = F.col("x.t.hi") - F.col("x.t.lo")
+    place = F.floor(F.try_divide(F.col("x.v") - F.col("x.t.lo"), width) * F.col("x.t.parts"))
+    part = F.coalesce(F.least(place, F.col("x.t.parts") - 1), F.lit(0)).cast("long").alias("_part")
+    counted = inside.groupBy(*keys, "x.t.column_name", "x.t.p", "x.t.n", "x.t.rank", "x.t.below", part, F.col("x.v").alias("_v")).agg(
         F.count("*").alias("_cnt")
     )
     group = [*keys, "column_name", "p"]
-    ordered = Window.partitionBy(*group).orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
-    ranked = counted.withColumn("_upto", F.col("below") + F.sum("_cnt").over(ordered))
+    totals = counted.groupBy(*group, "_part").agg(F.sum("_cnt").alias("_off"))
+    offsets = prefix(totals, group, "_part", {"_off": "sum"})
+    ordered = Window.partitionBy(*group, "_part").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
+    local = counted.withColumn("_local", F.sum("_cnt").over(ordered)).join(offsets, [*group, "_part"])
+    ranked = local.withColumn("_upto", F.col("below") + F.col("_off") + F.col("_local"))
     before = F.col("_upto") - F.col("_cnt")
     at = lambda r: F.max(F.when((before <= r) & (r < F.col("_upto")), F.col("_v")))
     low, high = F.floor("rank"), F.ceil("rank")

@@ -14,8 +14,8 @@ SETTINGS = {
 }
 
 
-def local_session(cpus: str = "*", partitions: int = 8, memory: str = "8g") -> SparkSession:
-    """A single-machine session for tests and benchmarks."""
+def local_session(cpus: str = "*", partitions: int = 8, memory: str = "8g", checkpoint: str | None = None) -> SparkSession:
+    """A single-machine session for tests and benchmarks; ``checkpoint`` is the folder for intermediate results."""
     builder = (
         SparkSession.builder.master(f"local[{cpus}]")
         .appName("tidemark")
@@ -23,6 +23,8 @@ def local_session(cpus: str = "*", partitions: int = 8, memory: str = "8g") -> S
         .config("spark.driver.memory", memory)
         .config("spark.sql.shuffle.partitions", str(partitions))
     )
+    if checkpoint:
+        builder = builder.config("spark.checkpoint.dir", checkpoint)
     for key, value in SETTINGS.items():
         builder = builder.config(key, value)
     spark = builder.getOrCreate()
