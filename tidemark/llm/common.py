@@ -15,6 +15,9 @@ from pyspark.sql import functions as F
 
 from tidemark.session import checkpoint_root
 
+BLOCK_BYTES = 2 << 20  # of text that a task turns into Python objects at once
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -50,6 +53,13 @@ def blocks(column: pa.Array, limit: int) -> Iterator[tuple[int, int]]:
             start, size = i + 1, 0
 
 
+def in_blocks(batches: Batches, limit: int = BLOCK_BYTES) -> Batches:
+    """The rows of batches in smaller ones of about ``limit`` bytes of text."""
+    for batch in batches:
+        for a, b in blocks(batch.column("text"), limit):
+            yield batch.slice(a, b - a)
+
+
 def scratch_root() -> str | None:
     """Where a task may spill: the folders Spark assigns to executors for shuffle and spill
     files. A spill belongs to one task, is deleted with it and is written anew by a retry."""

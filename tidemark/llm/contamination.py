@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import Batches, pick, stored, texts
+from tidemark.llm.common import Batches, in_blocks, pick, stored, texts
 from tidemark.llm.simhash import shingles, word_list
 
 BLOCK_CHARS = 64 << 20  # characters of items that one pass carries to every task
@@ -82,7 +82,7 @@ class Items:
 
 def _search(batches: Batches, rows: list[tuple[int, str]], words: int, containment: float) -> Batches:
     items = Items(rows, words, containment)
-    for batch in batches:
+    for batch in in_blocks(batches):
         found = [
             (doc_id, *hit)
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), texts(batch.column("text")), strict=True)
@@ -131,7 +131,7 @@ def _blocks(items: DataFrame, block_chars: int):
 
 def _clean(batches: Batches, rows: list[tuple[int, str]], words: int, containment: float) -> Batches:
     items = Items(rows, words, containment)
-    for batch in batches:
+    for batch in in_blocks(batches):
         yield batch.filter(pa.array([not items.search(t) for t in texts(batch.column("text"))], pa.bool_()))
 
 

@@ -28,9 +28,9 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import Batches, partitions, pick, scratch_root, stored, texts
+from tidemark.llm.common import Batches, in_blocks, partitions, pick, scratch_root, stored, texts
 
-MEMORY_BYTES = 48 << 20  # contents that one open-addressing table may hold
+MEMORY_BYTES = 32 << 20  # contents that one open-addressing table may hold
 FAN_OUT = 16  # spill files per level of the recursion
 MAX_DEPTH = 12  # 48 bits; beyond it only records of one hash are left, which no split separates
 
@@ -133,7 +133,7 @@ def _local(batches: Batches, memory: int) -> Batches:
     part = TaskContext.get().partitionId()
 
     def records() -> Iterator[Record]:
-        for batch in batches:
+        for batch in in_blocks(batches):
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), texts(batch.column("text")), strict=True):
                 content = text.translate(_DROP_WHITE).encode()
                 yield xxhash.xxh3_64_intdigest(content), content, (doc_id, len(text))

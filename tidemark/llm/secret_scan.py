@@ -17,7 +17,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import Batches, pick, texts
+from tidemark.llm.common import Batches, in_blocks, pick, texts
 
 AROUND = 512  # characters on each side that prime the dictionary
 CONTEXT = 48  # characters before a candidate that may hold a sensitive identifier
@@ -103,7 +103,7 @@ _SPANS = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("sto
 
 def _scan(batches: Batches, least_novelty: float) -> Batches:
     names = ("kind", "start", "stop", "novelty")
-    for batch in batches:
+    for batch in in_blocks(batches):
         rows = [[dict(zip(names, s, strict=True)) for s in find(t, least_novelty)] for t in texts(batch.column("text"))]
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(rows, _SPANS)], names=["doc_id", "spans"])
 

@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import Batches, partitions, pick, stored, texts
+from tidemark.llm.common import Batches, in_blocks, partitions, pick, stored, texts
 from tidemark.llm.graph import components
 from tidemark.session import cut_lineage
 
@@ -55,11 +55,16 @@ def shingles(words: list[bytes], n: int) -> list[bytes]:
 
 
 def _bits(hashes: np.ndarray) -> int:
-    """Fingerprint as a signed long: a bit is set where over half of the hashes have it."""
+    """Fingerprint as a signed long: a bit is set where over half of the hashes have it.
+
+    Bits are counted in bytes, eight to a machine word, so 255 rows are added at a time.
+    """
     ones = np.zeros(BITS, dtype=np.int64)
-    for start in range(0, len(hashes), 1 << 16):
-        part = hashes[start : start + (1 << 16)]
-        ones += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.uint32)
+    for start in range(0, len(hashes), 255 << 8):
+        part = hashes[start : start + (255 << 8)]
+        rows = np.unpackbits(part.view(np.uint8), bitorder="little").view(np.uint64).reshape(-1, 8)
+        for k in range(0, len(rows), 255):
+            ones += rows[k : k + 255].sum(axis=0).view(np.uint8)
     return int(np.packbits(2 * ones > len(hashes), bitorder="little").view("<i8")[0])
 
 
@@ -84,7 +89,7 @@ def _several(hashes: np.ndarray, n: int) -> list[int]:
 
 
 def _fingerprint(batches: Batches, words: int) -> Batches:
-    for batch in batches:
+    for batch in in_blocks(batches):
         values = [majority(shingles(word_list(t), words)) for t in texts(batch.column("text"))]
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(values, pa.int64())], names=["doc_id", "fp"])
 
@@ -95,7 +100,7 @@ def fingerprints(docs: DataFrame, words: int = 3) -> DataFrame:
 
 
 def _word_sets(batches: Batches, n: int) -> Batches:
-    for batch in batches:
+    for batch in in_blocks(batches):
         ids, prints = [], []
         for doc_id, text in zip(batch.column("doc_id").to_pylist(), texts(batch.column("text")), strict=True):
             found = set(word_list(text))
@@ -220,7 +225,7 @@ class _Leaders:
 def _leaders(batches: Batches, words: int, similarity: float) -> Batches:
     """Of each group of sorted rows, those similar to no earlier row that stays."""
     current, leaders = None, _Leaders(similarity)
-    for batch in batches:
+    for batch in in_blocks(batches):
         keep = []
         keys = zip(batch.column("family").to_pylist(), batch.column("salt").to_pylist(), strict=True)
         for key, text in zip(keys, texts(batch.column("text")), strict=True):
