@@ -256,8 +256,16 @@ def vocabulary(path: str | None) -> Vocabulary:
     return kept_by_worker(f"pieces {path}", lambda: Vocabulary(path))
 
 
-def _encode(batches: Batches, path: str | None, check: bool) -> Batches:
+def _encode(batches: Batches, path: str | None, check: bool, remember: bool = True) -> Batches:
     vocab = vocabulary(path)
+    try:
+        yield from _encoded(batches, vocab, check)
+    finally:
+        if not remember:
+            vocab.known = Remembered(CACHED)
+
+
+def _encoded(batches: Batches, vocab: Vocabulary, check: bool) -> Batches:
     for batch in batches:
         for a, b in blocks(batch.column("text"), BLOCK_CHARS):
             ids = vocab.encode(texts(batch.column("text").slice(a, b - a)), check)
@@ -305,11 +313,14 @@ def encode(docs: DataFrame, path: str | None = None, check: bool = True) -> Data
     return pick(docs, "doc_id", "text").mapInArrow(partial(_encode, path=path, check=check), "doc_id long, ids array<int>")
 
 
-def encode_decode(docs: DataFrame, path: str | None = None, check: bool = True) -> DataFrame:
-    """``doc_id, ids, text``: as :func:`encode`, with the text that the library decodes from the ids."""
+def encode_decode(docs: DataFrame, path: str | None = None, check: bool = True, remember: bool = True) -> DataFrame:
+    """``doc_id, ids, text``: as :func:`encode`, with the text that the library decodes from the ids.
+
+    Without ``remember`` a task gives the memory of its segments back, for jobs whose workers go on to other work.
+    """
 
     def run(batches: Batches) -> Batches:
-        return _decode(_encode(batches, path, check), path)
+        return _decode(_encode(batches, path, check, remember), path)
 
     return pick(docs, "doc_id", "text").mapInArrow(run, "doc_id long, ids array<int>, text string")
 
