@@ -24,6 +24,7 @@ from tidemark.session import cut_lineage
 BITS = 64
 SEED = 42  # of XXH64 and of the masks
 SMALL_BUCKET = 64  # distinct fingerprints compared pair by pair; larger buckets take another exact way
+STAR_BUCKET = 8  # the same where texts are verified later: larger buckets are linked as stars
 SHARD_CHARS = 8 << 20  # characters of a family that one task compares with its leaders
 
 
@@ -110,11 +111,11 @@ def _word_sets(batches: Batches, n: int) -> Batches:
         yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(prints, pa.list_(pa.int64()))], names=["doc_id", "fps"])
 
 
-def links(fps: DataFrame, radius: int, near: int | None = None, stars: bool = False) -> DataFrame:
+def links(fps: DataFrame, radius: int, near: int | None = None, stars: bool = False, most: int | None = None) -> DataFrame:
     """``a, b``: links between ``node`` values that connect all fingerprints ``fp`` of one series ``s``
     within ``radius`` bits. A node has one fingerprint in a series, and a fingerprint one node.
 
-    Buckets of up to ``SMALL_BUCKET`` fingerprints give their pairs within ``near`` bits (``radius`` by
+    Buckets of up to ``most`` (``SMALL_BUCKET`` by default) fingerprints give their pairs within ``near`` bits (``radius`` by
     default). Larger ones emit no pairs. For a radius of 1 or 2 their members are laid out by every
     value that differs in one bit at most: those that meet are at most 2 bits apart, two that are at
     most 2 apart do meet, and no such group has more than 65 members, so a star per group gives the
@@ -123,6 +124,7 @@ def links(fps: DataFrame, radius: int, near: int | None = None, stars: bool = Fa
     """
     if not stars and radius > 2:
         raise ValueError("the exact way for large buckets covers a radius of at most 2")
+    most = SMALL_BUCKET if most is None else most
     masks = F.array(*[F.col("fp").bitwiseAND(F.lit(m)) for m in covering_masks(radius)])
     # Few bytes become many rows: spread them before, as adaptive execution would join the parts.
     spread = fps.select("s", "fp", "node").repartition(partitions(fps))
@@ -139,8 +141,8 @@ def links(fps: DataFrame, radius: int, near: int | None = None, stars: bool = Fa
         return groups.select(F.explode(F.expr(pairs(limit))).alias("p")).select(F.col("p.a.node").alias("a"), F.col("p.b.node").alias("b"))
 
     members = F.collect_list(F.struct("fp", "node")).alias("m")
-    small = compared(shared.where(F.col("n") <= SMALL_BUCKET).groupBy(*table).agg(members), radius if near is None else near)
-    large = shared.where(F.col("n") > SMALL_BUCKET)
+    small = compared(shared.where(F.col("n") <= most).groupBy(*table).agg(members), radius if near is None else near)
+    large = shared.where(F.col("n") > most)
     if stars:
         return small.unionAll(large.select(F.col("node").alias("a"), F.col("low").alias("b"))).distinct()
     around = [F.col("fp"), *[F.col("fp").bitwiseXOR(F.lit(m)) for m in (*[1 << i for i in range(BITS - 1)], -(1 << 63))]]
@@ -182,7 +184,7 @@ def _families(docs: DataFrame, radius: int, series: int, near: int) -> DataFrame
     nodes = marked.select("doc_id", F.posexplode("fps").alias("s", "fp"))
     classes = cut_lineage(nodes.groupBy("s", "fp").agg(F.min("doc_id").alias("node"), F.count("*").alias("n")))
     same = nodes.join(classes.where("n > 1"), ["s", "fp"]).select(F.col("doc_id").alias("a"), F.col("node").alias("b"))
-    found = components(same.unionAll(links(classes, radius, near, stars=True)))
+    found = components(same.unionAll(links(classes, radius, near, stars=True, most=STAR_BUCKET)))
     return found.select(F.col("node").alias("doc_id"), F.col("root").alias("family"))
 
 
