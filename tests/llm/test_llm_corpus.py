@@ -397,6 +397,51 @@ def test_one_of_each_group_stays(spark, monkeypatch):
     assert all(len(a & b) / len(a | b) < 0.8 for i, a in enumerate(own) for b in own[:i])
 
 
+def similar_brute(rows):
+    """Document ids that stay when all pairs are compared."""
+    sets = [shingle_set(t, min(5, len(t.split()))) if t.split() else set() for _, t in rows]
+    alike = lambda i, j: len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]) - 1e-9
+    groups = groups_brute(list(range(len(rows))), lambda i, j: bool(sets[i] and sets[j]) and alike(i, j))
+    best = {}
+    for g, (d, t) in zip(groups, rows, strict=True):
+        best[g] = min(best.get(g, (1, 0)), (-len(t), d))
+    return {d for _, d in best.values()}
+
+
+def scattered(seed, length):
+    """A text and a copy with words replaced at random places, as many as leave a similarity of 0.8."""
+    base, out, rng = prose(seed, length), None, random.Random(seed)
+    places = rng.sample(range(length), length)
+    for k in range(1, length):
+        words = base.split(" ")
+        for i in places[:k]:
+            words[i] = f"new{seed}x{i}"
+        copy = " ".join(words)
+        a, b = shingle_set(base, 5), shingle_set(copy, 5)
+        if len(a & b) < 0.8 * len(a | b):
+            break
+        out = copy
+    return [base, out] if out else [base]
+
+
+@pytest.fixture(scope="module")
+def edited_pairs():
+    texts = [t for seed in range(500) for t in scattered(1000 + seed, 40 + seed % 120)]
+    return list(enumerate(texts))
+
+
+def test_near_copies_with_scattered_edits_are_found(spark, edited_pairs):
+    docs = spark.createDataFrame(edited_pairs, "doc_id long, text string").repartition(4)
+    expected = similar_brute(edited_pairs)
+    assert len(expected) <= 510 < len(edited_pairs)
+    assert {r.doc_id for r in simhash.keep_one(docs).collect()} == expected
+
+
+def test_near_copies_of_documents(documents):
+    rows = pairs(documents)
+    assert {r.doc_id for r in simhash.keep_one(documents).collect()} == similar_brute(rows)
+
+
 # -- pipeline ------------------------------------------------------------------
 
 

@@ -4,6 +4,8 @@ Every bit position gets a non-zero vector of ``radius + 1`` bits; a mask keeps t
 vector has odd overlap with the mask's number. The vectors of at most ``radius`` differing
 positions never span the whole space, so some mask keeps none of them: every pair within the
 radius shares a bucket of some of the ``2 ** (radius + 1) - 1`` tables, and no pair is lost.
+
+Near copies of a corpus (:func:`keep_one`) are found by another way, a prefix filter on shingle sets.
 """
 
 from __future__ import annotations
@@ -24,8 +26,11 @@ from tidemark.session import cut_lineage
 BITS = 64
 SEED = 42  # of XXH64 and of the masks
 SMALL_BUCKET = 64  # distinct fingerprints compared pair by pair; larger buckets take another exact way
-STAR_BUCKET = 8  # the same where texts are verified later: larger buckets are linked as stars
-SHARD_CHARS = 8 << 20  # characters of a family that one task compares with its leaders
+SHARD_CHARS = 8 << 20  # bytes of shingle hashes in a block of documents compared with each other
+BLOCK_DOCS = 256  # documents in such a block
+SAMPLE_DOCS = 4096  # documents in which common shingles are looked for
+HOT_DOCS = 8  # of them have a common shingle
+HOT_SHINGLES = 1 << 16  # common shingles at most
 
 
 def covering_masks(radius: int, seed: int = SEED) -> list[int]:
@@ -78,17 +83,6 @@ def majority(features: list[bytes]) -> int:
     return _bits(_hashes(features)) if features else 0
 
 
-def _several(hashes: np.ndarray, n: int) -> list[int]:
-    """``n`` fingerprints of independent bits, by mixing the hashes anew."""
-    out = []
-    for k in range(n):
-        x = hashes + np.uint64((k * 0x9E3779B97F4A7C15) % (1 << 64))
-        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-        out.append(_bits(x ^ (x >> np.uint64(31))))
-    return out
-
-
 def _fingerprint(batches: Batches, words: int) -> Batches:
     for batch in in_blocks(batches):
         values = [majority(shingles(word_list(t), words)) for t in texts(batch.column("text"))]
@@ -100,37 +94,23 @@ def fingerprints(docs: DataFrame, words: int = 3) -> DataFrame:
     return pick(docs, "doc_id", "text").mapInArrow(partial(_fingerprint, words=words), "doc_id long, fp long")
 
 
-def _word_sets(batches: Batches, n: int) -> Batches:
-    for batch in in_blocks(batches):
-        ids, prints = [], []
-        for doc_id, text in zip(batch.column("doc_id").to_pylist(), texts(batch.column("text")), strict=True):
-            found = set(word_list(text))
-            if found and doc_id is not None:
-                ids.append(doc_id)
-                prints.append(_several(_hashes(sorted(found)), n))
-        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(prints, pa.list_(pa.int64()))], names=["doc_id", "fps"])
-
-
-def links(fps: DataFrame, radius: int, near: int | None = None, stars: bool = False, most: int | None = None) -> DataFrame:
+def links(fps: DataFrame, radius: int) -> DataFrame:
     """``a, b``: links between ``node`` values that connect all fingerprints ``fp`` of one series ``s``
     within ``radius`` bits. A node has one fingerprint in a series, and a fingerprint one node.
 
-    Buckets of up to ``most`` (``SMALL_BUCKET`` by default) fingerprints give their pairs within ``near`` bits (``radius`` by
-    default). Larger ones emit no pairs. For a radius of 1 or 2 their members are laid out by every
+    Buckets of up to ``SMALL_BUCKET`` fingerprints give their pairs. Larger ones emit no pairs. For a radius of 1 or 2 their members are laid out by every
     value that differs in one bit at most: those that meet are at most 2 bits apart, two that are at
     most 2 apart do meet, and no such group has more than 65 members, so a star per group gives the
-    same components (for radius 1 members of a group are compared in pairs). With ``stars`` the members
-    of a large bucket are all linked to its smallest one: a superset, for callers that verify texts.
+    same components (for radius 1 members of a group are compared in pairs).
     """
-    if not stars and radius > 2:
+    if radius > 2:
         raise ValueError("the exact way for large buckets covers a radius of at most 2")
-    most = SMALL_BUCKET if most is None else most
     masks = F.array(*[F.col("fp").bitwiseAND(F.lit(m)) for m in covering_masks(radius)])
     # Few bytes become many rows: spread them before, as adaptive execution would join the parts.
     spread = fps.select("s", "fp", "node").repartition(partitions(fps))
     laid = spread.select("s", "fp", "node", F.posexplode(masks).alias("t", "key"))
     table = ["s", "t", "key"]
-    sizes = laid.groupBy(*table).agg(F.count("*").alias("n"), F.min("node").alias("low")).where("n > 1")
+    sizes = laid.groupBy(*table).agg(F.count("*").alias("n")).where("n > 1")
     shared = laid.join(sizes, table)
 
     def pairs(limit: int) -> str:
@@ -141,10 +121,8 @@ def links(fps: DataFrame, radius: int, near: int | None = None, stars: bool = Fa
         return groups.select(F.explode(F.expr(pairs(limit))).alias("p")).select(F.col("p.a.node").alias("a"), F.col("p.b.node").alias("b"))
 
     members = F.collect_list(F.struct("fp", "node")).alias("m")
-    small = compared(shared.where(F.col("n") <= most).groupBy(*table).agg(members), radius if near is None else near)
-    large = shared.where(F.col("n") > most)
-    if stars:
-        return small.unionAll(large.select(F.col("node").alias("a"), F.col("low").alias("b"))).distinct()
+    small = compared(shared.where(F.col("n") <= SMALL_BUCKET).groupBy(*table).agg(members), radius)
+    large = shared.where(F.col("n") > SMALL_BUCKET)
     around = [F.col("fp"), *[F.col("fp").bitwiseXOR(F.lit(m)) for m in (*[1 << i for i in range(BITS - 1)], -(1 << 63))]]
     met = (
         large.select("s", "fp", "node").distinct().select("s", "fp", "node", F.explode(F.array(*around)).alias("z"))
@@ -178,104 +156,160 @@ def near_duplicates(docs: DataFrame, words: int = 3, radius: int = 2) -> DataFra
     return found.select("doc_id", hexed.alias("fingerprint"), "component_id")
 
 
-def _families(docs: DataFrame, radius: int, series: int, near: int) -> DataFrame:
-    """``doc_id, family`` of the documents that share a bucket with another one in some series."""
-    marked = cut_lineage(pick(docs, "doc_id", "text").mapInArrow(partial(_word_sets, n=series), "doc_id long, fps array<long>"))
-    nodes = marked.select("doc_id", F.posexplode("fps").alias("s", "fp"))
-    classes = cut_lineage(nodes.groupBy("s", "fp").agg(F.min("doc_id").alias("node"), F.count("*").alias("n")))
-    same = nodes.join(classes.where("n > 1"), ["s", "fp"]).select(F.col("doc_id").alias("a"), F.col("node").alias("b"))
-    found = components(same.unionAll(links(classes, radius, near, stars=True, most=STAR_BUCKET)))
-    return found.select(F.col("node").alias("doc_id"), F.col("root").alias("family"))
+def _shingle_set(text: str, words: int) -> np.ndarray:
+    """Sorted distinct hashes of all runs of ``words`` words."""
+    return np.unique(np.array([xxhash.xxh3_64_intdigest(s) for s in shingles(word_list(text), words)], dtype=np.uint64))
 
 
-class _Leaders:
-    """Shingle sets of the leaders of one group, found by their smallest hashes.
+def _sampled(batches: Batches, words: int) -> Batches:
+    for batch in in_blocks(batches):
+        for text in texts(batch.column("text")):
+            yield pa.RecordBatch.from_arrays([pa.array(_shingle_set(text, words).view(np.int64))], names=["h"])
 
-    Sets with a Jaccard similarity of ``similarity`` share one of the ``n - ceil(similarity * n) + 1``
-    smallest hashes of either, so only these are indexed; whole sets decide.
-    """
 
-    def __init__(self, similarity: float) -> None:
-        self.similarity = similarity
-        self.sets: list[np.ndarray] = []
-        self.index: dict[int, int | list[int]] = {}
-
-    def joins(self, own: np.ndarray) -> bool:
-        """Whether a sorted set of hashes is like a leader; if not, it becomes one."""
-        prefix = own[: len(own) - int(np.ceil(self.similarity * len(own) - 1e-9)) + 1].tolist()
-        seen: set[int] = set()
-        for h in prefix:
-            at = self.index.get(h)
-            for leader in () if at is None else (at,) if isinstance(at, int) else at:
-                if leader not in seen:
-                    seen.add(leader)
-                    shared = len(np.intersect1d(own, self.sets[leader], assume_unique=True))
-                    if shared >= self.similarity * (len(own) + len(self.sets[leader]) - shared) - 1e-9:
-                        return True
-        for h in prefix:
-            at = self.index.get(h)
-            if at is None:
-                self.index[h] = len(self.sets)
-            elif isinstance(at, int):
-                self.index[h] = [at, len(self.sets)]
-            else:
-                at.append(len(self.sets))
-        self.sets.append(own)
-        return False
-
-
-def _leaders(batches: Batches, words: int, similarity: float) -> Batches:
-    """Of each group of sorted rows, those similar to no earlier row that stays."""
-    current, leaders = None, _Leaders(similarity)
+def _hot(docs: DataFrame, words: int) -> np.ndarray:
+    """Sorted hashes of shingles that are common in a bounded sample of documents."""
+    rows = max(docs.count(), 1)
+    chosen = F.pmod(F.xxhash64("doc_id", F.lit(SEED)), F.lit(1 << 30)) < int(min(1, SAMPLE_DOCS / rows) * (1 << 30))
+    counts = docs.where(chosen).mapInArrow(partial(_sampled, words=words), "h long").groupBy("h").agg(F.count("*").alias("n"))
+    top = counts.where(F.col("n") >= HOT_DOCS).orderBy(F.desc("n"), "h").limit(HOT_SHINGLES).collect()
+    return np.sort(np.array([r.h for r in top], dtype=np.int64).view(np.uint64))
+
+
+def _prefixes(batches: Batches, words: int, similarity: float, hot: np.ndarray) -> Batches:
+    for batch in in_blocks(batches):
+        for doc_id, text in zip(batch.column("doc_id").to_pylist(), texts(batch.column("text")), strict=True):
+            own = _shingle_set(text, words)
+            late = np.isin(own, hot, assume_unique=True)
+            ordered = np.concatenate((own[~late], own[late]))
+            prefix = ordered[: len(own) - int(np.ceil(similarity * len(own) - 1e-9)) + 1].view(np.int64)
+            ids, sizes = np.full(len(prefix), doc_id, dtype=np.int64), np.full(len(prefix), len(own), dtype=np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(prefix), pa.array(ids), pa.array(sizes)], names=["h", "doc_id", "m"])
+
+
+def _alike(a: np.ndarray, b: np.ndarray, similarity: float) -> bool:
+    shared = len(np.intersect1d(a, b, assume_unique=True))
+    return shared >= similarity * (len(a) + len(b) - shared) - 1e-9
+
+
+def _pairs_batch(pairs: list[tuple[int, int]]) -> pa.RecordBatch:
+    columns = [pa.array([p[k] for p in pairs], pa.int64()) for k in (0, 1)]
+    return pa.RecordBatch.from_arrays(columns, names=["a", "b"])
+
+
+def _star_links(batches: Batches, words: int, similarity: float) -> Batches:
+    """Members like the centre of their star; rows are sorted by star, its centre first."""
+    star, centres = None, []
+    for batch in in_blocks(batches):
+        found = []
+        keys = zip(*[batch.column(c).to_pylist() for c in ("a", "salt", "member", "doc_id")], strict=True)
+        for (a, salt, member, doc_id), text in zip(keys, texts(batch.column("text")), strict=True):
+            if (a, salt) != star:
+                star, centres = (a, salt), []
+            own = _shingle_set(text, words)
+            if not member:
+                centres.append(own)
+            elif any(_alike(own, c, similarity) for c in centres):
+                found.append((a, doc_id))
+        yield _pairs_batch(found)
+
+
+def _block_links(batches: Batches, words: int, similarity: float) -> Batches:
+    """Links between the rows of each group that other links do not connect already."""
+
+    def linked(group: list[tuple[int, int, np.ndarray]]) -> list[tuple[int, int]]:
+        found, sizes = [], np.array([len(g[2]) for g in group])
+        label = np.unique([g[1] for g in group], return_inverse=True)[1]
+        for i in range(1, len(group)):
+            low, high = np.minimum(sizes[:i], sizes[i]), np.maximum(sizes[:i], sizes[i])
+            for j in np.flatnonzero((low >= similarity * high - 1e-9) & (label[:i] != label[i])).tolist():
+                if label[j] != label[i] and _alike(group[i][2], group[j][2], similarity):
+                    found.append((group[j][0], group[i][0]))
+                    label[label == label[i]] = label[j]
+        return found
+
+    current, group = None, []
     for batch in in_blocks(batches):
-        keep = []
-        keys = zip(batch.column("family").to_pylist(), batch.column("salt").to_pylist(), strict=True)
-        for key, text in zip(keys, texts(batch.column("text")), strict=True):
-            if key != current:
-                current, leaders = key, _Leaders(similarity)
-            own = np.array([xxhash.xxh3_64_intdigest(s) for s in shingles(word_list(text), words)], dtype=np.uint64)
-            keep.append(not leaders.joins(np.unique(own)))
-        yield batch.filter(pa.array(keep, pa.bool_()))
-
-
-def _pass(rows: DataFrame, words: int, similarity: float, salts) -> DataFrame:
-    salted = rows.select("family", salts.alias("salt"), "n", "doc_id", "text")
+        keys = zip(*[batch.column(c).to_pylist() for c in ("h", "x", "y", "doc_id", "root")], strict=True)
+        for (h, x, y, doc_id, root), text in zip(keys, texts(batch.column("text")), strict=True):
+            if (h, x, y) != current:
+                yield _pairs_batch(linked(group))
+                current, group = (h, x, y), []
+            group.append((doc_id, root, _shingle_set(text, words)))
+    yield _pairs_batch(linked(group))
+
+
+def _links_of_stars(ours: DataFrame, pairs: DataFrame, words: int, similarity: float) -> DataFrame:
+    """Those distinct ``a, b`` pairs whose texts are alike. The pairs of an ``a`` are dealt out in parts."""
+    parts = F.ceil(F.col("n") / BLOCK_DOCS)
+    sizes = pairs.groupBy("a").agg(F.count("*").alias("n"))
+    members = pairs.join(sizes, "a").select("a", F.pmod(F.xxhash64("b"), parts).alias("salt"), F.lit(1).alias("member"), F.col("b").alias("doc_id"))
+    salts = F.explode(F.sequence(F.lit(0).cast("long"), parts - 1))
+    centres = sizes.select("a", salts.alias("salt"), F.lit(0).alias("member"), F.col("a").alias("doc_id"))
+    rows = members.unionAll(centres).join(ours, "doc_id").select("a", "salt", "member", "doc_id", "text")
     return (
-        salted.repartition(partitions(rows), "family", "salt")
-        .sortWithinPartitions("family", "salt", F.desc("n"), "doc_id")
-        .mapInArrow(partial(_leaders, words=words, similarity=similarity), salted.schema)
-        .drop("salt")
+        rows.repartition(partitions(ours), "a", "salt").sortWithinPartitions("a", "salt", "member")
+        .mapInArrow(partial(_star_links, words=words, similarity=similarity), "a long, b long")
+    )
+
+
+def _met(rooted: DataFrame) -> DataFrame:
+    """Buckets of several roots as pairs of blocks ``h, x, y`` of bounded size, in some of which any two documents meet."""
+    blocks = F.ceil(F.greatest(F.count("*") / BLOCK_DOCS, F.sum("m") * 8 / SHARD_CHARS))
+    ends = (F.min("root").alias("low"), F.max("root").alias("high"))
+    unsettled = rooted.groupBy("h").agg(blocks.alias("blocks"), *ends).where("low < high").select("h", "blocks")
+    laid = rooted.join(unsettled, "h").select("h", "doc_id", "root", "blocks", F.pmod(F.xxhash64("doc_id", F.lit(1)), F.col("blocks")).alias("i"))
+    spread = laid.withColumn("j", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    return spread.select("h", F.least("i", "j").alias("x"), F.greatest("i", "j").alias("y"), "doc_id", "root")
+
+
+def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
+    """``doc_id, root`` of every document that is connected to another one: components of all pairs whose
+    ``words``-word shingle sets have a Jaccard similarity of ``similarity`` or more. No pair is left out.
+
+    Under any common order of shingles, such sets share one of the first ``m - ceil(similarity * m) + 1``
+    of either (prefix filter), so documents meet in buckets of equal prefix shingles. The order is by hash, shingles
+    common in a sample last; it changes the work, never the result. Buckets with the same documents count once.
+    First every bucket is a star around its smallest document. A bucket that verified links connect is done;
+    the documents of others meet in pairs of blocks of at most about ``BLOCK_DOCS`` documents and
+    ``SHARD_CHARS`` bytes of hashes, where pairs not connected yet are verified.
+    """
+    ours = pick(docs, "doc_id", "text").where("doc_id IS NOT NULL")
+    prefixes = partial(_prefixes, words=words, similarity=similarity, hot=_hot(ours, words))
+    prefix = stored(ours.mapInArrow(prefixes, "h long, doc_id long, m long"), "prefixes")
+    # The sum and the exclusive or of 64-bit hashes stand for the documents of a bucket.
+    mark = F.xxhash64("doc_id")
+    counted = prefix.groupBy("h").agg(
+        F.count("*").alias("n"), F.min(F.struct("doc_id", "m")).alias("low"), F.bit_xor(mark).alias("p"), F.sum(F.pmod(mark, F.lit(1 << 30))).alias("q")
     )
+    buckets = cut_lineage(counted.where("n > 1").groupBy("n", "low", "p", "q").agg(F.min("h").alias("h")).select("h", "n", "low"))
+    shared = stored(prefix.join(buckets, "h"), "buckets")
+
+    fits = F.least("m", "low.m") >= similarity * F.greatest("m", "low.m") - 1e-9
+    stars = shared.where(F.col("doc_id") != F.col("low.doc_id")).where(fits).select(F.col("low.doc_id").alias("a"), F.col("doc_id").alias("b"))
+    found = stored(_links_of_stars(ours, cut_lineage(stars.distinct()), words, similarity), "star_links")
+    roots = cut_lineage(components(found)).withColumnRenamed("node", "doc_id")
+
+    rooted = shared.where("n > 2").join(roots, "doc_id", "left").select("h", "doc_id", "m", F.coalesce("root", "doc_id").alias("root"))
+    met = _met(rooted)
+    more = (
+        met.join(ours, "doc_id").select("h", "x", "y", "doc_id", "root", "text")
+        .repartition(partitions(ours), "h", "x", "y").sortWithinPartitions("h", "x", "y", "doc_id")
+        .mapInArrow(partial(_block_links, words=words, similarity=similarity), "a long, b long")
+    )
+    found = found.unionAll(stored(more, "block_links"))
+    return components(found).withColumnRenamed("node", "doc_id")
 
 
-def keep_one(
-    docs: DataFrame, words: int = 5, similarity: float = 0.8, radius: int = 2, series: int = 8, near: int = 8
-) -> DataFrame:
+def keep_one(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
     """``docs`` with one document of each group of near copies; all columns stay.
 
-    Candidates are families of documents linked by covering hashing of word-set fingerprints: an
-    edit changes fewer words than shingles, so copies differ in few bits, and ``series``
-    independent fingerprints leave hardly a pair beyond ``radius`` in all of them. Pairs in a bucket
-    count up to ``near`` bits, which drops chance meetings. Within a family the longest document (then the
-    smallest ``doc_id``) leads; a document goes only if its ``words``-word shingles have a Jaccard
-    similarity of ``similarity`` or more with a document that led it. Families of more than
-    ``SHARD_CHARS`` characters are thinned out in salted parts first, each part led by its own
-    leaders, until they fit or stop shrinking. Documents without words stay (they are no copies of
-    a text). Rows are told apart by ``doc_id``; rows with a null id always stay.
+    Groups are those of :func:`similar_groups`. The longest document of a group stays, of equally long ones that
+    with the smallest ``doc_id``. Documents without words stay (they are no copies of a text). Rows are told
+    apart by ``doc_id``; rows with a null id always stay.
     """
-    families = stored(_families(docs, radius, series, near), "families")
-    ours = pick(docs, "doc_id", "text").withColumn("n", F.length("text").cast("long"))
-    members = ours.join(families, "doc_id").select("family", "n", "doc_id", "text")
-    rows, before = members, None
-    while True:
-        sizes = rows.select("family", "n").groupBy("family").agg(F.ceil(F.sum("n") / SHARD_CHARS).alias("parts"))
-        split = cut_lineage(sizes.where("parts > 1"))
-        left = split.agg(F.sum("parts")).first()[0]
-        if not left or (before and left > 0.9 * before):
-            break
-        salt = F.pmod(F.xxhash64("doc_id", F.lit(left)), F.coalesce("parts", F.lit(1)))
-        rows = stored(_pass(rows.join(split, "family", "left"), words, similarity, salt), "leaders")
-        before = left
-    leaders = _pass(rows, words, similarity, F.lit(0).cast("long"))
-    gone = families.join(leaders.select("doc_id"), "doc_id", "left_anti").select("doc_id")
+    groups = cut_lineage(similar_groups(docs, words, similarity))
+    sizes = pick(docs, "doc_id", "text").select("doc_id", F.length("text").alias("n")).join(groups, "doc_id")
+    first = sizes.groupBy("root").agg(F.min(F.struct((-F.col("n")).alias("shorter"), "doc_id")).alias("best")).select("best.doc_id")
+    gone = groups.join(first, "doc_id", "left_anti").select("doc_id")
     return docs.join(gone, "doc_id", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
