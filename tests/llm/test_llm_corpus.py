@@ -442,6 +442,24 @@ def test_near_copies_of_documents(documents):
     assert {r.doc_id for r in simhash.keep_one(documents).collect()} == similar_brute(rows)
 
 
+@pytest.mark.parametrize("bounds", [(8 << 20, 256), (3000, 2)])
+def test_chains_keep_one_at_every_size(spark, monkeypatch, bounds):
+    """The ends of a chain are not similar to each other; splitting must not change which rows stay."""
+    monkeypatch.setattr(simhash, "SHARD_CHARS", bounds[0])
+    monkeypatch.setattr(simhash, "BLOCK_DOCS", bounds[1], raising=False)
+    rows, line = [], prose(900, 12)
+    for g in range(12):
+        words = prose(901 + g, 150).split(" ")
+        for step in range(6):
+            rows.append((len(rows), " ".join(words)))
+            words[20 * step + 5] = words[20 * step + 12] = f"step{g}x{step}"
+    rows += [(len(rows) + i, line + " " + prose(950 + i, 2 + i % 3)) for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    expected = similar_brute(rows)
+    assert len(expected & set(range(72))) == 12
+    assert {r.doc_id for r in simhash.keep_one(docs).collect()} == expected
+
+
 # -- pipeline ------------------------------------------------------------------
 
 
