@@ -460,6 +460,25 @@ def test_chains_keep_one_at_every_size(spark, monkeypatch, bounds):
     assert {r.doc_id for r in simhash.keep_one(docs).collect()} == expected
 
 
+def test_large_buckets_are_split_into_bounded_blocks(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "BLOCK_DOCS", 50, raising=False)
+    rooted = spark.range(1000).selectExpr("7L AS h", "id AS doc_id", "10L AS m", "id DIV 2 AS root")
+    settled = spark.range(30).selectExpr("8L AS h", "id AS doc_id", "10L AS m", "0L AS root")
+    groups = defaultdict(set)
+    for r in simhash._met(rooted.unionAll(settled)).collect():
+        assert r.h == 7
+        groups[r.x, r.y].add(r.doc_id)
+    assert max(map(len, groups.values())) <= 3 * 50
+    assert len({frozenset((a, b)) for g in groups.values() for a in g for b in g}) == 1000 * 1001 // 2
+
+
+def test_same_words_in_other_order_stay(spark):
+    words = prose(990, 80).split(" ")
+    rows = [(i, " ".join(random.Random(i).sample(words, 80))) for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert simhash.similar_groups(docs).count() == 0 and simhash.keep_one(docs).count() == 300
+
+
 # -- pipeline ------------------------------------------------------------------
 
 
