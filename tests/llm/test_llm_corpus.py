@@ -442,11 +442,12 @@ def test_near_copies_of_documents(documents):
     assert {r.doc_id for r in simhash.keep_one(documents).collect()} == similar_brute(rows)
 
 
-@pytest.mark.parametrize("bounds", [(8 << 20, 256), (3000, 2)])
+@pytest.mark.parametrize("bounds", [(8 << 20, 256, 64), (3000, 2, 64), (3000, 2, 2)])
 def test_chains_keep_one_at_every_size(spark, monkeypatch, bounds):
     """The ends of a chain are not similar to each other; splitting must not change which rows stay."""
     monkeypatch.setattr(simhash, "SHARD_CHARS", bounds[0])
     monkeypatch.setattr(simhash, "BLOCK_DOCS", bounds[1], raising=False)
+    monkeypatch.setattr(simhash, "SMALL_GROUP", bounds[2], raising=False)
     rows, line = [], prose(900, 12)
     for g in range(12):
         words = prose(901 + g, 150).split(" ")

@@ -28,8 +28,9 @@ SEED = 42  # of XXH64 and of the masks
 SMALL_BUCKET = 64  # distinct fingerprints compared pair by pair; larger buckets take another exact way
 SHARD_CHARS = 8 << 20  # bytes of shingle hashes in a block of documents compared with each other
 BLOCK_DOCS = 256  # documents in such a block
-SAMPLE_DOCS = 4096  # documents in which common shingles are looked for
-HOT_DOCS = 8  # of them have a common shingle
+SMALL_GROUP = 64  # documents of a bucket of shingles that gives its pairs; larger ones are compared in blocks
+SAMPLE_DOCS = 16384  # documents in which common shingles are looked for
+HOT_DOCS = 4  # of them have a common shingle
 HOT_SHINGLES = 1 << 16  # common shingles at most
 
 
@@ -253,6 +254,23 @@ def _links_of_stars(ours: DataFrame, pairs: DataFrame, words: int, similarity: f
     )
 
 
+def _frequent(rooted: DataFrame, similarity: float) -> DataFrame:
+    """Pairs ``a, b`` of different roots that share enough prefix shingles in buckets of bounded size.
+
+    Of sets of ``m`` and ``m'`` shingles that share ``o`` of them, the first ``m - o + l`` and ``m' - o + l`` share ``l`` at
+    least. A pair that shares a larger bucket too may fall out here, as it meets there.
+    """
+    members = F.collect_list(F.struct("doc_id", "m", "root")).alias("d")
+    groups = rooted.groupBy("h", "k").agg(members, F.min("root").alias("low"), F.max("root").alias("high")).where("low < high")
+    both = "flatten(transform(d, (x, i) -> transform(slice(d, i + 2, size(d)), y -> IF(x.doc_id < y.doc_id, struct(x AS a, y AS b), struct(y AS a, x AS b)))))"
+    fits = f"p.a.root <> p.b.root AND least(p.a.m, p.b.m) >= {similarity}D * greatest(p.a.m, p.b.m) - 1e-9D"
+    pairs = groups.select("k", F.explode(F.expr(f"filter({both}, p -> {fits})")).alias("p"))
+    shared = pairs.groupBy(F.col("p.a.doc_id").alias("a"), F.col("p.b.doc_id").alias("b"), F.col("p.a.m").alias("m"), F.col("p.b.m").alias("o")).agg(F.sum("k").alias("k"))
+    overlap = F.ceil(similarity / (1 + similarity) * (F.col("m") + F.col("o")) - 1e-9)
+    least = overlap + 1 - F.ceil(similarity * F.greatest("m", "o") - 1e-9)
+    return shared.where(F.col("k") >= least).select("a", "b").distinct()
+
+
 def _met(rooted: DataFrame) -> DataFrame:
     """Buckets of several roots as pairs of blocks ``h, x, y`` of bounded size, in some of which any two documents meet."""
     blocks = F.ceil(F.greatest(F.count("*") / BLOCK_DOCS, F.sum("m") * 8 / SHARD_CHARS))
@@ -270,8 +288,9 @@ def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8) ->
     Under any common order of shingles, such sets share one of the first ``m - ceil(similarity * m) + 1``
     of either (prefix filter), so documents meet in buckets of equal prefix shingles. The order is by hash, shingles
     common in a sample last; it changes the work, never the result. Buckets with the same documents count once.
-    First every bucket is a star around its smallest document. A bucket that verified links connect is done;
-    the documents of others meet in pairs of blocks of at most about ``BLOCK_DOCS`` documents and
+    First every bucket is a star around its smallest document. A bucket that verified links connect is done.
+    Others of up to ``SMALL_GROUP`` documents give their pairs, of which those that share enough prefix shingles are verified; the
+    documents of larger ones meet in pairs of blocks of at most about ``BLOCK_DOCS`` documents and
     ``SHARD_CHARS`` bytes of hashes, where pairs not connected yet are verified.
     """
     ours = pick(docs, "doc_id", "text").where("doc_id IS NOT NULL")
@@ -282,7 +301,7 @@ def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8) ->
     counted = prefix.groupBy("h").agg(
         F.count("*").alias("n"), F.min(F.struct("doc_id", "m")).alias("low"), F.bit_xor(mark).alias("p"), F.sum(F.pmod(mark, F.lit(1 << 30))).alias("q")
     )
-    buckets = cut_lineage(counted.where("n > 1").groupBy("n", "low", "p", "q").agg(F.min("h").alias("h")).select("h", "n", "low"))
+    buckets = cut_lineage(counted.where("n > 1").groupBy("n", "low", "p", "q").agg(F.min("h").alias("h"), F.count("*").alias("k")).select("h", "n", "low", "k"))
     shared = stored(prefix.join(buckets, "h"), "buckets")
 
     fits = F.least("m", "low.m") >= similarity * F.greatest("m", "low.m") - 1e-9
@@ -290,8 +309,10 @@ def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8) ->
     found = stored(_links_of_stars(ours, cut_lineage(stars.distinct()), words, similarity), "star_links")
     roots = cut_lineage(components(found)).withColumnRenamed("node", "doc_id")
 
-    rooted = shared.where("n > 2").join(roots, "doc_id", "left").select("h", "doc_id", "m", F.coalesce("root", "doc_id").alias("root"))
-    met = _met(rooted)
+    rooted = shared.where("n > 2").join(roots, "doc_id", "left").select("h", "n", "k", "doc_id", "m", F.coalesce("root", "doc_id").alias("root"))
+    few = cut_lineage(_frequent(rooted.where(F.col("n") <= SMALL_GROUP), similarity))
+    found = found.unionAll(stored(_links_of_stars(ours, few, words, similarity), "pair_links"))
+    met = _met(rooted.where(F.col("n") > SMALL_GROUP))
     more = (
         met.join(ours, "doc_id").select("h", "x", "y", "doc_id", "root", "text")
         .repartition(partitions(ours), "h", "x", "y").sortWithinPartitions("h", "x", "y", "doc_id")
