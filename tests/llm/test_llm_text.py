@@ -1,6 +1,7 @@
 """Chat templates, pieces, token files and secrets against brute force."""
 
 import hashlib
+import random
 import re
 import zlib
 
@@ -207,6 +208,15 @@ def test_novelty():
     assert secret_scan.find(repeated) == []
 
 
+def test_novelty_of_long_random_strings():
+    rng = random.Random(4)
+    upper, lower, digits = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz", "0123456789"
+    for alphabet in (upper + lower + digits + "+/", upper + "234567", digits + "ABCDEF"):
+        for n in (16, 20, 40, 48, 49, 64, 100, 300, 400, 1600, 4000):
+            value = "".join(rng.choices(alphabet, k=n - 2)) + "7K"
+            assert [s[:3] for s in secret_scan.find(f"auth header: {value} and more")] == [("novel", 13, 13 + n)]
+
+
 def test_chat_query_columns(spark, sf_dir):
     found = queries.op1_chat_format(spark, sf_dir)
     own = found.where("conv_id = -1").first()

@@ -21,6 +21,7 @@ from tidemark.llm.common import Batches, in_blocks, pick, texts
 
 AROUND = 512  # characters on each side that prime the dictionary
 CONTEXT = 48  # characters before a candidate that may hold a sensitive identifier
+WINDOW = 48  # characters of a candidate measured at once
 LEAST_CHARS = 16
 LEAST_NOVELTY = 0.9
 
@@ -49,12 +50,18 @@ Span = tuple[str, int, int, float | None]
 
 
 def novelty(text: str, start: int, end: int) -> float:
-    """Marginal compressed bytes of a span per byte, given identifiers and the text around it."""
-    content = text[start:end].encode()
+    """Marginal compressed bytes per byte of the most novel window of a span, given identifiers and the text around it.
+
+    Windows have ``WINDOW`` characters: zstandard codes so few literals as they are, while it codes the digits of
+    longer random strings by their frequency, which says nothing about novelty.
+    """
     around = (text[max(0, start - AROUND) : start] + "\n" + text[end : end + AROUND]).encode()
     primed = zstandard.ZstdCompressionDict(IDENTIFIERS + b"\n" + around, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
     compressor = zstandard.ZstdCompressor(level=3, dict_data=primed, write_checksum=False, write_content_size=False)
-    return (len(compressor.compress(content)) - len(compressor.compress(b""))) / len(content)
+    empty = len(compressor.compress(b""))
+    starts = [*range(start, max(start + 1, end - WINDOW), WINDOW), max(start, end - WINDOW)]
+    windows = {text[i : min(i + WINDOW, end)] for i in starts}
+    return max((len(compressor.compress(w.encode())) - empty) / len(w.encode()) for w in windows)
 
 
 def base_spans(text: str, low: str) -> Iterator[Span]:
