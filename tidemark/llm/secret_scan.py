@@ -1,6 +1,7 @@
 """Secrets in texts: three patterns, and strings that zstandard finds novel in a sensitive place.
 
-A candidate is a run of token characters shortly behind a sensitive identifier. It is
+A candidate is a run of token characters shortly behind a sensitive identifier; a run like ``KEY=value`` is split,
+and its identifier counts as context of the value. It is
 compressed with a raw dictionary of common identifiers and of the text around it, without itself;
 what it adds to the compressed size, over its length, is its novelty. Identifiers, paths and repeated
 values are matches of the dictionary and cost little, random strings cost about their length.
@@ -44,6 +45,7 @@ IDENTIFIERS = (
 ).encode()
 
 _CANDIDATE = re.compile(r"[A-Za-z0-9+/_.=-]{%d,}" % LEAST_CHARS)
+_EQUALS = re.compile("=+")
 _HEX_CLASS = bytes(120 if chr(b) in "0123456789abcdef" else 32 for b in range(256))
 
 Span = tuple[str, int, int, float | None]
@@ -85,15 +87,18 @@ def novel_spans(text: str, low: str, taken: list[Span], least_novelty: float) ->
         return
     for m in _CANDIDATE.finditer(text):
         a, b = m.start(), m.end()
-        found = m[0]
-        mixed = any(c.isdigit() for c in found) and any(c.isalpha() for c in found)
-        if not mixed or any(a < t[2] and t[1] < b for t in taken):
+        if any(a < t[2] and t[1] < b for t in taken):
             continue
-        before = text[max(0, a - CONTEXT) : a].lower()
-        if any(word in before for word in SENSITIVE):
-            value = novelty(text, a, b)
-            if value >= least_novelty:
-                yield "novel", a, b, round(value, 6)
+        # The value behind each "=" with its identifier as context, then the candidate as a whole.
+        for start in [*(a + e.end() for e in _EQUALS.finditer(m[0])), a]:
+            if b - start < LEAST_CHARS or not any(c.isalpha() for c in text[start:b]):
+                continue
+            before = text[max(0, start - CONTEXT) : start].lower()
+            if any(word in before for word in SENSITIVE):
+                value = novelty(text, start, b)
+                if value >= least_novelty:
+                    yield "novel", start, b, round(value, 6)
+                    break
 
 
 def find(text: str, least_novelty: float = LEAST_NOVELTY) -> list[Span]:
