@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import zlib
+
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import chat, contamination, exact, grammar, language, pieces, secret_scan, sharding, simhash, urls
+from tidemark.llm import chat, contamination, exact, grammar, language, packing, pieces, prefix_trie, secret_scan, sharding, simhash, spelling, urls
 from tidemark.llm.common import table
 
 WHITE = r"[\x20\x09-\x0D]"
@@ -101,6 +103,30 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op11_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
+def first_turns(conv_id: int) -> int:
+    """How many turns a conversation takes from the first one of its five, by the checksum of its id."""
+    return zlib.crc32(str(conv_id).encode()) % 9
+
+
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.prefix_trie(table(spark, sf_dir, "conversations"), family=5, borrowed=first_turns).drop("key")
+
+
+def slip(doc_id: int | None, run: str) -> str:
+    """A run with one character left out in one case of 31, by the checksum of document and run."""
+    h = zlib.crc32(f"{'' if doc_id is None else doc_id}:{run}".encode())
+    at = h % len(run)
+    return run if h % 31 else run[:at] + run[at + 1 :]
+
+
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents"), slip=slip)
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -118,6 +144,9 @@ QUERIES = {
     "op8_url_filter": op8_url_filter,
     "op9_benchmark_contamination": op9_benchmark_contamination,
     "op10_simhash_near_dedup": op10_simhash_near_dedup,
+    "op11_best_fit_packing": op11_best_fit_packing,
+    "op12_prefix_trie": op12_prefix_trie,
+    "op13_spelling_variants": op13_spelling_variants,
     "pipeline": pipeline,
 }
 SQL = {
