@@ -1,10 +1,10 @@
 """Token ids in compressed files: Re-Pair grammars, shard by shard.
 
-Documents are encoded in ascending ``doc_id`` order and packed into shards. The ids of a shard are cut
-into blocks; in each block frequent pairs of neighbours are replaced by nonterminals, round by
-round, until a round saves too little. A round replaces many pairs at once: where two chosen pairs
-overlap, the more frequent one is replaced. A block stores its rules, the length of each rule's
-expansion and the remaining row of symbols, so any range of ids is decoded without the rest.
+Documents are encoded in ascending ``doc_id`` order and packed into shards. In each shard frequent pairs of
+neighbours are replaced by nonterminals, round by round, until none is left. A round replaces many pairs at
+once: where two chosen pairs overlap, the more frequent one is replaced. A document of more ids than a shard is cut into
+blocks with a grammar each. A block stores its rules, the length of each rule's expansion and the remaining row
+of symbols, so any range of ids is decoded without the rest.
 
 A shard file is one binary value of a Parquet table in the shared folder: Spark's writer commits
 it, and a lost task writes it again.
@@ -28,21 +28,27 @@ from tidemark.llm.common import Batches, Remembered, blocks, kept_by_worker, par
 
 END_ID = 1
 BLOCK_IDS = 1 << 17
-SHARD_IDS = 1 << 19
+SHARD_IDS = BLOCK_IDS
 LEAST_USES = 4  # a rule costs two symbols and a length
-LEAST_GAIN = 0.03  # a round that shortens a block by less is the last
-CACHED = 250_000  # parts of text a worker remembers, and as many old ones
+CACHED = 500_000  # parts of text a worker remembers, and as many old ones
 BLOCK_BYTES = 1 << 20  # of text that is encoded at once
 
 MAGIC = b"TIDEIDS1"
 _SHARD = "<8sIIQ"  # magic, documents, blocks, ids
 _BLOCK = "<IIIIII"  # ids, first nonterminal, rules, symbols, bytes per symbol, bytes in total
-_SLOTS = 1 << 18
 
 
-def _round(seq: np.ndarray, base: int) -> tuple[np.ndarray, np.ndarray, np.ndarray] | None:
-    """Sequence with frequent pairs replaced from ``base`` on, and left and right sides of the rules."""
-    codes = (seq[:-1].astype(np.uint64) << np.uint64(32)) | seq[1:] if base > 0xFFFF else (seq[:-1] << np.uint32(16)) | seq[1:]
+def _round(seq: np.ndarray, live: np.ndarray, base: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray] | None:
+    """Sequence with frequent pairs replaced from ``base`` on, places that can still start a frequent pair, and left and
+    right sides of the rules.
+
+    Counts of a pair only fall, so pairs that were rare come back only with a new symbol: places of ``live`` are looked at.
+    """
+    at = np.flatnonzero(live[:-1])
+    left, right = seq[at], seq[at + 1]
+    codes = (left.astype(np.uint64) << np.uint64(32)) | right if base > 0xFFFF else (left << np.uint32(16)) | right
+    if not len(codes):
+        return None
     ordered = np.sort(codes)
     edges = np.concatenate(([0], np.flatnonzero(ordered[1:] != ordered[:-1]) + 1, [len(ordered)]))
     counts = np.diff(edges)
@@ -51,18 +57,26 @@ def _round(seq: np.ndarray, base: int) -> tuple[np.ndarray, np.ndarray, np.ndarr
         return None
     pairs = ordered[edges[often]]
     pairs = pairs[np.argsort(-counts[often], kind="stable")]
-    if base <= 0xFFFF:
-        pairs = pairs[: 0x10000 - base]
-        if not len(pairs):
-            return None
-    # Rank of the pair at every place by a hash table; of pairs that collide the more frequent stays.
+    most = 0x10000 - base if base <= 0xFFFF else len(pairs)  # more symbols need wider codes, from the next round on
+    # Rank of the pair at every place by a hash table; of pairs that collide the less frequent waits for a later round.
+    bits = min(len(pairs).bit_length() + 3, 18)
     mix = np.uint64(0x9E3779B97F4A7C15) if codes.dtype == np.uint64 else np.uint32(0x9E3779B1)
-    shift = codes.dtype.type(codes.dtype.itemsize * 8 - 18)
-    table = np.full(_SLOTS, -1, dtype=np.int32)
+    shift = codes.dtype.type(codes.dtype.itemsize * 8 - bits)
+    table = np.full(1 << bits, -1, dtype=np.int32)
     table[((pairs * mix) >> shift)[::-1]] = np.arange(len(pairs), dtype=np.int32)[::-1]
-    rank = table[(codes * mix) >> shift]
+    found = table[(codes * mix) >> shift]
     none = np.int32(len(pairs))
-    rank = np.where((rank >= 0) & (pairs[np.maximum(rank, 0)] == codes), rank, none)
+    rank = np.full(len(seq) - 1, none)
+    rank[at] = np.where((found >= 0) & (found < most) & (pairs[np.maximum(found, 0)] == codes), found, none)
+    again = np.zeros(len(seq), dtype=bool)
+    again[at[found >= 0]] = True
+    # Of a run of one symbol every second pair counts.
+    inside = np.flatnonzero((seq[2:] == seq[1:-1]) & (seq[1:-1] == seq[:-2])) + 1
+    if len(inside):
+        place = np.arange(len(rank))
+        start = place.copy()
+        start[inside] = 0
+        rank[((place - np.maximum.accumulate(start)) & 1).astype(bool)] = none
     # A place is replaced if its pair comes before the pairs it overlaps, the left one in a tie.
     here = rank < none
     here[1:] &= rank[1:] < rank[:-1]
@@ -71,16 +85,18 @@ def _round(seq: np.ndarray, base: int) -> tuple[np.ndarray, np.ndarray, np.ndarr
     uses = np.bincount(rank[at], minlength=len(pairs))
     worth = uses >= 2
     at = at[worth[rank[at]]]
-    if len(at) < LEAST_GAIN * len(seq):
+    if not len(at):
         return None
     names = np.cumsum(worth) - 1 + base
     out = seq.copy()
     out[at] = names[rank[at]]
+    again[at] = True
+    again[at[at > 0] - 1] = True
     keep = np.ones(len(seq), dtype=bool)
     keep[at + 1] = False
     half = codes.dtype.type(codes.dtype.itemsize * 4)
     chosen = pairs[worth]
-    return out[keep], (chosen >> half).astype(np.uint32), (chosen & codes.dtype.type((1 << int(half)) - 1)).astype(np.uint32)
+    return out[keep], again[keep], (chosen >> half).astype(np.uint32), (chosen & codes.dtype.type((1 << int(half)) - 1)).astype(np.uint32)
 
 
 def compress(ids: np.ndarray) -> bytes:
@@ -88,11 +104,12 @@ def compress(ids: np.ndarray) -> bytes:
     seq = ids.astype(np.uint32)
     first = base = int(seq.max(initial=0)) + 1
     left, right = [np.zeros(0, np.uint32)], [np.zeros(0, np.uint32)]
-    while len(seq) > 1 and (made := _round(seq, base)):
-        seq = made[0]
-        left.append(made[1])
-        right.append(made[2])
-        base += len(made[1])
+    live = np.ones(len(seq), dtype=bool)
+    while len(seq) > 1 and (made := _round(seq, live, base)):
+        seq, live = made[:2]
+        left.append(made[2])
+        right.append(made[3])
+        base += len(made[2])
     a, b = np.concatenate(left), np.concatenate(right)
     spans = np.ones(base, dtype=np.uint32)
     done = first
@@ -140,11 +157,36 @@ class Block:
             seq, top = wide, low
         return seq
 
+    def expand_all(self) -> np.ndarray:
+        """Ids of the block: the expansions of all rules, those of the first round first, are looked up in one step."""
+        spans = self.spans.astype(np.int64)
+        begins = np.cumsum(spans) - spans
+        flat = np.zeros(0, dtype=np.uint32)
+
+        def looked_up(seq: np.ndarray) -> np.ndarray:
+            rule = np.flatnonzero(seq >= self.first)
+            name = seq[rule].astype(np.int64) - self.first
+            sizes = np.ones(len(seq), dtype=np.int64)
+            sizes[rule] = spans[name]
+            out = np.repeat(seq, sizes)
+            ends = np.cumsum(sizes)[rule]
+            own = spans[name]
+            step = np.arange(int(own.sum())) - np.repeat(np.cumsum(own) - own, own)
+            out[step + np.repeat(ends - own, own)] = flat[step + np.repeat(begins[name], own)]
+            return out
+
+        done = 0
+        for n in self.rounds:
+            sides = np.stack((self.left[done : done + n], self.right[done : done + n]), axis=1).astype(np.uint32)
+            flat = np.concatenate((flat, looked_up(sides.ravel())))
+            done += n
+        return looked_up(self.seq.astype(np.uint32))
+
     def ids(self, start: int = 0, stop: int | None = None) -> np.ndarray:
         """Ids ``start`` to ``stop`` of the block; only symbols that cover them are expanded."""
         stop = self.n_ids if stop is None else stop
         if start == 0 and stop == self.n_ids:
-            return self.expand(self.seq)
+            return self.expand_all()
         spans = np.ones(len(self.seq), dtype=np.int64)
         rule = self.seq >= self.first
         spans[rule] = self.spans[self.seq[rule] - self.first]
@@ -214,15 +256,14 @@ class Tokens:
 
         self.library = Tokenizer.from_file(path)
         vocabulary = self.library.get_vocab()
-        special = sorted(t.content for t in self.library.get_added_tokens_decoder().values())
-        self.special = re.compile("|".join(map(re.escape, special)) or "(?!)")
+        self.special = sorted(t.content for t in self.library.get_added_tokens_decoder().values())
         self.last = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
         for token, i in vocabulary.items():
             self.last[i] = token.endswith("</w>")
         self.known = Remembered(CACHED)
 
     def _odd(self, text: str) -> bool:
-        return bool(_ODD.search(text) or self.special.search(text))
+        return bool(_ODD.search(text)) or any(s in text for s in self.special)
 
     def parts(self, text: str) -> list[str]:
         if not self._odd(text):
@@ -255,7 +296,8 @@ class Tokens:
         new = known.missing(rows)
         if new:
             self._learn(sorted(new))
-        out = [b"".join([known[p] for p in row]) for row in rows]
+        of = known.__getitem__
+        out = [b"".join(map(of, row)) for row in rows]
         known.age()
         return out
 
