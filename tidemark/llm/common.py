@@ -32,6 +32,16 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def give_back(*frames: DataFrame) -> None:
+    """Delete the folders of tables that :func:`stored` wrote, once nothing reads them any more."""
+    for df in frames:
+        spark = df.sparkSession
+        for path in {os.path.dirname(f) for f in df.inputFiles()}:
+            if "/tidemark-llm/" in path:
+                folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+                folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def partitions(df: DataFrame) -> int:
     """Number of shuffle partitions the session asks for."""
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))

@@ -16,10 +16,10 @@ from functools import partial
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import Batches, in_blocks, partitions, pick, stored, texts
+from tidemark.llm.common import Batches, give_back, in_blocks, partitions, pick, stored, texts
 from tidemark.llm.graph import components
 from tidemark.session import cut_lineage
 
@@ -178,14 +178,19 @@ def _hot(docs: DataFrame, words: int) -> np.ndarray:
 
 
 def _prefixes(batches: Batches, words: int, similarity: float, hot: np.ndarray) -> Batches:
+    empty = np.zeros(0, dtype=np.int64)
     for batch in in_blocks(batches):
-        for doc_id, text in zip(batch.column("doc_id").to_pylist(), texts(batch.column("text")), strict=True):
+        prefixes, sizes = [empty], []
+        for text in texts(batch.column("text")):
             own = _shingle_set(text, words)
             late = np.isin(own, hot, assume_unique=True)
             ordered = np.concatenate((own[~late], own[late]))
-            prefix = ordered[: len(own) - int(np.ceil(similarity * len(own) - 1e-9)) + 1].view(np.int64)
-            ids, sizes = np.full(len(prefix), doc_id, dtype=np.int64), np.full(len(prefix), len(own), dtype=np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(prefix), pa.array(ids), pa.array(sizes)], names=["h", "doc_id", "m"])
+            prefixes.append(ordered[: len(own) - int(np.ceil(similarity * len(own) - 1e-9)) + 1].view(np.int64))
+            sizes.append(len(own))
+        lengths = [len(p) for p in prefixes[1:]]
+        ids = np.repeat(batch.column("doc_id").to_numpy(), lengths)
+        m = np.repeat(np.array(sizes, dtype=np.int32), lengths)
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(prefixes)), pa.array(ids), pa.array(m)], names=["h", "doc_id", "m"])
 
 
 def _alike(a: np.ndarray, b: np.ndarray, similarity: float) -> bool:
@@ -295,31 +300,37 @@ def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8) ->
     """
     ours = pick(docs, "doc_id", "text").where("doc_id IS NOT NULL")
     prefixes = partial(_prefixes, words=words, similarity=similarity, hot=_hot(ours, words))
-    prefix = stored(ours.mapInArrow(prefixes, "h long, doc_id long, m long"), "prefixes")
+    # One exchange finds the shingles of two documents or more; most occur once and are left behind there.
+    counted = F.count("*").over(Window.partitionBy("h"))
+    prefix = ours.mapInArrow(prefixes, "h long, doc_id long, m int").withColumn("n", counted).where("n > 1")
+    met = stored(prefix, "prefixes")
     # The sum and the exclusive or of 64-bit hashes stand for the documents of a bucket.
     mark = F.xxhash64("doc_id")
-    counted = prefix.groupBy("h").agg(
-        F.count("*").alias("n"), F.min(F.struct("doc_id", "m")).alias("low"), F.bit_xor(mark).alias("p"), F.sum(F.pmod(mark, F.lit(1 << 30))).alias("q")
+    marked = met.groupBy("h", "n").agg(
+        F.min(F.struct("doc_id", "m")).alias("low"), F.bit_xor(mark).alias("p"), F.sum(F.pmod(mark, F.lit(1 << 30))).alias("q")
     )
-    buckets = cut_lineage(counted.where("n > 1").groupBy("n", "low", "p", "q").agg(F.min("h").alias("h"), F.count("*").alias("k")).select("h", "n", "low", "k"))
-    shared = stored(prefix.join(buckets, "h"), "buckets")
+    buckets = cut_lineage(marked.groupBy("n", "low", "p", "q").agg(F.min("h").alias("h"), F.count("*").alias("k")).select("h", "low", "k"))
+    shared = stored(met.join(buckets, "h"), "buckets")
+    give_back(met)
 
     fits = F.least("m", "low.m") >= similarity * F.greatest("m", "low.m") - 1e-9
     stars = shared.where(F.col("doc_id") != F.col("low.doc_id")).where(fits).select(F.col("low.doc_id").alias("a"), F.col("doc_id").alias("b"))
-    found = stored(_links_of_stars(ours, cut_lineage(stars.distinct()), words, similarity), "star_links")
-    roots = cut_lineage(components(found)).withColumnRenamed("node", "doc_id")
+    star_links = stored(_links_of_stars(ours, cut_lineage(stars.distinct()), words, similarity), "star_links")
+    roots = cut_lineage(components(star_links)).withColumnRenamed("node", "doc_id")
 
     rooted = shared.where("n > 2").join(roots, "doc_id", "left").select("h", "n", "k", "doc_id", "m", F.coalesce("root", "doc_id").alias("root"))
     few = cut_lineage(_frequent(rooted.where(F.col("n") <= SMALL_GROUP), similarity))
-    found = found.unionAll(stored(_links_of_stars(ours, few, words, similarity), "pair_links"))
-    met = _met(rooted.where(F.col("n") > SMALL_GROUP))
+    pair_links = stored(_links_of_stars(ours, few, words, similarity), "pair_links")
+    blocks = _met(rooted.where(F.col("n") > SMALL_GROUP))
     more = (
-        met.join(ours, "doc_id").select("h", "x", "y", "doc_id", "root", "text")
+        blocks.join(ours, "doc_id").select("h", "x", "y", "doc_id", "root", "text")
         .repartition(partitions(ours), "h", "x", "y").sortWithinPartitions("h", "x", "y", "doc_id")
         .mapInArrow(partial(_block_links, words=words, similarity=similarity), "a long, b long")
     )
-    found = found.unionAll(stored(more, "block_links"))
-    return components(found).withColumnRenamed("node", "doc_id")
+    block_links = stored(more, "block_links")
+    groups = components(star_links.unionAll(pair_links).unionAll(block_links)).withColumnRenamed("node", "doc_id")
+    give_back(shared, star_links, pair_links, block_links)
+    return groups
 
 
 def keep_one(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
