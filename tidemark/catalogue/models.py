@@ -53,6 +53,28 @@ def expanding_folds(spark, d):
     return K.expanding_folds(hourly_bars(spark, d), 5).select(*KEYS, "timestamp", "fold")
 
 
+@query(f"""WITH {NUMBERED}, c AS (SELECT "timestamp" AS t, count(*) AS n FROM b GROUP BY t), u AS (SELECT t, sum(n) OVER (ORDER BY t) AS upto FROM c),
+  cut AS (SELECT min(t) AS cut FROM u WHERE upto >= floor((SELECT count(*) FROM b) * 0.8::DOUBLE))
+  SELECT symbol, "interval", "timestamp", CASE WHEN "timestamp" > cut THEN 'test' WHEN "timestamp" + INTERVAL 4 HOUR <= cut THEN 'train' ELSE 'gap' END AS part FROM b, cut""")
+def time_split(spark, d):
+    return K.time_split(hourly_bars(spark, d), gap=4).select(*KEYS, "timestamp", "part")
+
+
+@query(f"""WITH {NUMBERED}, c AS (SELECT "timestamp" AS t, count(*) AS n FROM b GROUP BY t), u AS (SELECT t, sum(n) OVER (ORDER BY t) AS upto, sum(n) OVER () AS total FROM c),
+  e AS (SELECT j, min(t) AS t FROM u, range(5) r(j) WHERE upto >= total - (5 - j) * (total // 6) GROUP BY j),
+  f AS (SELECT "timestamp" AS t, (SELECT count(*) FROM e WHERE b."timestamp" > e.t) AS fold, (SELECT count(*) FROM e WHERE b."timestamp" + INTERVAL 1 HOUR > e.t) + 1 AS trains_from FROM b)
+  SELECT i::INTEGER AS fold, count(*) FILTER (trains_from <= i) AS n_train, max(t) FILTER (trains_from <= i) AS last_train, count(*) FILTER (fold = i) AS n_test,
+  min(t) FILTER (fold = i) AS first_test, max(t) FILTER (fold = i) AS last_test FROM f, range(1, 6) r(i) GROUP BY i""")
+def fold_bounds(spark, d):
+    rows = K.time_folds(hourly_bars(spark, d), 5, gap=1).select("timestamp", "fold", "trains_from")
+    each = rows.withColumn("i", F.explode(F.array(*[F.lit(i) for i in range(1, 6)])))
+    trains, tests = F.col("trains_from") <= F.col("i"), F.col("fold") == F.col("i")
+    at = lambda f, which, name: f(F.when(which, F.col("timestamp"))).alias(name)
+    return each.groupBy(F.col("i").alias("fold")).agg(
+        F.count_if(trains).alias("n_train"), at(F.max, trains, "last_train"), F.count_if(tests).alias("n_test"), at(F.min, tests, "first_test"), at(F.max, tests, "last_test")
+    )
+
+
 def predictions(spark, d):
     return table(spark, d, "labels").select(F.col("quality").alias("label"), (1 - F.col("toxic")).alias("prediction"))
 
@@ -190,4 +212,4 @@ def partial_dependence(spark, d):
 
 @query()
 def parameter_search(spark, d):
-    return K.search(training_rows(spark, d), COLUMNS, "target_direction_1", list(K.SEARCH_SPACES), trials=3)
+    return K.search(training_rows(spark, d), COLUMNS, "target_direction_1", list(K.SEARCH_SPACES))

@@ -15,7 +15,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.plans.blocks import number_rows
+from tidemark.plans.blocks import interval_seconds, number_rows
 from tidemark.plans.ranks import cumulative
 from tidemark.schemas import KEYS
 from tidemark.session import cut_lineage
@@ -56,6 +56,43 @@ def chronological_split(df: DataFrame, share: float = TRAIN_SHARE) -> DataFrame:
     return _sized(df).withColumn("is_train", F.col("_rn") <= F.floor(F.col("_n") * share)).drop("_n")
 
 
+def _time_bounds(df: DataFrame, ranks: Sequence[Column]) -> DataFrame:
+    """One row ``_b``: for each rank, a column of the number of rows ``_n``, the earliest time up to which so many rows lie."""
+    counts = df.groupBy(F.unix_micros("timestamp").alias("_us")).agg(F.count("*").alias("_rows"))
+    upto = cumulative(counts, [], "_us", {"_upto": F.col("_rows")}).withColumn("_n", df.select(F.count("*")).scalar())
+    return upto.agg(F.struct(*[F.min(F.when(F.col("_upto") >= r, F.col("_us"))).alias(f"b{i}") for i, r in enumerate(ranks)]).alias("_b"))
+
+
+def _seen(gap: int) -> Column:
+    """Time of the last bar that a target of ``gap`` bars ahead looks at."""
+    return F.unix_micros("timestamp") + interval_seconds(F.col("interval")) * 1_000_000 * gap
+
+
+def time_split(df: DataFrame, share: float = TRAIN_SHARE, gap: int = 0) -> DataFrame:
+    """Add ``part``: ``train``, ``gap`` or ``test``, by one cut in time for all series.
+
+    Rows after the cut, the earliest time that leaves at least ``share`` of all rows (rounded down) up to it, are test rows. Training
+    rows lie before it by ``gap`` bars, so that no target of that horizon looks past the cut. Rows of the same time stay together.
+    """
+    cut = _time_bounds(df, [F.floor(F.col("_n") * share)]).scalar()["b0"]
+    part = F.when(F.unix_micros("timestamp") > cut, "test").when(_seen(gap) <= cut, "train").otherwise("gap")
+    return df.withColumn("part", part)
+
+
+def time_folds(df: DataFrame, k: int = 5, gap: int = 0) -> DataFrame:
+    """Add ``fold``, the test fold 1 to k of a row or 0, and ``trains_from``, the first fold whose training rows it belongs to.
+
+    Folds are cut in time over all series: the last k parts of n div (k + 1) rows, rows of the same time together. Each fold
+    trains on all rows whose target, ``gap`` bars ahead, lies before it; the last fold's rows train nothing (k + 1).
+    With k rows or fewer all rows only train.
+    """
+    size = F.floor(F.col("_n") / (k + 1))
+    bounds = _time_bounds(df, [F.col("_n") - (k - j) * size for j in range(k)]).scalar()
+    ends = [bounds[f"b{j}"] for j in range(k)]
+    after = lambda us: sum((us > end).cast("int") for end in ends)
+    return df.withColumns({"fold": after(F.unix_micros("timestamp")), "trains_from": after(_seen(gap)) + 1})
+
+
 def _sized(df: DataFrame) -> DataFrame:
     numbered = number_rows(df)
     sizes = numbered.groupBy(*KEYS).agg(F.max("_rn").alias("_n"))
@@ -79,11 +116,14 @@ def pipeline(name: str, columns: Sequence[str], label: str, task: str = "classif
     ])
 
 
-def train(df: DataFrame, columns: Sequence[str], label: str, name: str, task: str = "classification", **params):
-    """Fit on the first 80% of each series; returns the model and the scored test rows."""
-    split = cut_lineage(chronological_split(df.select(*KEYS, "timestamp", label, *columns).dropna()))
-    model = pipeline(name, columns, label, task, **params).fit(split.where("is_train"))
-    return model, model.transform(split.where("NOT is_train"))
+def train(df: DataFrame, columns: Sequence[str], label: str, name: str, task: str = "classification", gap: int = 1, **params):
+    """Fit on the rows before the cut in time that leaves 80% of all rows; returns the model and the scored rows after it.
+
+    ``gap`` is the horizon of the target in bars: training rows whose target looks past the cut are left out.
+    """
+    split = cut_lineage(time_split(df.select(*KEYS, "timestamp", label, *columns).dropna(), gap=gap))
+    model = pipeline(name, columns, label, task, **params).fit(split.where("part = 'train'"))
+    return model, model.transform(split.where("part = 'test'"))
 
 
 def train_regression(df: DataFrame, columns: Sequence[str], target: str, name: str = "random_forest", **params):
@@ -150,15 +190,15 @@ def expanding_folds(df: DataFrame, k: int = 5) -> DataFrame:
 
 
 def cross_validate(
-    df: DataFrame, columns: Sequence[str], label: str, name: str, task: str = "classification", k: int = 5, **params
+    df: DataFrame, columns: Sequence[str], label: str, name: str, task: str = "classification", k: int = 5, gap: int = 1, **params
 ) -> DataFrame:
-    """Mean, deviation and range of each measure over expanding folds."""
-    data = df.select(*KEYS, "timestamp", label, *columns, *[c for c in df.columns if c == "_rn"]).dropna()
-    folds = cut_lineage(expanding_folds(data, k))
+    """Mean, deviation and range of each measure over expanding folds in time, see :func:`time_folds`."""
+    data = df.select(*KEYS, "timestamp", label, *columns).dropna()
+    folds = cut_lineage(time_folds(data, k, gap))
     parts = None
     measure = classification_metrics if task == "classification" else regression_metrics
     for i in range(1, k + 1):
-        model = pipeline(name, columns, label, task, **params).fit(folds.where(F.col("fold") < i))
+        model = pipeline(name, columns, label, task, **params).fit(folds.where(F.col("trains_from") <= i))
         part = measure(model.transform(folds.where(F.col("fold") == i)), label).withColumn("fold", F.lit(i))
         parts = part if parts is None else parts.unionByName(part)
     names = [c for c in parts.columns if c != "fold"]
@@ -207,35 +247,37 @@ def native_importance(model: PipelineModel, columns: Sequence[str]) -> dict[str,
 def dealt_out(df: DataFrame, columns: Sequence[str], seed: int = SEED, rows_per_bucket: int = 65536) -> DataFrame:
     """``df`` with ``_new``, a struct of ``columns`` taken from another row.
 
-    Both sides are numbered once in a hash order and joined once, whatever the number of columns.
+    Rows are dealt to buckets of bounded size and put in a hash order; each takes the values of the next one, the last
+    those of the first.
     """
     buckets = max(1, -(-df.count() // rows_per_bucket))
-
-    def ordered(frame: DataFrame, salt: int) -> DataFrame:
-        keyed = frame.withColumn("_one", F.lit(0)).withColumn("_h", F.xxhash64(*[F.col(c) for c in KEYS], "timestamp", F.lit(salt)))
-        # Buckets follow the hash, so their order is the order of the hash.
-        share = (F.col("_h").cast("double") + 2.0**63) / 2.0**64
-        keyed = keyed.withColumn("_hb", F.floor(share * buckets))
-        return number_rows(keyed, ["_one"], order=["_h"], bucket=F.col("_hb")).drop("_one", "_h", "_hb")
-
-    base = ordered(df.drop("_rn"), seed)
-    other = ordered(df.select(*KEYS, "timestamp", *columns), seed + 1).select("_rn", F.struct(*columns).alias("_new"))
-    return base.join(other, "_rn").drop("_rn")
+    key = [F.col(c) for c in (*KEYS, "timestamp")]
+    keyed = df.withColumn("_hb", F.pmod(F.xxhash64(*key, F.lit(seed + 1)), F.lit(buckets))).withColumn("_h", F.xxhash64(*key, F.lit(seed)))
+    order = Window.partitionBy("_hb").orderBy("_h")
+    values = F.struct(*columns)
+    every = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    return keyed.withColumn("_new", F.coalesce(F.lead(values).over(order), F.first(values).over(every))).drop("_hb", "_h")
 
 
 def permutation_importance(
     model: PipelineModel, df: DataFrame, columns: Sequence[str], label: str, task: str = "classification", seed: int = SEED
 ) -> DataFrame:
-    """Loss of accuracy (or R squared) when a column takes the values of other rows."""
-    pairs = cut_lineage(dealt_out(cut_lineage(df), columns, seed))
-    value, measure = ("accuracy", classification_metrics) if task == "classification" else ("r2", regression_metrics)
-    base = measure(model.transform(pairs), label).select(F.col(value).alias("base"))
-    parts = None
-    for c in columns:
-        changed = pairs.withColumn(c, F.col("_new")[c])
-        part = measure(model.transform(changed), label).select(F.lit(c).alias("feature"), F.col(value).alias("v"))
-        parts = part if parts is None else parts.unionByName(part)
-    return parts.withColumn("importance", base.scalar() - F.col("v")).drop("v")
+    """Loss of accuracy (or R squared) when a column takes the values of other rows.
+
+    Every row is scored as it is and once for each column with that column's value exchanged, in one pass.
+    """
+    pairs = dealt_out(cut_lineage(df), columns, seed)
+    variants = pairs.withColumn("_variant", F.explode(F.array(F.lit(""), *[F.lit(c) for c in columns])))
+    changed = variants.withColumns({c: F.when(F.col("_variant") == c, F.col("_new")[c]).otherwise(F.col(c)) for c in columns})
+    scored = model.transform(changed.drop("_new")).groupBy("_variant")
+    if task == "classification":
+        value = F.avg((F.col(label) == F.col("prediction")).cast("double"))
+    else:
+        value = 1 - F.try_divide(F.avg(F.pow(F.col(label) - F.col("prediction"), 2)), F.var_pop(label))
+    # One row per column; cut, so that the variants are scored once for base and columns.
+    values = cut_lineage(scored.agg(value.alias("_value")))
+    base = values.where("_variant = ''").select("_value").scalar()
+    return values.where("_variant <> ''").select(F.col("_variant").alias("feature"), (base - F.col("_value")).alias("importance"))
 
 
 def partial_dependence(model: PipelineModel, df: DataFrame, column: str, points: int = GRID_POINTS) -> DataFrame:
@@ -280,7 +322,7 @@ def search(
 
     Trials are independent Spark jobs, a few of which run at a time.
     """
-    data = cut_lineage(number_rows(df.select(*KEYS, "timestamp", label, *columns).dropna()))
+    data = cut_lineage(df.select(*KEYS, "timestamp", label, *columns).dropna())
 
     def run(trial: tuple[str, int, dict]) -> tuple:
         name, i, params = trial
