@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor
 
 from tidemark.operators import drift as D
 from tidemark.operators import metrics as M
@@ -45,37 +45,94 @@ def rule_hits(metrics: DataFrame, rules: DataFrame, lateness: str = "10 minutes"
     return joined.where(met).select("rule", "metric", "severity", "current_value", "timestamp")
 
 
-def alert_states(metrics: DataFrame, rules: DataFrame, cooldown: float = M.COOLDOWN_SECONDS) -> DataFrame:
-    """The alert cycle on a stream: one row per change (triggered or resolved) of a rule.
+class AlertMachine(StatefulProcessor):
+    """State of one rule. Values wait until the watermark has passed them and are taken in order of time.
 
-    Rows of one micro-batch are ordered by time; rows must not arrive later
-    than a batch that was already processed.
+    Kept are the values that wait and, only while they matter, whether the rule is active and when it last fired: an inactive
+    rule whose cooldown is over is as good as new, so a timer drops its state. With ``idle``, an active
+    rule without values for so long ends as ``expired``.
     """
-    met = M.condition_met(F.col("condition"), F.col("value"), F.col("threshold"))
-    joined = metrics.join(rules.where("enabled"), metrics["name"] == rules["metric"])
-    rows = joined.select("rule", "timestamp", "value", met.alias("met"))
-    rest = pd.Timedelta(seconds=cooldown)
-
-    def advance(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        active, fired = state.get if state.exists else (False, None)
-        fired = None if fired is None else pd.Timestamp(fired)
+
+    def __init__(self, rest: int, idle: int | None) -> None:
+        self.rest, self.idle = rest, idle
+
+    def init(self, handle) -> None:
+        self.handle = handle
+        self.waiting = handle.getListState("waiting", "us bigint, value double, met boolean")
+        self.status = handle.getValueState("status", "active boolean, fired bigint, last bigint")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        for batch in rows:
+            new = [(int(us), None if pd.isna(v) else float(v), bool(met)) for us, v, met in zip(batch["us"], batch["value"], batch["met"])]
+            self.waiting.appendList(new)
+            for second in {us // 1_000_000 for us, _, _ in new}:
+                self.handle.registerTimer((second + 1) * 1000)
+        return iter(())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        now = timerValues.getCurrentWatermarkInMs() * 1000
+        active, fired, last = self.status.get() if self.status.exists() else (False, None, None)
+        due, later = [], []
+        for row in self.waiting.get() if self.waiting.exists() else ():
+            (due if row[0] < now else later).append(tuple(row))
         changes = []
-        rows = pd.concat(list(batches)).sort_values("timestamp")
-        for row in rows.itertuples(index=False):
-            if fired is not None and row.timestamp - fired < rest:
+
+        def expire(until: int) -> bool:
+            return bool(active and self.idle is not None and until >= last + self.idle)
+
+        for us, value, met in sorted(due, key=lambda r: r[0]):
+            if expire(us):
+                changes.append((last + self.idle, None, "expired"))
+                active, fired = False, None
+            last = us
+            if fired is not None and us - fired < self.rest:
                 continue
-            if row.met:
-                active, fired = True, row.timestamp
-                changes.append((key[0], row.timestamp, row.value, "triggered"))
+            if met:
+                active, fired = True, us
+                changes.append((us, value, "triggered"))
             elif active:
                 active = False
-                changes.append((key[0], row.timestamp, row.value, "resolved"))
-        state.update((active, None if fired is None else fired.to_pydatetime()))
-        yield pd.DataFrame(changes, columns=["rule", "timestamp", "value", "state"])
-
-    return rows.groupBy("rule").applyInPandasWithState(
-        advance, "rule string, timestamp timestamp, value double, state string",
-        "active boolean, fired timestamp", "append", GroupStateTimeout.NoTimeout,
+                changes.append((us, value, "resolved"))
+        if expire(now) and not later:
+            changes.append((last + self.idle, None, "expired"))
+            active, fired = False, None
+        if due:
+            self.waiting.put(later) if later else self.waiting.clear()
+        if fired is not None and not active and now - fired >= self.rest:
+            fired = None
+        if active or fired is not None:
+            self.status.update((active, fired, last))
+            end = fired + self.rest if not active else None if self.idle is None else last + self.idle
+            if end is not None:
+                self.handle.registerTimer(-(-max(end, now + 1) // 1000))
+        elif self.status.exists():
+            self.status.clear()
+        if changes:
+            yield pd.DataFrame({
+                "rule": key[0], "timestamp": pd.to_datetime([c[0] for c in changes], unit="us"), "value": [c[1] for c in changes],
+                "state": [c[2] for c in changes],
+            }).astype({"value": "float64"})
+
+    def close(self) -> None:
+        pass
+
+
+def alert_states(
+    metrics: DataFrame, rules: DataFrame, cooldown: float = M.COOLDOWN_SECONDS, lateness: str = "10 minutes", idle: float | None = None
+) -> DataFrame:
+    """The alert cycle on a stream: one row per change (triggered, resolved or expired) of a rule.
+
+    Values may arrive out of order by up to ``lateness``; the changes equal those of the batch cycle over all values
+    that were not later than that. A change appears once the watermark has passed it. Needs the RocksDB state store, which
+    the session settings of this library name.
+    """
+    met = F.coalesce(M.condition_met(F.col("condition"), F.col("value"), F.col("threshold")), F.lit(False))
+    timed = metrics.withWatermark("timestamp", lateness)
+    joined = timed.join(rules.where("enabled"), timed["name"] == rules["metric"])
+    rows = joined.select("rule", "timestamp", F.unix_micros("timestamp").alias("us"), "value", met.alias("met"))
+    machine = AlertMachine(int(cooldown * 1_000_000), None if idle is None else int(idle * 1_000_000))
+    return rows.groupBy("rule").transformWithStateInPandas(
+        statefulProcessor=machine, outputStructType="rule string, timestamp timestamp, value double, state string", outputMode="append", timeMode="EventTime",
     )
 
 
