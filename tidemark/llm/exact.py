@@ -25,7 +25,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import Batches, in_blocks, partitions, pick, scratch_root, stored, texts
@@ -219,6 +219,19 @@ def exact_groups(docs: DataFrame, memory: int = MEMORY_BYTES) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, memory: int = MEMORY_BYTES) -> DataFrame:
-    """``docs`` without the rows that :func:`exact_groups` drops; all columns stay."""
-    kept = exact_groups(docs, memory).where("kept").select(F.col("doc_id").alias("_kept_id")).distinct()
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_kept_id")), "left_semi")
+    """``docs`` with one row of each group of :func:`exact_groups`; all columns stay.
+
+    Rows may share their ``doc_id`` or have none: a row is told by its id and its text without ASCII white space. Of rows
+    that agree in both, the one with the longest original text stays, one of equally long ones.
+    """
+    kept = exact_groups(docs, memory).where("kept").select(_name("doc_id").alias("_name"), F.col("text_sha256").alias("_sha")).distinct()
+    text = F.coalesce(F.col("text"), F.lit(""))
+    named = docs.withColumns({"_name": _name("doc_id"), "_sha": F.sha2(F.translate(text, " \t\n\x0b\x0c\r", ""), 256)})
+    first = Window.partitionBy("_name", "_sha").orderBy(F.length(text).desc(), text)
+    found = named.join(kept, ["_name", "_sha"], "left_semi").withColumn("_i", F.row_number().over(first))
+    return found.where("_i = 1").select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
+def _name(column: str):
+    """An id as text, empty for null, so that it can be compared plainly."""
+    return F.coalesce(F.col(column).cast("string"), F.lit(""))
