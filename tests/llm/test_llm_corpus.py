@@ -503,3 +503,18 @@ def test_pipeline_stages(spark, sf_dir, documents):
     exactly = {int(r[0]) for r in exact_brute(pairs(documents)) if not r[3]}
     dirty = {r.doc_id for r in contamination.contained_items(documents, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).collect()}
     assert exactly <= gone and dirty <= gone
+
+
+def test_exact_copies_that_share_their_id(spark):
+    rows = [(8, "aaa"), (8, "bbb"), (3, "bbb"), (5, "ccc"), (5, "ccc"), (5, "c c c"), (None, "dd"), (None, "d d"), (None, "ee"), (9, None), (10, " ")]
+    docs = spark.createDataFrame([(*r, "s") for r in rows], "doc_id long, text string, sha string").repartition(3)
+    kept = sorted(((r.doc_id, r.text) for r in exact.keep_one(docs).collect()), key=str)
+    assert kept == sorted([(8, "aaa"), (3, "bbb"), (5, "c c c"), (None, "d d"), (None, "ee"), (10, " ")], key=str)
+    assert exact.keep_one(docs.limit(0)).collect() == [] and exact.keep_one(docs).columns == docs.columns
+
+
+def test_every_language_is_learned(spark):
+    rows = [(i * 70 + k, f"{chr(97 + i // 10)}{chr(97 + i % 10)} " * 30, f"l{i}") for i in range(70) for k in range(8)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert len(language._learned(docs, 2).languages) == 70
+    assert len(language._learned(docs, 2, most_languages=5).languages) == 5

@@ -29,8 +29,8 @@ PAD = 256  # symbol behind the end of a text
 UNDETERMINED = "und"
 
 # Bounds of the training sample.
-MAX_LANGUAGES = 64
 DOCS_PER_LANGUAGE = 96
+PARTS = 64  # of the rows of a language, ranked by themselves first
 WINDOWS_PER_DOC = 6
 STEPS = 400
 
@@ -167,16 +167,22 @@ def train(windows: list[bytes], labels: list[str], steps: int = STEPS, lanes: in
     return net
 
 
-def _learned(docs: DataFrame, docs_per_language: int) -> Network | None:
+def _learned(docs: DataFrame, docs_per_language: int, most_languages: int | None = None) -> Network | None:
     """Network of the bounded sample: the rows with the smallest hash of ``doc_id`` by language.
 
     Ranks need ids and languages only and are cut before the shuffle; texts are read for the
     chosen rows, and of those only evenly spaced windows leave the executors.
     """
     marked = pick(docs, "doc_id", "lang").where("lang IS NOT NULL AND doc_id IS NOT NULL").where(~_held_out()).distinct()
-    common = marked.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).select("lang")
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
-    chosen = marked.join(common, "lang").select("doc_id", "lang", rank.alias("r")).where(F.col("r") <= docs_per_language)
+    if most_languages is not None:
+        marked = marked.join(marked.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(most_languages).select("lang"), "lang")
+    # A frequent language is ranked in parts first, so that no task reads all of its rows.
+    order = (F.xxhash64("doc_id"), F.col("doc_id"))
+    part = F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(PARTS))
+    in_part = F.row_number().over(Window.partitionBy("lang", "part").orderBy(*order))
+    few = marked.withColumn("part", part).withColumn("r", in_part).where(F.col("r") <= docs_per_language)
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy(*order))
+    chosen = few.select("doc_id", "lang", rank.alias("r")).where(F.col("r") <= docs_per_language)
     ids = [tuple(r) for r in chosen.select("doc_id", "lang").collect()]
     if not ids:
         return None
@@ -267,7 +273,7 @@ def identify(docs: DataFrame, docs_per_language: int = DOCS_PER_LANGUAGE) -> Dat
     ``docs`` needs ``doc_id`` (long), ``text`` and ``lang``; other columns are ignored. One row per
     input row comes back. Documents with crc32(doc_id as text) mod 3 = 1 are held out; null ids
     count as not held out but teach nothing. Training reads text and non-null ``lang`` of at most
-    ``docs_per_language`` other documents in each of the ``MAX_LANGUAGES`` most frequent languages.
+    ``docs_per_language`` other documents in each language.
     Null texts and texts without a letter are ``und`` with score 0, as are all texts when nothing
     could be learned. ``score`` is the mean probability of the predicted language over all bytes.
     Of tied languages the alphabetically first wins; an empty table gives no rows.
