@@ -333,3 +333,21 @@ def test_search_draws_are_seeded():
     space = {"n": (1, 5), "x": (0.1, 0.2), "c": [1, 2]}
     assert K.draws(space, 3) == K.draws(space, 3)
     assert all(isinstance(d["n"], int) and 0.1 <= d["x"] <= 0.2 and d["c"] in (1, 2) for d in K.draws(space, 20))
+
+
+@pytest.mark.parametrize("pattern, literal", [
+    (r"eval\s*\(", "eval"), (r"https?://[a-z]+", "http"), (r"[a-z]+@x\.[a-z]+", "@x."), (r"Yaml\.load\(", "yaml.load("), (r"(ab)?cd", ""), (r"ab|cd", ""), (r"a{0,3}bc+d", "bc"), (r"\w+\d", ""),
+])
+def test_required_literals(pattern, literal):
+    assert N.required_literal(pattern) == literal
+
+
+def test_summary_of_a_clean_table(spark):
+    df = series(spark, [3, 1, 4, 1, 5, 9, 2, 6, 5, 3, 5, 8]).select("symbol", "interval", "timestamp", "close")
+    none = spark.createDataFrame([], "symbol string, interval string, feature string, violation_type string, severity string")
+    row = L.summary(df, none, ["close"]).first()
+    assert (row.n_rows, row.n_features, row.n_affected, row.affected_share, row.is_clean, row.advice) == (12, 1, 0, 0.0, True, [])
+    assert row.first_timestamp < row.last_timestamp
+    one = spark.createDataFrame([("a", "1h", "close", "high_future_correlation", "critical"), ("a", "1h", "close", "suspicious_naming", "warning")], none.schema)
+    row = L.summary(df, one, ["close"]).first()
+    assert not row.is_clean and row.affected_share == 1.0 and row.advice == [L.ADVICE["high_future_correlation"], L.ADVICE["suspicious_naming"]]

@@ -10,6 +10,7 @@ from tidemark.operators import audit as N
 from tidemark.operators import metrics as M
 from tidemark.operators import signals as O
 from tidemark.schemas import KEYS
+from tidemark.sources import datasets as V
 
 QUERIES = {}
 SQL = {}
@@ -459,3 +460,18 @@ def max_drawdown(spark, d):
     return O.max_drawdown(O.equity_curve(_signals(spark, d))).select(*KEYS, *r6("max_drawdown"))
 
 
+# --- catalogue of datasets ----------------------------------------------------------
+
+
+@query("""WITH e AS (SELECT o_orderpriority AS dataset_id, o_orderkey, o_orderdate, o_orderstatus AS status, o_custkey % 2 AS half FROM orders),
+  r AS (SELECT *, row_number() OVER (PARTITION BY dataset_id || '-' || (o_orderkey % 97) ORDER BY o_orderdate DESC, o_orderkey DESC) AS i FROM e)
+  SELECT dataset_id || '-' || (o_orderkey % 97) AS dataset_id, o_orderdate::TIMESTAMP + to_microseconds(o_orderkey) AS registered_at, status FROM r WHERE i = 1 AND status = 'F' AND half = 1""")
+def catalog_list(spark, d):
+    """Newest entry of every dataset whose metadata fits; orders stand for registrations."""
+    o = table(spark, d, "orders")
+    name = F.concat("o_orderpriority", F.lit("-"), F.col("o_orderkey") % 97)
+    at = F.timestamp_micros(F.unix_micros(F.col("o_orderdate").cast("timestamp")) + F.col("o_orderkey"))
+    metadata = F.create_map(F.lit("status"), F.col("o_orderstatus"), F.lit("half"), (F.col("o_custkey") % 2).cast("string"))
+    entries = o.select(name.alias("dataset_id"), at.alias("registered_at"), metadata.alias("metadata"))
+    found = V.matching(V.latest_entries(entries), {"status": "F", "half": "1"})
+    return found.select("dataset_id", "registered_at", F.col("metadata")["status"].alias("status"))

@@ -37,6 +37,7 @@ def union(columns, line):
 # --- leakage ------------------------------------------------------------------------
 
 COLUMNS = ["close", "volume", "SMA_5", "close_lag_2", "row_index", "rolling_mean_3"]
+SCANNED = [*COLUMNS, "future_close"]
 
 
 def suspect(spark, d):
@@ -58,10 +59,10 @@ K = 'symbol, "interval"'
 
 @query(f"WITH {SUSPECT} SELECT {K}, feature, n_rows, round(step_std + 1e-9, 6) AS step_std, round(step_mean + 1e-9, 6) AS step_mean, "
        "round(autocorrelation + 1e-9, 6) AS autocorrelation, coalesce(n_rows >= 10 AND ((step_std = 0 AND step_mean <> 0) OR abs(autocorrelation) > 0.99), false) AS flagged FROM ("
-       + union(COLUMNS, f"""SELECT {K}, '{{c}}' AS feature, count(*) AS n_rows, stddev_samp(v - p) AS step_std, avg(v - p) AS step_mean, corr(v, p) AS autocorrelation
+       + union(SCANNED, f"""SELECT {K}, '{{c}}' AS feature, count(*) AS n_rows, stddev_samp(v - p) AS step_std, avg(v - p) AS step_mean, corr(v, p) AS autocorrelation
        FROM (SELECT {K}, "{{c}}" AS v, lag("{{c}}") {W} AS p FROM x) GROUP BY {K}""") + ")")
 def leakage_forward_looking(spark, d):
-    out = L.forward_looking(suspect(spark, d), COLUMNS)
+    out = L.forward_looking(suspect(spark, d), SCANNED)
     return out.select(*KEYS, "feature", "n_rows", *r6("step_std", "step_mean", "autocorrelation"), "flagged")
 
 
@@ -91,16 +92,45 @@ def leakage_target_correlation(spark, d):
 
 
 @query(f"WITH {SUSPECT} SELECT {K}, feature, n_filled, constant, round(trend + 1e-9, 6) AS trend, coalesce(constant OR (n_filled > 2 AND abs(trend) > 0.999), false) AND n_rows >= 10 AS flagged FROM ("
-       + union(COLUMNS, f"""SELECT {K}, '{{c}}' AS feature, count(*) AS n_rows, count(v) AS n_filled, min(v) = max(v) AS constant, corr(pos, v) AS trend
+       + union(SCANNED, f"""SELECT {K}, '{{c}}' AS feature, count(*) AS n_rows, count(v) AS n_filled, min(v) = max(v) AS constant, corr(pos, v) AS trend
        FROM (SELECT {K}, "{{c}}" AS v, CASE WHEN "{{c}}" IS NOT NULL THEN count("{{c}}") {over()} END AS pos FROM x) GROUP BY {K}""") + ")")
 def leakage_unrealistic(spark, d):
-    out = L.unrealistic(suspect(spark, d), COLUMNS)
+    out = L.unrealistic(suspect(spark, d), SCANNED)
     return out.select(*KEYS, "feature", "n_filled", "constant", *r6("trend"), "flagged")
 
 
-@query()
+def found_sql(name, kind, severity):
+    """Findings of a check's own SQL."""
+    return f"SELECT feature, '{kind}' AS violation_type, '{severity}' AS severity FROM ({SQL[name]}) WHERE flagged"
+
+
+def named_sql(words, kind, severity):
+    marks = " OR ".join(f"contains(lower(feature), '{w}')" for w in words)
+    return f"SELECT feature, '{kind}', '{severity}' FROM (SELECT unnest({SCANNED}) AS feature) WHERE {marks}"
+
+
+FOUND = " UNION ALL ".join([
+    found_sql("leakage_forward_looking", "forward_looking_pattern", "warning"), found_sql("leakage_unrealistic", "unrealistic_predictive_power", "warning"),
+    found_sql("leakage_rolling_warm_up", "suspicious_rolling_calculation", "warning"), found_sql("leakage_target_correlation", "high_future_correlation", "critical"),
+    named_sql(L.SUSPICIOUS_WORDS, "suspicious_naming", "warning"), named_sql(L.TARGET_PREFIXES, "target_derived_feature", "critical"),
+])
+
+
+@query(f"""WITH f AS ({FOUND}) SELECT severity, violation_type, count(*) AS n_findings, count(DISTINCT feature) AS n_features FROM f
+  GROUP BY GROUPING SETS ((severity, violation_type), (severity), ())""")
 def leakage_report(spark, d):
-    return L.report(L.scan(suspect(spark, d), "target_return_1"))
+    return L.report(L.scan(suspect(spark, d), "target_return_1", SCANNED))
+
+
+@query(f"""WITH {SUSPECT}, f AS ({FOUND}), k AS (SELECT DISTINCT violation_type, severity FROM f), t AS (SELECT * FROM (VALUES {", ".join(f"('{k}', '{v}')" for k, v in L.ADVICE.items())}) a(violation_type, text))
+  SELECT (SELECT count(*) FROM x) AS n_rows, (SELECT min("timestamp") FROM x) AS first_timestamp, (SELECT max("timestamp") FROM x) AS last_timestamp, {len(SCANNED)}::BIGINT AS n_features,
+  count(DISTINCT feature) AS n_affected, round(count(DISTINCT feature) / {len(SCANNED)} + 1e-9, 6) AS affected_share, count(*) AS n_findings, count(*) FILTER (severity = 'critical') AS n_critical,
+  count(*) FILTER (severity = 'warning') AS n_warnings, count(*) FILTER (severity = 'critical') = 0 AS is_clean,
+  (SELECT string_agg(text, ' ' ORDER BY severity <> 'critical', violation_type) FROM k JOIN t USING (violation_type)) AS advice FROM f""")
+def leakage_summary(spark, d):
+    df = suspect(spark, d)
+    out = L.summary(df, L.scan(df, "target_return_1", SCANNED), SCANNED)
+    return out.withColumns({"affected_share": F.expr("round(affected_share + 1e-9D, 6)"), "advice": F.array_join("advice", " ")})
 
 
 @query(f"""WITH {NUMBERED} SELECT symbol, "interval", "timestamp", "close", round(lag("close", 2) {W} + 1e-9, 6) AS close_lag_2,
@@ -190,7 +220,7 @@ def mutual_information(spark, d):
 @query()
 def tree_importance(spark, d):
     df = items(spark, d).withColumn("is_r", (F.col("l_returnflag") == "R").cast("double"))
-    return S.tree_importance(df, ITEM, "is_r", trees=10)
+    return S.tree_importance(df, ITEM, "is_r")
 
 
 @query()
@@ -202,7 +232,7 @@ def principal_components(spark, d):
 @query()
 def feature_selection(spark, d):
     df = items(spark, d).withColumn("is_r", (F.col("l_returnflag") == "R").cast("double"))
-    steps = S.select_features(df, ITEM, "is_r", trees=10)
+    steps = S.select_features(df, ITEM, "is_r")
     return spark.createDataFrame([(k, v) for k, v in steps.items()], "step string, features array<string>")
 
 
@@ -277,16 +307,26 @@ def drift_continuous(spark, d):
 
 CHI = f"""s AS (SELECT event_type AS c, count(*) FILTER (ts < TIMESTAMP '{HALF}' AND event_type <> 'view')::DOUBLE AS o, count(*) FILTER (ts >= TIMESTAMP '{HALF}')::DOUBLE AS n FROM events GROUP BY c),
   t AS (SELECT *, sum(o) OVER () AS ot, sum(n) OVER () AS nt FROM s), e AS (SELECT *, greatest(o / ot * nt, 1e-6) AS ex, greatest(n, 1e-6) AS ob FROM t),
-  x AS (SELECT sum((ob - ex) * (ob - ex) / ex) AS st, string_agg(c, ',' ORDER BY c) FILTER (o = 0) AS fresh FROM e)"""
+  x AS (SELECT sum((ob - ex) * (ob - ex) / ex) AS st, count(*) FILTER (o = 0) AS fresh FROM e)"""
 
 
 @query(f"""WITH {CHI} SELECT 'event_type' AS feature, 'chi_square' AS test, round(st / 1e6, 3) AS statistic, round(exp(-st / 2) * (1 + st / 2), 6) AS p_value,
-  exp(-st / 2) * (1 + st / 2) < 0.05 AS drift_detected, fresh AS new_categories FROM x""")
+  exp(-st / 2) * (1 + st / 2) < 0.05 AS drift_detected, fresh AS n_new_categories FROM x""")
 def drift_categorical(spark, d):
     old, new = halves(spark, d)
     out = D.categorical_drift(old.where("event_type <> 'view'"), new, ["event_type"])
-    return out.select("feature", "test", F.round(F.col("statistic") / 1e6, 3).alias("statistic"), F.round("p_value", 6).alias("p_value"), "drift_detected",
-                      F.array_join("new_categories", ",").alias("new_categories"))
+    return out.select("feature", "test", F.round(F.col("statistic") / 1e6, 3).alias("statistic"), F.round("p_value", 6).alias("p_value"), "drift_detected", "n_new_categories")
+
+
+@query(f"""WITH o AS (SELECT DISTINCT event_type, (event_id % 3)::VARCHAR AS kind FROM events WHERE ts < TIMESTAMP '{HALF}' AND event_type <> 'view' AND event_id % 3 < 2),
+  c AS (SELECT event_type, (event_id % 3)::VARCHAR AS kind FROM events WHERE ts >= TIMESTAMP '{HALF}'),
+  l AS (SELECT 'event_type' AS feature, event_type AS category, count(*) AS n FROM c WHERE event_type NOT IN (SELECT event_type FROM o) GROUP BY event_type
+  UNION ALL SELECT 'kind', kind, count(*) FROM c WHERE kind NOT IN (SELECT kind FROM o) GROUP BY kind)
+  SELECT feature, category, n, round(n / (SELECT count(*) FROM c) + 1e-9, 6) AS share FROM l""")
+def drift_new_categories(spark, d):
+    old, new = [half.withColumn("kind", (F.col("event_id") % 3).cast("string")) for half in halves(spark, d)]
+    out = D.new_categories(old.where("event_type <> 'view' AND event_id % 3 < 2"), new, ["event_type", "kind"])
+    return out.select("feature", "category", "n", *r6("share"))
 
 
 @query(f"""WITH {CHI.replace(" AND event_type <> 'view'", "")}, k AS ({ks_sql('value')} UNION ALL {ks_sql('user_id')}), p AS (SELECT *, st * sqrt(n0 * n1 / (n0 + n1)) AS lam FROM k),

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import re
 from collections.abc import Mapping, Sequence
 
@@ -133,30 +134,44 @@ def check_rollup(checks: DataFrame) -> DataFrame:
     return out.withColumn("percent", percent).withColumn("compliant", percent >= COMPLIANT_PERCENT)
 
 
-def _gate(pattern: str) -> str:
-    """Word that every match of a pattern starts with, or an empty text."""
-    return re.match(r"[a-z_]*", pattern)[0] if re.fullmatch(r"[a-z_]+([^*?{|].*)?", pattern, re.DOTALL) else ""
+def required_literal(pattern: str) -> str:
+    """The longest text, in lower case, that every match of a pattern contains; empty if none is sure."""
+    runs, run = [], ""
+    tokens = re.findall(r"\\.|\[\^?\]?(?:\\.|[^\]])*\]|[*+?]\??|\{[^}]*\}|.", pattern, re.DOTALL)
+    if any(t in tokens for t in ("|", "(", ")")):
+        return ""  # a part in brackets or a choice may be left out
+    for token in tokens:
+        if token[0] in "*?{" and run:
+            run = run[:-1]  # the character before may be missing or repeated
+        literal = token[1:] if len(token) == 2 and token[0] == "\\" and not token[1].isalnum() else token if len(token) == 1 and token not in "*+?.^$" else ""
+        if literal:
+            run += literal.lower()
+        else:
+            runs.append(run)
+            run = ""
+    return max([*runs, run], key=len)
 
 
 def scan_text(texts: DataFrame, key: str, text: str, rules: Sequence[tuple[str, str, str, str]] = SCAN_RULES) -> DataFrame:
-    """Every match of every rule, with its line number. Runs row by row without a shuffle."""
-    any_rule = F.lit("(?i)" + "|".join(f"(?:{r[3]})" for r in rules))
-    # Whole texts without a match, most of them, are not cut into lines.
-    lines = texts.where(F.rlike(text, any_rule)).select(key, F.posexplode(F.split(text, "\n")).alias("_pos", "_line"))
+    """Every match of every rule, with its line number. Runs row by row without a shuffle.
+
+    A rule's pattern is tried only on lines with its required literal, in texts with a required literal of some rule.
+    """
+    literals = [required_literal(r[3]) for r in rules]
+    some = lambda lower: functools.reduce(lambda a, b: a | b, [F.contains(lower, F.lit(x)) for x in sorted(set(literals))])
+    lines = texts.where(some(F.lower(text))).select(key, F.posexplode(F.split(text, "\n")).alias("_pos", "_line"))
     none = F.array().cast("array<string>")
 
-    def matches(category: str, title: str, severity: str, pattern: str) -> Column:
-        # A cheap search for the rule's first word comes before its pattern.
-        gate, found = _gate(pattern), F.regexp_extract_all("_line", F.lit(f"(?i){pattern}"), F.lit(0))
-        if gate:
-            found = F.when(F.contains(F.col("_lower"), F.lit(gate)), found).otherwise(none)
+    def matches(literal: str, category: str, title: str, severity: str, pattern: str) -> Column:
+        found = F.regexp_extract_all("_line", F.lit(f"(?i){pattern}"), F.lit(0))
+        found = F.when(F.contains(F.col("_lower"), F.lit(literal)), found).otherwise(none)
         return F.transform(found, lambda m: F.struct(
             F.lit(category).alias("category"), F.lit(title).alias("title"), F.lit(severity).alias("severity"), m.alias("matched")
         ))
 
-    hits = F.concat(*[matches(*r) for r in rules])
-    some = lines.where(F.rlike("_line", any_rule)).withColumn("_lower", F.lower("_line"))
-    return some.select(key, "_pos", "_line", F.explode(hits).alias("x")).select(
+    hits = F.concat(*[matches(x, *r) for x, r in zip(literals, rules, strict=True)])
+    held = lines.withColumn("_lower", F.lower("_line")).where(some(F.col("_lower")))
+    return held.select(key, "_pos", "_line", F.explode(hits).alias("x")).select(
         key, (F.col("_pos") + 1).cast("long").alias("line_number"), "x.category", "x.title", "x.severity", "x.matched",
         F.trim("_line").alias("snippet"),
     )

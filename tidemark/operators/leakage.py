@@ -25,6 +25,15 @@ AUTOCORRELATION_LIMIT = 0.99
 TARGET_CORRELATION_LIMIT = 0.8
 TREND_CORRELATION_LIMIT = 0.999
 MIN_ROWS = 10
+ADVICE = {
+    "forward_looking_pattern": "Check that steady or self-similar features use past rows only.",
+    "high_future_correlation": "Remove features that follow the target of a later row, or shift them back.",
+    "incorrect_lag_calculation": "Recompute lags so that the first rows of a series are missing.",
+    "suspicious_naming": "Look at features whose names speak of the future.",
+    "suspicious_rolling_calculation": "Recompute rolling features with a full window before the first value.",
+    "target_derived_feature": "Remove features made from the target before training.",
+    "unrealistic_predictive_power": "Look at constant or steadily rising features.",
+}
 
 
 def numeric_columns(df: DataFrame) -> list[str]:
@@ -156,6 +165,29 @@ def report(findings: DataFrame) -> DataFrame:
     ).agg(F.count("*").alias("n_findings"), F.count_distinct("feature").alias("n_features"))
 
 
+def summary(df: DataFrame, findings: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
+    """One row about a scanned table: its size and time range, how many features have findings, and what to do.
+
+    ``affected_share`` is the share of the scanned columns with a finding; ``advice`` has one text per kind of finding, the most severe
+    kinds first. A table is clean without critical findings.
+    """
+    columns = list(columns or numeric_columns(df))
+    rows = df.agg(F.count("*").alias("n_rows"), F.min("timestamp").alias("first_timestamp"), F.max("timestamp").alias("last_timestamp"))
+    texts = F.create_map(*[F.lit(x) for pair in ADVICE.items() for x in pair])
+    advised = F.struct((F.col("severity") != "critical").alias("later"), "violation_type", F.try_element_at(texts, F.col("violation_type")).alias("text"))
+    # Kinds of findings are few, so their set is small.
+    found = findings.agg(
+        F.count("*").alias("n_findings"), F.count_if(F.col("severity") == "critical").alias("n_critical"), F.count_if(F.col("severity") == "warning").alias("n_warnings"),
+        F.count_distinct("feature").alias("n_affected"), F.array_sort(F.collect_set(advised)).alias("_advice"),
+    )
+    both = rows.withColumn("_f", found.select(F.struct("*")).scalar()).select("*", "_f.*").drop("_f")
+    return both.select(
+        "n_rows", "first_timestamp", "last_timestamp", F.lit(len(columns)).cast("long").alias("n_features"), "n_affected",
+        F.try_divide(F.col("n_affected"), F.lit(len(columns))).alias("affected_share"), "n_findings", "n_critical", "n_warnings",
+        (F.col("n_critical") == 0).alias("is_clean"), F.transform("_advice", lambda a: a["text"]).alias("advice"),
+    )
+
+
 def clean_features(df: DataFrame, findings: DataFrame, critical: bool = True, warnings: bool = False) -> DataFrame:
     """Drop the columns with findings; the list of names is bounded by the schema."""
     levels = [s for s, on in (("critical", critical), ("warning", warnings)) if on]
