@@ -73,3 +73,17 @@ def test_importance_in_one_pass_equals_the_closed_form(two_spans):
 def test_small_buckets_still_deal_out_all_values(two_spans):
     pairs = K.dealt_out(two_spans, ["x"], rows_per_bucket=50).collect()
     assert sorted(r._new.x for r in pairs) == sorted(r.x for r in pairs)
+
+
+def test_grid_has_every_combination():
+    space = {"n": (1, 5), "x": (0.0, 1.0), "c": ["a", "b"]}
+    found = K.grid(space, 3)
+    assert len(found) == 18 and {d["n"] for d in found} == {1, 3, 5} and {d["x"] for d in found} == {0.0, 0.5, 1.0}
+    assert K.grid({"n": (1, 2)}, 5) == [{"n": 1}, {"n": 2}]
+
+
+def test_search_over_a_grid(two_spans):
+    df = two_spans.withColumn("up", (F.col("y") > 1).cast("double"))
+    found = K.search(df, ["x"], "up", ["logistic_regression"], k=2, spaces={"logistic_regression": {"regParam": [0.001, 100.0]}}, points=2).collect()
+    scores = {r.params["regParam"]: r.score for r in found}
+    assert len(found) == 2 and scores["0.001"] > 0.9

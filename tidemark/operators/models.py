@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import random
 from collections.abc import Mapping, Sequence
 from multiprocessing.pool import ThreadPool
@@ -314,13 +315,26 @@ def draws(space: Mapping, n: int, seed: int = SEED) -> list[dict]:
     return [{name: one(bounds) for name, bounds in space.items()} for _ in range(n)]
 
 
+def grid(space: Mapping, points: int = 3) -> list[dict]:
+    """All combinations of the choices and of ``points`` even steps over each range; integer ranges stay integer."""
+
+    def steps(bounds) -> list:
+        if isinstance(bounds, list):
+            return bounds
+        low, high = bounds
+        values = [low + (high - low) * i / max(1, points - 1) for i in range(points)]
+        return sorted({round(v) for v in values}) if isinstance(low, int) else values
+
+    return [dict(zip(space, chosen)) for chosen in itertools.product(*[steps(b) for b in space.values()])]
+
+
 def search(
     df: DataFrame, columns: Sequence[str], label: str, names: Sequence[str], trials: int = 10, k: int = 3,
-    metric: str = "accuracy", task: str = "classification", seed: int = SEED, spaces: Mapping = SEARCH_SPACES,
+    metric: str = "accuracy", task: str = "classification", seed: int = SEED, spaces: Mapping = SEARCH_SPACES, points: int | None = None,
 ) -> DataFrame:
     """One row per trial: algorithm, parameters and the cross-validated score.
 
-    Trials are independent Spark jobs, a few of which run at a time.
+    Parameters are ``trials`` seeded random draws, or with ``points`` the whole :func:`grid`. Trials are independent Spark jobs, a few of which run at a time.
     """
     data = cut_lineage(df.select(*KEYS, "timestamp", label, *columns).dropna())
 
@@ -330,7 +344,8 @@ def search(
         score = found.where(F.col("metric") == metric).first()["mean"]
         return name, i, {p: str(v) for p, v in params.items()}, float(score)
 
-    todo = [(name, i, params) for name in names for i, params in enumerate(draws(spaces[name], trials, seed))]
+    sets = lambda space: draws(space, trials, seed) if points is None else grid(space, points)
+    todo = [(name, i, params) for name in names for i, params in enumerate(sets(spaces[name]))]
     with ThreadPool(AT_ONCE) as pool:
         history = pool.map(run, todo)
     return df.sparkSession.createDataFrame(history, "model string, trial int, params map<string,string>, score double")
