@@ -9,7 +9,7 @@ from tidemark.operators import features as X
 from tidemark.operators import indicators as I
 from tidemark.plans.blocks import number_rows, plain, recurrences, running, with_rows
 from tidemark.plans.quantiles import exact_percentiles
-from tidemark.plans.ranks import cumulative
+from tidemark.plans.ranks import cumulative, prefix_ranks
 
 BLOCK = 64
 
@@ -176,3 +176,55 @@ def test_other_spelling_of_the_time_zone(spark, bars, frame):
         assert I.parabolic_sar(bars).count() == len(frame)
     finally:
         spark.conf.set("spark.sql.session.timeZone", "UTC")
+
+
+@pytest.mark.parametrize("cell", [8, 64, 1 << 16])
+def test_ranks_among_earlier_values(spark, cell):
+    """Cut into many ranges and blocks or not at all; a third of one series is one value, others are missing."""
+    rng = np.random.default_rng(cell)
+    hot = np.where(rng.random(300) < 0.35, 0.0, rng.standard_normal(300).round(1))
+    own = {"a": [None if rng.random() < 0.1 else float(v) for v in hot], "b": [2.0] * 30, "c": [None], "d": [float(-i) for i in range(50)]}
+    rows = [(k, i + 1, v) for k, values in own.items() for i, v in enumerate(values)]
+    df = spark.createDataFrame(rows, "k string, at long, v double").repartition(5)
+    got = {(r["k"], r["at"]): (r["_seen"], r["_less"]) for r in prefix_ranks(df, ["k"], "at", "v", cell).collect()}
+    want = {}
+    for k, values in own.items():
+        for i, v in enumerate(values):
+            if v is not None:
+                past = [x for x in values[: i + 1] if x is not None]
+                want[k, i + 1] = (len(past), sum(x < v for x in past))
+    assert got == want
+    assert prefix_ranks(df.where("k = 'z'"), ["k"], "at", "v", cell).count() == 0
+
+
+def test_expanding_volatility_threshold(spark, bars, frame, monkeypatch):
+    """Equals the percentile of every prefix, with cells of any size."""
+    for cell in (16, 1 << 16):
+        monkeypatch.setattr("tidemark.plans.ranks.CELL_ROWS", cell)
+        got = X.volatility_regime(bars, threshold="expanding").toPandas().sort_values(["symbol", "timestamp"])
+        for symbol, g in got.groupby("symbol"):
+            close = frame[frame["symbol"] == symbol].sort_values("timestamp")["close"]
+            vol = close.pct_change().rolling(20).std()
+            want = (vol > vol.expanding().quantile(0.7)).astype(int)
+            assert g["volatility_regime"].tolist() == want.tolist()
+    with pytest.raises(ValueError):
+        X.volatility_regime(bars, threshold="other")
+
+
+def test_percentiles_of_many_groups_by_salt(spark, monkeypatch):
+    """Beyond the counted bound groups are joined under salts, with the same values."""
+    monkeypatch.setattr("tidemark.plans.quantiles.FEW_GROUPS", 2)
+    rows = [(f"k{i % 7}", float(i * i % 101)) for i in range(2000)]
+    df = spark.createDataFrame(rows, "k string, v double")
+    for r in exact_percentiles(df, ["v"], [0.5], ["k"]).collect():
+        assert r["value"] == pytest.approx(np.percentile([v for k, v in rows if k == r["k"]], 50))
+
+
+@pytest.mark.parametrize("rows", [3, 50, 1 << 20])
+def test_cumulative_ranges_grow_with_the_values(spark, monkeypatch, rows):
+    """As many ranges as the values ask for; a group may fill several, a range may hold several groups."""
+    monkeypatch.setattr("tidemark.plans.ranks.RANGE_ROWS", rows)
+    pdf = pd.DataFrame({"k": ["a"] * 200 + ["b"] * 5 + ["c"], "v": [float(i) for i in (*range(200), *range(5), 9)], "n": 2})
+    got = cumulative(spark.createDataFrame(pdf).repartition(7), ["k"], "v", {"c": F.col("n")}).toPandas()
+    first = got.groupby("k")["v"].transform("min")
+    assert (got["c"] == 2 * (got["v"] - first + 1)).all() and len(got) == 206

@@ -107,6 +107,19 @@ def volatility_regime(spark, d):
                       F.round(F.col("volatility_percentile") + 1e-9, 6).alias("volatility_percentile"))
 
 
+EXPANDING = f"""WITH {VOL}, v4 AS (SELECT *, quantile_cont(vol, 0.7) {over()} AS past FROM v3)
+  SELECT {KEY_SQL}, CASE WHEN vol > past THEN 1 ELSE 0 END::INTEGER AS volatility_regime,
+  round(CASE WHEN n_recent = 40 THEN (len(list_filter(recent, lambda x: x < vol)) + (len(list_filter(recent, lambda x: x = vol)) + 1) / 2.0) / 40 END + 1e-9, 6)
+  AS volatility_percentile FROM v4"""
+
+
+@query(EXPANDING)
+def volatility_regime_expanding(spark, d):
+    out = X.volatility_regime(hourly_bars(spark, d), threshold="expanding")
+    return out.select("symbol", "interval", "timestamp", "volatility_regime",
+                      F.round(F.col("volatility_percentile") + 1e-9, 6).alias("volatility_percentile"))
+
+
 @query(f"""WITH {NUMBERED}, t AS (SELECT *, {full_sql("avg", quoted("close"), 10)} AS s, {full_sql("avg", quoted("close"), 50)} AS l FROM b)
   SELECT {KEY_SQL}, CASE WHEN s > l THEN 1 WHEN s < l THEN -1 ELSE 0 END::INTEGER AS trend_regime,
   round(abs(s - l) / nullif(l, 0) + 1e-9, 6) AS trend_strength FROM t""")

@@ -12,7 +12,8 @@ from pyspark.sql.types import NumericType
 from tidemark.operators import indicators as I
 from tidemark.operators.models import TRAIN_SHARE
 from tidemark.plans.blocks import number_rows, over, plain, rows, running, with_rows
-from tidemark.plans.quantiles import exact_percentiles, percentile_columns
+from tidemark.plans.quantiles import attach, exact_percentiles, percentile_columns
+from tidemark.plans.ranks import prefix_ranks
 from tidemark.schemas import BAR_VALUES, KEYS
 from tidemark.session import cut_lineage
 
@@ -223,23 +224,40 @@ def volatility_limit(df: DataFrame, c: str = "close", n: int = 20, percentile: f
     return percentile_columns(long, KEYS, {("_vol", p): "_vol_limit"})
 
 
+def with_limit(df: DataFrame, limits: DataFrame) -> DataFrame:
+    """Each row with the ``_vol_limit`` of its series."""
+    return attach(df, limits, KEYS, "_limits", "left").select("*", F.col("_limits._vol_limit")).drop("_limits")
+
+
 def volatility_regime(df: DataFrame, c: str = "close", n: int = 20, percentile: float = 70,
                       threshold: str = "series", block_rows: int | None = None) -> DataFrame:
     """Add ``volatility_regime`` and ``volatility_percentile``.
 
     ``threshold="series"`` compares with the percentile of the whole series,
-    which looks ahead. ``threshold="recent"`` flags a rank above the percentile
-    among the last 2n values and uses the past only.
+    which looks ahead. ``threshold="expanding"`` compares with the percentile of all values up to
+    the row's own, ``threshold="recent"`` flags a rank above the percentile
+    among the last 2n values; both use the past only. A missing volatility counts as low.
     """
     stages = volatility_stages(c, n)
+    if threshold not in ("series", "expanding", "recent"):
+        raise ValueError(f"unknown threshold {threshold!r}")
+    if threshold == "expanding":
+        base = cut_lineage(with_rows(df.withColumn("_vol_limit", F.lit(None).cast("double")), stages, back=3 * n + 1,
+                                     block_rows=block_rows))
+        ranks = prefix_ranks(base, KEYS, "_rn", "_vol")
+        # A value exceeds the interpolated percentile of m values that include it
+        # if more than (m - 1) * p of them are smaller; the percentile itself need not be known. In hundredths, as p is seldom exact.
+        high = F.coalesce(F.col("_less") * 100 > (F.col("_seen") - 1) * percentile, F.lit(False)).cast("int")
+        out = base.join(ranks, [*KEYS, "_rn"], "left").withColumn("volatility_regime", high)
+        return out.select(*[x for x in base.columns if x not in ("_rn", "_blk", "_ret", "_vol", "_vol_limit")])
     if threshold == "recent":
         base = with_rows(df.withColumn("_vol_limit", F.lit(None).cast("double")), stages, back=3 * n + 1,
                          block_rows=block_rows)
         late = F.coalesce(F.col("volatility_percentile") > percentile / 100, F.lit(False)).cast("int")
         out = base.withColumn("volatility_regime", late)
     else:
-        limits = volatility_limit(df, c, n, percentile, block_rows)
-        out = with_rows(df.join(limits, KEYS, "left"), stages, back=3 * n + 1, block_rows=block_rows)
+        limited = with_limit(df, volatility_limit(df, c, n, percentile, block_rows))
+        out = with_rows(limited, stages, back=3 * n + 1, block_rows=block_rows)
     return plain(out).drop("_ret", "_vol", "_vol_limit")
 
 
@@ -339,7 +357,7 @@ def engineer_features(
     bars = bars if "_rn" in inputs else cut_lineage(number_rows(bars))
     narrow = I.state_columns(bars, block_rows)
     if threshold == "series":
-        narrow = narrow.join(volatility_limit(bars, block_rows=block_rows), KEYS, "left")
+        narrow = with_limit(narrow, volatility_limit(bars, block_rows=block_rows))
     else:
         narrow = narrow.withColumn("_vol_limit", F.lit(None).cast("double"))
     averages = [f"SMA_{n}" for n in I.SMA_PERIODS[:10]]

@@ -18,6 +18,7 @@ from tidemark.functions.pvalues import chi2_p, f_p
 from tidemark.functions.stats import correlation
 from tidemark.operators.quality import long_form
 from tidemark.plans.quantiles import exact_percentiles
+from tidemark.session import cut_lineage
 
 # Default limits of the selectors.
 VARIANCE_LIMIT = 0.01
@@ -142,7 +143,7 @@ def mutual_information(df: DataFrame, columns: Sequence[str], label: str, bins:
 
     Bins replace the nearest-neighbour estimate: they need one shuffle of counts.
     """
-    data = df.select(F.col(label).alias("_y"), *_filled(columns))
+    data = cut_lineage(df.select(F.col(label).alias("_y"), *_filled(columns)))
     cuts = exact_percentiles(data, columns, [i / bins for i in range(1, bins)])
     cut_map = cuts.groupBy("column_name").agg(F.sort_array(F.collect_list("value")).alias("c"))
     table = cut_map.agg(F.map_from_entries(F.collect_list(F.struct("column_name", "c")))).scalar()
