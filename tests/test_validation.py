@@ -3,10 +3,13 @@
 import random
 from datetime import datetime, timedelta
 
+import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from tidemark.operators import models as K
+from tidemark.operators import selection as S
 
 START = datetime(2024, 1, 1)
 
@@ -87,3 +90,54 @@ def test_search_over_a_grid(two_spans):
     found = K.search(df, ["x"], "up", ["logistic_regression"], k=2, spaces={"logistic_regression": {"regParam": [0.001, 100.0]}}, points=2).collect()
     scores = {r.params["regParam"]: r.score for r in found}
     assert len(found) == 2 and scores["0.001"] > 0.9
+
+
+def slices_frame(spark, n=400):
+    rng = np.random.default_rng(11)
+    y = rng.integers(0, 3, n).astype(float)
+    a = rng.standard_normal(n) + y
+    pdf = pd.DataFrame({
+        "ts": pd.date_range("2024-01-01", periods=n, freq="h"), "y": y, "a": a, "b": 2 * a + 0.01 * rng.standard_normal(n),
+        "c": rng.standard_normal(n) * np.linspace(0.01, 3, n), "d": 1e6 + rng.standard_normal(n) - 0.5 * y, "e": np.ones(n),
+    })
+    pdf.loc[rng.random(n) < 0.1, "c"] = np.nan
+    pdf = pdf.astype(object).where(pdf.notna(), None)
+    schema = "ts timestamp, y double, a double, b double, c double, d double, e double"
+    rows = [(t.to_pydatetime(), *rest) for t, *rest in pdf.itertuples(index=False)]
+    return spark.createDataFrame(rows, schema).repartition(6)
+
+
+def test_slices_equal_the_chain_on_their_rows(spark):
+    """Sums of segments give what each step gives on the rows of a slice."""
+    columns = ["a", "b", "c", "d", "e"]
+    df = S.time_segments(slices_frame(spark), "ts", 4).persist()
+    assert sorted(r["count"] for r in df.groupBy("segment").count().collect()) == [100] * 4
+    got = {(r["slice"], r["step"]): r["features"] for r in S.slice_selections(df, columns, "y", k=2).collect()}
+    assert len(got) == 12
+    for s in range(4):
+        own = df.where(F.col("segment").between(s, s + 1))
+        varied = S._names(S.variances(own, columns))
+        apart = S._names(S.correlation_selection(own, varied))
+        best = S._names(S.best(S.f_scores(own, apart, "y"), k=2))
+        assert got[s, "variance"] == sorted(varied)
+        assert got[s, "correlation"] == sorted(apart)
+        assert got[s, "univariate"] == sorted(best)
+    df.unpersist()
+
+
+def test_slices_without_rows_labels_or_features(spark):
+    columns = ["a", "e"]
+    df = S.time_segments(slices_frame(spark, 40), "ts", 2)
+    assert S.slice_selections(df.where("segment > 9"), columns, "y").count() == 0
+    blank = S.slice_selections(df.withColumn("y", F.lit(None).cast("double")), columns, "y").where("step = 'univariate'")
+    assert {tuple(r["features"]) for r in blank.collect()} == {("a",)}
+    none = S.slice_selections(df, ["e"], "y", trees=3)
+    assert none.count() == 6 and none.where("size(features) > 0").count() == 0
+    assert S.stability(none.where("step = 'univariate'").select("slice", "features"), neighbours=False).first()["n_pairs"] == 0
+
+
+def test_stability_of_all_pairs(spark):
+    rows = [(0, ["a", "b"]), (1, ["a"]), (2, ["c"]), (3, [])]
+    df = spark.createDataFrame(rows, "slice long, features array<string>")
+    assert S.stability(df, neighbours=False).first() == (pytest.approx(0.5 / 6), 6)
+    assert S.stability(df).first() == (pytest.approx(0.5 / 3), 3)

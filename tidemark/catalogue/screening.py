@@ -236,20 +236,65 @@ def feature_selection(spark, d):
     return spark.createDataFrame([(k, v) for k, v in steps.items()], "step string, features array<string>")
 
 
-@query(f"WITH {ITEMS.replace('l_returnflag,', 'l_returnflag, year(l_shipdate)::BIGINT AS slice,', 1)}, v AS (" + union(
-    ["l_quantity", "l_discount", "l_tax"], "SELECT slice, '{c}' AS f, var_samp({c}) AS v FROM i GROUP BY slice")
-       + f"""), s AS (SELECT slice, list(f) FILTER (v > 0.000833) AS fs FROM v GROUP BY slice)
+SLICED = ["open", "high", "low", "close", "volume", "range", "SMA_5", "SMA_10", "momentum_10"]
+SLICES = 4
+SLICE_LIMITS = {"variance": 0.01, "correlation": 0.8, "k": 4}
+
+
+def sliced(spark, d):
+    """Bars with features, the direction of the last change, and the quarter of the time they lie in."""
+    stage = {
+        "range": F.col("high") - F.col("low"), "SMA_5": I.sma("close", 5), "SMA_10": I.sma("close", 10),
+        "momentum_10": F.col("close") - I.previous("close", 10),
+        "up": F.coalesce(F.col("close") > I.previous("close", 1), F.lit(False)).cast("double"),
+    }
+    return S.time_segments(plain(with_rows(hourly_bars(spark, d), [stage], back=10)), "timestamp", SLICES)
+
+
+def slices_sql():
+    """All steps on the rows of each slice."""
+    values = union(SLICED, """SELECT slice, '{c}' AS f, up, "{c}"::DOUBLE AS x FROM w""")
+    pairs = " UNION ALL ".join(
+        f"""SELECT slice, '{a}' AS a, '{b}' AS b, corr("{a}", "{b}") AS r FROM w GROUP BY slice"""
+        for i, a in enumerate(SLICED) for b in SLICED[i + 1:])
+    return f"""{NUMBERED}, f AS (SELECT *, high - low AS "range", {full_sql("avg", '"close"', 5)} AS "SMA_5", {full_sql("avg", '"close"', 10)} AS "SMA_10",
+    "close" - lag("close", 10) {W} AS momentum_10, CASE WHEN "close" > pc THEN 1 ELSE 0 END AS up FROM b),
+  q AS (SELECT quantile_cont(epoch_us("timestamp")::DOUBLE, [0.25, 0.5, 0.75]) AS cuts FROM f),
+  g AS (SELECT f.*, len(list_filter(cuts, lambda c: c < epoch_us("timestamp")::DOUBLE)) AS seg FROM f, q),
+  w AS (SELECT s.slice, g.* FROM g JOIN (SELECT unnest(range({SLICES})) AS slice) s ON g.seg BETWEEN s.slice AND s.slice + 1),
+  x AS ({values}), v AS (SELECT slice, f, var_samp(x) AS v FROM x GROUP BY ALL HAVING var_samp(x) > {SLICE_LIMITS["variance"]}),
+  p AS ({pairs}), gone AS (SELECT DISTINCT p.slice, CASE WHEN va.v < vb.v THEN a ELSE b END AS f FROM p
+    JOIN v va ON va.slice = p.slice AND va.f = a JOIN v vb ON vb.slice = p.slice AND vb.f = b WHERE abs(r) > {SLICE_LIMITS["correlation"]}),
+  c AS (SELECT v.* FROM v ANTI JOIN gone USING (slice, f)),
+  y AS (SELECT slice, f, up, count(*) AS n, avg(coalesce(x, 0)) AS m, var_pop(coalesce(x, 0)) AS vp FROM x GROUP BY ALL),
+  z AS (SELECT y.*, sum(n * m) OVER k / sum(n) OVER k AS mean FROM y WINDOW k AS (PARTITION BY slice, f)),
+  s AS (SELECT slice, f, (sum(n * (m - mean) * (m - mean)) / (count(*) - 1)) / (sum(n * vp) / (sum(n) - count(*))) AS score FROM z GROUP BY slice, f),
+  u AS (SELECT slice, f FROM c JOIN s USING (slice, f) QUALIFY row_number() OVER (PARTITION BY slice ORDER BY score DESC NULLS LAST, f) <= {SLICE_LIMITS["k"]}),
+  chosen AS (SELECT slice, 'variance' AS step, f FROM v UNION ALL SELECT slice, 'correlation', f FROM c UNION ALL SELECT slice, 'univariate', f FROM u)"""
+
+
+@query(f"WITH {slices_sql()} SELECT slice, step, string_agg(f, ',' ORDER BY f) AS features FROM chosen GROUP BY slice, step")
+def selection_slices(spark, d):
+    out = S.slice_selections(sliced(spark, d), SLICED, "up", **SLICE_LIMITS)
+    return out.select("slice", "step", F.array_join("features", ",").alias("features"))
+
+
+@query(f"""WITH {slices_sql()}, l AS (SELECT slice, list(f) AS fs FROM u GROUP BY slice)
   SELECT round(avg(len(list_intersect(a.fs, b.fs)) / len(list_distinct(list_concat(a.fs, b.fs)))) + 1e-9, 6) AS mean_jaccard, count(*) AS n_pairs
-  FROM s a JOIN s b ON b.slice = a.slice + 1""")
+  FROM l a JOIN l b ON b.slice > a.slice""")
 def selection_stability(spark, d):
-    li = table(spark, d, "lineitem").withColumn("slice", F.year("l_shipdate").cast("long"))
-    columns = ["l_quantity", "l_discount", "l_tax"]
-    wide = li.groupBy("slice").agg(*[F.var_samp(c).alias(c) for c in columns])
-    chosen = F.array_compact(F.array(*[F.when(F.col(c) > 0.000833, F.lit(c)) for c in columns]))
-    out = S.stability(wide.select("slice", chosen.alias("features")))
+    chosen = S.slice_selections(sliced(spark, d), SLICED, "up", **SLICE_LIMITS).where("step = 'univariate'")
+    out = S.stability(chosen.select("slice", "features"), neighbours=False)
     return out.select(*r6("mean_jaccard"), "n_pairs")
 
 
+@query()
+def selection_stability_trees(spark, d):
+    """The whole chain with the forest of each slice."""
+    chosen = S.slice_selections(sliced(spark, d), SLICED, "up", **SLICE_LIMITS, trees=50).where("step = 'tree'")
+    return S.stability(chosen.select("slice", "features"), neighbours=False)
+
+
 # --- drift -------------------------------------------------------------------------
 
 HALF = "2024-01-16"

@@ -249,12 +249,134 @@ def select_features(
         narrow.unpersist()
 
 
-def stability(selections: DataFrame) -> DataFrame:
-    """Mean Jaccard similarity of the feature sets of neighbouring slices.
+# --- selection over slices of time ---------------------------------------------------
 
-    ``selections`` has columns slice (long) and features (array<string>).
+
+def time_segments(df: DataFrame, time: str, segments: int) -> DataFrame:
+    """Add ``segment``: consecutive spans of time, from 0, with about equally many rows; equal times stay together."""
+    micros = F.unix_micros(time).cast("double")
+    if segments < 2:
+        return df.withColumn("segment", F.lit(0).cast("long"))
+    cuts = exact_percentiles(df.select(micros.alias("_t")), ["_t"], [i / segments for i in range(1, segments)])
+    found = cuts.agg(F.collect_list("value")).scalar()
+    return df.withColumn("_cuts", found).withColumn(
+        "segment", F.size(F.filter("_cuts", lambda c: c < micros)).cast("long")
+    ).drop("_cuts")
+
+
+def segment_moments(df: DataFrame, columns: Sequence[str], label: str) -> DataFrame:
+    """Sums from which variance, correlation and F scores of any union of segments follow, in one pass over the rows.
+
+    One row per (segment, i, j) of columns i <= j over rows where both are filled, ``y`` NULL; and one per
+    (segment, y, i) for class y, where a missing value counts as 0. Values are taken less the column's overall mean.
+    Rows without a segment are left out; rows without a label are in no class.
+    """
+    columns = list(columns)
+    k = len(columns)
+    held = df.where("segment IS NOT NULL").select("segment", F.col(label).cast("double").alias("_y"), *[F.col(c).cast("double").alias(c) for c in columns])
+    overall = held.agg(*[F.avg(F.nanvl(c, F.lit(None))).alias(c) for c in columns]).first()
+    means = np.array([overall[c] or 0.0 for c in columns])
+
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pairs: dict = {}
+        classes: dict = {}
+        for batch in batches:
+            segment, y, *values = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(k + 2)]
+            x = np.column_stack(values).astype(float) - means
+            for s in np.unique(segment):
+                rows = x[segment == s]
+                have = ~np.isnan(rows)
+                z, h = np.where(have, rows, 0.0), have.astype(float)
+                square = z * z
+                pairs[s] = pairs.get(s, 0) + np.stack([h.T @ h, z.T @ h, h.T @ z, square.T @ h, z.T @ z, h.T @ square])
+                full, of = np.where(have, rows, -means), y[segment == s]
+                for c in np.unique(of[~np.isnan(of)]):
+                    own = full[of == c]
+                    classes[s, c] = classes.get((s, c), 0) + np.stack([np.full(k, float(len(own))), own.sum(0), (own * own).sum(0)])
+        i, j = np.triu_indices(k)
+        for s, m in pairs.items():
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([s] * len(i), pa.int64()), pa.nulls(len(i), pa.float64()), pa.array(i), pa.array(j), *[pa.array(p[i, j]) for p in m]], names=names
+            )
+        at = np.arange(k)
+        for (s, c), (n, sx, sxx) in classes.items():
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([s] * k, pa.int64()), pa.array([c] * k, pa.float64()), *map(pa.array, (at, at, n, sx, sx, sxx, sxx, sxx))], names=names
+            )
+
+    names = ["segment", "y", "i", "j", *MOMENTS]
+    schema = "segment long, y double, i long, j long, " + ", ".join(f"{m} double" for m in MOMENTS)
+    return held.mapInArrow(sums, schema).groupBy("segment", "y", "i", "j").agg(*[F.sum(m).alias(m) for m in MOMENTS])
+
+
+MOMENTS = ["n", "sx", "sy", "sxx", "sxy", "syy"]
+
+
+def slice_selections(
+    df: DataFrame, columns: Sequence[str], label: str, span: int = 2, variance: float = VARIANCE_LIMIT,
+    correlation: float = CORRELATION_LIMIT, k: int = 100, trees: int | None = None,
+) -> DataFrame:
+    """The steps of :func:`select_features` for classes on overlapping slices of time: (slice, step, features).
+
+    ``df`` has a ``segment`` (:func:`time_segments`). Slice s covers ``span`` segments from s on, the last ones
+    fewer. All slices share one pass over the rows: a slice's moments are the sum of its segments'. With
+    ``trees`` a forest of that size is fitted on the rows of every slice as the last step.
+    """
+    columns = list(columns)
+    held = cut_lineage(df.select("segment", label, *columns))
+    by_segment = cut_lineage(segment_moments(held, columns, label))
+    covered = F.explode(F.sequence(F.greatest(F.col("segment") - (span - 1), F.lit(0).cast("long")), F.col("segment")))
+    sums = by_segment.withColumn("slice", covered).groupBy("slice", "y", "i", "j").agg(*[F.sum(m).alias(m) for m in MOMENTS])
+    n, sx, sy = F.col("n"), F.col("sx"), F.col("sy")
+    shared = sums.where("y IS NULL")
+    spread = shared.where("i = j").select("slice", "i", F.try_divide(F.col("sxx") - F.try_divide(sx * sx, n), n - 1).alias("v"))
+    varied = spread.where(F.col("v") > variance)
+    root = lambda s, q: F.sqrt(F.greatest(F.col(q) - F.try_divide(F.col(s) * F.col(s), n), F.lit(0.0)))
+    r = F.try_divide(F.col("sxy") - F.try_divide(sx * sy, n), root("sx", "sxx") * root("sy", "syy"))
+    close = shared.where("i < j").select("slice", "i", "j", r.alias("r")).where(F.abs("r") > correlation)
+    close = close.join(varied.withColumnRenamed("v", "va"), ["slice", "i"]).join(
+        varied.select("slice", F.col("i").alias("j"), F.col("v").alias("vb")), ["slice", "j"])
+    loser = F.when(F.col("va") < F.col("vb"), F.col("i")).otherwise(F.col("j"))
+    apart = varied.join(close.select("slice", loser.alias("i")).distinct(), ["slice", "i"], "left_anti")
+    groups = sums.where("y IS NOT NULL").groupBy("slice", "i").agg(
+        (F.sum(sx * sx / n) - F.sum("sx") * F.sum("sx") / F.sum("n")).alias("between"), F.sum(F.col("sxx") - sx * sx / n).alias("within"),
+        F.count("*").alias("classes"), F.sum("n").alias("rows"),
+    )
+    score = F.try_divide(F.try_divide(F.col("between"), F.col("classes") - 1), F.try_divide(F.col("within"), F.col("rows") - F.col("classes")))
+    names = F.array(*[F.lit(c) for c in columns])
+    scored = apart.join(groups.select("slice", "i", score.alias("score")), ["slice", "i"], "left")
+    order = Window.partitionBy("slice").orderBy(F.col("score").desc_nulls_last(), names[F.col("i")])
+    ranked = scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    every = by_segment.select(F.col("segment").alias("slice")).distinct()
+    out = None
+    for step, chosen in (("variance", varied), ("correlation", apart), ("univariate", ranked)):
+        sets = chosen.groupBy("slice").agg(F.sort_array(F.collect_list(names[F.col("i")])).alias("features"))
+        part = every.join(sets, "slice", "left").select(
+            "slice", F.lit(step).alias("step"), F.coalesce("features", F.array().cast("array<string>")).alias("features"))
+        out = part if out is None else out.unionByName(part)
+    if not trees:
+        return out
+    out = cut_lineage(out)
+    fitted = [
+        (s["slice"], "tree", sorted(_names(tree_importance(
+            held.where(F.col("segment").between(s["slice"], s["slice"] + span - 1)).dropna(subset=[label]), s["features"], label, trees=trees))))
+        for s in out.where("step = 'univariate' AND size(features) > 0").orderBy("slice").collect()  # one row per slice
+    ]
+    return out.unionByName(df.sparkSession.createDataFrame(fitted, out.schema))
+
+
+def stability(selections: DataFrame, neighbours: bool = True) -> DataFrame:
+    """Mean Jaccard similarity of the feature sets of neighbouring slices, or of all pairs of slices.
+
+    ``selections`` has columns slice (long) and features (array<string>), one row per slice. A pair without
+    any feature is left out.
     """
-    other = selections.select((F.col("slice") - 1).alias("slice"), F.col("features").alias("next"))
-    pairs = selections.join(other, "slice")
+    if neighbours:
+        before = F.array(F.col("slice") - 1)
+    else:
+        first = selections.select(F.min("slice")).scalar()
+        before = F.when(F.col("slice") > first, F.sequence(first, F.col("slice") - 1))
+    other = selections.select(F.explode(before).alias("slice"), F.col("features").alias("next"))
+    pairs = selections.join(other, "slice").where(F.size(F.array_union("features", "next")) > 0)
     jaccard = F.size(F.array_intersect("features", "next")) / F.size(F.array_union("features", "next"))
     return pairs.agg(F.avg(jaccard).alias("mean_jaccard"), F.count("*").alias("n_pairs"))
