@@ -66,6 +66,42 @@ def test_only_mappings_have_fields():
         render("{% for m in messages %}{{ m.text.upper }}{% endfor %}", [{"role": "a", "text": "b"}])
 
 
+TURNS = [{"role": "system", "text": "be"}, {"role": "user", "text": "hi"}, {"role": "bot", "text": "yo"}]
+
+
+@pytest.mark.parametrize("held", [0, 3, 1 << 22])
+@pytest.mark.parametrize(("source", "want"), [
+    ("{% for m in messages %}A{% endfor %}|{% for m in messages %}{{ m.text }}{% endfor %}", "AAA|behiyo"),
+    ("{% for m in messages %}{% for k in messages %}{{ k.role == m.role }} {% endfor %}{% endfor %}",
+     "true false false false true false false false true "),
+    ("{{ messages | length }}{{ messages[1:] | length }}{{ messages[:-1] | length }}", "322"),
+    ("{% if messages[0].role == 'system' %}<{{ messages[0].text }}>{% for m in messages[1:] %}{{ m.role }};{% endfor %}{% endif %}", "<be>user;bot;"),
+    ("{{ messages[-1].text }}{{ messages[1:][0].text }}{{ messages[:2][-1].text }}{{ messages[-2:][-1].role }}", "yohihibot"),
+    ("{{ messages[7] == none }}{{ messages[-4] == none }}{{ messages[5:] | length }}{{ 'x' if messages[5:] else 'y' }}", "truetrue0y"),
+    ("{% set ms = messages %}{% for m in ms %}1{% endfor %}{% for m in ms %}2{% endfor %}", "111222"),
+    ("{% for m in messages %}{{ loop.index - 1 }}{{ '.' if loop.index == messages | length else ',' }}{% endfor %}", "0,1,2."),
+    ("{% if false %}{{ 1 + 'a' }}{% endif %}{{ true or 1 < 'a' }}", "true"),
+])
+def test_messages_are_read_as_often_as_a_template_asks(source, want, held, monkeypatch):
+    monkeypatch.setattr(chat, "HELD_CHARS", held)
+    assert render(source, (dict(m) for m in TURNS)) == want
+
+
+@pytest.mark.parametrize("source", [
+    "{{ messages }}", "{{ messages[0] }}", "{{ messages | upper }}", "{{ 1 + 'a' }}", "{{ messages[0].text[0] }}", "{{ messages['role'] }}",
+    "{{ 'a'[1:] }}", "{% for m in 5 %}{% endfor %}", "{{ 1 < 'a' }}", "{{ 'a' in none }}", "{{ messages + messages }}", "{{ - 'a' }}", "{{ loop }}{{ messages[:'a'] }}",
+])
+def test_what_has_no_meaning_raises_one_error(source):
+    with pytest.raises(chat.TemplateError):
+        render(source, iter(TURNS))
+
+
+def test_only_templates_that_read_again_keep_messages():
+    for source, once in [(chat.CHATML, True), ("{{ messages | length }}" + chat.CHATML, False), ("{% for m in messages %}{% if messages %}{% endif %}{% endfor %}", False),
+                         ("{% if true %}{% for m in messages %}{% endfor %}{% endif %}", True), ("{% for a in 'xy' %}{% for m in messages %}{% endfor %}{% endfor %}", False)]:
+        assert chat._goes_once(chat.fold(chat.parse(source))) == once
+
+
 @given(STRINGS)
 @settings(max_examples=200, deadline=None)
 def test_escapes_are_reversible(text):

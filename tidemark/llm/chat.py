@@ -7,27 +7,35 @@ closures that yield text and generation marks. The language has
 * ``{% if %} … {% elif %} … {% else %} … {% endif %}``, ``{% for name in expression %} … {% endfor %}``,
 * ``{% generation %} … {% endgeneration %}`` around text a model learns to write.
 
-Expressions are literals, names, ``a.b`` and ``a['b']`` on mappings, ``+ ~ == != < > <= >= in and or not``,
-``x if c else y`` and filters ``x | f`` from ``FILTERS``. Nothing else can be called or reached, so a
-template cannot touch Python objects. Messages are read one at a time; ``loop.first``, ``loop.last``
-and ``loop.index0`` are known in a loop.
+Expressions are literals, names, ``a.b`` and ``a['b']`` on mappings, ``a[0]``, ``a[-1]`` and ``a[1:3]`` on messages,
+``+ - ~ == != < > <= >= in and or not``, ``x if c else y`` and filters ``x | f`` from ``FILTERS``. Nothing else
+can be called or reached, and only texts, numbers, truth values and none can be written, so a template cannot touch
+Python objects. What has no meaning, such as ``1 + 'a'``, raises TemplateError when it is reached.
+``loop.first``, ``loop.last``, ``loop.index0`` and ``loop.index`` are known in a loop.
+
+Messages are read one at a time. A template that goes over them once, as the default one does, holds
+one message; any other finds those already read in a :class:`Messages`, which keeps long ones in a file of the task.
 """
 
 from __future__ import annotations
 
 import hashlib
 import operator
+import os
+import pickle
 import re
+import tempfile
+from array import array
 from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 from functools import partial
-from itertools import groupby
+from itertools import groupby, islice
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import Batches, partitions, pick
+from tidemark.llm.common import Batches, partitions, pick, scratch_root
 
 PART_CHARS = 1 << 20  # a formatted conversation is stored in parts of whole turns of about this size
 
@@ -58,6 +66,87 @@ def many_lines(text: str) -> str:
 
 
 FILTERS: dict[str, Callable] = {"escape": escape, "line": one_line, "trim": str.strip, "upper": str.upper, "lower": str.lower, "length": len}
+HELD_CHARS = 1 << 22  # messages beyond this go to a file if they are needed again
+
+
+class Messages:
+    """Messages read from an iterator as far as needed; unless ``once``, those read can be read again."""
+
+    def __init__(self, source: Iterable[dict], once: bool = False) -> None:
+        self.source, self.once = iter(source), once
+        self.held: list[dict] = []
+        self.chars = 0
+        self.file = None
+        self.places = array("q")
+
+    def __iter__(self) -> Iterator[dict]:
+        if self.once:
+            yield from self.source
+            return
+        at = 0
+        while self._reach(at):
+            yield self[at]
+            at += 1
+
+    def _reach(self, at: int) -> bool:
+        """Whether there is a message number ``at``, reading up to it."""
+        while len(self.held) + len(self.places) <= at:
+            message = next(self.source, None)
+            if message is None:
+                return False
+            if self.chars < HELD_CHARS:
+                self.held.append(message)
+                self.chars += sum(map(len, message.values()))
+                continue
+            if self.file is None:
+                self.file = tempfile.TemporaryFile(dir=scratch_root())  # gone with the conversation
+            self.places.append(self.file.seek(0, os.SEEK_END))
+            pickle.dump(message, self.file)
+        return True
+
+    def __len__(self) -> int:
+        while self._reach(len(self.held) + len(self.places)):
+            pass
+        return len(self.held) + len(self.places)
+
+    def __getitem__(self, at: int) -> dict | None:
+        """The message number ``at``, from the end if negative; none if there is no such message."""
+        if at < 0:
+            at += len(self)
+        if at < 0 or not self._reach(at):
+            return None
+        if at < len(self.held):
+            return self.held[at]
+        self.file.seek(self.places[at - len(self.held)])
+        return pickle.load(self.file)
+
+    def part(self, start: int | None, stop: int | None) -> Part:
+        return Part(self, start, stop)
+
+
+class Part:
+    """Messages from ``start`` up to before ``stop``, as Python slices."""
+
+    def __init__(self, of: Messages | Part, start: int | None, stop: int | None) -> None:
+        self.of, self.start, self.stop = of, start, stop
+
+    def __iter__(self) -> Iterator[dict]:
+        if (self.start or 0) >= 0 and (self.stop or 0) >= 0:
+            return islice(iter(self.of), self.start, self.stop)
+        start, stop, _ = slice(self.start, self.stop).indices(len(self.of))
+        return islice(iter(self.of), start, max(start, stop))
+
+    def __len__(self) -> int:
+        return len(range(*slice(self.start, self.stop).indices(len(self.of))))
+
+    def __getitem__(self, at: int) -> dict | None:
+        if at < 0:
+            at += len(self)
+        return next(islice(iter(self), at, None), None) if at >= 0 else None
+
+    def part(self, start: int | None, stop: int | None) -> Part:
+        return Part(self, start, stop)
+
 
 # -- syntax tree ---------------------------------------------------------------
 
@@ -78,6 +167,15 @@ class Field:
     key: object
 
 
+@dataclass(frozen=True)
+class Between:
+    """The messages ``of[start:stop]``; a bound may be missing."""
+
+    of: object
+    start: object
+    stop: object
+
+
 @dataclass(frozen=True)
 class Apply:
     """A filter, an operator, ``and``, ``or``, ``not`` or ``if`` on its parts."""
@@ -123,7 +221,7 @@ class TemplateError(ValueError):
 # -- parser --------------------------------------------------------------------
 
 _TAG = re.compile(r"(\{\{-?|\{%-?)(.*?)(-?\}\}|-?%\})", re.DOTALL)
-_TOKEN = re.compile(r"\s*(?:(?P<str>'(?:[^'\\]|\\.)*'|\"(?:[^\"\\]|\\.)*\")|(?P<int>\d+)|(?P<name>[A-Za-z_]\w*)|(?P<op>==|!=|<=|>=|[<>+~|.()\[\]=]))")
+_TOKEN = re.compile(r"\s*(?:(?P<str>'(?:[^'\\]|\\.)*'|\"(?:[^\"\\]|\\.)*\")|(?P<int>\d+)|(?P<name>[A-Za-z_]\w*)|(?P<op>==|!=|<=|>=|[-<>+~|.()\[\]=:]))")
 _WORDS = {"and", "or", "not", "in", "if", "else", "true", "false", "none"}
 _COMPARE = {"==": operator.eq, "!=": operator.ne, "<": operator.lt, ">": operator.gt, "<=": operator.le, ">=": operator.ge}
 
@@ -203,7 +301,7 @@ class _Expression:
 
     def joined(self):
         node = self.filtered()
-        while self.peek() in ("+", "~"):
+        while self.peek() in ("+", "-", "~"):
             what = self.peek()
             self.at += 1
             node = Apply(what, (node, self.filtered()))
@@ -225,6 +323,8 @@ class _Expression:
         if self.take("("):
             node = self.choice()
             self.need(")")
+        elif self.take("-"):
+            return Apply("-", (Const(0), self.primary()))
         elif kind == "str":
             self.at += 1
             node = Const(re.sub(r"\\(.)", lambda m: {"n": "\n", "t": "\t"}.get(m[1], m[1]), value[1:-1], flags=re.DOTALL))
@@ -241,7 +341,11 @@ class _Expression:
                 node = Field(node, Const(self.name()))
             else:
                 self.need("[")
-                node = Field(node, self.choice())
+                start = None if self.peek() == ":" else self.choice()
+                if self.take(":"):
+                    node = Between(node, start, None if self.peek() == "]" else self.choice())
+                else:
+                    node = Field(node, start)
                 self.need("]")
         return node
 
@@ -312,6 +416,8 @@ def _branches(tokens: list, test: str) -> If:
 def _fold_value(node):
     if isinstance(node, Field):
         return Field(_fold_value(node.of), _fold_value(node.key))
+    if isinstance(node, Between):
+        return Between(_fold_value(node.of), *[None if b is None else _fold_value(b) for b in (node.start, node.stop)])
     if not isinstance(node, Apply):
         return node
     parts = tuple(_fold_value(p) for p in node.parts)
@@ -321,7 +427,10 @@ def _fold_value(node):
     if node.what in ("and", "or") and isinstance(parts[0], Const):
         return parts[1] if bool(parts[0].value) == (node.what == "and") else parts[0]
     if all(isinstance(p, Const) for p in parts):
-        return Const(_value(node)({}))
+        try:
+            return Const(_value(node)({}))
+        except TemplateError:
+            return node  # raised if it is ever reached
     return node
 
 
@@ -358,13 +467,68 @@ def fold(tree: tuple) -> tuple:
 
 
 def _text(value) -> str:
-    return "" if value is None else value if isinstance(value, str) else str(value).lower() if isinstance(value, bool) else str(value)
+    if isinstance(value, str):
+        return value
+    if value is None:
+        return ""
+    if isinstance(value, (bool, int)):
+        return str(value).lower()
+    raise TemplateError("only texts, numbers, truth values and none can be written")
+
+
+def _number(value) -> int:
+    if isinstance(value, int) and not isinstance(value, bool):
+        return value
+    raise TemplateError("a whole number expected")
 
 
 def _get(of, key):
-    if not isinstance(of, dict):
-        raise TemplateError("only mappings have fields")
-    return of.get(key)
+    if isinstance(of, dict) and isinstance(key, str):
+        return of.get(key)
+    if isinstance(of, (Messages, Part)):
+        return of[_number(key)]
+    raise TemplateError("only mappings have fields, only messages have numbers")
+
+
+def _between(of, start, stop):
+    if not isinstance(of, (Messages, Part)):
+        raise TemplateError("only messages can be cut")
+    return of.part(*[None if b is None else _number(b) for b in (start, stop)])
+
+
+def _filtered(name: str, value):
+    if name == "length" and isinstance(value, (Messages, Part, dict)):
+        return len(value)
+    return FILTERS[name](_text(value))
+
+
+def _true(value) -> bool:
+    """Messages count as true if there are any; only the first is read for that."""
+    return value[0] is not None if isinstance(value, (Messages, Part)) else bool(value)
+
+
+def _within(a, b) -> bool:
+    if isinstance(b, (Messages, Part)):
+        return any(a == m for m in b)
+    return a in b
+
+
+def _sum(a, b):
+    if isinstance(a, (str, int)) and isinstance(b, (str, int)):
+        return a + b
+    raise TemplateError("only texts and numbers can be added")
+
+
+_OPERATORS: dict[str, Callable] = {
+    **_COMPARE, "+": _sum, "-": lambda a, b: _number(a) - _number(b), "~": lambda a, b: _text(a) + _text(b), "in": _within
+}
+
+
+def _apply(what: str, a, b):
+    try:
+        return _OPERATORS[what](a, b)
+    except TypeError:
+        raise TemplateError(f"{what!r} has no meaning here") from None
 
 
 def _value(node) -> Callable[[dict], object]:
@@ -378,29 +542,26 @@ def _value(node) -> Callable[[dict], object]:
     if isinstance(node, Field):
         of, key = _value(node.of), _value(node.key)
         return lambda scope: _get(of(scope), key(scope))
+    if isinstance(node, Between):
+        of, start, stop = _value(node.of), *[_value(Const(None) if b is None else b) for b in (node.start, node.stop)]
+        return lambda scope: _between(of(scope), start(scope), stop(scope))
     parts = [_value(p) for p in node.parts]
     a = parts[0]
     if node.what.startswith("|"):
-        f = FILTERS[node.what[1:]]
-        return lambda scope: f(_text(a(scope)))
+        name = node.what[1:]
+        return lambda scope: _filtered(name, a(scope))
     if node.what == "not":
-        return lambda scope: not a(scope)
+        return lambda scope: not _true(a(scope))
     b = parts[1]
     if node.what == "if":
         c = parts[2]
-        return lambda scope: b(scope) if a(scope) else c(scope)
+        return lambda scope: b(scope) if _true(a(scope)) else c(scope)
     if node.what == "and":
-        return lambda scope: a(scope) and b(scope)
+        return lambda scope: b(scope) if _true(left := a(scope)) else left
     if node.what == "or":
-        return lambda scope: a(scope) or b(scope)
-    if node.what == "~":
-        return lambda scope: _text(a(scope)) + _text(b(scope))
-    if node.what == "+":
-        return lambda scope: a(scope) + b(scope)
-    if node.what == "in":
-        return lambda scope: a(scope) in b(scope)
-    compare = _COMPARE[node.what]
-    return lambda scope: compare(a(scope), b(scope))
+        return lambda scope: left if _true(left := a(scope)) else b(scope)
+    what = node.what
+    return lambda scope: _apply(what, a(scope), b(scope))
 
 
 # Events of a rendering: text, True and False around generations, None where a part may end.
@@ -408,7 +569,10 @@ Events = Iterator[str | bool | None]
 
 
 def _loop(name: str, over: Callable, body: Callable, scope: dict, top: bool) -> Events:
-    items = iter(over(scope) or ())
+    several = over(scope)
+    if not isinstance(several, (Messages, Part, str, dict, type(None))):
+        raise TemplateError("only messages, texts and mappings can be gone over")
+    items = iter(() if several is None else several)
     following = next(items, _END)
     index = 0
     while following is not _END:
@@ -436,7 +600,7 @@ def _closure(tree: tuple, top: bool = True) -> Callable[[dict], Events]:
             steps.append(lambda scope, name=node.name, value=_value(node.value): scope.update({name: value(scope)}) or ())
         elif isinstance(node, If):
             then, other = _closure(node.then, False), _closure(node.other, False)
-            steps.append(lambda scope, test=_value(node.test), then=then, other=other: then(scope) if test(scope) else other(scope))
+            steps.append(lambda scope, test=_value(node.test), then=then, other=other: then(scope) if _true(test(scope)) else other(scope))
         elif isinstance(node, For):
             steps.append(partial(_loop, node.name, _value(node.over), _closure(node.body, False), top=top))
         else:
@@ -457,8 +621,24 @@ def _marked(body: Events) -> Events:
 
 def compile_template(source: str) -> Callable[[Iterable[dict]], Events]:
     """Function from messages (``role``, ``text``) to the events of their rendering."""
-    run = _closure(fold(parse(source)))
-    return lambda messages: run({"messages": messages})
+    tree = fold(parse(source))
+    run, once = _closure(tree), _goes_once(tree)
+    return lambda messages: run({"messages": Messages(messages, once)})
+
+
+def _uses(node) -> int:
+    """How often ``messages`` is named."""
+    if isinstance(node, Name):
+        return int(node.name == "messages")
+    if isinstance(node, tuple):
+        return sum(map(_uses, node))
+    return sum(_uses(getattr(node, f)) for f in getattr(node, "__dataclass_fields__", ()))
+
+
+def _goes_once(tree: tuple) -> bool:
+    """Whether the one use of ``messages`` is a loop that is not itself in a loop."""
+    loops = [n for n in tree if isinstance(n, For) and n.over == Name("messages")]
+    return len(loops) == 1 and _uses(tree) == 1
 
 
 # -- operator ------------------------------------------------------------------
