@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from tidemark.catalogue.common import (
@@ -9,6 +11,8 @@ from tidemark.catalogue.common import (
 )
 from tidemark.operators import indicators as I
 from tidemark.plans.blocks import number_rows, with_rows
+from tidemark.session import checkpoint_root
+from tidemark.streaming import indicators as S
 
 QUERIES = {}
 SQL = {}
@@ -197,3 +201,13 @@ def all_indicators(spark, d):
     out = I.all_indicators(hourly_bars(spark, d))
     names = [*I.SINGLE_OUTPUT, "Momentum_10", *I.MULTI_OUTPUT]
     return out.select("symbol", "interval", "timestamp", *rounded([n for n in names if n not in FOUR_DIGITS]), *rounded(FOUR_DIGITS, 4))
+
+
+STREAMED = result_sql(NUMBERED, {f"EMA_{n}": ema_sql('"close"', n) for n in (12, 26)})
+
+
+@query(joined_sql([STREAMED, SQL["macd"], SQL["rsi"], SQL["parabolic_sar"]]))
+def streaming_indicators(spark, d):
+    """The bars as a stream in two spans of time, the second one from the state of the first."""
+    out = S.backfill(hourly_bars(spark, d), f"{checkpoint_root(spark)}/tidemark/stream-{uuid.uuid4().hex}")
+    return result(out, ["EMA_12", "EMA_26", "MACD", "MACD_Signal", "MACD_Histogram", "RSI_14", "Parabolic_SAR"])

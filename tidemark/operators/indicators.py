@@ -129,6 +129,24 @@ def adx(bars: DataFrame, n: int = 14, block_rows: int | None = None) -> DataFram
     return plain(out).drop("_tr", "_dmp", "_dmm", "_dx")
 
 
+def sar_step(state: dict | None, high: float | None, low: float | None, step: float, maximum: float) -> tuple[float | None, dict]:
+    """Stop at one bar and the state after it. A bar without high or low has no stop and leaves the state as it was."""
+    if high is None or low is None:
+        return None, state or {"stop": None, "side": None, "pace": None, "extreme": None}
+    if state is None or state["stop"] is None:
+        stop, side, pace, extreme = low, 1, step, high
+    else:
+        stop, side, pace, extreme = state["stop"], state["side"], state["pace"], state["extreme"]
+        stop += pace * (extreme - stop)
+        # ``side`` turns falling bars into rising ones.
+        ahead, behind = (high, low) if side == 1 else (low, high)
+        if side * (behind - stop) <= 0:
+            stop, side, pace, extreme = extreme, -side, step, behind
+        elif side * (ahead - extreme) > 0:
+            extreme, pace = ahead, min(pace + step, maximum)
+    return stop, {"stop": stop, "side": side, "pace": pace, "extreme": extreme}
+
+
 def parabolic_sar(bars: DataFrame, step: float = 0.02, maximum: float = 0.2, block_rows: int | None = None) -> DataFrame:
     """Add ``Parabolic_SAR``; the state of a block settles by repeated passes."""
     return plain(sar_on_blocks(bars, step, maximum, block_rows))
@@ -137,22 +155,10 @@ def parabolic_sar(bars: DataFrame, step: float = 0.02, maximum: float = 0.2, blo
 def sar_on_blocks(bars: DataFrame, step: float = 0.02, maximum: float = 0.2, block_rows: int | None = None) -> DataFrame:
     base = with_rows(bars, [], block_rows=block_rows)
 
-    def walk(table: pa.Table, state: dict | None) -> tuple[list[float], dict]:
-        highs, lows = table["high"].to_pylist(), table["low"].to_pylist()
+    def walk(table: pa.Table, state: dict | None) -> tuple[list[float | None], dict]:
         out = []
-        for high, low in zip(highs, lows):
-            if state is None:
-                stop, side, pace, extreme = low, 1, step, high
-            else:
-                stop, side, pace, extreme = state["stop"], state["side"], state["pace"], state["extreme"]
-                stop += pace * (extreme - stop)
-                # ``side`` turns falling bars into rising ones.
-                ahead, behind = (high, low) if side == 1 else (low, high)
-                if side * (behind - stop) <= 0:
-                    stop, side, pace, extreme = extreme, -side, step, behind
-                elif side * (ahead - extreme) > 0:
-                    extreme, pace = ahead, min(pace + step, maximum)
-            state = {"stop": stop, "side": side, "pace": pace, "extreme": extreme}
+        for high, low in zip(table["high"].to_pylist(), table["low"].to_pylist()):
+            stop, state = sar_step(state, high, low, step, maximum)
             out.append(stop)
         return out, state
 

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from tidemark.schemas import BAR_VALUES, KEYS
 from tidemark.sources import klines
 
 LANDING = "symbol string, interval string, value string"
@@ -24,10 +25,15 @@ def split_valid(landed: DataFrame) -> DataFrame:
     raw = F.from_json("value", "array<string>")
     return checked.withColumn("_raw", raw).select(
         F.timestamp_millis(klines.slot(F.col("_raw"), "timestamp").try_cast("long")).alias("timestamp"),
-        "symbol", "interval", *[klines.number(F.col("_raw"), c).alias(c) for c in klines.BAR_VALUES], "broken", "value",
+        "symbol", "interval", *[klines.number(F.col("_raw"), c).alias(c) for c in BAR_VALUES], "broken", "value",
     )
 
 
+def valid_bars(landed: DataFrame) -> DataFrame:
+    """Bars of the landed rows that break no rule, in the columns of a bar table."""
+    return split_valid(landed).where(F.size("broken") == 0).select("timestamp", *KEYS, *BAR_VALUES)
+
+
 def once(rows: DataFrame, batch_id: int, path: str, by: Sequence[str] = ()) -> None:
     """Write the rows of a micro-batch so that a second attempt replaces the first."""
     rows = rows.withColumn("batch_id", F.lit(batch_id).cast("long"))
