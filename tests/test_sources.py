@@ -1,6 +1,9 @@
 import datetime as dt
 import json
+import random
 
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -104,3 +107,24 @@ def test_unreadable_files_are_named(spark, tmp_path):
     loaded = files.load_many(spark, f"{tmp_path}/in/*.parquet")
     assert loaded.count() == 3
     assert [r["source_file"] for r in files.files_without_rows(loaded, f"{tmp_path}/in/*.parquet").collect()] == ["bad"]
+
+
+def test_files_cut_short_are_named(spark, tmp_path):
+    """One whole file, one with a fault in its second half, one that is no Parquet file."""
+    rng = random.Random(2)
+    for name in ("whole", "broken"):
+        table = pa.table({"a": list(range(4000)), "b": ["".join(rng.choices("abcdefgh", k=20)) for _ in range(4000)]})
+        pq.write_table(table, tmp_path / f"{name}.parquet", row_group_size=1000, compression="gzip")
+    (tmp_path / "other.parquet").write_text("no table")
+    path = tmp_path / "broken.parquet"
+    at = pq.ParquetFile(path).metadata.row_group(2).column(1)
+    raw = bytearray(path.read_bytes())
+    start = at.dictionary_page_offset or at.data_page_offset
+    raw[start + 40 : start + at.total_compressed_size - 40] = bytes(at.total_compressed_size - 80)
+    path.write_bytes(bytes(raw))
+    pattern = f"{tmp_path}/*.parquet"
+    loaded = files.load_many(spark, pattern)
+    short = files.files_cut_short(loaded, pattern).collect()
+    assert [(r.source_file, r.rows_stated) for r in short] == [("broken", 4000)] and short[0].rows_read < 4000
+    assert [r.source_file for r in files.files_without_rows(loaded, pattern).collect()] in (["other"], ["broken", "other"], ["other", "broken"])
+    assert files.files_cut_short(files.load_many(spark, f"{tmp_path}/whole.parquet"), f"{tmp_path}/whole.parquet").count() == 0

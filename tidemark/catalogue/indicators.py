@@ -209,5 +209,7 @@ STREAMED = result_sql(NUMBERED, {f"EMA_{n}": ema_sql('"close"', n) for n in (12,
 @query(joined_sql([STREAMED, SQL["macd"], SQL["rsi"], SQL["parabolic_sar"]]))
 def streaming_indicators(spark, d):
     """The bars as a stream in two spans of time, the second one from the state of the first."""
-    out = S.backfill(hourly_bars(spark, d), f"{checkpoint_root(spark)}/tidemark/stream-{uuid.uuid4().hex}")
+    folder = f"{checkpoint_root(spark)}/tidemark/stream-{uuid.uuid4().hex}"
+    hourly_bars(spark, d).write.parquet(f"{folder}/bars")
+    out = S.backfill(spark.read.parquet(f"{folder}/bars"), folder)
     return result(out, ["EMA_12", "EMA_26", "MACD", "MACD_Signal", "MACD_Histogram", "RSI_14", "Parabolic_SAR"])
