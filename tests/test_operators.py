@@ -351,3 +351,12 @@ def test_summary_of_a_clean_table(spark):
     one = spark.createDataFrame([("a", "1h", "close", "high_future_correlation", "critical"), ("a", "1h", "close", "suspicious_naming", "warning")], none.schema)
     row = L.summary(df, one, ["close"]).first()
     assert not row.is_clean and row.affected_share == 1.0 and row.advice == [L.ADVICE["high_future_correlation"], L.ADVICE["suspicious_naming"]]
+
+
+def test_next_hits_of_a_full_bucket_read_each_row_once(spark):
+    """No frame may reach from a row to the end of its bucket: Spark reads such a frame anew for every row."""
+    hits = spark.range(20000).selectExpr("'r' AS rule", "id + 1 AS _rn", "(id div 3) * 1000000 AS _us")
+    found = M._next_hits(hits, 500_000_000, 86400)
+    assert "unboundedfollowing" not in found._jdf.queryExecution().executedPlan().toString().lower()
+    got = {r["_rn"]: r["_next"] for r in found.collect()}
+    assert got == {i + 1: 3 * (i // 3 + 500) + 1 for i in range(20000) if i // 3 + 500 <= 19999 // 3}

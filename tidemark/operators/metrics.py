@@ -190,8 +190,10 @@ def _next_hits(hits: DataFrame, rest: int, bucket_seconds: float) -> DataFrame:
     events = hits.select("rule", "_us", F.lit(1).alias("_kind"), hit.alias("_hit"), F.lit(None).cast("long").alias("_from"))
     probes = hits.select("rule", (F.col("_us") + rest).alias("_us"), F.lit(0), F.lit(None).cast(events.schema["_hit"].dataType), "_rn")
     both = events.union(probes).withColumn("_bkt", time_bucket_of("_us", bucket_seconds))
-    ahead = Window.partitionBy("rule", "_bkt").orderBy("_us", "_kind", "_hit").rowsBetween(0, Window.unboundedFollowing)
-    here = both.withColumn("_near", F.first("_hit", ignorenulls=True).over(ahead))
+    # Latest first: a frame that ends at the row grows by one row each, one that ends with the bucket is read anew for each.
+    late = [F.col(c).desc() for c in ("_us", "_kind", "_hit")]
+    ahead = Window.partitionBy("rule", "_bkt").orderBy(*late).rowsBetween(Window.unboundedPreceding, 0)
+    here = both.withColumn("_near", F.last("_hit", ignorenulls=True).over(ahead))
     firsts = both.groupBy("rule", (-F.col("_bkt")).alias("_back")).agg(F.min("_hit").alias("_later"))
     later = prefix(firsts, ["rule"], "_back", {"_later": "min"}).select("rule", (-F.col("_back")).alias("_bkt"), "_later")
     out = here.where("_kind = 0").join(later, ["rule", "_bkt"], "left")
