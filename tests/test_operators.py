@@ -360,3 +360,10 @@ def test_next_hits_of_a_full_bucket_read_each_row_once(spark):
     assert "unboundedfollowing" not in found._jdf.queryExecution().executedPlan().toString().lower()
     got = {r["_rn"]: r["_next"] for r in found.collect()}
     assert got == {i + 1: 3 * (i // 3 + 500) + 1 for i in range(20000) if i // 3 + 500 <= 19999 // 3}
+
+
+def test_categorical_drift_names_its_new_categories(spark):
+    old = spark.createDataFrame([("a", "x")] * 3 + [("b", "x")], "kind string, same string")
+    new = spark.createDataFrame([("a", "x"), ("d", "x"), ("c", "x"), ("c", "x"), (None, "x")], "kind string, same string")
+    got = {r["feature"]: (r["n_new_categories"], r["new_categories"]) for r in D.categorical_drift(old, new, ["kind", "same"]).collect()}
+    assert got == {"kind": (2, ["c", "d"]), "same": (0, [])}

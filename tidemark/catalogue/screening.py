@@ -353,14 +353,16 @@ def drift_continuous(spark, d):
 CHI = f"""s AS (SELECT event_type AS c, count(*) FILTER (ts < TIMESTAMP '{HALF}' AND event_type <> 'view')::DOUBLE AS o, count(*) FILTER (ts >= TIMESTAMP '{HALF}')::DOUBLE AS n FROM events GROUP BY c),
   t AS (SELECT *, sum(o) OVER () AS ot, sum(n) OVER () AS nt FROM s), e AS (SELECT *, greatest(o / ot * nt, 1e-6) AS ex, greatest(n, 1e-6) AS ob FROM t),
   x AS (SELECT sum((ob - ex) * (ob - ex) / ex) AS st, count(*) FILTER (o = 0) AS fresh FROM e)"""
+LISTED = CHI.replace("AS fresh", "AS fresh, string_agg(c, ',' ORDER BY c) FILTER (o = 0) AS listed")
 
 
-@query(f"""WITH {CHI} SELECT 'event_type' AS feature, 'chi_square' AS test, round(st / 1e6, 3) AS statistic, round(exp(-st / 2) * (1 + st / 2), 6) AS p_value,
-  exp(-st / 2) * (1 + st / 2) < 0.05 AS drift_detected, fresh AS n_new_categories FROM x""")
+@query(f"""WITH {LISTED} SELECT 'event_type' AS feature, 'chi_square' AS test, round(st / 1e6, 3) AS statistic, round(exp(-st / 2) * (1 + st / 2), 6) AS p_value,
+  exp(-st / 2) * (1 + st / 2) < 0.05 AS drift_detected, fresh AS n_new_categories, listed AS new_categories FROM x""")
 def drift_categorical(spark, d):
     old, new = halves(spark, d)
     out = D.categorical_drift(old.where("event_type <> 'view'"), new, ["event_type"])
-    return out.select("feature", "test", F.round(F.col("statistic") / 1e6, 3).alias("statistic"), F.round("p_value", 6).alias("p_value"), "drift_detected", "n_new_categories")
+    return out.select("feature", "test", F.round(F.col("statistic") / 1e6, 3).alias("statistic"), F.round("p_value", 6).alias("p_value"), "drift_detected", "n_new_categories",
+                      F.when(F.size("new_categories") > 0, F.array_join("new_categories", ",")).alias("new_categories"))
 
 
 @query(f"""WITH o AS (SELECT DISTINCT event_type, (event_id % 3)::VARCHAR AS kind FROM events WHERE ts < TIMESTAMP '{HALF}' AND event_type <> 'view' AND event_id % 3 < 2),

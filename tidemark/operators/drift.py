@@ -120,7 +120,10 @@ def continuous_drift(reference: DataFrame, current: DataFrame, columns: Sequence
 
 
 def categorical_drift(reference: DataFrame, current: DataFrame, columns: Sequence[str], level: float = SIGNIFICANCE) -> DataFrame:
-    """Chi-squared test of current counts against reference shares; :func:`new_categories` lists those it counts."""
+    """Chi-squared test of current counts against reference shares; new categories are counted and listed.
+
+    The list is as long as there are new categories; :func:`new_categories` gives them as rows.
+    """
     old = category_shares(reference, columns).select("feature", "category", F.col("share").alias("old"))
     new = category_shares(current, columns).select("feature", "category", F.col("n").alias("new"))
     totals = new.groupBy("feature").agg(F.sum("new").alias("t"))
@@ -131,12 +134,13 @@ def categorical_drift(reference: DataFrame, current: DataFrame, columns: Sequenc
         F.sum((observed - expected) * (observed - expected) / expected).alias("statistic"),
         (F.count("*") - 1).alias("df"),
         F.count_if(F.col("old").isNull()).alias("n_new_categories"),
+        F.sort_array(F.collect_list(F.when(F.col("old").isNull(), F.col("category")))).alias("new_categories"),
     )
     p = F.when(F.col("df") > 0, chi2_p("statistic", F.col("df").cast("double"))).otherwise(1.0)
     out = scored.withColumn("p_value", p)
     return out.select(
         "feature", F.lit("chi_square").alias("test"), "statistic", "p_value",
-        (F.col("p_value") < level).alias("drift_detected"), "n_new_categories",
+        (F.col("p_value") < level).alias("drift_detected"), "n_new_categories", "new_categories",
     )
 
 
