@@ -473,6 +473,44 @@ def test_large_buckets_are_split_into_bounded_blocks(spark, monkeypatch):
     assert len({frozenset((a, b)) for g in groups.values() for a in g for b in g}) == 1000 * 1001 // 2
 
 
+def test_near_copies_come_from_simhash_first(spark, monkeypatch):
+    """Components of SimHash are verified by texts; what they connect is not compared again."""
+    rows = [(10 * g + i, edited(prose(700 + g, 2000), i, 1) if i else prose(700 + g, 2000)) for g in range(5) for i in range(3)]
+    rows += [(100, ""), (101, None), (102, "   ")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    near = {(r.a, r.b) for r in simhash._near_links(docs, 5, 0.8).collect()}
+    close = {(r.component_id, r.doc_id) for r in simhash.near_duplicates(docs).collect() if r.component_id < r.doc_id}
+    assert near == {p for p in close if p[0] < 100} and len(near) >= 5 and close - near == {(100, 101), (100, 102)}
+    stars, links_of_stars = [], simhash._links_of_stars
+    monkeypatch.setattr(simhash, "_links_of_stars", lambda ours, pairs, *rest: stars.append(pairs) or links_of_stars(ours, pairs, *rest))
+    groups = {r.doc_id: r.root for r in simhash.similar_groups(docs).collect()}
+    assert groups == {d: d // 10 * 10 for d, _ in rows if d < 100}
+    assert {(r.a, r.b) for r in stars[0].collect()} == close
+    assert {(r.a, r.b) for r in stars[1].collect()}.isdisjoint(near)
+
+
+def test_sketches_lose_no_pair():
+    rng = np.random.default_rng(3)
+    for m in (1, 5, 200, 510, 514, 3000, 9000):
+        whole = rng.integers(0, 1 << 63, m, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+        for gone in (0, m // 20, m // 5):
+            a, b = np.unique(whole), np.unique(whole[gone:])
+            x, y = simhash._parity(a), simhash._parity(b)
+            assert len(x) in (len(y), 2 * len(y))
+            x = x if len(x) == len(y) else x[: len(y)] ^ x[len(y) :]
+            assert np.bitwise_count((x ^ y).view(np.uint64)).sum() <= len(np.setxor1d(a, b))
+
+
+def test_unlike_documents_of_a_bucket_give_no_pairs(spark):
+    """Documents that only share a line; one pair of them is alike, of sketches of two lengths."""
+    rng = np.random.default_rng(4)
+    sets = [np.unique(rng.integers(0, 1 << 63, 500, dtype=np.uint64)) for _ in range(60)]
+    sets.append(np.concatenate((sets[0], rng.integers(0, 1 << 63, 40, dtype=np.uint64))))
+    rows = [(h, 1, i, len(x), i, simhash._parity(x).tolist()) for h in (7, 8) for i, x in enumerate(sets)]
+    rooted = spark.createDataFrame(rows, "h long, k long, doc_id long, m int, root long, s array<long>")
+    assert [(r.p.a.doc_id, r.p.b.doc_id) for r in simhash._pairs_within(rooted, 0.8).collect()] == [(0, 60)] * 2
+
+
 def test_same_words_in_other_order_stay(spark):
     words = prose(990, 80).split(" ")
     rows = [(i, " ".join(random.Random(i).sample(words, 80))) for i in range(300)]

@@ -5,7 +5,8 @@ vector has odd overlap with the mask's number. The vectors of at most ``radius``
 positions never span the whole space, so some mask keeps none of them: every pair within the
 radius shares a bucket of some of the ``2 ** (radius + 1) - 1`` tables, and no pair is lost.
 
-Near copies of a corpus (:func:`keep_one`) are found by another way, a prefix filter on shingle sets.
+Near copies of a corpus (:func:`keep_one`) are the components of :func:`near_duplicates` as far as their
+texts verify them; a prefix filter on shingle sets finds the pairs beyond the radius.
 """
 
 from __future__ import annotations
@@ -32,6 +33,7 @@ SMALL_GROUP = 64  # documents of a bucket of shingles that gives its pairs; larg
 SAMPLE_DOCS = 16384  # documents in which common shingles are looked for
 HOT_DOCS = 4  # of them have a common shingle
 HOT_SHINGLES = 1 << 16  # common shingles at most
+SKETCH_LONGS = (4, 32)  # words of a parity sketch: least and most
 
 
 def covering_masks(radius: int, seed: int = SEED) -> list[int]:
@@ -193,9 +195,29 @@ def _prefixes(batches: Batches, words: int, similarity: float, hot: np.ndarray)
         yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(prefixes)), pa.array(ids), pa.array(m)], names=["h", "doc_id", "m"])
 
 
+def _parity(hashes: np.ndarray) -> np.ndarray:
+    """Sketch of a set of hashes: every bit is the parity of the number of hashes that fall on it.
+
+    Two sketches differ in no more bits than the sets differ in members. A sketch twice as long becomes the shorter one
+    when its halves are combined by exclusive or. Beyond the longest sketch more pairs of different sets look near.
+    """
+    longs, most = SKETCH_LONGS
+    while longs < most and 64 * longs < len(hashes):
+        longs *= 2
+    odd = np.bincount((hashes % np.uint64(64 * longs)).astype(np.int64), minlength=64 * longs) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
+
+
+def _sketched(batches: Batches, words: int) -> Batches:
+    for batch in in_blocks(batches):
+        sets = [_shingle_set(t, words) for t in texts(batch.column("text"))]
+        columns = [batch.column("doc_id"), pa.array([len(x) for x in sets], pa.int32()), pa.array([_parity(x) for x in sets], pa.list_(pa.int64()))]
+        yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "m", "s"])
+
+
 def _alike(a: np.ndarray, b: np.ndarray, similarity: float) -> bool:
     shared = len(np.intersect1d(a, b, assume_unique=True))
-    return shared >= similarity * (len(a) + len(b) - shared) - 1e-9
+    return shared > 0 and shared >= similarity * (len(a) + len(b) - shared) - 1e-9
 
 
 def _pairs_batch(pairs: list[tuple[int, int]]) -> pa.RecordBatch:
@@ -259,17 +281,45 @@ def _links_of_stars(ours: DataFrame, pairs: DataFrame, words: int, similarity: f
     )
 
 
+def _near_links(ours: DataFrame, words: int, similarity: float) -> DataFrame:
+    """Those links of the smallest document of each SimHash component to its others that texts verify."""
+    found = near_duplicates(ours).where("doc_id <> component_id").select(F.col("component_id").alias("a"), F.col("doc_id").alias("b"))
+    return _links_of_stars(ours, cut_lineage(found.distinct()), words, similarity)
+
+
+def _apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
+    """Those ``a, b`` pairs that ``node, root`` does not connect."""
+    for c in ("a", "b"):
+        pairs = pairs.join(roots.select(F.col("node").alias(c), F.col("root").alias(f"root_{c}")), c, "left")
+    return pairs.where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b")
+
+
+def _pairs_within(rooted: DataFrame, similarity: float) -> DataFrame:
+    """``k, p`` for the pairs ``p`` of different roots in each bucket whose sizes and sketches ``s`` allow the similarity.
+
+    Sets of ``m`` and ``m'`` members with that similarity differ in ``(1 - similarity) / (1 + similarity) * (m + m')`` members
+    at most, and their sketches in no more bits. Their sizes are near, so one sketch is at most twice as long as the other.
+    """
+    members = F.collect_list(F.struct("doc_id", "m", "root", "s")).alias("d")
+    groups = rooted.groupBy("h", "k").agg(members, F.min("root").alias("low"), F.max("root").alias("high")).where("low < high")
+    both = "flatten(transform(d, (x, i) -> transform(slice(d, i + 2, size(d)), y -> IF(x.doc_id < y.doc_id, struct(x AS a, y AS b), struct(y AS a, x AS b)))))"
+    folded = "IF(size({0}) > size({1}), zip_with(slice({0}, 1, size({1})), slice({0}, size({1}) + 1, size({1})), (u, v) -> u ^ v), {0})"
+    one, other = folded.format("p.a.s", "p.b.s"), folded.format("p.b.s", "p.a.s")
+    differ = f"aggregate(zip_with({one}, {other}, (u, v) -> bit_count(u ^ v)), 0, (t, n) -> t + n)"
+    fits = (
+        f"p.a.root <> p.b.root AND least(p.a.m, p.b.m) >= {similarity}D * greatest(p.a.m, p.b.m) - 1e-9D"
+        f" AND {differ} <= {(1 - similarity) / (1 + similarity)}D * (p.a.m + p.b.m) + 1e-6D"
+    )
+    return groups.select("k", F.explode(F.expr(f"filter({both}, p -> {fits})")).alias("p"))
+
+
 def _frequent(rooted: DataFrame, similarity: float) -> DataFrame:
     """Pairs ``a, b`` of different roots that share enough prefix shingles in buckets of bounded size.
 
     Of sets of ``m`` and ``m'`` shingles that share ``o`` of them, the first ``m - o + l`` and ``m' - o + l`` share ``l`` at
     least. A pair that shares a larger bucket too may fall out here, as it meets there.
     """
-    members = F.collect_list(F.struct("doc_id", "m", "root")).alias("d")
-    groups = rooted.groupBy("h", "k").agg(members, F.min("root").alias("low"), F.max("root").alias("high")).where("low < high")
-    both = "flatten(transform(d, (x, i) -> transform(slice(d, i + 2, size(d)), y -> IF(x.doc_id < y.doc_id, struct(x AS a, y AS b), struct(y AS a, x AS b)))))"
-    fits = f"p.a.root <> p.b.root AND least(p.a.m, p.b.m) >= {similarity}D * greatest(p.a.m, p.b.m) - 1e-9D"
-    pairs = groups.select("k", F.explode(F.expr(f"filter({both}, p -> {fits})")).alias("p"))
+    pairs = _pairs_within(rooted, similarity)
     shared = pairs.groupBy(F.col("p.a.doc_id").alias("a"), F.col("p.b.doc_id").alias("b"), F.col("p.a.m").alias("m"), F.col("p.b.m").alias("o")).agg(F.sum("k").alias("k"))
     overlap = F.ceil(similarity / (1 + similarity) * (F.col("m") + F.col("o")) - 1e-9)
     least = overlap + 1 - F.ceil(similarity * F.greatest("m", "o") - 1e-9)
@@ -290,15 +340,20 @@ def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8) ->
     """``doc_id, root`` of every document that is connected to another one: components of all pairs whose
     ``words``-word shingle sets have a Jaccard similarity of ``similarity`` or more. No pair is left out.
 
+    First come the components of :func:`near_duplicates`, whose documents are verified against the smallest one. SimHash
+    misses pairs beyond its radius; an exact way for the rest follows.
+
     Under any common order of shingles, such sets share one of the first ``m - ceil(similarity * m) + 1``
     of either (prefix filter), so documents meet in buckets of equal prefix shingles. The order is by hash, shingles
     common in a sample last; it changes the work, never the result. Buckets with the same documents count once.
-    First every bucket is a star around its smallest document. A bucket that verified links connect is done.
-    Others of up to ``SMALL_GROUP`` documents give their pairs, of which those that share enough prefix shingles are verified; the
+    Every bucket is a star around its smallest document, as far as SimHash did not connect them. A bucket that verified links connect is done.
+    Others of up to ``SMALL_GROUP`` documents give those pairs whose sketches are near, of which those that share enough prefix shingles are verified; the
     documents of larger ones meet in pairs of blocks of at most about ``BLOCK_DOCS`` documents and
     ``SHARD_CHARS`` bytes of hashes, where pairs not connected yet are verified.
     """
     ours = pick(docs, "doc_id", "text").where("doc_id IS NOT NULL")
+    near_links = stored(_near_links(ours, words, similarity), "near_links")
+    near = cut_lineage(components(near_links))
     prefixes = partial(_prefixes, words=words, similarity=similarity, hot=_hot(ours, words))
     # One exchange finds the shingles of two documents or more; most occur once and are left behind there.
     counted = F.count("*").over(Window.partitionBy("h"))
@@ -315,11 +370,12 @@ def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8) ->
 
     fits = F.least("m", "low.m") >= similarity * F.greatest("m", "low.m") - 1e-9
     stars = shared.where(F.col("doc_id") != F.col("low.doc_id")).where(fits).select(F.col("low.doc_id").alias("a"), F.col("doc_id").alias("b"))
-    star_links = stored(_links_of_stars(ours, cut_lineage(stars.distinct()), words, similarity), "star_links")
-    roots = cut_lineage(components(star_links)).withColumnRenamed("node", "doc_id")
+    star_links = stored(_links_of_stars(ours, cut_lineage(_apart(stars.distinct(), near)), words, similarity), "star_links")
+    roots = cut_lineage(components(near_links.unionAll(star_links))).withColumnRenamed("node", "doc_id")
 
     rooted = shared.where("n > 2").join(roots, "doc_id", "left").select("h", "n", "k", "doc_id", "m", F.coalesce("root", "doc_id").alias("root"))
-    few = cut_lineage(_frequent(rooted.where(F.col("n") <= SMALL_GROUP), similarity))
+    sketches = ours.mapInArrow(partial(_sketched, words=words), "doc_id long, m int, s array<long>").distinct()
+    few = cut_lineage(_frequent(rooted.where(F.col("n") <= SMALL_GROUP).join(sketches, ["doc_id", "m"]), similarity))
     pair_links = stored(_links_of_stars(ours, few, words, similarity), "pair_links")
     blocks = _met(rooted.where(F.col("n") > SMALL_GROUP))
     more = (
@@ -328,8 +384,8 @@ def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8) ->
         .mapInArrow(partial(_block_links, words=words, similarity=similarity), "a long, b long")
     )
     block_links = stored(more, "block_links")
-    groups = components(star_links.unionAll(pair_links).unionAll(block_links)).withColumnRenamed("node", "doc_id")
-    give_back(shared, star_links, pair_links, block_links)
+    groups = components(near_links.unionAll(star_links).unionAll(pair_links).unionAll(block_links)).withColumnRenamed("node", "doc_id")
+    give_back(shared, near_links, star_links, pair_links, block_links)
     return groups
 
 
