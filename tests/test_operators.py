@@ -367,3 +367,12 @@ def test_categorical_drift_names_its_new_categories(spark):
     new = spark.createDataFrame([("a", "x"), ("d", "x"), ("c", "x"), ("c", "x"), (None, "x")], "kind string, same string")
     got = {r["feature"]: (r["n_new_categories"], r["new_categories"]) for r in D.categorical_drift(old, new, ["kind", "same"]).collect()}
     assert got == {"kind": (2, ["c", "d"]), "same": (0, [])}
+
+
+def test_parts_of_a_forest_are_bounded(spark, monkeypatch):
+    monkeypatch.setattr(S, "FOREST_PART_VALUES", 10_000)
+    whole = spark.range(9000).coalesce(1)
+    spread = S._in_parts(whole, trees=10)
+    sizes = [r["n"] for r in spread.groupBy(F.spark_partition_id()).agg(F.count("*").alias("n")).collect()]
+    assert max(sizes) <= 1000 and sum(sizes) == 9000 and spread.distinct().count() == 9000
+    assert S._in_parts(whole, trees=1) is whole and S._in_parts(whole.limit(0), trees=10).count() == 0

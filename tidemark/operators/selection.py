@@ -27,6 +27,7 @@ IMPORTANCE_LIMIT = 0.01
 CHI2_SHIFT = 1e-6
 PCA_SHARE = 0.95
 SEED = 42
+FOREST_PART_VALUES = 1 << 25  # draws, one per row and tree, that a task of a forest holds
 
 
 def variances(df: DataFrame, columns: Sequence[str], limit: float = VARIANCE_LIMIT) -> DataFrame:
@@ -173,15 +174,25 @@ def assembled(df: DataFrame, columns: Sequence[str], out: str = "features") -> D
     return VectorAssembler(inputCols=list(columns), outputCol=out, handleInvalid="skip").transform(df)
 
 
+def _in_parts(df: DataFrame, trees: int) -> DataFrame:
+    """``df`` in so many parts that none has more than ``FOREST_PART_VALUES`` draws of a forest; as it is if it has them.
+
+    Spark ML stores a number per row and tree, so a part of a file of fixed bytes is read many times as large by every level.
+    """
+    rows = FOREST_PART_VALUES // trees
+    parts = df.select(F.spark_partition_id().alias("p")).groupBy("p").agg(F.count("*").alias("n"))
+    most, total = parts.agg(F.max("n"), F.sum("n")).first()
+    return df.repartition(-(-total // (rows // 2))) if (most or 0) > rows else df
+
+
 def tree_importance(
     df: DataFrame, columns: Sequence[str], label: str, task: str = "classification", trees: int = 100,
     depth: int = 5, limit: float = IMPORTANCE_LIMIT, most: int = 100,
 ) -> DataFrame:
     """Random-forest importance, best first; selected up to ``most`` at or above the limit."""
     forest = RandomForestClassifier if task == "classification" else RandomForestRegressor
-    model = forest(featuresCol="features", labelCol=label, numTrees=trees, maxDepth=depth, seed=SEED).fit(
-        assembled(df.select(label, *_filled(columns)), columns)
-    )
+    spread = _in_parts(df.select(label, *_filled(columns)), trees)
+    model = forest(featuresCol="features", labelCol=label, numTrees=trees, maxDepth=depth, seed=SEED).fit(assembled(spread, columns))
     weights = model.featureImportances.toArray()
     scores = df.sparkSession.createDataFrame([(c, float(w)) for c, w in zip(columns, weights)], "feature string, score double")
     return best(scores, k=most).withColumn("selected", F.col("selected") & (F.col("score") >= limit))
