@@ -382,6 +382,26 @@ def test_components_of_paths_and_stars(spark):
     assert {r.node: r.root for r in found} == {i: 0 for i in range(201)} | {i: 1000 for i in range(1000, 1100)}
 
 
+def test_rounds_write_files_by_links(spark, monkeypatch):
+    written, cut = [], graph.cut_lineage
+    monkeypatch.setattr(graph, "cut_lineage", lambda df: written.append(df.rdd.getNumPartitions()) or cut(df))
+    settings = {"spark.sql.shuffle.partitions": "12", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in settings}
+    edges = spark.createDataFrame([(i, i + 1) for i in range(40)], "a long, b long")
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        for links, files in ((1 << 18, 1), (10, 5)):
+            monkeypatch.setattr(graph, "FILE_LINKS", links, raising=False)
+            written.clear()
+            found = graph.components(edges)
+            assert written[0] == 12 and set(written[3:]) == {files}
+            assert {(r.node, r.root) for r in found.collect()} == {(i, 0) for i in range(41)}
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
 def test_one_of_each_group_stays(spark, monkeypatch):
     monkeypatch.setattr(simhash, "SHARD_CHARS", 40_000)
     rows = [(i, prose(100 + i, 200)) for i in range(30)]
