@@ -1,8 +1,10 @@
 """Sharding, duplicates, languages, URLs, contamination and the pipeline against brute force."""
 
 import hashlib
+import os
 import random
 import re
+import time
 import zlib
 from collections import defaultdict
 
@@ -531,6 +533,43 @@ def test_unlike_documents_of_a_bucket_give_no_pairs(spark):
     assert [(r.p.a.doc_id, r.p.b.doc_id) for r in simhash._pairs_within(rooted, 0.8).collect()] == [(0, 60)] * 2
 
 
+def test_large_buckets_bring_only_fitting_documents(spark, monkeypatch):
+    """Sketches tell which documents of a large bucket have a partner, in whichever blocks the two lie."""
+    monkeypatch.setattr(simhash, "SKETCH_DOCS", 20)
+    rng = np.random.default_rng(5)
+    sets = [np.unique(rng.integers(0, 1 << 63, 100 + 20 * (i % 30), dtype=np.uint64)) for i in range(200)]
+    sets += [np.concatenate((sets[i], rng.integers(0, 1 << 63, 10, dtype=np.uint64))) for i in (3, 100)] + [sets[7]]
+    roots = [*range(202), 7]  # the last one is connected already
+    schema = "doc_id long, m int, s array<long>"
+    sketches = spark.createDataFrame([(i, len(x), simhash._parity(x).tolist()) for i, x in enumerate(sets)], schema)
+    rooted = spark.createDataFrame([(h, i, len(x), roots[i]) for h in (5, 6) for i, x in enumerate(sets)], "h long, doc_id long, m int, root long")
+    found = {(r.h, r.doc_id) for r in simhash._fitting_members(rooted, sketches, 0.8).collect()}
+    assert found == {(h, i) for h in (5, 6) for i in (3, 100, 200, 201)}
+
+
+def test_texts_sought_by_id_are_few(spark):
+    rows = spark.range(20000).selectExpr("id AS doc_id").unionAll(spark.createDataFrame([(None,)], "doc_id long"))
+    for ids in ([], [5], list(range(0, 20000, 100))):
+        sought = spark.createDataFrame([(i,) for i in ids], "doc_id long")
+        found = {r.doc_id for r in rows.where(simhash._perhaps(sought)).collect()}
+        assert set(ids) <= found and len(found) <= len(ids) + 600
+
+
+def test_copies_leave_nothing_behind(spark):
+    """Exchanges of texts, contents and tables between the steps go with the step, not with the driver's garbage."""
+    folder = spark.conf.get("spark.checkpoint.dir")
+    dirs = [str(d) for d in spark.sparkContext._jsc.sc().env().blockManager().diskBlockManager().localDirs()]
+    shuffled = lambda: {f"{d}/{f}" for top in dirs for d, _, names in os.walk(top) for f in names if f.startswith("shuffle_")}
+    tables = lambda: set(os.listdir(f"{folder}/tidemark-llm")) if os.path.isdir(f"{folder}/tidemark-llm") else set()
+    docs = spark.createDataFrame([(i, prose(i // 3, 100)) for i in range(90)], "doc_id long, text string").repartition(4)
+    docs = docs.checkpoint()
+    files, names = shuffled(), tables()
+    one, near = exact.keep_one(docs), simhash.keep_one(docs)
+    time.sleep(2)  # files are deleted in the background
+    assert sum(os.path.getsize(f) for f in shuffled() - files) < 2000 and tables() <= names
+    assert one.count() == near.count() == 30
+
+
 def test_same_words_in_other_order_stay(spark):
     words = prose(990, 80).split(" ")
     rows = [(i, " ".join(random.Random(i).sample(words, 80))) for i in range(300)]

@@ -28,7 +28,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import Batches, in_blocks, partitions, pick, scratch_root, stored, texts
+from tidemark.llm.common import Batches, give_back, in_blocks, partitions, pick, scratch_root, stored, texts
+from tidemark.session import cut_lineage, exchanges_given_back
 
 MEMORY_BYTES = 32 << 20  # contents that one open-addressing table may hold
 FAN_OUT = 16  # spill files per level of the recursion
@@ -208,9 +209,18 @@ def exact_groups(docs: DataFrame, memory: int = MEMORY_BYTES) -> DataFrame:
     told apart: each of them is marked as kept when their ``doc_id`` is. An empty table gives none.
     ``text_sha256`` is the lowercase hex digest of the text without ASCII white space.
     """
-    local = stored(pick(docs, "doc_id", "text").mapInArrow(partial(_local, memory=memory), LOCAL), "grace")
+    return _merged(_stored_local(docs, memory), memory)
+
+
+def _stored_local(docs: DataFrame, memory: int) -> DataFrame:
+    """The first level: every row, and the representatives with their contents."""
+    return stored(pick(docs, "doc_id", "text").mapInArrow(partial(_local, memory=memory), LOCAL), "grace")
+
+
+def _merged(local: DataFrame, memory: int) -> DataFrame:
+    """The second level over a table of :func:`_stored_local`."""
     firsts = local.where("content IS NOT NULL").select("hash", "content", "part", "slot", "best", "copies")
-    classes = firsts.repartition(partitions(docs), "hash").mapInArrow(partial(_merge, memory=memory), CLASSES)
+    classes = firsts.repartition(partitions(local), "hash").mapInArrow(partial(_merge, memory=memory), CLASSES)
     return (
         local.select("doc_id", "part", "slot", "sha")
         .join(classes, ["part", "slot"])
@@ -224,7 +234,11 @@ def keep_one(docs: DataFrame, memory: int = MEMORY_BYTES) -> DataFrame:
     Rows may share their ``doc_id`` or have none: a row is told by its id and its text without ASCII white space. Of rows
     that agree in both, the one with the longest original text stays, one of equally long ones.
     """
-    kept = exact_groups(docs, memory).where("kept").select(_name("doc_id").alias("_name"), F.col("text_sha256").alias("_sha")).distinct()
+    with exchanges_given_back(docs.sparkSession):
+        local = _stored_local(docs, memory)
+        # Names of rows are small: once they are written, the contents and their exchange can go.
+        kept = cut_lineage(_merged(local, memory).where("kept").select(_name("doc_id").alias("_name"), F.col("text_sha256").alias("_sha")).distinct())
+        give_back(local)
     text = F.coalesce(F.col("text"), F.lit(""))
     named = docs.withColumns({"_name": _name("doc_id"), "_sha": F.sha2(F.translate(text, " \t\n\x0b\x0c\r", ""), 256)})
     first = Window.partitionBy("_name", "_sha").orderBy(F.length(text).desc(), text)

@@ -12,17 +12,18 @@ texts verify them; a prefix filter on shingle sets finds the pairs beyond the ra
 from __future__ import annotations
 
 import random
+from collections.abc import Iterator
 from functools import partial
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import Batches, give_back, in_blocks, partitions, pick, stored, texts
 from tidemark.llm.graph import components
-from tidemark.session import cut_lineage
+from tidemark.session import cut_lineage, exchanges_given_back
 
 BITS = 64
 SEED = 42  # of XXH64 and of the masks
@@ -34,6 +35,8 @@ SAMPLE_DOCS = 16384  # documents in which common shingles are looked for
 HOT_DOCS = 4  # of them have a common shingle
 HOT_SHINGLES = 1 << 16  # common shingles at most
 SKETCH_LONGS = (4, 32)  # words of a parity sketch: least and most
+SKETCH_DOCS = 2048  # documents in a block whose sketches are compared with each other
+FILTER_LONGS = 1 << 20  # words of the bitmap of ids that are looked for, at most
 
 
 def covering_masks(radius: int, seed: int = SEED) -> list[int]:
@@ -267,6 +270,20 @@ def _block_links(batches: Batches, words: int, similarity: float) -> Batches:
     yield _pairs_batch(linked(group))
 
 
+def _perhaps(ids: DataFrame) -> Column:
+    """Whether ``doc_id`` may be one of ``ids``: true for each of them and for few others, so that few texts go through the exchange of a join.
+
+    A bitmap of hashes with 64 bits or more for each id, as far as ``FILTER_LONGS`` goes; beyond it more others get through.
+    """
+    longs = 1 << min(ids.count(), FILTER_LONGS - 1).bit_length()
+    place = F.pmod(F.xxhash64("doc_id", F.lit(SEED)), F.lit(64 * longs).cast("long"))
+    word, bit = F.floor(place / 64), F.pmod(place, F.lit(64)).cast("int")
+    marks = ids.groupBy(word.alias("id")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), bit)).alias("x"))
+    every = ids.sparkSession.range(longs).join(marks, "id", "left").select(F.struct("id", F.coalesce("x", F.lit(0).cast("long")).alias("x")).alias("e"))
+    bitmap = every.agg(F.sort_array(F.collect_list("e"))["x"]).scalar()
+    return F.bit_get(F.get(bitmap, word.cast("int")), bit) == 1
+
+
 def _links_of_stars(ours: DataFrame, pairs: DataFrame, words: int, similarity: float) -> DataFrame:
     """Those distinct ``a, b`` pairs whose texts are alike. The pairs of an ``a`` are dealt out in parts."""
     parts = F.ceil(F.col("n") / BLOCK_DOCS)
@@ -274,7 +291,8 @@ def _links_of_stars(ours: DataFrame, pairs: DataFrame, words: int, similarity: f
     members = pairs.join(sizes, "a").select("a", F.pmod(F.xxhash64("b"), parts).alias("salt"), F.lit(1).alias("member"), F.col("b").alias("doc_id"))
     salts = F.explode(F.sequence(F.lit(0).cast("long"), parts - 1))
     centres = sizes.select("a", salts.alias("salt"), F.lit(0).alias("member"), F.col("a").alias("doc_id"))
-    rows = members.unionAll(centres).join(ours, "doc_id").select("a", "salt", "member", "doc_id", "text")
+    sought = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+    rows = members.unionAll(centres).join(ours.where(_perhaps(sought)), "doc_id").select("a", "salt", "member", "doc_id", "text")
     return (
         rows.repartition(partitions(ours), "a", "salt").sortWithinPartitions("a", "salt", "member")
         .mapInArrow(partial(_star_links, words=words, similarity=similarity), "a long, b long")
@@ -294,23 +312,91 @@ def _apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
     return pairs.where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b")
 
 
-def _pairs_within(rooted: DataFrame, similarity: float) -> DataFrame:
-    """``k, p`` for the pairs ``p`` of different roots in each bucket whose sizes and sketches ``s`` allow the similarity.
+def _fit(one: str, other: str, similarity: float) -> str:
+    """SQL: whether sizes ``m`` and sketches ``s`` of two structs allow the similarity.
 
     Sets of ``m`` and ``m'`` members with that similarity differ in ``(1 - similarity) / (1 + similarity) * (m + m')`` members
     at most, and their sketches in no more bits. Their sizes are near, so one sketch is at most twice as long as the other.
     """
-    members = F.collect_list(F.struct("doc_id", "m", "root", "s")).alias("d")
-    groups = rooted.groupBy("h", "k").agg(members, F.min("root").alias("low"), F.max("root").alias("high")).where("low < high")
-    both = "flatten(transform(d, (x, i) -> transform(slice(d, i + 2, size(d)), y -> IF(x.doc_id < y.doc_id, struct(x AS a, y AS b), struct(y AS a, x AS b)))))"
     folded = "IF(size({0}) > size({1}), zip_with(slice({0}, 1, size({1})), slice({0}, size({1}) + 1, size({1})), (u, v) -> u ^ v), {0})"
-    one, other = folded.format("p.a.s", "p.b.s"), folded.format("p.b.s", "p.a.s")
-    differ = f"aggregate(zip_with({one}, {other}, (u, v) -> bit_count(u ^ v)), 0, (t, n) -> t + n)"
-    fits = (
-        f"p.a.root <> p.b.root AND least(p.a.m, p.b.m) >= {similarity}D * greatest(p.a.m, p.b.m) - 1e-9D"
-        f" AND {differ} <= {(1 - similarity) / (1 + similarity)}D * (p.a.m + p.b.m) + 1e-6D"
+    x, y = folded.format(f"{one}.s", f"{other}.s"), folded.format(f"{other}.s", f"{one}.s")
+    differ = f"aggregate(zip_with({x}, {y}, (u, v) -> bit_count(u ^ v)), 0, (t, n) -> t + n)"
+    return (
+        f"IF(least({one}.m, {other}.m) >= {similarity}D * greatest({one}.m, {other}.m) - 1e-9D,"
+        f" {differ} <= {(1 - similarity) / (1 + similarity)}D * ({one}.m + {other}.m) + 1e-6D, false)"
     )
-    return groups.select("k", F.explode(F.expr(f"filter({both}, p -> {fits})")).alias("p"))
+
+
+def _fitting(m: np.ndarray, root: np.ndarray, sketches: list[np.ndarray], similarity: float) -> Iterator[tuple[int, np.ndarray]]:
+    """Members of a bucket, each with others of other roots whose sizes and sketches allow the similarity as in :func:`_fit`; a pair once."""
+    longs = np.array([len(s) for s in sketches])
+    for size in np.unique(longs).tolist():
+        at = np.flatnonzero(longs >= size)
+        folded = np.stack([np.bitwise_xor.reduce(sketches[j].reshape(-1, size), axis=0) for j in at])
+        for row in np.flatnonzero(longs[at] == size).tolist():
+            i = at[row]
+            near = np.minimum(m[at], m[i]) >= similarity * np.maximum(m[at], m[i]) - 1e-9
+            others = np.flatnonzero(near & (root[at] != root[i]) & ((longs[at] > size) | (at < i)))
+            differ = np.bitwise_count(folded[others] ^ folded[row]).sum(axis=1, dtype=np.int64)
+            found = at[others[differ <= (1 - similarity) / (1 + similarity) * (m[at[others]] + m[i]) + 1e-6]]
+            if len(found):
+                yield i, found
+
+
+def _fitting_rows(batches: Batches, keys: tuple[str, ...], similarity: float, pairs: bool) -> Batches:
+    """Of each bucket, whose rows follow each other, its fitting pairs or the members that are in one of them."""
+
+    names = ["k", "a", "m", "b", "o"] if pairs else ["h", "doc_id"]
+    ready: list[list[np.ndarray]] = []
+
+    def settle(key: tuple, group: list[tuple]) -> None:
+        ids, m, root = (np.array([g[k] for g in group], dtype=np.int64) for k in range(3))
+        if len(group) < 2 or root.min() == root.max():
+            return
+        for i, j in _fitting(m, root, [g[3] for g in group], similarity):
+            if pairs:
+                first, i = ids[i] < ids[j], np.full(len(j), i)
+                a, b = np.where(first, i, j), np.where(first, j, i)
+                ready.append([np.full(len(j), key[1]), ids[a], m[a], ids[b], m[b]])
+            else:
+                own = ids[np.append(j, i)]
+                ready.append([np.full(len(own), key[0]), own])
+
+    def given() -> pa.RecordBatch:
+        columns = [pa.array(np.concatenate(c)) for c in zip(*ready, strict=True)] or [pa.array([], pa.int64())] * len(names)
+        ready.clear()
+        return pa.RecordBatch.from_arrays(columns, names=names)
+
+    current, group = (), []
+    for batch in batches:
+        sketch = batch.column("s")
+        ends, values = sketch.offsets.to_numpy(), sketch.values.to_numpy().view(np.uint64)
+        rows = zip(*[batch.column(c).to_pylist() for c in (*keys, "doc_id", "m", "root")], strict=True)
+        for n, row in enumerate(rows):
+            if row[: len(keys)] != current:
+                if group:
+                    settle(current, group)
+                current, group = row[: len(keys)], []
+            group.append((*row[len(keys) :], values[ends[n] : ends[n + 1]]))
+        yield given()
+    if group:
+        settle(current, group)
+    yield given()
+
+
+def _pairs_within(rooted: DataFrame, similarity: float) -> DataFrame:
+    """``k, p`` for the pairs ``p`` of different roots in each bucket whose sizes and sketches ``s`` allow the similarity."""
+    spread = rooted.select("h", "k", "doc_id", "m", "root", "s").repartition(partitions(rooted), "h", "k").sortWithinPartitions("h", "k")
+    pairs = spread.mapInArrow(partial(_fitting_rows, keys=("h", "k"), similarity=similarity, pairs=True), "k long, a long, m long, b long, o long")
+    one, other = (F.struct(F.col(d).alias("doc_id"), F.col(n).alias("m")) for d, n in (("a", "m"), ("b", "o")))
+    return pairs.select("k", F.struct(one.alias("a"), other.alias("b")).alias("p"))
+
+
+def _fitting_members(rooted: DataFrame, sketches: DataFrame, similarity: float) -> DataFrame:
+    """``h, doc_id`` of the documents of large buckets that fit another one of another root there; their sketches meet in pairs of blocks."""
+    rows = _met(rooted, SKETCH_DOCS, None).join(sketches, ["doc_id", "m"]).select("h", "x", "y", "doc_id", "m", "root", "s")
+    spread = rows.repartition(partitions(rooted), "h", "x", "y").sortWithinPartitions("h", "x", "y")
+    return spread.mapInArrow(partial(_fitting_rows, keys=("h", "x", "y"), similarity=similarity, pairs=False), "h long, doc_id long").distinct()
 
 
 def _frequent(rooted: DataFrame, similarity: float) -> DataFrame:
@@ -326,14 +412,19 @@ def _frequent(rooted: DataFrame, similarity: float) -> DataFrame:
     return shared.where(F.col("k") >= least).select("a", "b").distinct()
 
 
-def _met(rooted: DataFrame) -> DataFrame:
-    """Buckets of several roots as pairs of blocks ``h, x, y`` of bounded size, in some of which any two documents meet."""
-    blocks = F.ceil(F.greatest(F.count("*") / BLOCK_DOCS, F.sum("m") * 8 / SHARD_CHARS))
+def _met(rooted: DataFrame, docs: int | None = None, chars: int | None = 0) -> DataFrame:
+    """Buckets of several roots as pairs of blocks ``h, x, y`` of bounded size, in some of which any two documents meet.
+
+    A block has about ``docs`` documents and ``chars`` bytes of hashes, ``BLOCK_DOCS`` and ``SHARD_CHARS`` unless given, or any
+    number of bytes (None).
+    """
+    by_docs = F.count("*") / (docs or BLOCK_DOCS)
+    blocks = F.ceil(by_docs if chars is None else F.greatest(by_docs, F.sum("m") * 8 / (chars or SHARD_CHARS)))
     ends = (F.min("root").alias("low"), F.max("root").alias("high"))
     unsettled = rooted.groupBy("h").agg(blocks.alias("blocks"), *ends).where("low < high").select("h", "blocks")
-    laid = rooted.join(unsettled, "h").select("h", "doc_id", "root", "blocks", F.pmod(F.xxhash64("doc_id", F.lit(1)), F.col("blocks")).alias("i"))
+    laid = rooted.join(unsettled, "h").select("h", "doc_id", "m", "root", "blocks", F.pmod(F.xxhash64("doc_id", F.lit(1)), F.col("blocks")).alias("i"))
     spread = laid.withColumn("j", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    return spread.select("h", F.least("i", "j").alias("x"), F.greatest("i", "j").alias("y"), "doc_id", "root")
+    return spread.select("h", F.least("i", "j").alias("x"), F.greatest("i", "j").alias("y"), "doc_id", "m", "root")
 
 
 def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
@@ -348,8 +439,8 @@ def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8) ->
     common in a sample last; it changes the work, never the result. Buckets with the same documents count once.
     Every bucket is a star around its smallest document, as far as SimHash did not connect them. A bucket that verified links connect is done.
     Others of up to ``SMALL_GROUP`` documents give those pairs whose sketches are near, of which those that share enough prefix shingles are verified; the
-    documents of larger ones meet in pairs of blocks of at most about ``BLOCK_DOCS`` documents and
-    ``SHARD_CHARS`` bytes of hashes, where pairs not connected yet are verified.
+    documents of larger ones that have a partner of near sketch there meet in pairs of blocks of at most about ``BLOCK_DOCS`` documents and
+    ``SHARD_CHARS`` bytes of hashes, where pairs not connected yet are verified. Texts go through an exchange only for such pairs.
     """
     ours = pick(docs, "doc_id", "text").where("doc_id IS NOT NULL")
     near_links = stored(_near_links(ours, words, similarity), "near_links")
@@ -370,22 +461,30 @@ def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8) ->
 
     fits = F.least("m", "low.m") >= similarity * F.greatest("m", "low.m") - 1e-9
     stars = shared.where(F.col("doc_id") != F.col("low.doc_id")).where(fits).select(F.col("low.doc_id").alias("a"), F.col("doc_id").alias("b"))
-    star_links = stored(_links_of_stars(ours, cut_lineage(_apart(stars.distinct(), near)), words, similarity), "star_links")
+    # Sketches are small: they tell which texts are worth an exchange.
+    sketches = stored(ours.mapInArrow(partial(_sketched, words=words), "doc_id long, m int, s array<long>").distinct(), "sketches")
+    apart = _apart(stars.distinct(), near)
+    for c in ("a", "b"):
+        apart = apart.join(sketches.select(F.col("doc_id").alias(c), F.struct("m", "s").alias(f"of_{c}")), c)
+    apart = cut_lineage(apart.where(_fit("of_a", "of_b", similarity)).select("a", "b").distinct())
+    star_links = stored(_links_of_stars(ours, apart, words, similarity), "star_links")
     roots = cut_lineage(components(near_links.unionAll(star_links))).withColumnRenamed("node", "doc_id")
 
     rooted = shared.where("n > 2").join(roots, "doc_id", "left").select("h", "n", "k", "doc_id", "m", F.coalesce("root", "doc_id").alias("root"))
-    sketches = ours.mapInArrow(partial(_sketched, words=words), "doc_id long, m int, s array<long>").distinct()
     few = cut_lineage(_frequent(rooted.where(F.col("n") <= SMALL_GROUP).join(sketches, ["doc_id", "m"]), similarity))
     pair_links = stored(_links_of_stars(ours, few, words, similarity), "pair_links")
-    blocks = _met(rooted.where(F.col("n") > SMALL_GROUP))
+    large = rooted.where(F.col("n") > SMALL_GROUP)
+    fitting = cut_lineage(_fitting_members(large, sketches, similarity))
+    blocks = cut_lineage(_met(large.join(fitting, ["h", "doc_id"], "left_semi")))
+    sought = blocks.select("doc_id").distinct()
     more = (
-        blocks.join(ours, "doc_id").select("h", "x", "y", "doc_id", "root", "text")
+        blocks.join(ours.where(_perhaps(sought)), "doc_id").select("h", "x", "y", "doc_id", "root", "text")
         .repartition(partitions(ours), "h", "x", "y").sortWithinPartitions("h", "x", "y", "doc_id")
         .mapInArrow(partial(_block_links, words=words, similarity=similarity), "a long, b long")
     )
     block_links = stored(more, "block_links")
     groups = components(near_links.unionAll(star_links).unionAll(pair_links).unionAll(block_links)).withColumnRenamed("node", "doc_id")
-    give_back(shared, near_links, star_links, pair_links, block_links)
+    give_back(shared, sketches, near_links, star_links, pair_links, block_links)
     return groups
 
 
@@ -396,8 +495,16 @@ def keep_one(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFr
     with the smallest ``doc_id``. Documents without words stay (they are no copies of a text). Rows are told
     apart by ``doc_id``; rows with a null id always stay.
     """
+    with exchanges_given_back(docs.sparkSession):
+        gone = cut_lineage(_gone(docs, words, similarity))
+        perhaps = _perhaps(gone)
+    # Only rows that may have to go take part in an exchange.
+    return docs.where(~perhaps).unionAll(docs.where(perhaps).join(gone, "doc_id", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns]))
+
+
+def _gone(docs: DataFrame, words: int, similarity: float) -> DataFrame:
+    """``doc_id`` of the documents that do not stay."""
     groups = cut_lineage(similar_groups(docs, words, similarity))
     sizes = pick(docs, "doc_id", "text").select("doc_id", F.length("text").alias("n")).join(groups, "doc_id")
     first = sizes.groupBy("root").agg(F.min(F.struct((-F.col("n")).alias("shorter"), "doc_id")).alias("best")).select("best.doc_id")
-    gone = groups.join(first, "doc_id", "left_anti").select("doc_id")
-    return docs.join(gone, "doc_id", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    return groups.join(first, "doc_id", "left_anti").select("doc_id")

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
+
 from pyspark.sql import DataFrame, SparkSession
 
 # Time stamps are UTC everywhere; AQE re-plans joins from measured sizes; streams with timers keep their state in RocksDB.
@@ -49,3 +52,18 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(checkpoint_root(df.sparkSession))
     return df.checkpoint(eager=True)
+
+
+@contextmanager
+def exchanges_given_back(spark: SparkSession) -> Iterator[None]:
+    """Shuffle files of every query that runs meanwhile go when it ends, not when the driver collects its garbage.
+
+    A frame that was written or checkpointed meanwhile is to be read from there, not computed again.
+    """
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, "false")
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
