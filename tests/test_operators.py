@@ -14,6 +14,7 @@ from tidemark.operators import abtest as A
 from tidemark.operators import audit as N
 from tidemark.operators import drift as D
 from tidemark.operators import features as X
+from tidemark.operators import forests
 from tidemark.operators import indicators as I
 from tidemark.operators import leakage as L
 from tidemark.operators import metrics as M
@@ -376,3 +377,45 @@ def test_parts_of_a_forest_are_bounded(spark, monkeypatch):
     sizes = [r["n"] for r in spread.groupBy(F.spark_partition_id()).agg(F.count("*").alias("n")).collect()]
     assert max(sizes) <= 1000 and sum(sizes) == 9000 and spread.distinct().count() == 9000
     assert S._in_parts(whole, trees=1) is whole and S._in_parts(whole.limit(0), trees=10).count() == 0
+
+
+@pytest.mark.parametrize("task", ["classification", "regression"])
+def test_forests_of_large_tables_count_equal_rows(spark, monkeypatch, task):
+    """The counted forest finds what Spark ML's does, reads every row once and holds cells instead of rows."""
+    rng = np.random.default_rng(1)
+    n = 4000
+    x = np.column_stack([rng.integers(0, 20, n), rng.integers(0, 8, n), rng.normal(size=n).round(1), rng.integers(0, 3, n)]).astype(float)
+    y = 2 * (x[:, 0] > 11) + (x[:, 1] > 4) + rng.normal(scale=0.3, size=n)
+    y = (y > 1.5).astype(float) if task == "classification" else y.round(1)
+    columns = ["a", "b", "c", "d"]
+    once = spark.createDataFrame([(*map(float, r), float(v)) for r, v in zip(x, y, strict=True)], [*columns, "y"])
+    df = once.crossJoin(spark.range(5).select(F.col("id").alias("copy"))).drop("copy")
+    theirs = {r.feature: r.score for r in S.tree_importance(df, columns, "y", task, trees=40).collect()}
+    made = []
+    cells = forests.cells
+    monkeypatch.setattr(forests, "cells", lambda *a: made.append(cells(*a)) or made[-1])
+    monkeypatch.setattr(S, "FOREST_VALUES", 1000)
+    monkeypatch.setattr(forests, "BLOCK_CELLS", 500)
+    monkeypatch.setattr(forests, "PENDING_ROWS", 1500)
+    monkeypatch.setattr(forests, "HISTOGRAM_BYTES", 200_000)
+    first, again = ({r.feature: r.score for r in S.tree_importance(df, columns, "y", task, trees=40).collect()} for _ in range(2))
+    counted = made[0].agg(F.sum("n"), F.count("*")).first()
+    assert counted[0] == 5 * n and counted[1] <= n
+    assert first == again and abs(sum(first.values()) - 1) < 1e-9
+    assert all(abs(first[c] - theirs[c]) < 0.06 for c in columns)
+    assert sorted(first, key=first.get)[2:] == sorted(theirs, key=theirs.get)[2:] and first["a"] > 0.4
+
+
+def test_counted_forests_refuse_what_has_no_bin(spark):
+    draw = lambda rows: forests.importances(spark.createDataFrame(rows, "a double, y double"), ["a"], "y", True, 2, 3, len(rows), 1)
+    assert draw([(1.0, 0.0), (1.0, 1.0)] * 5).tolist() == [0.0] and draw([(float(i), float(i > 3)) for i in range(9)]).tolist() == [1.0]
+    for rows in ([(float("inf"), 0.0)], [(1.0, 0.5)], [(1.0, -1.0)], [(1.0, None)]):
+        with pytest.raises(Exception, match="labels must be|infinite values"):
+            draw(rows)
+
+
+def test_bins_of_a_forest():
+    assert forests.thresholds(np.array([3.0, 1.0, 1.0, 2.0])).tolist() == [1.5, 2.5] and len(forests.thresholds(np.ones(5))) == 0
+    values = np.random.default_rng(2).normal(size=20_000)
+    sizes = np.bincount(np.searchsorted(forests.thresholds(values), values), minlength=32)
+    assert len(sizes) == 32 and sizes.min() > 600 and sizes.max() < 650

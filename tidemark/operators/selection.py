@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.pvalues import chi2_p, f_p
 from tidemark.functions.stats import correlation
+from tidemark.operators import forests
 from tidemark.operators.quality import long_form
 from tidemark.plans.quantiles import exact_percentiles
 from tidemark.session import cut_lineage
@@ -28,6 +29,8 @@ CHI2_SHIFT = 1e-6
 PCA_SHARE = 0.95
 SEED = 42
 FOREST_PART_VALUES = 1 << 25  # draws, one per row and tree, that a task of a forest holds
+FOREST_VALUES = 1 << 28  # draws that Spark ML stores; beyond them equal rows are counted
+FOREST_DEPTH = 10  # up to which counts by node are small
 
 
 def variances(df: DataFrame, columns: Sequence[str], limit: float = VARIANCE_LIMIT) -> DataFrame:
@@ -189,11 +192,19 @@ def tree_importance(
     df: DataFrame, columns: Sequence[str], label: str, task: str = "classification", trees: int = 100,
     depth: int = 5, limit: float = IMPORTANCE_LIMIT, most: int = 100,
 ) -> DataFrame:
-    """Random-forest importance, best first; selected up to ``most`` at or above the limit."""
-    forest = RandomForestClassifier if task == "classification" else RandomForestRegressor
-    spread = _in_parts(df.select(label, *_filled(columns)), trees)
-    model = forest(featuresCol="features", labelCol=label, numTrees=trees, maxDepth=depth, seed=SEED).fit(assembled(spread, columns))
-    weights = model.featureImportances.toArray()
+    """Random-forest importance, best first; selected up to ``most`` at or above the limit.
+
+    Forests of up to ``FOREST_VALUES`` rows times trees are Spark ML's, larger ones those of :mod:`forests`, whose draws differ.
+    """
+    filled = df.select(label, *_filled(columns))
+    rows = filled.count()
+    if rows * trees > FOREST_VALUES and depth <= FOREST_DEPTH:
+        weights = forests.importances(filled, columns, label, task == "classification", trees, depth, rows, SEED)
+    else:
+        forest = RandomForestClassifier if task == "classification" else RandomForestRegressor
+        spread = _in_parts(filled, trees)
+        model = forest(featuresCol="features", labelCol=label, numTrees=trees, maxDepth=depth, seed=SEED).fit(assembled(spread, columns))
+        weights = model.featureImportances.toArray()
     scores = df.sparkSession.createDataFrame([(c, float(w)) for c, w in zip(columns, weights)], "feature string, score double")
     return best(scores, k=most).withColumn("selected", F.col("selected") & (F.col("score") >= limit))
 
