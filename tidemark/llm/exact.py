@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import Batches, give_back, in_blocks, partitions, pick, scratch_root, stored, texts
-from tidemark.session import cut_lineage, exchanges_given_back
+from tidemark.session import cut_lineage, drop_unused
 
 MEMORY_BYTES = 32 << 20  # contents that one open-addressing table may hold
 FAN_OUT = 16  # spill files per level of the recursion
@@ -234,11 +234,11 @@ def keep_one(docs: DataFrame, memory: int = MEMORY_BYTES) -> DataFrame:
     Rows may share their ``doc_id`` or have none: a row is told by its id and its text without ASCII white space. Of rows
     that agree in both, the one with the longest original text stays, one of equally long ones.
     """
-    with exchanges_given_back(docs.sparkSession):
-        local = _stored_local(docs, memory)
-        # Names of rows are small: once they are written, the contents and their exchange can go.
-        kept = cut_lineage(_merged(local, memory).where("kept").select(_name("doc_id").alias("_name"), F.col("text_sha256").alias("_sha")).distinct())
-        give_back(local)
+    local = _stored_local(docs, memory)
+    # Names of rows are small: once they are written, the contents and their exchange can go.
+    kept = cut_lineage(_merged(local, memory).where("kept").select(_name("doc_id").alias("_name"), F.col("text_sha256").alias("_sha")).distinct())
+    give_back(local)
+    drop_unused(docs.sparkSession)
     text = F.coalesce(F.col("text"), F.lit(""))
     named = docs.withColumns({"_name": _name("doc_id"), "_sha": F.sha2(F.translate(text, " \t\n\x0b\x0c\r", ""), 256)})
     first = Window.partitionBy("_name", "_sha").orderBy(F.length(text).desc(), text)

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.common import Batches, give_back, in_blocks, partitions, pick, stored, texts
 from tidemark.llm.graph import components
-from tidemark.session import cut_lineage, exchanges_given_back
+from tidemark.session import cut_lineage, drop_unused
 
 BITS = 64
 SEED = 42  # of XXH64 and of the masks
@@ -445,11 +445,14 @@ def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8) ->
     ours = pick(docs, "doc_id", "text").where("doc_id IS NOT NULL")
     near_links = stored(_near_links(ours, words, similarity), "near_links")
     near = cut_lineage(components(near_links))
+    drop_unused(docs.sparkSession)
     prefixes = partial(_prefixes, words=words, similarity=similarity, hot=_hot(ours, words))
     # One exchange finds the shingles of two documents or more; most occur once and are left behind there.
     counted = F.count("*").over(Window.partitionBy("h"))
     prefix = ours.mapInArrow(prefixes, "h long, doc_id long, m int").withColumn("n", counted).where("n > 1")
+    drop_unused(docs.sparkSession)
     met = stored(prefix, "prefixes")
+    drop_unused(docs.sparkSession)
     # The sum and the exclusive or of 64-bit hashes stand for the documents of a bucket.
     mark = F.xxhash64("doc_id")
     marked = met.groupBy("h", "n").agg(
@@ -458,6 +461,7 @@ def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8) ->
     buckets = cut_lineage(marked.groupBy("n", "low", "p", "q").agg(F.min("h").alias("h"), F.count("*").alias("k")).select("h", "low", "k"))
     shared = stored(met.join(buckets, "h"), "buckets")
     give_back(met)
+    drop_unused(docs.sparkSession)
 
     fits = F.least("m", "low.m") >= similarity * F.greatest("m", "low.m") - 1e-9
     stars = shared.where(F.col("doc_id") != F.col("low.doc_id")).where(fits).select(F.col("low.doc_id").alias("a"), F.col("doc_id").alias("b"))
@@ -468,11 +472,13 @@ def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8) ->
         apart = apart.join(sketches.select(F.col("doc_id").alias(c), F.struct("m", "s").alias(f"of_{c}")), c)
     apart = cut_lineage(apart.where(_fit("of_a", "of_b", similarity)).select("a", "b").distinct())
     star_links = stored(_links_of_stars(ours, apart, words, similarity), "star_links")
+    drop_unused(docs.sparkSession)
     roots = cut_lineage(components(near_links.unionAll(star_links))).withColumnRenamed("node", "doc_id")
 
     rooted = shared.where("n > 2").join(roots, "doc_id", "left").select("h", "n", "k", "doc_id", "m", F.coalesce("root", "doc_id").alias("root"))
     few = cut_lineage(_frequent(rooted.where(F.col("n") <= SMALL_GROUP).join(sketches, ["doc_id", "m"]), similarity))
     pair_links = stored(_links_of_stars(ours, few, words, similarity), "pair_links")
+    drop_unused(docs.sparkSession)
     large = rooted.where(F.col("n") > SMALL_GROUP)
     fitting = cut_lineage(_fitting_members(large, sketches, similarity))
     blocks = cut_lineage(_met(large.join(fitting, ["h", "doc_id"], "left_semi")))
@@ -483,6 +489,7 @@ def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8) ->
         .mapInArrow(partial(_block_links, words=words, similarity=similarity), "a long, b long")
     )
     block_links = stored(more, "block_links")
+    drop_unused(docs.sparkSession)
     groups = components(near_links.unionAll(star_links).unionAll(pair_links).unionAll(block_links)).withColumnRenamed("node", "doc_id")
     give_back(shared, sketches, near_links, star_links, pair_links, block_links)
     return groups
@@ -495,9 +502,9 @@ def keep_one(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFr
     with the smallest ``doc_id``. Documents without words stay (they are no copies of a text). Rows are told
     apart by ``doc_id``; rows with a null id always stay.
     """
-    with exchanges_given_back(docs.sparkSession):
-        gone = cut_lineage(_gone(docs, words, similarity))
-        perhaps = _perhaps(gone)
+    gone = cut_lineage(_gone(docs, words, similarity))
+    drop_unused(docs.sparkSession)
+    perhaps = _perhaps(gone)
     # Only rows that may have to go take part in an exchange.
     return docs.where(~perhaps).unionAll(docs.where(perhaps).join(gone, "doc_id", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns]))
 

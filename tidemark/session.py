@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from contextlib import contextmanager
+import gc
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -54,16 +53,10 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-@contextmanager
-def exchanges_given_back(spark: SparkSession) -> Iterator[None]:
-    """Shuffle files of every query that runs meanwhile go when it ends, not when the driver collects its garbage.
+def drop_unused(spark: SparkSession) -> None:
+    """Have Spark delete the shuffle files and checkpoints of steps that no frame refers to any more.
 
-    A frame that was written or checkpointed meanwhile is to be read from there, not computed again.
+    It does so in the background, after the driver collected its garbage, which a driver with much memory seldom does by itself.
     """
-    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-    before = spark.conf.get(key, "false")
-    spark.conf.set(key, "true")
-    try:
-        yield
-    finally:
-        spark.conf.set(key, before)
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
